@@ -32,8 +32,9 @@ _TRIGGER = re.compile(rb"(?i)licen[cs]|copyright|rights reserved|permission is h
 _TERM = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _TAG = re.compile(rb"<[^>]*>")
 _CARRIER = r"(?i)^(licen[cs]e|copying|notice|copyright)([._-].*)?$"
-LEAST = 0.4  # cosine
+LEAST = 0.5  # cosine
 LINE = 40  # words; of a longer line what stands around a trigger is read
+WINDOWS = ((2, 6), (3, 10), (8, 16), (12, 24))  # words before and from a trigger word
 SALTS = 16
 
 
@@ -48,7 +49,7 @@ class Templates:
         bags = {k: _terms(t.encode()) for k, t in texts.items()}
         df = Counter(t for b in bags.values() for t in b)
         self.idf = {t: 1 + log(len(bags) / n) for t, n in df.items()}
-        self.unknown = 0.5  # of a term in no template
+        self.unknown = 1 + log(len(bags))  # of a term in no template: as heavy as that of one
         self.vectors = {k: self._unit({t: (1 + log(n)) * self.idf[t] for t, n in b.items()}) for k, b in bags.items()}
 
     @staticmethod
@@ -70,7 +71,7 @@ class Templates:
 
 
 def _segments(text: bytes):
-    """The lines with a trigger; of long lines the 12 words before and 24 behind each trigger word."""
+    """The lines with a trigger; of long lines windows of words around each trigger word."""
     for line in text.split(b"\n"):
         if _TRIGGER.search(line):
             words = line.split()
@@ -79,7 +80,7 @@ def _segments(text: bytes):
             else:
                 for i, w in enumerate(words):
                     if _TRIGGER.search(w):
-                        yield b" ".join(words[max(0, i - 12) : i + 24])
+                        yield from (b" ".join(words[max(0, i - before) : i + behind]) for before, behind in WINDOWS)
 
 
 def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
