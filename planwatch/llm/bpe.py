@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwatch.llm.common import documents, utf8
+from planwatch.llm.common import documents, slices, utf8
 from planwatch.session import own_folder
 
 LEXICON = 100_000  # words compiled into the transducer
@@ -284,7 +284,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON)
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["word", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in utf8(b.column(0)):
                 seen.update(p for p in _pieces(t.decode("utf-8", "replace")) if len(p) <= LONG)
                 if len(seen) > FLUSH:
@@ -314,7 +314,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches):
         encoder = Encoder(shared.value, Lexicon(SparkFiles.get(name)))
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.decode("utf-8", "replace") for t in utf8(batch.column(1))]
             n, ids_sha, text_sha, all_ids = [], [], [], []
             for i, text in enumerate(texts):

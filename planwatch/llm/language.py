@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwatch.llm.common import crc_remainder, documents, share_of, utf8
+from planwatch.llm.common import crc_remainder, documents, share_of, slices, utf8
 
 DIMS = 2048
 SAMPLE = 1000  # labelled documents to learn from, for each language, at most in expectation
@@ -124,7 +124,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample / n))])
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ngrams(t).astype("<u4").tobytes() for t in utf8(b.column(1))], pa.binary())], names=["lang", "counts"])
 
     chosen = fit.where(share_of(F.col(id_col)) < F.element_at(share, F.col(lang_col)))
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     names = [f"c{i}" for i in range(len(keep))]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(len(names))
             n = len(column)
             lang, score, at, counts = np.full(n, "und", object), np.zeros(n), [], []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwatch.llm.common import documents, utf8, written
+from planwatch.llm.common import documents, slices, utf8, written
 
 #: Short notices by which a licence is recognised.
 TEMPLATES = {
@@ -88,7 +88,7 @@ def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     shared = files.sparkSession.sparkContext.broadcast(Templates(templates))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             names, scores = [], []
             for t in utf8(b.column(2)):
                 score, name = 0.0, None

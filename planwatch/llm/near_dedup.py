@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from planwatch.llm.common import documents, utf8, written
+from planwatch.llm.common import documents, slices, utf8, written
 from planwatch.llm.graph import components
 
 BITS = 64
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) for each row. A null text counts as empty; other columns are not read."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(t, width) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planwatch.llm.common import utf8
+from planwatch.llm.common import slices, utf8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_chars", "n_lines", "n_upper", "n_digits", "n_marks", "n_stops", "n_short_words", "n_long_words")
 #: Shares that rules and trees are learned from. Each is 0 where it would divide by 0.
@@ -54,7 +54,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, the COUNTS as longs) for each row; a null text has none of anything."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = np.array([statistics(t) for t in utf8(b.column(1))], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], names=["doc_id", *COUNTS])
 
