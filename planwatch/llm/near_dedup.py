@@ -126,6 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
     named = nodes.join(named.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"))
+    named = written(named, "components")  # so that both sides of the join are dealt anew, and a fingerprint of many copies can be split
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
