@@ -11,6 +11,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +20,18 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwatch.llm.common import documents, slices, utf8
+from planwatch.llm.common import documents, slices, utf8, written
 from planwatch.session import own_folder
 
-LEXICON = 100_000  # words compiled into the transducer
+SHARE = 5e-6  # of all words: the transducer holds those that are at least as frequent, 1 / SHARE at most
 MEMO = 400_000  # words that a task remembers
 FLUSH = 300_000  # different words that a task counts before it passes their counts on
 
 #: White space as Unicode has it, and how a text falls into words before merging.
 _WS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORDS = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n |^ | $")
+_ODD_SPACE = re.compile(r"[^\S \n]")
+_NEVER = 1 << 40  # the rank of a pair that doesn't merge
 LONG = 256  # characters; longer pieces aren't remembered
 
 
@@ -94,6 +96,60 @@ class Vocabulary:
             ids = out
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit numbers, as ``merge`` has them. Words of one length merge together, a pair each a
+        round, in matrices of their ids and of the ranks of neighbouring ids."""
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for length, at in by_length.items():
+            if length > 64:
+                for i in at:
+                    out[i] = np.array(self._merge_long([self.byte_ids[b] for b in words[i]]), "<u4").tobytes()
+            elif length:
+                raw = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(-1, length)
+                self._merge_matrix(np.array(self.byte_ids, np.int64)[raw], np.array(at), out)
+        return out
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs as one number each, ascending, with their ranks; the id that the pair of each rank makes."""
+        key = np.array([a << 20 | b for a, b in self.merges], np.int64)
+        rank, made = np.array(list(self.merges.values()), np.int64).reshape(-1, 2).T
+        order, by_rank = np.argsort(key), np.zeros(rank.max(initial=0) + 1, np.int64)
+        by_rank[rank] = made
+        return key[order], rank[order], by_rank
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key, rank, _ = self._pairs
+        want = a << 20 | b
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        return np.where(key[at] == want, rank[at], _NEVER)
+
+    def _merge_matrix(self, ids: np.ndarray, at: np.ndarray, out: list[bytes]) -> None:
+        made = self._pairs[2]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        while True:
+            n, width = ids.shape
+            place = ranks.argmin(axis=1) if width > 1 else np.zeros(n, np.int64)
+            best = ranks[np.arange(n), place] if width > 1 else np.full(n, _NEVER)
+            if (done := best == _NEVER).any():
+                flat = ids[done].astype("<u4").tobytes()
+                for k, i in enumerate(at[done].tolist()):
+                    out[i] = flat[4 * width * k : 4 * width * (k + 1)]
+                ids, ranks, at, place, best = (x[~done] for x in (ids, ranks, at, place, best))
+                n = len(ids)
+                if not n:
+                    return
+            rows, column = np.arange(n), np.arange(width - 1)
+            ids = np.take_along_axis(ids, column + (column > place[:, None]), 1)
+            ids[rows, place] = made[best]
+            ranks = np.take_along_axis(ranks, column[:-1] + (column[:-1] >= place[:, None]), 1)
+            left, right = np.flatnonzero(place > 0), np.flatnonzero(place < width - 2)
+            ranks[left, place[left] - 1] = self._ranks(ids[left, place[left] - 1], ids[left, place[left]])
+            ranks[right, place[right]] = self._ranks(ids[right, place[right]], ids[right, place[right] + 1])
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list: n log n for words of any length."""
         n, find = len(ids), self.merges.get
@@ -211,7 +267,7 @@ def _pieces(text: str) -> list[str]:
     A single space between two other characters always begins a word, so a text whose white space is only such spaces, and
     newlines not beside a space, is cut there. Any other text is cut into its words at once.
     """
-    if _ODD_SPACE.search(text):
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text):
         return _WORDS.findall(text)
     first, *others = text.split(" ")
     pieces = [first, *[" " + c for c in others]] if first else [" " + c for c in others]
@@ -230,48 +286,43 @@ class Encoder:
     words: dict[bytes, bytes] = field(default_factory=dict)
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(self.vocabulary.merge(w), "<u4").tobytes() if ids is None else ids for w, ids in zip(words, self.lexicon.find(words))]
+        found = self.lexicon.find(words)
+        unseen = iter(self.vocabulary.merge_all([w for w, ids in zip(words, found) if ids is None]))
+        return [next(unseen) if ids is None else ids for ids in found]
 
     def _learn(self, pieces: list[str]) -> None:
         """Puts the ids of new pieces into the memo."""
-        if len(self.pieces) + len(pieces) > MEMO:
-            self.pieces.clear()
         if len(self.words) > MEMO:
             self.words.clear()
         split = [[w.encode() for w in _WORDS.findall(p)] for p in pieces]
         new = list({w for ws in split for w in ws if w not in self.words})
         self.words.update(zip(new, self._ids(new)))
-        for p, ws in zip(pieces, split):
-            self.pieces[p] = b"".join([self.words[w] for w in ws])
+        words = self.words
+        self.pieces.update((p, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for p, ws in zip(pieces, split))
 
-    def prepare(self, texts: list[str]) -> None:
-        """Learns what these texts need, all at once."""
-        need = {p for t in texts for p in _pieces(t) if len(p) <= LONG}
-        if new := [p for p in need if p not in self.pieces]:
-            self._learn(new)
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian 32-bit numbers."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
         special = self.vocabulary.added
-        if any(s in text for s in special):
-            cut = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text)
-            return b"".join([np.array([special[t]], "<u4").tobytes() if t in special else self.encode(t) for t in cut])
-        pieces, out = _pieces(text), []
-        for at in range(0, len(pieces), MEMO // 4):
-            part = pieces[at : at + MEMO // 4]
-            long = list({p for p in part if len(p) > LONG})
-            own = dict(zip(long, self._ids([p.encode() for p in long])))
-            if new := list({p for p in part if p not in self.pieces and p not in own}):
-                self._learn(new)
-                if any(p not in self.pieces and p not in own for p in part):  # the memo was emptied
-                    self._learn(list({p for p in part if p not in self.pieces and p not in own}))
-            memo = self.pieces | own if own else self.pieces
-            out += [memo[p] for p in part]
-        return b"".join(out)
-
-
-def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON) -> list[str]:
-    """The ``most`` most frequent words of all texts, words as merging has them; ties by the word."""
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        rows = []
+        for text in texts:
+            if any(s in text for s in special):
+                rows.append([p for part in cut.split(text) for p in ([part] if part in special else _pieces(part))])
+            else:
+                rows.append(_pieces(text))
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        memo = self.pieces
+        memo.update((s, np.array([i], "<u4").tobytes()) for s, i in special.items())
+        need = {p for row in rows for p in row if p not in memo}
+        self._learn([p for p in need if len(p) <= LONG])
+        long = [p for p in need if len(p) > LONG]  # used once and not remembered
+        own = dict(zip(long, self._ids([p.encode() for p in long])))
+        return [b"".join([memo[p] if p in memo else own[p] for p in row]) if own else b"".join(map(memo.__getitem__, row)) for row in rows]
+
+
+def frequent_words(docs: DataFrame, text_col: str = "text", share: float = SHARE) -> list[str]:
+    """The words that make up at least ``share`` of all words of all texts, 1 / ``share`` at most; words as merging has them."""
 
     def count(batches):
         seen: Counter = Counter()
@@ -292,20 +343,22 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON)
         if seen:
             yield words()
 
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    short = counts.where((F.col("n") > 1) & (F.octet_length("word") <= 64))
-    return [r["word"] for r in short.orderBy(F.col("n").desc(), "word").limit(most).select("word").collect()]
+    counts = written(docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counts.where((F.col("n") >= max(2.0, share * total)) & (F.octet_length("word") <= 64))
+    return [r["word"] for r in often.select("word").toLocalIterator()]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, lexicon: int = LEXICON, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, share: float = SHARE, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row of ``docs``, of its whole text.
 
     Null texts count as empty; an empty text has no tokens. Repeated rows have a row each. The transducer file goes to the
-    executors by Spark's file distribution; its size is bounded by ``lexicon`` words of at most 64 bytes.
+    executors by Spark's file distribution; its size is bounded by 1 / ``share`` words of at most 64 bytes.
     """
     spark = docs.sparkSession
     v = Vocabulary.load(vocabulary or default_vocabulary())
-    words = {w.encode(): v.merge(w.encode()) for w in frequent_words(docs, text_col, lexicon)}
+    often = [w.encode() for w in frequent_words(docs, text_col, share)]
+    words = {w: np.frombuffer(ids, "<u4").tolist() for w, ids in zip(often, v.merge_all(often))}
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(own_folder(), name)
     Lexicon.compile(words, path)
@@ -317,10 +370,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         for batch in slices(batches):
             texts = [t.decode("utf-8", "replace") for t in utf8(batch.column(1))]
             n, ids_sha, text_sha, all_ids = [], [], [], []
-            for i, text in enumerate(texts):
-                if i % 256 == 0:
-                    encoder.prepare(texts[i : i + 256])
-                raw = encoder.encode(text)
+            for raw in encoder.encode(texts):
                 ids = np.frombuffer(raw, "<u4").tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(raw).hexdigest())
