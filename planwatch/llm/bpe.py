@@ -24,15 +24,15 @@ from planwatch.llm.common import documents, slices, utf8, written
 from planwatch.session import own_folder
 
 SHARE = 5e-6  # of all words: the transducer holds those that are at least as frequent, 1 / SHARE at most
-MEMO = 400_000  # words that a task remembers
+MEMO = 600_000  # words that a task remembers
 FLUSH = 300_000  # different words that a task counts before it passes their counts on
 
 #: White space as Unicode has it, and how a text falls into words before merging.
 _WS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORDS = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_ODD_SPACE = re.compile(r"[^\S \n]")
-_NEVER = 1 << 40  # the rank of a pair that doesn't merge
-LONG = 256  # characters; longer pieces aren't remembered
+_ODD_SPACE = re.compile(r"[^\S \n]|\x00")
+_NEVER = 1 << 30  # the rank of a pair that doesn't merge
+LONG = 256  # characters; longer pieces are neither counted nor remembered
 
 
 def default_vocabulary() -> str:
@@ -109,23 +109,23 @@ class Vocabulary:
                     out[i] = np.array(self._merge_long([self.byte_ids[b] for b in words[i]]), "<u4").tobytes()
             elif length:
                 raw = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(-1, length)
-                self._merge_matrix(np.array(self.byte_ids, np.int64)[raw], np.array(at), out)
+                self._merge_matrix(np.array(self.byte_ids, np.int32)[raw], np.array(at), out)
         return out
 
     @cached_property
     def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs as one number each, ascending, with their ranks; the id that the pair of each rank makes."""
         key = np.array([a << 20 | b for a, b in self.merges], np.int64)
-        rank, made = np.array(list(self.merges.values()), np.int64).reshape(-1, 2).T
-        order, by_rank = np.argsort(key), np.zeros(rank.max(initial=0) + 1, np.int64)
+        rank, made = np.array(list(self.merges.values()), np.int32).reshape(-1, 2).T
+        order, by_rank = np.argsort(key), np.zeros(rank.max(initial=0) + 1, np.int32)
         by_rank[rank] = made
         return key[order], rank[order], by_rank
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key, rank, _ = self._pairs
-        want = a << 20 | b
+        want = a.astype(np.int64) << 20 | b
         at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-        return np.where(key[at] == want, rank[at], _NEVER)
+        return np.where(key[at] == want, rank[at], np.int32(_NEVER))
 
     def _merge_matrix(self, ids: np.ndarray, at: np.ndarray, out: list[bytes]) -> None:
         made = self._pairs[2]
@@ -269,9 +269,8 @@ def _pieces(text: str) -> list[str]:
     """
     if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text):
         return _WORDS.findall(text)
-    first, *others = text.split(" ")
-    pieces = [first, *[" " + c for c in others]] if first else [" " + c for c in others]
-    if pieces and max(map(len, pieces)) > LONG:
+    pieces = text.replace(" ", "\0 ").split("\0")  # the odd case has those with \0
+    if max(map(len, pieces)) > LONG:
         pieces = [w for p in pieces for w in (_WORDS.findall(p) if len(p) > LONG else (p,))]
     return pieces
 
@@ -285,20 +284,16 @@ class Encoder:
     pieces: dict[str, bytes] = field(default_factory=dict)
     words: dict[bytes, bytes] = field(default_factory=dict)
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.lexicon.find(words)
-        unseen = iter(self.vocabulary.merge_all([w for w, ids in zip(words, found) if ids is None]))
-        return [next(unseen) if ids is None else ids for ids in found]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Puts the ids of new pieces into the memo."""
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces: those of the transducer, else of their words, merged unless this task has met them."""
         if len(self.words) > MEMO:
             self.words.clear()
-        split = [[w.encode() for w in _WORDS.findall(p)] for p in pieces]
-        new = list({w for ws in split for w in ws if w not in self.words})
-        self.words.update(zip(new, self._ids(new)))
-        words = self.words
-        self.pieces.update((p, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for p, ws in zip(pieces, split))
+        raw, words = [p.encode() for p in pieces], self.words
+        found = self.lexicon.find(raw)
+        split = [None if ids else [w] if p[1:].isalpha() and p.isascii() and p[0] == " " else [x.encode() for x in _WORDS.findall(p)] for p, w, ids in zip(pieces, raw, found)]
+        new = list({w for ws in split if ws for w in ws}.difference(words))
+        words.update(zip(new, self.vocabulary.merge_all(new)))
+        return {p: ids or (words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for p, ws, ids in zip(pieces, split, found)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -314,34 +309,32 @@ class Encoder:
             self.pieces.clear()
         memo = self.pieces
         memo.update((s, np.array([i], "<u4").tobytes()) for s, i in special.items())
-        need = {p for row in rows for p in row if p not in memo}
-        self._learn([p for p in need if len(p) <= LONG])
-        long = [p for p in need if len(p) > LONG]  # used once and not remembered
-        own = dict(zip(long, self._ids([p.encode() for p in long])))
-        return [b"".join([memo[p] if p in memo else own[p] for p in row]) if own else b"".join(map(memo.__getitem__, row)) for row in rows]
+        need = set().union(*rows).difference(memo)
+        memo.update(self._learn([p for p in need if len(p) <= LONG]))
+        own = self._learn([p for p in need if len(p) > LONG])  # used once and not remembered
+        return [b"".join([own[p] if p in own else memo[p] for p in row]) if own else b"".join(map(memo.__getitem__, row)) for row in rows]
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", share: float = SHARE) -> list[str]:
-    """The words that make up at least ``share`` of all words of all texts, 1 / ``share`` at most; words as merging has them."""
+    """The words that make up at least ``share`` of all words of all texts, 1 / ``share`` at most.
+
+    Words are what stands between single spaces, with the space before it (see ``_pieces``)."""
 
     def count(batches):
         seen: Counter = Counter()
 
-        def words():
-            total: Counter = Counter()
-            for piece, n in seen.items():
-                for w in _WORDS.findall(piece):
-                    total[w] += n
+        def out():
+            short = {p: n for p, n in seen.items() if len(p) <= LONG}
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(short.keys(), pa.string()), pa.array(short.values(), pa.int64())], names=["word", "n"])
 
         for b in slices(batches):
             for t in utf8(b.column(0)):
-                seen.update(p for p in _pieces(t.decode("utf-8", "replace")) if len(p) <= LONG)
+                seen.update(_pieces(t.decode("utf-8", "replace")))
                 if len(seen) > FLUSH:
-                    yield words()
+                    yield out()
         if seen:
-            yield words()
+            yield out()
 
     counts = written(docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -358,7 +351,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     spark = docs.sparkSession
     v = Vocabulary.load(vocabulary or default_vocabulary())
     often = [w.encode() for w in frequent_words(docs, text_col, share)]
-    words = {w: np.frombuffer(ids, "<u4").tolist() for w, ids in zip(often, v.merge_all(often))}
+    words = {w: [i for x in _WORDS.findall(w.decode()) for i in v.merge(x.encode())] for w in often}
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(own_folder(), name)
     Lexicon.compile(words, path)
