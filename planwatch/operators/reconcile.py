@@ -49,8 +49,8 @@ def recompute(columns: DataFrame, doc: str, column: str, prices: str = "prices")
     y = x.select(doc, F.col("c").alias("p"), F.col("s").alias("t"))
     step = F.sequence(F.lit(1), F.lit(9))
     agrees = lambda i: _agrees(F.get("s", i - 1), F.get("s", i), F.get("t", i - 1), F.get("t", i))
-    pairs = x.join(y, doc).where("c <> p").withColumn("known", F.filter(step, lambda i: agrees(i).isNotNull())).where(F.size("known") >= TRANSITIONS)
-    pairs = pairs.withColumn("differ", F.filter("known", lambda i: ~agrees(i))).where(F.size("differ") <= 2)
+    pairs = x.join(y, doc).where("c <> p").withColumn("same", F.transform(step, agrees)).where(F.size(F.filter("same", lambda q: q.isNotNull())) >= TRANSITIONS)
+    pairs = pairs.withColumn("differ", F.filter(step, lambda i: ~F.get("same", i - 1))).where(F.size("differ") <= 2)
     at = pairs.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(9)))).where(F.size(F.array_except("differ", F.array(F.col("band"), F.col("band") + 1))) == 0)
     ratio = lambda a, b: F.try_divide(F.get("t", a), F.get("t", b))
     band = F.col("band")

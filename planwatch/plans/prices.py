@@ -91,13 +91,13 @@ def band_rules(t: Tables) -> DataFrame:
 
 def _patterned(t: Tables) -> DataFrame:
     """(doc, c, prices): columns of one ratio pattern on different bases, with hashed misreadings and gaps, in cents."""
-    base = t.part.select((F.col("p_partkey") % 40).alias("doc"), F.col("p_partkey").alias("c"), (F.col("p_size") * 1000 + 20000).alias("base"))
+    base = t.part.select(F.expr("p_partkey div 25").alias("doc"), F.col("p_partkey").alias("c"), (F.col("p_size") * 1000 + 20000).alias("base"))
     mark = lambda b: (F.col("c") * 31 + b * 17) % 97
     price = lambda b: F.expr(f"base * {100 + 15 * b} div 100").cast("bigint")
     return base.select("doc", "c", F.array(*[F.when(mark(b) == 5, price(b) + 1000).when(mark(b) != 7, price(b)) for b in range(10)]).alias("prices"))
 
 
-PATTERN = """WITH base AS (SELECT p_partkey % 40 AS doc, p_partkey AS c, p_size * 1000 + 20000 AS base FROM part),
+PATTERN = """WITH base AS (SELECT p_partkey // 25 AS doc, p_partkey AS c, p_size * 1000 + 20000 AS base FROM part),
 cells AS (SELECT doc, c, CAST(b AS INT) AS band, CAST(CASE (c * 31 + b * 17) % 97 WHEN 7 THEN NULL WHEN 5 THEN base * (100 + 15 * b) // 100 + 1000 ELSE base * (100 + 15 * b) // 100 END AS DOUBLE) / 100 AS p FROM base, range(10) r(b)),
 steps AS (SELECT a.doc, a.c, a.band AS i, z.p AS x0, a.p AS x1 FROM cells a JOIN cells z ON a.c = z.c AND z.band = a.band - 1 WHERE a.p IS NOT NULL AND z.p IS NOT NULL),
 pairs AS (SELECT x.doc, x.c, y.c AS p, list(x.i ORDER BY x.i) FILTER (abs((x.x1 / x.x0) / (y.x1 / y.x0) - 1) > 1.2 * (0.005 / x.x0 + 0.005 / x.x1 + 0.005 / y.x0 + 0.005 / y.x1)) AS differ, count(*) AS known
