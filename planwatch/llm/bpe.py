@@ -30,7 +30,8 @@ FLUSH = 300_000  # different words that a task counts before it passes their cou
 #: White space as Unicode has it, and how a text falls into words before merging.
 _WS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORDS = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_ODD_SPACE = re.compile(r"[^\S \n]|\x00")
+_ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n" or c == "\0"]
+_LATIN_END = "\u0250"  # behind the letters of Latin, on which all versions of Unicode agree
 _NEVER = 1 << 30  # the rank of a pair that doesn't merge
 LONG = 256  # characters; longer pieces are neither counted nor remembered
 
@@ -185,7 +186,8 @@ class Lexicon:
         sizes = flat[:7]
         self.longest = int(sizes[6])
         ends = 7 + np.cumsum(sizes[:6])
-        self.key, self.target, self.adds, self.final, self.offset, self.ids = np.split(flat[7 : ends[-1]], ends[:-1] - 7)
+        self.key, self.target, self.adds, self.final, self.offset, ids = np.split(flat[7 : ends[-1]], ends[:-1] - 7)
+        self.flat = ids.astype("<u4").tobytes()
 
     @staticmethod
     def compile(words: dict[bytes, list[int]], path: str) -> None:
@@ -257,7 +259,7 @@ class Lexicon:
             return [None] * n
         known = ~dead & (self.final[state] == 1)
         first, last = self.offset[np.where(known, total, 0)], self.offset[np.where(known, total + 1, 0)]
-        flat = self.ids.astype("<u4").tobytes()
+        flat = self.flat
         return [flat[4 * a : 4 * b] if ok else None for ok, a, b in zip(known.tolist(), first.tolist(), last.tolist())]
 
 
@@ -267,7 +269,7 @@ def _pieces(text: str) -> list[str]:
     A single space between two other characters always begins a word, so a text whose white space is only such spaces, and
     newlines not beside a space, is cut there. Any other text is cut into its words at once.
     """
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text):
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _ODD):
         return _WORDS.findall(text)
     pieces = text.replace(" ", "\0 ").split("\0")  # the odd case has those with \0
     if max(map(len, pieces)) > LONG:
@@ -275,29 +277,40 @@ def _pieces(text: str) -> list[str]:
     return pieces
 
 
+def _is_word(piece: str) -> bool:
+    """Whether a piece is surely one word: a space and Latin letters. Others are told by ``_WORDS``."""
+    return piece[:1] == " " and piece[1:].isalpha() and max(piece) < _LATIN_END
+
+
 @dataclass
 class Encoder:
-    """Encodes within a task: a memo of pieces, then the transducer for their words, then exact merging."""
+    """Encodes within a task: a memo of pieces and words, then the transducer, then exact merging."""
 
     vocabulary: Vocabulary
     lexicon: Lexicon
-    pieces: dict[str, bytes] = field(default_factory=dict)
-    words: dict[bytes, bytes] = field(default_factory=dict)
+    memo: dict[str, bytes] = field(default_factory=dict)
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of pieces: those of the transducer, else of their words, merged unless this task has met them."""
-        if len(self.words) > MEMO:
-            self.words.clear()
-        raw, words = [p.encode() for p in pieces], self.words
-        found = self.lexicon.find(raw)
-        split = [None if ids else [w] if p[1:].isalpha() and p.isascii() and p[0] == " " else [x.encode() for x in _WORDS.findall(p)] for p, w, ids in zip(pieces, raw, found)]
-        new = list({w for ws in split if ws for w in ws}.difference(words))
-        words.update(zip(new, self.vocabulary.merge_all(new)))
-        return {p: ids or (words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for p, ws, ids in zip(pieces, split, found)}
+        """The ids of pieces: those of the transducer, else of their words, merged unless this task has met them.
+
+        Of the words within pieces the short ones are remembered too."""
+        memo, known, single, split = self.memo, {}, [], {}
+        for p, ids in zip(pieces, self.lexicon.find([p.encode() for p in pieces])):
+            if ids is not None:
+                known[p] = ids
+            elif _is_word(p):
+                single.append(p)
+            else:
+                split[p] = _WORDS.findall(p)
+        new = list(set(single).union(*split.values()).difference(memo, known))
+        known.update(zip(new, self.vocabulary.merge_all([w.encode() for w in new])))
+        for p, words in split.items():
+            known[p] = b"".join([known[w] if w in known else memo[w] for w in words])
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        special = self.vocabulary.added
+        special, memo = self.vocabulary.added, self.memo
         cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         rows = []
         for text in texts:
@@ -305,14 +318,16 @@ class Encoder:
                 rows.append([p for part in cut.split(text) for p in ([part] if part in special else _pieces(part))])
             else:
                 rows.append(_pieces(text))
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        memo = self.pieces
+        if len(memo) > MEMO:
+            memo.clear()
         memo.update((s, np.array([i], "<u4").tobytes()) for s, i in special.items())
         need = set().union(*rows).difference(memo)
+        long = [p for p in need if len(p) > LONG]
         memo.update(self._learn([p for p in need if len(p) <= LONG]))
-        own = self._learn([p for p in need if len(p) > LONG])  # used once and not remembered
-        return [b"".join([own[p] if p in own else memo[p] for p in row]) if own else b"".join(map(memo.__getitem__, row)) for row in rows]
+        if not long:
+            return [b"".join(map(memo.__getitem__, row)) for row in rows]
+        own = self._learn(long)  # used once and not remembered
+        return [b"".join([own[p] if p in own else memo[p] for p in row]) for row in rows]
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", share: float = SHARE) -> list[str]:
