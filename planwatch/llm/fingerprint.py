@@ -71,10 +71,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     before = {b["part"]: a["part"] for a, b in zip([firsts[-1], *firsts], firsts)}
     first = {r["part"]: r["first"] for r in firsts}
     # Of a part's first document (rows may share an id) a copy goes to the part before.
-    lend = F.lit(False)
-    for p, d in first.items():
-        lend = lend | ((F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(d)))
-    to = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part"))
+    of_part = lambda d, kind: F.element_at(F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v).cast(kind))]), F.col("part"))
+    lend, to = F.col("doc_id").eqNullSafe(of_part(first, "bigint")), of_part(before, "int")
     targets = F.when(lend, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("lent")), F.struct(to.alias("part"), F.lit(True).alias("lent"))))
     targets = targets.otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("lent"))))
     rows = rows.withColumn("at", F.explode(targets)).select("at.part", "doc_id", "text", "at.lent")
