@@ -100,7 +100,8 @@ def links(distinct: DataFrame, radius: int = 4, n_blocks: int | None = None, hot
     masks, k = _blocks(m), m - radius
     tables = [F.struct(F.lit(t).alias("t"), F.lit(c[-1]).alias("last"), F.col("fp").bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))).alias("key")) for t, c in enumerate(combinations(range(m), k))]
     rows = distinct.select("fp", *_pivot_table()).withColumn("e", F.explode(F.array(*tables))).select("fp", "pivots0", "pivots1", "e.*")
-    rows = rows.withColumn("n", F.count("*").over(W.partitionBy("t", "key"))).where("n > 1")
+    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")  # no task holds a bucket
+    rows = rows.join(sizes, ["t", "key"])
     cold, crowd = rows.where(F.col("n") <= hot), rows.where(F.col("n") > hot).select("fp").distinct()
     differing = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     agree = sum(((differing.bitwiseAND(F.lit(_signed(mask))) == 0) & (F.lit(i) <= F.col("x.last"))).cast("int") for i, mask in enumerate(masks))
