@@ -258,3 +258,30 @@ def test_fetch_outcomes_and_offsets(spark):
     got = feeds.outcomes(spark.createDataFrame([("u1", 200, "s1"), ("u2", 304, None), ("u3", 200, "s2"), ("u4", 200, "s9"), ("u5", 403, None), ("u6", 500, None)], "url string, status int, sha string"), state)
     assert {r["url"]: r["outcome"] for r in got.collect()} == {"u1": "unchanged", "u2": "unchanged", "u3": "known", "u4": "new", "u5": "blocked", "u6": "error"}
     assert feeds.next_offset((7, 10), 7, [9, 11, 12, 13], 2) == ((7, 12), [11, 12]) and feeds.next_offset((7, 10), 8, [1], 5) == ((8, 1), [1]) and feeds.next_offset(None, 1, [], 5) == ((1, 0), [])
+
+
+def test_series_are_resolved_in_order(spark):
+    from planwatch.operators import collecting
+
+    items = spark.createDataFrame([("a", "k1"), ("b", "k1"), ("a", "k2"), ("a", "k3"), ("a", None)], "source string, key string")
+    seen = spark.createDataFrame([("a", "k1", "late", 2), ("a", "k1", "early", 1)], "source string, key string, series string, at int")
+    docs = spark.createDataFrame([("k1", "doc", 5), ("k2", "doc2", 7), ("k2", "doc1", 3)], "key string, series string, at int")
+    got = collecting.resolved_series(items, seen, docs, F.lit("stem")).select("source", "key", "series").collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {("a", "k1"): "early", ("b", "k1"): "doc", ("a", "k2"): "doc1", ("a", "k3"): "stem", ("a", None): "stem"}
+
+
+def test_a_new_row_replaces_the_old_one_even_with_nulls(spark):
+    from planwatch.operators import collecting
+
+    old = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    new = spark.createDataFrame([(2, None), (3, "z")], "k int, v string")
+    assert sorted(map(tuple, collecting.loaded(old, new, ["k"]).collect())) == [(1, "x", False), (2, None, True), (3, "z", True)]
+    assert collecting.loaded(old.limit(0), new.limit(0), ["k"]).count() == 0
+
+
+def test_last_results_pass_over_empty_runs(spark):
+    from planwatch.operators import collecting
+
+    runs = spark.createDataFrame([("c", 1, 4), ("c", 2, 0), ("c", 3, 2), ("d", 1, 0)], "capture string, at int, found int")
+    got = {(r["capture"], r["at"]): r["before"] for r in collecting.last_results(runs, ["capture"], "at", "found").collect()}
+    assert got == {("c", 1): None, ("c", 2): 4, ("c", 3): 4, ("d", 1): None}
