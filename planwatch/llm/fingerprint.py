@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from itertools import combinations
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwatch.llm.common import documents, written
@@ -50,6 +51,17 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _bounds_below(x: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` lie below ``x``: runs of about the root of their number are counted first, then within one."""
+    if not bounds:
+        return F.lit(0)
+    width = isqrt(len(bounds))
+    runs = [F.array(*map(F.lit, bounds[i : i + width])) for i in range(0, len(bounds), width)]
+    below = lambda values: F.size(F.filter(values, lambda b: b < x))
+    begun = below(F.array(*map(F.lit, bounds[::width])))
+    return F.when(begun == 0, 0).otherwise((begun - 1) * width + below(F.element_at(F.array(*runs), begun)))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(part, doc_id, text, lent) in partitions by part, ordered by (doc_id, text): ``lent`` rows come last in a part and
     are the first of the next one, so each document's successor stands right behind it. The last is followed by the first.
@@ -62,8 +74,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select(F.percentile_approx("doc_id", [i / n_parts for i in range(1, n_parts)] or [0.5], 10_000)).first()[0]
     bounds = sorted(set(cuts or []))
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(place + 1)  # null ids first
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_bounds_below(F.col("doc_id"), bounds) + 1)  # null ids first
     firsts = rows.select(part.alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("first")).orderBy("part").collect()
     rows = rows.withColumn("part", part)
     if not firsts:

@@ -471,3 +471,11 @@ def test_pipeline_stage_by_stage(spark):
         if name != "tokens":
             assert docs.columns == columns
     assert "ids" in docs.columns
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 199])
+def test_bounds_below_counts_like_a_scan(spark, n):
+    bounds = [7 * i - 20 for i in range(n)]
+    ids = sorted({*range(-30, 40), *bounds, 10**12})
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id bigint").select("doc_id", fingerprint._bounds_below(F.col("doc_id"), bounds)).collect()
+    assert [tuple(r) for r in sorted(got)] == [(i, sum(b < i for b in bounds)) for i in ids]
