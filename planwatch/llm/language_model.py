@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from planwatch.llm.common import crc_remainder, documents, slices, utf8, written
 
-SHARE = 2e-6  # of all training tokens: what is rarer has no state or arc, so there are at most 1 / SHARE of each
+HOT = 2e-6  # of all training tokens: what is rarer is joined to where it occurs, so each task holds at most 1 / HOT tokens and pairs
+PAIR = 2  # a pair seen less often is left to the backoff weight, at any size of the corpus
 DISCOUNT = 0.6
 ADDED = 0.1
 END = "\n"  # no word holds white space, so this is none
@@ -51,8 +52,9 @@ def token_counts(texts: DataFrame) -> DataFrame:
 class Automaton:
     """States are the empty context, the text's start, and each frequent token; an arc leads on a token to that token's state.
 
-    Arcs from a token's state are its kept pairs, under discounted probabilities. Without an arc the state's failure weight is added
-    and the empty context reads the token by its smoothed frequency. Token i is ``tokens[i]``; the start is state n.
+    Arcs from a token's state are its frequent pairs, under discounted probabilities. Without an arc the state's failure weight,
+    which counts all kept pairs, is added and the empty context reads the token by its smoothed frequency. Token i is
+    ``tokens[i]``; the start is state n.
     """
 
     tokens: list[bytes]
@@ -61,80 +63,108 @@ class Automaton:
     weights: np.ndarray  # log10 probability of each arc
     failure: np.ndarray  # log10 backoff weight of each state
 
-    @staticmethod
-    def build(tokens: list[bytes], counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, n_tokens: int, n_types: int, n_texts: int) -> Automaton:
-        n, p = len(tokens), (counts + ADDED) / (n_tokens + ADDED * (n_types + 1))
-        order = np.argsort(pairs)
-        arcs, c = pairs[order], pair_counts[order]
-        state, token = arcs // (n + 1), arcs % (n + 1)
-        context = np.append(counts, n_texts).astype(float)
-        weights = (c - DISCOUNT) / context[state]
-        left = np.maximum(1 - np.bincount(state, weights=weights, minlength=n + 1), 1e-9)
-        rest = np.maximum(1 - np.bincount(state, weights=p[token], minlength=n + 1), 1e-9)
-        return Automaton(tokens, np.log10(p), arcs, np.log10(weights), np.log10(np.where(np.bincount(state, minlength=n + 1) > 0, left / rest, 1.0)))
-
-    def read(self, ids: np.ndarray) -> np.ndarray:
-        """log10 weights along a text of token ids (-1: without a state), read from the start. What a token without a state
-        weighs in the empty context is left out: it is added where its count is known."""
+    def read(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 weights along a text of token ids (-1: without a state), read from the start, and the pairs of states without
+        an arc. What a token without a state weighs, and what a pair without an arc adds, is joined where it is known."""
         n = len(self.tokens)
         state = np.concatenate([[n], ids[:-1]])
         out = np.where(ids >= 0, self.unigram[ids] if n else 0.0, 0.0) + np.where(state >= 0, self.failure[state], 0.0)
+        both = np.flatnonzero((state >= 0) & (ids >= 0))
+        want = state[both] * (n + 1) + ids[both]
         if len(self.arcs):
-            both = np.flatnonzero((state >= 0) & (ids >= 0))
-            want = state[both] * (n + 1) + ids[both]
             at = np.minimum(np.searchsorted(self.arcs, want), len(self.arcs) - 1)
             hit = self.arcs[at] == want
             out[both[hit]] = self.weights[at[hit]]
-        return out
+            want = want[~hit]
+        return out, want
+
+
+def _keys(ids: np.ndarray, ws: list[bytes], n: int) -> list[bytes]:
+    """The pairs along a text in which a token has no state (-1), as two parts with a space between: f and a state, or r and a token."""
+    state = np.concatenate([[n], ids[:-1]])
+    part = lambda i: b"f%d" % (ids[i] if i >= 0 else n) if i < 0 or ids[i] >= 0 else b"r" + (ws[i] if i < len(ws) else b"\n")
+    return [part(i - 1) + b" " + part(i) for i in np.flatnonzero((state < 0) | (ids < 0)).tolist()]
 
 
 def pair_counts(texts: DataFrame, tokens: list[bytes]) -> DataFrame:
-    """(pair, n): how often two tokens with a state follow each other, the start of a text included. A pair can't be more frequent
-    than its tokens, so none that is kept is missed."""
+    """(code, key, n): how often two tokens follow each other, the start of a text included. Two states are a code and no key
+    (state * (n + 1) + token); of other pairs the code is -1."""
     shared = texts.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches):
         number, n = {t: i for i, t in enumerate(shared.value)}, len(shared.value)
-        held, size = [], 0
+        held, keys, size = [], Counter(), 0
 
         def out():
             code, c = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], names=["pair", "n"])
+            k = len(keys)
+            columns = [np.append(code, np.full(k, -1)), [""] * len(code) + [x.decode() for x in keys], np.append(c, np.fromiter(keys.values(), np.int64, k))]
+            keys.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.int64()))], names=["code", "key", "n"])
 
         for b in slices(batches):
             for t in utf8(b.column(0)):
-                ids = np.array([n, *map(lambda w: number.get(w, -1), words(t)), number.get(b"\n", -1)], np.int64)
+                ws = words(t)
+                ids = np.array([n, *map(lambda w: number.get(w, -1), ws), number.get(b"\n", -1)], np.int64)
                 held.append((ids[:-1] * (n + 1) + ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)])
+                keys.update(_keys(ids[1:], ws, n))
                 size += len(ids)
-                if size > 10 * FLUSH:
+                if size > 10 * FLUSH or len(keys) > FLUSH:
                     yield out()
                     size = 0
         if held:
             yield out()
 
-    return texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "code bigint, key string, n bigint").groupBy("code", "key").agg(F.sum("n").alias("n"))
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+def _counted(pairs: DataFrame, side: str, often: DataFrame, rare: DataFrame) -> DataFrame:
+    """``pairs`` with the count n_a or n_b of the token at that side: a state's is broadcast, another token's is joined."""
+    state = pairs.where(F.col(f"{side}_id").isNotNull()).join(F.broadcast(often.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"n_{side}"))), f"{side}_id")
+    other = pairs.where(F.col(side).isNotNull()).join(rare.select(F.col("token").alias(side), F.col("n").alias(f"n_{side}")), side)
+    return state.unionByName(other)
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0, hot: float = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     Learned from the rows with crc32(doc_id) mod 10 other than 0 (a null doc_id is neither learned from nor held out). Null and
     empty texts are one END. Without a row to learn from every token has probability 1. Repeated rows get equal scores.
 
-    Counts cover all training texts. Tokens with at least ``share`` of them have a state in the automaton, which every task
-    reads texts with; the counts of the rest, each too rare to be a hot key, are joined to where they occur.
+    Counts cover all training texts, and each pair of tokens that occurs twice or more there is in the model. Tokens and pairs
+    with at least ``hot`` of all tokens are states and arcs of the automaton, which every task reads texts with; the rest, each
+    too rare to be a hot key, are joined to where they occur, so ``hot`` changes no score. ``share`` is for smaller models: from
+    so many of all tokens on a token or pair is kept.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     train = rows.where(crc_remainder(F.col("doc_id"), 10) != 0).select("text")
     counts = written(token_counts(train), "token-counts")
     n_tokens, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = share * n_tokens
-    often = sorted((r["token"].encode(), r["n"]) for r in counts.where(F.col("n") >= least).toLocalIterator())
-    tokens, freq = [t for t, _ in often], np.array([c for _, c in often], np.int64)
-    n_texts = dict(often).get(b"\n", 0)
-    pairs = pair_counts(train, tokens).where(F.col("n") >= max(2.0, least)).toArrow() if tokens else pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    automaton = Automaton.build(tokens, freq, pairs["pair"].to_numpy(), pairs["n"].to_numpy(), n_tokens, n_types, n_texts)
+    spark, kept, least = docs.sparkSession, share * n_tokens, max(share, hot) * n_tokens
+    total_mass = n_tokens + ADDED * (n_types + 1)
+    probability = lambda n: (F.coalesce(n, F.lit(0)) + ADDED) / F.lit(total_mass)
+    found = sorted((r["token"].encode(), r["n"]) for r in counts.where(F.col("n") >= least).toLocalIterator())
+    tokens, freq = [t for t, _ in found], np.array([c for _, c in found], np.int64)
+    n_texts, n = sum(r["n"] for r in counts.where(F.col("token") == "\n").collect()), len(tokens)
+    often = written(spark.createDataFrame(pa.table({"id": pa.array(range(n + 1), pa.int64()), "n": pa.array([*freq.tolist(), n_texts], pa.int64())})), "states")
+    rare = counts.where((F.col("n") < least) & (F.col("n") >= kept))
+
+    pairs = written(pair_counts(train, tokens).where(F.col("n") >= max(PAIR, kept)), "pair-counts")
+    side = lambda i, mark: F.when(F.col("part")[i].startswith(mark), F.substring(F.col("part")[i], F.lit(2), F.length(F.col("part")[i])))
+    coded = pairs.where("code >= 0").withColumns({"a_id": F.expr(f"code div {n + 1}"), "b_id": F.col("code") % (n + 1), "a": F.lit(None).cast("string"), "b": F.lit(None).cast("string")})
+    keyed = pairs.where("code < 0").withColumn("part", F.split("key", " ")).withColumns({"a_id": side(0, "f").cast("bigint"), "b_id": side(1, "f").cast("bigint"), "a": side(0, "r"), "b": side(1, "r")}).drop("part")
+    model = _counted(_counted(coded.unionByName(keyed), "b", often, rare), "a", often, rare)
+    model = written(model.select("code", "key", "n", "a_id", "a", "n_a", F.log10((F.col("n") - DISCOUNT) / F.col("n_a")).alias("weight"), probability(F.col("n_b")).alias("p")), "pairs")
+    # What a context's kept pairs leave to the empty context, over what the empty context leaves to other tokens.
+    left, rest = 1 - F.sum(F.col("n") - DISCOUNT) / F.first("n_a"), 1 - F.sum("p")
+    contexts = written(model.groupBy("a_id", "a").agg(F.log10(F.greatest(left, F.lit(1e-9)) / F.greatest(rest, F.lit(1e-9))).alias("failure")), "contexts")
+    of_states, of_others = contexts.where("a_id is not null").select("a_id", "failure"), contexts.where("a is not null").select("a", "failure")
+    failure, known = np.zeros(n + 1), of_states.toArrow()
+    failure[known["a_id"].to_numpy()] = known["failure"].to_numpy()
+    arc = (F.col("code") >= 0) & (F.col("n") >= least)
+    arcs = model.where(arc).select("code", "weight").orderBy("code").toArrow()
+    automaton = Automaton(tokens, np.log10((freq + ADDED) / total_mass), arcs["code"].to_numpy(), arcs["weight"].to_numpy(), failure)
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches):
@@ -143,6 +173,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             out, rare, ends = [], [], [0]
+            codes, code_ends, keys, key_ends = [np.empty(0, np.int64)], [0], [], [0]
             for t in utf8(batch.column(1)):
                 ws = words(t)
                 ids = np.array([*map(lambda w: number.get(w, -1), ws), number.get(b"\n", -1)], np.int64)
@@ -151,18 +182,32 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
                 if not known[-1]:
                     rare.append(b"\n")
                 ends.append(len(rare))
-                out.append((row, len(ids), int(known.sum()), float(a.unigram[ids[known]].sum()) if known.any() else 0.0, float(a.read(ids).sum())))
+                weights, without = a.read(ids)
+                codes.append(without)
+                code_ends.append(code_ends[-1] + len(without))
+                keys += _keys(ids, ws, len(a.tokens))
+                key_ends.append(len(keys))
+                out.append((row, len(ids), int(known.sum()), float(a.unigram[ids[known]].sum()) if known.any() else 0.0, float(weights.sum())))
                 row += 1
             columns = list(zip(*out)) or [[]] * 5
-            tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary()).cast(pa.string()))
+            texts = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.binary()).cast(pa.string()))
+            tail = [texts(ends, rare), pa.ListArray.from_arrays(pa.array(code_ends, pa.int32()), pa.array(np.concatenate(codes))), texts(key_ends, keys)]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, types)), tail], names=["doc_id", "row", "n_tokens", "n_known", "base", "model", "rare"])
-
-    read = written(rows.mapInArrow(run, "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base double, model double, rare array<string>"), "lm-read")
-    weight = F.log10((F.coalesce(F.col("n"), F.lit(0)) + ADDED) / F.lit(n_tokens + ADDED * (n_types + 1)))
-    found = read.select("row", F.explode("rare").alias("token")).join(counts.where(F.col("n") < least), "token", "left").select("row", F.col("n").isNotNull().cast("bigint").alias("k"), weight.alias("w"))
-    # One sum for each row: the automaton's part, and the joined part of each rare token.
-    parts = read.select("row", "doc_id", "n_tokens", "n_known", "base", "model").unionByName(found.select("row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_tokens"), F.col("k").alias("n_known"), F.col("w").alias("base"), F.col("w").alias("model")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, types)), *tail], names=["doc_id", "row", "n_tokens", "n_known", "base", "model", "rare", "codes", "keys"])
+
+    read = written(rows.mapInArrow(run, "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base double, model double, rare array<string>, codes array<bigint>, keys array<string>"), "lm-read")
+    others = counts.where(F.col("n") < least).join(of_others.withColumnRenamed("a", "token"), "token", "left")
+    weight = F.log10(probability(F.col("n")))
+    singles = read.select("row", F.explode("rare").alias("token")).join(others, "token", "left").select("row", F.col("n").isNotNull().cast("bigint").alias("n_known"), weight.alias("base"), (weight + F.coalesce("failure", F.lit(0.0))).alias("model"))
+    # A kept pair without an arc: its own weight in place of the backoff's.
+    rest = model.where(~arc)
+    gains = rest.where("a_id is not null").join(F.broadcast(of_states), "a_id").unionByName(rest.where("a is not null").join(of_others, "a"))
+    gains = gains.select("code", "key", (F.col("weight") - F.col("failure") - F.log10("p")).alias("model"))
+    places = read.select("row", F.explode("codes").alias("code"), F.lit("").alias("key")).unionByName(read.select("row", F.explode("keys").alias("key")).withColumn("code", F.lit(-1).cast("bigint")))
+    doubles = places.join(gains, ["code", "key"]).select("row", F.lit(0).cast("bigint").alias("n_known"), F.lit(0.0).alias("base"), "model")
+    # One sum for each row: the automaton's part, and the joined part of each rare token and pair.
+    joined = singles.unionByName(doubles).withColumns({"doc_id": F.lit(None).cast("bigint"), "n_tokens": F.lit(0).cast("bigint")})
+    parts = read.select("row", "doc_id", "n_tokens", "n_known", "base", "model").unionByName(joined)
     total = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), 10) == 0, F.lit(False))
     return total.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))

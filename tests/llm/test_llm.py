@@ -364,6 +364,20 @@ def test_lm_matches_brute_force(docs, rows, share):
         assert g["base_score"] == pytest.approx(w[4], rel=1e-9) and g["score"] == pytest.approx(w[5], rel=1e-6)
 
 
+def test_lm_keeps_rare_pairs_in_a_large_corpus(spark, rows):
+    filler = " ".join(["filler"] * 100_000)
+    table = [(r[0], r[1]) for r in rows] + [(10_000 + i, filler) for i in range(40)]  # 2e-6 of the tokens are more than two
+    df = spark.createDataFrame(table, "doc_id bigint, text string")
+    want = {w[0]: w[1:] for w in brute_lm(table, 0.0)}
+    for hot in (2e-6, 1e-4, 0.9):
+        got = language_model.scores(df, **({"hot": hot} if hot != 2e-6 else {})).collect()
+        assert len(got) == len(table)
+        for g in got:
+            w = want[g["doc_id"]]
+            assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == w[:3]
+            assert g["base_score"] == pytest.approx(w[3], rel=1e-9) and g["score"] == pytest.approx(w[4], rel=1e-6)
+
+
 def test_lm_of_awkward_rows(awkward, empty):
     got = language_model.scores(awkward).collect()
     assert len(got) == len(AWKWARD) and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2, 3))
