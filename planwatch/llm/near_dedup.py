@@ -18,21 +18,27 @@ from planwatch.llm.graph import components
 BITS = 64
 PIVOTS = 16  # reference fingerprints, eight distances to a long
 CHUNK = 1 << 15  # shingles whose bits are counted at once
+BANDS, ROWS = 25, 5  # of min-hashes: two texts of similarity s meet with probability 1 - (1 - s ** 5) ** 25, which is 0.99995 at 0.8
+SEEN = 200_000  # different texts that a task knows again
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """The SimHash of a text's word shingles, as a signed 64-bit number; 0 for a text without words."""
+def _shingles(text: bytes, width: int) -> tuple[bytes, list[int], list[int]]:
+    """The words joined by spaces, with the starts and ends of the shingles; a text of fewer words is one shingle, one without words none."""
     words = text.lower().split()  # bytes.lower() touches A-Z only
     n = len(words)
-    if not n:
-        return 0
     joined = b" ".join(words)
     if n <= width:
-        ends, starts = [len(joined)], [0]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        after = np.cumsum(sizes + 1) - 1
-        starts, ends = (after - sizes)[: n - width + 1].tolist(), after[width - 1 :].tolist()
+        return joined, [0] * bool(n), [len(joined)] * bool(n)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    after = np.cumsum(sizes + 1) - 1
+    return joined, (after - sizes)[: n - width + 1].tolist(), after[width - 1 :].tolist()
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """The SimHash of a text's word shingles, as a signed 64-bit number; 0 for a text without words."""
+    joined, starts, ends = _shingles(text, width)
+    if not starts:
+        return 0
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), CHUNK):
         hashes = b"".join([xxhash.xxh64_digest(joined[s:e], 42) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])])
@@ -135,12 +141,95 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """The different hashes of a text's word shingles, ascending."""
+    joined, starts, ends = _shingles(text, width)
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(joined[s:e], 42) for s, e in zip(starts, ends)]), np.uint64))
+
+
+_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of min-hashes of a shingle set; none for the empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[at : at + 4096] ^ _MIX[0]) * _MIX[1]).min(axis=1))
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+    sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab"]
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(set, least_id, component_id) for each different set of word shingles of ``docs``.
+
+    Sets with at least that Jaccard similarity are linked; least_id is the smallest doc_id with the set and component_id the
+    smallest reachable by links, null where no member has an id. Texts without words share the empty set, which links to none.
+
+    Candidates share a band of min-hashes and are verified by their exact similarity. Each member of a band's bucket is first
+    verified against the bucket's smallest, which is linear in large groups; then only pairs whose groups are still apart are.
+    """
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def hashed(batches):
+        for batch in slices(batches):
+            sets = [shingle_set(t, width) for t in utf8(batch.column(1))]
+            columns = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "set", "size", "bands"])
+
+    def different(batches):
+        seen: set[bytes] = set()  # so that a text of many copies leaves a task once
+        for batch in slices(batches):
+            found = []
+            for i, t in enumerate(utf8(batch.column(0))):
+                key = xxhash.xxh3_128_digest(shingle_set(t, width).tobytes())
+                if key not in seen:
+                    found.append((i, key))
+                    seen.add(key)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in found], pa.binary()), batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))], names=["set", "text"])
+
+    def unrolled(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).view(np.int64) for t in utf8(batch.column(1))], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = texts.mapInArrow(hashed, "doc_id bigint, set binary, size bigint, bands array<bigint>")
+    nodes = sets.groupBy("set").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
+    buckets = nodes.select("node", "size", F.explode("bands").alias("key"))
+    first = buckets.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")  # no task holds a bucket
+    members = written(buckets.join(first, "key").select("key", "node", "size", "first"), "buckets")
+
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("set", "node")
+    once = texts.select("text").mapInArrow(different, "set binary, text string").join(wanted, "set").dropDuplicates(["node"])
+    shingles = written(once.select("node", "text").mapInArrow(unrolled, "node bigint, shingles array<bigint>"), "shingles")
+
+    comparable = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)
+    to_first = members.where((F.col("first.node") < F.col("node")) & comparable("size", "first.size")).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(_similar(to_first, shingles, similarity), "links-to-first")
+    grouped = members.join(components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    grouped = written(grouped.join(mixed, "key", "left_semi"), "mixed-buckets")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & comparable(F.col("x.size"), F.col("y.size"))
+    rest = grouped.alias("x").join(grouped.alias("y"), apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    roots = components(links.unionByName(_similar(rest, shingles, similarity)))
+    named = nodes.select("node", "set", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return named.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("set", "least_id", "component_id")
+
+
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id stays.
+    """Pipeline stage: of each group of near copies (five words, similarity 0.8) the document with the smallest doc_id stays.
 
     doc_id names a document: of repeated rows with one doc_id one stays. Rows without a doc_id can't be told apart and stay.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_copies(docs).where("least_id = component_id").select(F.col("component_id").alias("__kept")).distinct()
     known = docs.join(kept, docs["doc_id"].cast("bigint") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where(F.col("doc_id").isNull()))
