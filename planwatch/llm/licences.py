@@ -31,6 +31,8 @@ TEMPLATES = {
 _TRIGGER = re.compile(rb"(?i)licen[cs]|copyright|rights reserved|permission is hereby|redistribution and use|public domain|creative commons")
 _TERM = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _TAG = re.compile(rb"<[^>]*>")
+_SPDX = re.compile(rb"(?i)spdx-license-identifier\s*:([^\r\n]*)")
+_SPDX_ID = re.compile(rb"[a-z0-9]+(?:[.-]+[a-z0-9]+)*")
 _CARRIER = r"(?i)^(licen[cs]e|copying|notice|copyright)([._-].*)?$"
 LEAST = 0.5  # cosine
 LINE = 40  # words; of a longer line what stands around a trigger is read
@@ -83,16 +85,27 @@ def _segments(text: bytes):
                         yield from (b" ".join(words[max(0, i - before) : i + behind]) for before, behind in WINDOWS)
 
 
+def _tagged(text: bytes, names: dict[bytes, str]) -> str | None:
+    """The first licence of the text's SPDX tags that has a template; names are those of the templates in lower case."""
+    ids = (i for tag in _SPDX.findall(text) for i in _SPDX_ID.findall(tag.lower()))
+    return next((names[i] for i in (i.removesuffix(b"-only").removesuffix(b"-or-later") for i in ids) if i in names), None)
+
+
 def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """files (id, path, text) with own_licence and own_score of the best header in the whole text; null and 0 without one."""
+    """files (id, path, text) with own_licence and own_score of the best header in the whole text; null and 0 without one.
+    An SPDX tag names its licence and scores 1; of an expression the first licence with a template counts."""
     shared = files.sparkSession.sparkContext.broadcast(Templates(templates))
 
+    known = {k.lower().encode(): k for k in templates}
+
     def run(batches):
         for b in slices(batches):
             names, scores = [], []
             for t in utf8(b.column(2)):
                 score, name = 0.0, None
-                if _TRIGGER.search(t):
+                if _TRIGGER.search(t) and (name := _tagged(t, known)):
+                    score = 1.0
+                elif _TRIGGER.search(t):
                     plain = _TAG.sub(b"\n", t)
                     score, name = max((shared.value.best(s) for s in set(_segments(plain))), key=lambda x: (x[0], x[1] or ""), default=(0.0, None))
                 names.append(name if score >= least else None)

@@ -298,6 +298,13 @@ def test_licences_and_inheritance(spark, awkward):
     assert licences.licences(df).count() == len(files) and licences.licences(df.limit(0)).count() == 0
 
 
+def test_spdx_tags_name_their_licence(spark):
+    tags = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-3.0+": "LGPL-3.0", "(ISC OR mit)": "MIT", "GPL-2.0-only WITH Linux-syscall-note": "GPL-2.0", "BSD-3-Clause -->": "BSD-3-Clause", "ISC": None}
+    files = [(tag, f"r/{i}.c", f"<!-- SPDX-License-Identifier: {tag}\nint x;") for i, tag in enumerate(tags)]
+    got = licences.licences(spark.createDataFrame(files, "id string, path string, text string")).collect()
+    assert {r["id"]: r["licence"] for r in got} == tags and all(r["own_score"] == 1 for r in got if r["licence"])
+
+
 def test_every_template_finds_itself():
     t = licences.Templates(licences.TEMPLATES)
     assert all(t.best(text.encode())[1] == name for name, text in licences.TEMPLATES.items())
