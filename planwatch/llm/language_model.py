@@ -1,217 +1,219 @@
-"""Language-model scores by a weighted backoff automaton."""
+"""Language-model scores by a weighted backoff automaton over all n-grams of the training texts, up to three tokens.
+
+Texts are dealt into chunks of bounded size. A chunk lists its different n-grams once, with how often its training texts have them; the
+lists meet in buckets of n-grams, where the counts of all chunks are summed, and each chunk gets the totals of what it listed. So a chunk
+holds just the part of the automaton that its own texts run through, and nothing of the model is cut, broadcast or sent to the driver.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwatch.llm.common import crc_remainder, documents, slices, utf8, written
+from planwatch.llm.common import crc_remainder, documents, utf8
+
+CHUNK = 48 << 20  # bytes of texts that a task holds at a time; on larger executors, larger chunks make fewer lists
+BUCKET = 4_000_000  # listed n-grams that a task sums at a time
+ADDED = 0.1  # to each token's count, the unknown token included
+MASS = 2.0  # what the shorter context's probabilities weigh against counts
+STATE = 2  # two tokens are a state if training texts have them at least so often
+ORDERS = (1, 2, 3)
 
-HOT = 2e-6  # of all training tokens: what is rarer is joined to where it occurs, so each task holds at most 1 / HOT tokens and pairs
-PAIR = 2  # a pair seen less often is left to the backoff weight, at any size of the corpus
-DISCOUNT = 0.6
-ADDED = 0.1
-END = "\n"  # no word holds white space, so this is none
-FLUSH = 400_000  # different words, or pairs, that a task counts before it passes their counts on
+_START, _END = np.uint64(0x5374617274), np.uint64(0x456E64)
+_TURN, _MIX, _FOLD = np.uint64(29), np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 
 
 def words(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes.lower() touches A-Z only
 
 
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(token, n) over a table with the one column text; each text ends with END."""
+def _after(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The 64-bit keys of contexts followed by a token."""
+    x = ((context << _TURN | context >> (np.uint64(64) - _TURN)) * _MIX) ^ token
+    x = (x ^ x >> _FOLD) * _MIX
+    return x ^ x >> _FOLD
 
-    def run(batches):
-        seen: Counter = Counter()
 
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], names=["token", "n"])
-            seen.clear()
-            return batch
+class Chunk:
+    """The tokens of some texts, one behind the other, each text as START, its words and END."""
 
-        for b in slices(batches):
-            for t in utf8(b.column(0)):
-                seen.update(words(t))
-                seen[b"\n"] += 1
-                if len(seen) > FLUSH:
-                    yield out()
-        if seen:
-            yield out()
+    def __init__(self, texts: list[bytes]):
+        number: dict[bytes, int] = {}
+        parts = []
+        for t in texts:
+            parts += [np.zeros(1, np.int32), np.array([number.setdefault(w, len(number) + 2) for w in words(t)], np.int32), np.ones(1, np.int32)]
+        sizes = np.array([len(x) for x in parts[1::3]], np.int64) + 2
+        self.ends = np.cumsum(sizes)
+        hashes = np.array([_START, _END, *map(xxhash.xxh64_intdigest, number)], np.uint64)
+        self.tokens = hashes[np.concatenate(parts)]
+        self.starts = self.ends - sizes
 
-    return texts.mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    def keys(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The key of the n-gram of that order which ends at each token, and where there is none as it would begin before the text."""
+        out, none = self.tokens, np.zeros(len(self.tokens), bool)
+        for n in range(1, order):
+            out = _after(out[: len(self.tokens) - n], self.tokens[n:])
+            none[self.starts + n - 1] = True
+        return np.concatenate([np.zeros(order - 1, np.uint64), out]), none
 
 
-@dataclass
-class Automaton:
-    """States are the empty context, the text's start, and each frequent token; an arc leads on a token to that token's state.
+def _packed(ascending: np.ndarray) -> bytes:
+    """Ascending keys as the bytes of their differences, low bytes first, so that the high ones compress away."""
+    return np.diff(ascending, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _bounds(n_buckets: int) -> np.ndarray:
+    """The first key of each bucket but the first."""
+    return np.array([i * (1 << 64) // n_buckets for i in range(1, n_buckets)], np.uint64)
+
+
+LISTED = "bucket int, chunk bigint, level int, grams binary, counts array<int>"
+
+
+def listed(texts: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, chunk, level, grams, counts): each chunk's different n-grams of each order by bucket, ascending, with their number in training texts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        chunk, bounds, rows = Chunk(list(utf8(group["text"]))), _bounds(n_buckets), []
+        train = np.repeat(np.array(group["train"].to_pylist(), bool), np.diff(chunk.ends, prepend=0))
+        for order in ORDERS:
+            keys, none = chunk.keys(order)
+            keys, seen = keys[~none], train[~none]
+            found, n = np.unique(keys[seen], return_counts=True)
+            if not seen.all():
+                only_held = np.setdiff1d(keys[~seen], found)
+                found, n = np.concatenate([found, only_held]), np.concatenate([n, np.zeros(len(only_held), np.int64)])
+                by = np.argsort(found)
+                found, n = found[by], n[by]
+            cuts = [0, *np.searchsorted(found, bounds), len(found)]
+            rows += [(b, order, _packed(found[i:j]), n[i:j].astype(np.int32)) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+        bucket, level, grams, counts = zip(*rows)
+        columns = [pa.array(bucket, pa.int32()), pa.array([group["chunk"][0].as_py()] * len(rows), pa.int64()), pa.array(level, pa.int32()), pa.array(grams, pa.binary()), pa.array(counts, pa.list_(pa.int32()))]
+        return pa.table(columns, names=["bucket", "chunk", "level", "grams", "counts"])
+
+    return texts.groupBy("chunk").applyInArrow(run, LISTED)
 
-    Arcs from a token's state are its frequent pairs, under discounted probabilities. Without an arc the state's failure weight,
-    which counts all kept pairs, is added and the empty context reads the token by its smoothed frequency. Token i is
-    ``tokens[i]``; the start is state n.
-    """
 
-    tokens: list[bytes]
-    unigram: np.ndarray  # log10 probability in the empty context
-    arcs: np.ndarray  # state * (n + 1) + token, ascending
-    weights: np.ndarray  # log10 probability of each arc
-    failure: np.ndarray  # log10 backoff weight of each state
-
-    def read(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 weights along a text of token ids (-1: without a state), read from the start, and the pairs of states without
-        an arc. What a token without a state weighs, and what a pair without an arc adds, is joined where it is known."""
-        n = len(self.tokens)
-        state = np.concatenate([[n], ids[:-1]])
-        out = np.where(ids >= 0, self.unigram[ids] if n else 0.0, 0.0) + np.where(state >= 0, self.failure[state], 0.0)
-        both = np.flatnonzero((state >= 0) & (ids >= 0))
-        want = state[both] * (n + 1) + ids[both]
-        if len(self.arcs):
-            at = np.minimum(np.searchsorted(self.arcs, want), len(self.arcs) - 1)
-            hit = self.arcs[at] == want
-            out[both[hit]] = self.weights[at[hit]]
-            want = want[~hit]
-        return out, want
-
-
-def _keys(ids: np.ndarray, ws: list[bytes], n: int) -> list[bytes]:
-    """The pairs along a text in which a token has no state (-1), as two parts with a space between: f and a state, or r and a token."""
-    state = np.concatenate([[n], ids[:-1]])
-    part = lambda i: b"f%d" % (ids[i] if i >= 0 else n) if i < 0 or ids[i] >= 0 else b"r" + (ws[i] if i < len(ws) else b"\n")
-    return [part(i - 1) + b" " + part(i) for i in np.flatnonzero((state < 0) | (ids < 0)).tolist()]
-
-
-def pair_counts(texts: DataFrame, tokens: list[bytes]) -> DataFrame:
-    """(code, key, n): how often two tokens follow each other, the start of a text included. Two states are a code and no key
-    (state * (n + 1) + token); of other pairs the code is -1."""
-    shared = texts.sparkSession.sparkContext.broadcast(tokens)
-
-    def run(batches):
-        number, n = {t: i for i, t in enumerate(shared.value)}, len(shared.value)
-        held, keys, size = [], Counter(), 0
-
-        def out():
-            code, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            k = len(keys)
-            columns = [np.append(code, np.full(k, -1)), [""] * len(code) + [x.decode() for x in keys], np.append(c, np.fromiter(keys.values(), np.int64, k))]
-            keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.int64()))], names=["code", "key", "n"])
-
-        for b in slices(batches):
-            for t in utf8(b.column(0)):
-                ws = words(t)
-                ids = np.array([n, *map(lambda w: number.get(w, -1), ws), number.get(b"\n", -1)], np.int64)
-                held.append((ids[:-1] * (n + 1) + ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)])
-                keys.update(_keys(ids[1:], ws, n))
-                size += len(ids)
-                if size > 10 * FLUSH or len(keys) > FLUSH:
-                    yield out()
-                    size = 0
-        if held:
-            yield out()
-
-    return texts.mapInArrow(run, "code bigint, key string, n bigint").groupBy("code", "key").agg(F.sum("n").alias("n"))
-
-
-def _counted(pairs: DataFrame, side: str, often: DataFrame, rare: DataFrame) -> DataFrame:
-    """``pairs`` with the count n_a or n_b of the token at that side: a state's is broadcast, another token's is joined."""
-    state = pairs.where(F.col(f"{side}_id").isNotNull()).join(F.broadcast(often.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"n_{side}"))), f"{side}_id")
-    other = pairs.where(F.col(side).isNotNull()).join(rare.select(F.col("token").alias(side), F.col("n").alias(f"n_{side}")), side)
-    return state.unionByName(other)
-
-
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0, hot: float = HOT) -> DataFrame:
+def _summed(group: pa.Table, level: int):
+    """The rows of one order in a bucket: row numbers, ends of their lists, the totals of their n-grams, and the totals of the different ones."""
+    at = np.flatnonzero(group["level"].to_numpy() == level)
+    lists = [_unpacked(group["grams"][int(i)].as_py()) for i in at]
+    counts = [group["counts"][int(i)].values.to_numpy() for i in at]
+    if not lists:
+        return at, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    found, of = np.unique(np.concatenate(lists), return_inverse=True)
+    total = np.bincount(of, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
+    return at, np.cumsum([len(x) for x in lists]), total[of], total, found
+
+
+def corpus_size(lists: DataFrame) -> DataFrame:
+    """(one, n_tokens, n_types) of all training texts, in one row."""
+
+    def run(group: pa.Table) -> pa.Table:
+        *_, total, found = _summed(group, 1)
+        real = total[found != _START]
+        return pa.table({"n_tokens": pa.array([int(real.sum())], pa.int64()), "n_types": pa.array([int((real > 0).sum())], pa.int64())})
+
+    sizes = lists.groupBy("bucket").applyInArrow(run, "n_tokens bigint, n_types bigint")
+    return sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("n_types"), F.lit(0)).alias("n_types")).select(F.lit(1).alias("one"), "n_tokens", "n_types")
+
+
+def totals(lists: DataFrame) -> DataFrame:
+    """(chunk, bucket, level, totals): for each list the number of each of its n-grams in all training texts, in the list's order."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = []
+        for level in ORDERS:
+            at, ends, each, *_ = _summed(group, level)
+            rows += [(int(i), part) for i, part in zip(at, np.split(each, ends[:-1]))] if len(at) else []
+        at = pa.array([i for i, _ in rows], pa.int64())
+        return pa.table([*(group[c].take(at) for c in ("chunk", "bucket", "level")), pa.array([x for _, x in rows], pa.list_(pa.int64()))], names=["chunk", "bucket", "level", "totals"])
+
+    return lists.groupBy("bucket").applyInArrow(run, "chunk bigint, bucket int, level int, totals array<bigint>")
+
+
+def walk(n: list[np.ndarray], n_tokens: int, n_types: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 weights along tokens: those of the empty context alone, and those of the automaton's walk.
+
+    n[k] is the number of the n-gram of k + 1 tokens that ends at each place, 0 where it would begin before its text. At each place the walk is
+    in the longest of two, one or no tokens before it that is a state: two tokens seen STATE times, one seen at all. It takes the
+    arc of the next token if training texts have it there, else the failure arc to the shorter state, which weighs what MASS leaves to that,
+    and so on; the empty context has an arc for every token. An arc's probability is the count with MASS times the shorter state's
+    probability, over the state's count and MASS, so those of a state sum to 1.
+    """
+    single, pair, triple = n
+    of_one, of_two = np.roll(single, 1), np.roll(pair, 1)  # the counts of the contexts of one and of two tokens
+    unigram = (single + ADDED) / (n_tokens + ADDED * (n_types + 1))
+    in_one, in_two = of_one > 0, of_two >= STATE
+    arc1, arc2 = np.log10(unigram), np.log10((pair + MASS * unigram) / (of_one + MASS))
+    down1 = np.where(in_one, np.log10(MASS / (of_one + MASS)), 0.0)
+    at_one = np.where(in_one & (pair > 0), arc2, down1 + arc1)
+    arc3 = np.log10((triple + MASS * 10.0**at_one) / (of_two + MASS))
+    down2 = np.where(in_two, np.log10(MASS / (of_two + MASS)), 0.0)
+    return arc1, np.where(in_two & (triple > 0), arc3, down2 + at_one)
+
+
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _scored(group: pa.Table, answers: pa.Table) -> pa.Table:
+    chunk = Chunk(list(utf8(group["text"])))
+    by_level: dict[int, list] = {order: [] for order in ORDERS}
+    for bucket, level, values in sorted(zip(answers["bucket"].to_pylist(), answers["level"].to_pylist(), (x.values.to_numpy() for x in answers["totals"])), key=lambda r: r[:2]):
+        by_level[level].append(values)
+    n = []
+    for order in ORDERS:
+        keys, none = chunk.keys(order)
+        at = np.zeros(len(keys), np.int64)
+        found, of = np.unique(keys[~none], return_inverse=True)
+        total = np.concatenate(by_level[order]) if by_level[order] else np.zeros(0, np.int64)
+        if len(total) != len(found):
+            raise RuntimeError("a chunk's texts aren't those it listed")
+        at[~none] = total[of]
+        n.append(at)
+    n_tokens, n_types = answers["n_tokens"][0].as_py(), answers["n_types"][0].as_py()
+    base, score = walk(n, n_tokens, n_types)
+    base[chunk.starts] = score[chunk.starts] = 0.0  # START is given
+    known = (n[0] > 0).astype(np.int64)
+    known[chunk.starts] = 0
+    sums = lambda x: np.add.reduceat(x, chunk.starts)
+    columns = [group["doc_id"], group["held_out"], pa.array(chunk.ends - chunk.starts - 1, pa.int64()), pa.array(sums(known), pa.int64()), pa.array([n_tokens] * group.num_rows, pa.int64()), pa.array(sums(base)), pa.array(sums(score))]
+    return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     Learned from the rows with crc32(doc_id) mod 10 other than 0 (a null doc_id is neither learned from nor held out). Null and
     empty texts are one END. Without a row to learn from every token has probability 1. Repeated rows get equal scores.
 
-    Counts cover all training texts, and each pair of tokens that occurs twice or more there is in the model. Tokens and pairs
-    with at least ``hot`` of all tokens are states and arcs of the automaton, which every task reads texts with; the rest, each
-    too rare to be a hot key, are joined to where they occur, so ``hot`` changes no score. ``share`` is for smaller models: from
-    so many of all tokens on a token or pair is kept.
+    The model has every n-gram of up to three tokens that training texts have, at any size. ``chunk`` and ``bucket`` bound what a task
+    holds and change no score; a text is held whole. Chunks are dealt by a hash, so a frequent word, n-gram or text is in as many
+    lists as there are chunks with it, once in each, and buckets are ranges of hashes: none is larger for a frequent n-gram.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    train = rows.where(crc_remainder(F.col("doc_id"), 10) != 0).select("text")
-    counts = written(token_counts(train), "token-counts")
-    n_tokens, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    spark, kept, least = docs.sparkSession, share * n_tokens, max(share, hot) * n_tokens
-    total_mass = n_tokens + ADDED * (n_types + 1)
-    probability = lambda n: (F.coalesce(n, F.lit(0)) + ADDED) / F.lit(total_mass)
-    found = sorted((r["token"].encode(), r["n"]) for r in counts.where(F.col("n") >= least).toLocalIterator())
-    tokens, freq = [t for t, _ in found], np.array([c for _, c in found], np.int64)
-    n_texts, n = sum(r["n"] for r in counts.where(F.col("token") == "\n").collect()), len(tokens)
-    often = written(spark.createDataFrame(pa.table({"id": pa.array(range(n + 1), pa.int64()), "n": pa.array([*freq.tolist(), n_texts], pa.int64())})), "states")
-    rare = counts.where((F.col("n") < least) & (F.col("n") >= kept))
-
-    pairs = written(pair_counts(train, tokens).where(F.col("n") >= max(PAIR, kept)), "pair-counts")
-    side = lambda i, mark: F.when(F.col("part")[i].startswith(mark), F.substring(F.col("part")[i], F.lit(2), F.length(F.col("part")[i])))
-    coded = pairs.where("code >= 0").withColumns({"a_id": F.expr(f"code div {n + 1}"), "b_id": F.col("code") % (n + 1), "a": F.lit(None).cast("string"), "b": F.lit(None).cast("string")})
-    keyed = pairs.where("code < 0").withColumn("part", F.split("key", " ")).withColumns({"a_id": side(0, "f").cast("bigint"), "b_id": side(1, "f").cast("bigint"), "a": side(0, "r"), "b": side(1, "r")}).drop("part")
-    model = _counted(_counted(coded.unionByName(keyed), "b", often, rare), "a", often, rare)
-    model = written(model.select("code", "key", "n", "a_id", "a", "n_a", F.log10((F.col("n") - DISCOUNT) / F.col("n_a")).alias("weight"), probability(F.col("n_b")).alias("p")), "pairs")
-    # What a context's kept pairs leave to the empty context, over what the empty context leaves to other tokens.
-    left, rest = 1 - F.sum(F.col("n") - DISCOUNT) / F.first("n_a"), 1 - F.sum("p")
-    contexts = written(model.groupBy("a_id", "a").agg(F.log10(F.greatest(left, F.lit(1e-9)) / F.greatest(rest, F.lit(1e-9))).alias("failure")), "contexts")
-    of_states, of_others = contexts.where("a_id is not null").select("a_id", "failure"), contexts.where("a is not null").select("a", "failure")
-    failure, known = np.zeros(n + 1), of_states.toArrow()
-    failure[known["a_id"].to_numpy()] = known["failure"].to_numpy()
-    arc = (F.col("code") >= 0) & (F.col("n") >= least)
-    arcs = model.where(arc).select("code", "weight").orderBy("code").toArrow()
-    automaton = Automaton(tokens, np.log10((freq + ADDED) / total_mass), arcs["code"].to_numpy(), arcs["weight"].to_numpy(), failure)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-    def run(batches):
-        a = shared.value
-        number = {t: i for i, t in enumerate(a.tokens)}
-        row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
-            out, rare, ends = [], [], [0]
-            codes, code_ends, keys, key_ends = [np.empty(0, np.int64)], [0], [], [0]
-            for t in utf8(batch.column(1)):
-                ws = words(t)
-                ids = np.array([*map(lambda w: number.get(w, -1), ws), number.get(b"\n", -1)], np.int64)
-                known = ids >= 0
-                rare += [w for w, i in zip(ws, ids.tolist()) if i < 0]
-                if not known[-1]:
-                    rare.append(b"\n")
-                ends.append(len(rare))
-                weights, without = a.read(ids)
-                codes.append(without)
-                code_ends.append(code_ends[-1] + len(without))
-                keys += _keys(ids, ws, len(a.tokens))
-                key_ends.append(len(keys))
-                out.append((row, len(ids), int(known.sum()), float(a.unigram[ids[known]].sum()) if known.any() else 0.0, float(weights.sum())))
-                row += 1
-            columns = list(zip(*out)) or [[]] * 5
-            texts = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.binary()).cast(pa.string()))
-            tail = [texts(ends, rare), pa.ListArray.from_arrays(pa.array(code_ends, pa.int32()), pa.array(np.concatenate(codes))), texts(key_ends, keys)]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, types)), *tail], names=["doc_id", "row", "n_tokens", "n_known", "base", "model", "rare", "codes", "keys"])
-
-    read = written(rows.mapInArrow(run, "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base double, model double, rare array<string>, codes array<bigint>, keys array<string>"), "lm-read")
-    others = counts.where(F.col("n") < least).join(of_others.withColumnRenamed("a", "token"), "token", "left")
-    weight = F.log10(probability(F.col("n")))
-    singles = read.select("row", F.explode("rare").alias("token")).join(others, "token", "left").select("row", F.col("n").isNotNull().cast("bigint").alias("n_known"), weight.alias("base"), (weight + F.coalesce("failure", F.lit(0.0))).alias("model"))
-    # A kept pair without an arc: its own weight in place of the backoff's.
-    rest = model.where(~arc)
-    gains = rest.where("a_id is not null").join(F.broadcast(of_states), "a_id").unionByName(rest.where("a is not null").join(of_others, "a"))
-    gains = gains.select("code", "key", (F.col("weight") - F.col("failure") - F.log10("p")).alias("model"))
-    places = read.select("row", F.explode("codes").alias("code"), F.lit("").alias("key")).unionByName(read.select("row", F.explode("keys").alias("key")).withColumn("code", F.lit(-1).cast("bigint")))
-    doubles = places.join(gains, ["code", "key"]).select("row", F.lit(0).cast("bigint").alias("n_known"), F.lit(0.0).alias("base"), "model")
-    # One sum for each row: the automaton's part, and the joined part of each rare token and pair.
-    joined = singles.unionByName(doubles).withColumns({"doc_id": F.lit(None).cast("bigint"), "n_tokens": F.lit(0).cast("bigint")})
-    parts = read.select("row", "doc_id", "n_tokens", "n_known", "base", "model").unionByName(joined)
-    total = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
-    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 10) == 0, F.lit(False))
-    return total.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
+    rest = crc_remainder(F.col("doc_id"), 10)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).cast("bigint")).first()[0]
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    n_chunks = max(ceil(size / chunk), min(2 * cores, ceil(size / (4 << 20))), 1)
+    n_buckets = max(ceil(size / 4 / bucket), min(2 * cores, ceil(size / (4 << 20))), 1)  # about as many different n-grams as a quarter of the bytes
+    # The partition's number parts even repeated rows; each partition is dealt alike whenever it is computed.
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_chunks)).alias("chunk")
+    texts = rows.select(dealt, "doc_id", "text", F.coalesce(rest != 0, F.lit(False)).alias("train"), F.coalesce(rest == 0, F.lit(False)).alias("held_out")).repartition(n_chunks, "chunk")
+    lists = listed(texts, n_buckets).repartition(n_buckets, "bucket")  # each exchange is used twice and made once
+    known = totals(lists).withColumn("one", F.lit(1)).join(F.broadcast(corpus_size(lists)), "one").select("chunk", "bucket", "level", "totals", "n_tokens", "n_types")
+    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scored, SCORED)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, over all documents, as ``scores`` says it for nulls, empty texts and repeated rows."""
     return scores(documents(spark, sf_dir))

@@ -368,56 +368,57 @@ def test_bpe_of_odd_strings():
     assert v._merge_long([v.byte_ids[b] for b in b"thethethere" * 9]) == v.merge(b"thethethere" * 9)
 
 
-def brute_lm(rows, share):
-    """Direct Katz-style evaluation with dictionaries."""
-    train = [words(lower(t)) + ["\n"] for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 10]
-    c = Counter(w for t in train for w in t)
-    n, v, least = sum(c.values()), len(c), share * sum(c.values())
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    often = {w for w in c if c[w] >= least}
-    pairs = Counter((a, b) for t in train for a, b in zip(["", *t], t) if (a == "" or a in often) and b in often)
-    pairs = {k: x for k, x in pairs.items() if x >= max(2.0, least)} if often else {}
-    ctx = lambda a: c["\n"] if a == "" else c[a]
-    arcs = defaultdict(dict)
-    for (a, b), x in pairs.items():
-        arcs[a][b] = (x - language_model.DISCOUNT) / ctx(a)
+def brute_model(rows):
+    """The smoothed model of three tokens with dictionaries, without states or failure arcs: counts of one token, all tokens, p1, p2, p3."""
+    train = [["", *words(lower(t)), "\n"] for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 10]
+    c = [Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
+    v, n = len([w for w in c[0] if w != ("",)]), sum(x for w, x in c[0].items() if w != ("",))
+    m = language_model.MASS
+
+    def p1(w):
+        return (c[0][w,] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p2(a, w):
+        return (c[1][a, w] + m * p1(w)) / (c[0][a,] + m)
+
+    def p3(a, b, w):
+        seen = c[1][a, b]
+        return (c[2][a, b, w] + m * p2(b, w)) / (seen + m) if seen >= language_model.STATE else p2(b, w)
+
+    return c[0], n, p1, p2, p3
+
+
+def brute_lm(rows):
+    c, n, p1, p2, p3 = brute_model(rows)
     out = []
     for d, t in rows:
-        ws = words(lower(t)) + ["\n"]
-        base = sum(math.log10(p(w)) for w in ws)
-        model = 0.0
-        for a, b in zip(["", *ws], ws):
-            have = arcs.get(a, {})
-            if b in have:
-                model += math.log10(have[b])
-            else:
-                bow = (1 - sum(have.values())) / (1 - sum(map(p, have))) if have else 1
-                model += math.log10(max(bow, 1e-9)) + math.log10(p(b))
-        out.append((d, len(ws), sum(c[w] > 0 for w in ws), n, base, model))
+        ws = ["", *words(lower(t)), "\n"]
+        model = sum(math.log10(p3(ws[i - 2], ws[i - 1], ws[i]) if i > 1 else p2("", ws[1])) for i in range(1, len(ws)))
+        out.append((d, len(ws) - 1, sum(c[w,] > 0 for w in ws[1:]), n, sum(math.log10(p1(w)) for w in ws[1:]), model))
     return out
 
 
-@pytest.mark.parametrize("share", [2e-6, 1e-3, 0.5])
-def test_lm_matches_brute_force(docs, rows, share):
-    want = brute_lm([(r[0], r[1]) for r in rows], share)
-    got = language_model.scores(docs, share=share).orderBy("doc_id").collect()
-    for g, w in zip(got, want, strict=True):
-        assert (g["doc_id"], g["n_tokens"], g["n_known"], g["train_tokens"]) == w[:4]
-        assert g["base_score"] == pytest.approx(w[4], rel=1e-9) and g["score"] == pytest.approx(w[5], rel=1e-6)
-
-
-def test_lm_keeps_rare_pairs_in_a_large_corpus(spark, rows):
-    filler = " ".join(["filler"] * 100_000)
-    table = [(r[0], r[1]) for r in rows] + [(10_000 + i, filler) for i in range(40)]  # 2e-6 of the tokens are more than two
-    df = spark.createDataFrame(table, "doc_id bigint, text string")
-    want = {w[0]: w[1:] for w in brute_lm(table, 0.0)}
-    for hot in (2e-6, 1e-4, 0.9):
-        got = language_model.scores(df, **({"hot": hot} if hot != 2e-6 else {})).collect()
-        assert len(got) == len(table)
-        for g in got:
-            w = want[g["doc_id"]]
-            assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == w[:3]
-            assert g["base_score"] == pytest.approx(w[3], rel=1e-9) and g["score"] == pytest.approx(w[4], rel=1e-6)
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 20_000, "bucket": 3_000}, {"chunk": 1 << 40, "bucket": 1 << 40}])
+def test_lm_matches_brute_force(spark, docs, rows, sizes):
+    frequent = " ".join(["filler"] * 3000)
+    table = [(r[0], r[1]) for r in rows] + [(10_000 + i, frequent) for i in range(40)] + [(10_100, None), (10_101, "")]
+    df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
+    want = {w[0]: w[1:] for w in brute_lm(table)}
+    got = language_model.scores(df, **sizes).collect()
+    assert len(got) == len(table) == len({g["doc_id"] for g in got})
+    for g in got:
+        w = want[g["doc_id"]]
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == w[:3] and g["held_out"] == (zlib.crc32(str(g["doc_id"]).encode()) % 10 == 0)
+        assert g["base_score"] == pytest.approx(w[3], rel=1e-9) and g["score"] == pytest.approx(w[4], rel=1e-9)
+
+
+def test_lm_probabilities_sum_to_one(rows):
+    c, _, p1, p2, p3 = brute_model([(r[0], r[1]) for r in rows])
+    tokens = [w for (w,) in c if w] + ["never seen"]
+    some = words(lower(rows[0][1]))[:40]
+    assert sum(map(p1, tokens)) == pytest.approx(1) and sum(p2("", w) for w in tokens) == pytest.approx(1)
+    for a, b in zip(["", *some], some):
+        assert sum(p3(a, b, w) for w in tokens) == pytest.approx(1)
 
 
 def test_lm_of_awkward_rows(awkward, empty):
