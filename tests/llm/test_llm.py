@@ -284,7 +284,7 @@ def test_trees_by_hand_and_on_awkward_rows(spark, awkward, empty):
     assert quality_model.score(empty, none).count() == 0
 
 
-def test_licences_and_inheritance(spark, awkward):
+def test_licences_and_inheritance(spark):
     files = [
         ("1", "r/LICENSE", "Released under the MIT License."), ("2", "r/a/b/x.py", "nothing"), ("3", "r/a/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."),
         ("4", "r/a/y.py", "text\nLicensed under the Apache License, Version 2.0.\nmore"), ("5", "other/z.py", None), ("6", None, ""), ("7", "r/c/d/e/f.py", "no"), ("8", "ra/x.py", "no"), ("8", "ra/x.py", "no"),
@@ -299,15 +299,58 @@ def test_licences_and_inheritance(spark, awkward):
 
 
 def test_spdx_tags_name_their_licence(spark):
-    tags = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-3.0+": "LGPL-3.0", "(ISC OR mit)": "MIT", "GPL-2.0-only WITH Linux-syscall-note": "GPL-2.0", "BSD-3-Clause -->": "BSD-3-Clause", "ISC": None}
+    tags = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-3.0+": "LGPL-3.0", "(Zlib OR mit)": "MIT", "GPL-2.0-only WITH Linux-syscall-note": "GPL-2.0", "BSD-3-Clause -->": "BSD-3-Clause", "Zlib": None}
     files = [(tag, f"r/{i}.c", f"<!-- SPDX-License-Identifier: {tag}\nint x;") for i, tag in enumerate(tags)]
     got = licences.licences(spark.createDataFrame(files, "id string, path string, text string")).collect()
     assert {r["id"]: r["licence"] for r in got} == tags and all(r["own_score"] == 1 for r in got if r["licence"])
 
 
 def test_every_template_finds_itself():
-    t = licences.Templates(licences.TEMPLATES)
-    assert all(t.best(text.encode())[1] == name for name, text in licences.TEMPLATES.items())
+    t = licences.Templates(licences.TEMPLATES, 100, {})
+    assert all(t.best(licences.terms(text.encode())) == (pytest.approx(1), name) for name, texts in licences.TEMPLATES.items() for text in texts)
+
+
+HEADERS = {
+    "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n\nEveryone is permitted to copy": "GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007": "GPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007": "LGPL-3.0",
+    "/*\n * Licensed under the Apache\n * License, Version\n * 2.0\n */ int x;": "Apache-2.0", "<p>Released under</p> <b>the MIT License</b>": "MIT", "No part of the copyright applies.": None, "the licence of the poet and his rights": None, "GNU GENERAL PUBLIC LICENSE": None,
+    "x " * 300 + "All rights reserved. " + "y " * 300: "Proprietary", licences.TEXTS["ISC"][0].replace("THE AUTHOR", "THE  OWNER"): "ISC", licences.TEXTS["BSD-2-Clause"][0]: "BSD-2-Clause", licences.TEXTS["BSD-3-Clause"][0] + " more": "BSD-3-Clause",
+}
+
+
+def brute_best(templates, text, least):
+    """Every run of terms against every template."""
+    ts, top = licences.terms(text.encode()), (0.0, 0, None)
+    idf = lambda t: templates.idf[templates.number.get(t, -1)]
+    for name, texts in licences.TEMPLATES.items():
+        for other in texts:
+            v = Counter(licences.terms(other.encode()))
+            size = min(sum(v.values()), len(ts))
+            for at in range(len(ts) - size + 1) if ts else ():
+                w = Counter(ts[at : at + size])
+                norm = math.sqrt(sum((n * idf(t)) ** 2 for t, n in w.items()) * sum((n * idf(t)) ** 2 for t, n in v.items()))
+                cosine = round(sum(n * v[t] * idf(t) ** 2 for t, n in w.items()) / norm, 9)
+                if cosine >= least and ((cosine, sum(v.values())) > top[:2] or (cosine, sum(v.values())) == top[:2] and name < top[2]):
+                    top = (cosine, sum(v.values()), name)
+    return top[0], top[2]
+
+
+def test_licence_cosines_match_brute_force(rows):
+    texts = [r[1] for r in rows if r[1] and len(r[1]) < 900][:25] + list(HEADERS)
+    df = Counter(t for x in texts for t in set(licences.terms(x.encode())))
+    for least in (0.5, 0.75):
+        templates = licences.Templates(licences.TEMPLATES, len(texts), df)
+        for t in texts:
+            assert templates.best(licences.terms(t.encode()), least) == (pytest.approx(brute_best(templates, t, least)[0]), brute_best(templates, t, least)[1]), t[:80]
+
+
+def test_headers_in_files(spark, awkward, empty):
+    df = spark.createDataFrame([(str(i), f"a{i}/x.c", t) for i, t in enumerate(HEADERS)], "id string, path string, text string")
+    got = {int(r["id"]): r["licence"] for r in licences.licences(df).collect()}
+    assert got == dict(enumerate(HEADERS.values()))
+    files = awkward.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("d/"), "source").alias("path"), "text", F.lit(1).alias("Licence"), F.lit(1).alias("DIR2"))
+    out = licences.licences(files).collect()
+    assert len(out) == len(AWKWARD) and all(r["licence"] is None for r in out)
+    assert licences.licences(empty.select(F.col("doc_id").cast("string").alias("id"), F.lit("a/b").alias("path"), "text")).count() == 0
 
 
 def test_licences_of_documents(spark):
