@@ -1,4 +1,4 @@
-"""Language-model scores by a weighted backoff automaton over all n-grams of the training texts, up to three tokens.
+"""Language-model scores by a weighted backoff automaton over all n-grams of the training texts.
 
 Texts are dealt into chunks of bounded size. A chunk lists its different n-grams once, with how often its training texts have them; the
 lists meet in buckets of n-grams, where the counts of all chunks are summed, and each chunk gets the totals of what it listed. So a chunk
@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 
 from planwatch.llm.common import crc_remainder, documents, utf8
 
-CHUNK = 48 << 20  # bytes of texts that a task holds at a time; on larger executors, larger chunks make fewer lists
-BUCKET = 4_000_000  # listed n-grams that a task sums at a time
+CHUNK = 24 << 20  # bytes of texts that a task holds at a time; on larger executors, larger chunks make fewer lists
+BUCKET = 3_000_000  # listed n-grams that a task sums at a time
+BLOCK = 1 << 19  # tokens that are weighed at once
+ORDER = 2  # tokens of the longest n-grams, 3 at most
 ADDED = 0.1  # to each token's count, the unknown token included
 MASS = 2.0  # what the shorter context's probabilities weigh against counts
 STATE = 2  # two tokens are a state if training texts have them at least so often
-ORDERS = (1, 2, 3)
 
-_START, _END = np.uint64(0x5374617274), np.uint64(0x456E64)
+_START, _END = b"a start.", b"an end. "
+_START_KEY = np.uint64(int.from_bytes(_START, "big"))
 _TURN, _MIX, _FOLD = np.uint64(29), np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 
 
@@ -40,26 +42,29 @@ def _after(context: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """The tokens of some texts, one behind the other, each text as START, its words and END."""
-
-    def __init__(self, texts: list[bytes]):
-        number: dict[bytes, int] = {}
-        parts = []
-        for t in texts:
-            parts += [np.zeros(1, np.int32), np.array([number.setdefault(w, len(number) + 2) for w in words(t)], np.int32), np.ones(1, np.int32)]
-        sizes = np.array([len(x) for x in parts[1::3]], np.int64) + 2
-        self.ends = np.cumsum(sizes)
-        hashes = np.array([_START, _END, *map(xxhash.xxh64_intdigest, number)], np.uint64)
-        self.tokens = hashes[np.concatenate(parts)]
+    """The hashes of the tokens of some texts, one text behind the other, each as START, its words and END."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        parts, sizes = [], []
+        for batch in texts.chunks:
+            for at in range(0, len(batch), 512):
+                for t in utf8(batch.slice(at, 512)):
+                    ws = words(t)
+                    sizes.append(len(ws) + 2)
+                    parts.append(b"".join([_START, *map(xxhash.xxh64_digest, ws), _END]))
+        self.tokens = np.frombuffer(b"".join(parts), ">u8").astype(np.uint64)
+        self.ends = np.cumsum(np.array(sizes, np.int64))
         self.starts = self.ends - sizes
 
     def keys(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """The key of the n-gram of that order which ends at each token, and where there is none as it would begin before the text."""
-        out, none = self.tokens, np.zeros(len(self.tokens), bool)
+        """The key of the n-gram of that order which ends at each token, and where there is one: not where it would begin before its text."""
+        out, there = self.tokens.copy() if order > 1 else self.tokens, np.ones(len(self.tokens), bool)
         for n in range(1, order):
-            out = _after(out[: len(self.tokens) - n], self.tokens[n:])
-            none[self.starts + n - 1] = True
-        return np.concatenate([np.zeros(order - 1, np.uint64), out]), none
+            for end in range(len(out), n, -BLOCK):  # from the end, as each key is made of the one before it
+                at = max(n, end - BLOCK)
+                out[at:end] = _after(out[at - 1 : end - 1], self.tokens[at:end])
+            there[self.starts + n - 1] = False
+        return out, there
 
 
 def _packed(ascending: np.ndarray) -> bytes:
@@ -79,23 +84,22 @@ def _bounds(n_buckets: int) -> np.ndarray:
 LISTED = "bucket int, chunk bigint, level int, grams binary, counts array<int>"
 
 
-def listed(texts: DataFrame, n_buckets: int) -> DataFrame:
+def listed(texts: DataFrame, n_buckets: int, order: int) -> DataFrame:
     """(bucket, chunk, level, grams, counts): each chunk's different n-grams of each order by bucket, ascending, with their number in training texts."""
 
     def run(group: pa.Table) -> pa.Table:
-        chunk, bounds, rows = Chunk(list(utf8(group["text"]))), _bounds(n_buckets), []
+        chunk, bounds, rows = Chunk(group["text"]), _bounds(n_buckets), []
         train = np.repeat(np.array(group["train"].to_pylist(), bool), np.diff(chunk.ends, prepend=0))
-        for order in ORDERS:
-            keys, none = chunk.keys(order)
-            keys, seen = keys[~none], train[~none]
-            found, n = np.unique(keys[seen], return_counts=True)
-            if not seen.all():
-                only_held = np.setdiff1d(keys[~seen], found)
-                found, n = np.concatenate([found, only_held]), np.concatenate([n, np.zeros(len(only_held), np.int64)])
+        for level in range(1, order + 1):
+            keys, there = chunk.keys(level)
+            found, n = np.unique(keys[there & train], return_counts=True)
+            held = np.setdiff1d(keys[there & ~train], found)
+            if len(held):
+                found, n = np.concatenate([found, held]), np.concatenate([n, np.zeros(len(held), n.dtype)])
                 by = np.argsort(found)
                 found, n = found[by], n[by]
             cuts = [0, *np.searchsorted(found, bounds), len(found)]
-            rows += [(b, order, _packed(found[i:j]), n[i:j].astype(np.int32)) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+            rows += [(b, level, _packed(found[i:j]), n[i:j].astype(np.int32)) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
         bucket, level, grams, counts = zip(*rows)
         columns = [pa.array(bucket, pa.int32()), pa.array([group["chunk"][0].as_py()] * len(rows), pa.int64()), pa.array(level, pa.int32()), pa.array(grams, pa.binary()), pa.array(counts, pa.list_(pa.int32()))]
         return pa.table(columns, names=["bucket", "chunk", "level", "grams", "counts"])
@@ -120,7 +124,7 @@ def corpus_size(lists: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         *_, total, found = _summed(group, 1)
-        real = total[found != _START]
+        real = total[found != _START_KEY]
         return pa.table({"n_tokens": pa.array([int(real.sum())], pa.int64()), "n_types": pa.array([int((real > 0).sum())], pa.int64())})
 
     sizes = lists.groupBy("bucket").applyInArrow(run, "n_tokens bigint, n_types bigint")
@@ -132,7 +136,7 @@ def totals(lists: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         rows = []
-        for level in ORDERS:
+        for level in sorted(set(group["level"].to_pylist())):
             at, ends, each, *_ = _summed(group, level)
             rows += [(int(i), part) for i, part in zip(at, np.split(each, ends[:-1]))] if len(at) else []
         at = pa.array([i for i, _ in rows], pa.int64())
@@ -145,58 +149,59 @@ def walk(n: list[np.ndarray], n_tokens: int, n_types: int) -> tuple[np.ndarray,
     """log10 weights along tokens: those of the empty context alone, and those of the automaton's walk.
 
     n[k] is the number of the n-gram of k + 1 tokens that ends at each place, 0 where it would begin before its text. At each place the walk is
-    in the longest of two, one or no tokens before it that is a state: two tokens seen STATE times, one seen at all. It takes the
-    arc of the next token if training texts have it there, else the failure arc to the shorter state, which weighs what MASS leaves to that,
-    and so on; the empty context has an arc for every token. An arc's probability is the count with MASS times the shorter state's
-    probability, over the state's count and MASS, so those of a state sum to 1.
+    in the longest run of tokens before it that is a state: one token seen at all, or two seen STATE times. It takes the arc of the next
+    token if training texts have it there, else the failure arc to the shorter state, which weighs what MASS leaves to that, and so on; the
+    empty context has an arc for every token. An arc's probability is the count with MASS times the shorter state's probability, over the
+    state's count and MASS, so those of a state sum to 1. The first place is a START, whose weight is not to be read.
     """
-    single, pair, triple = n
-    of_one, of_two = np.roll(single, 1), np.roll(pair, 1)  # the counts of the contexts of one and of two tokens
-    unigram = (single + ADDED) / (n_tokens + ADDED * (n_types + 1))
-    in_one, in_two = of_one > 0, of_two >= STATE
-    arc1, arc2 = np.log10(unigram), np.log10((pair + MASS * unigram) / (of_one + MASS))
-    down1 = np.where(in_one, np.log10(MASS / (of_one + MASS)), 0.0)
-    at_one = np.where(in_one & (pair > 0), arc2, down1 + arc1)
-    arc3 = np.log10((triple + MASS * 10.0**at_one) / (of_two + MASS))
-    down2 = np.where(in_two, np.log10(MASS / (of_two + MASS)), 0.0)
-    return arc1, np.where(in_two & (triple > 0), arc3, down2 + at_one)
+    weight = base = np.log10((n[0] + ADDED) / (n_tokens + ADDED * (n_types + 1)))
+    for k in range(1, len(n)):
+        seen = np.roll(n[k - 1], 1)  # the counts of the contexts of k tokens
+        state = seen >= (1 if k == 1 else STATE)
+        arc = np.log10((n[k] + MASS * 10.0**weight) / (seen + MASS))
+        failure = np.log10(MASS / (seen + MASS))
+        weight = np.where(state & (n[k] > 0), arc, np.where(state, failure, 0.0) + weight)
+    return base, weight
 
 
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def _scored(group: pa.Table, answers: pa.Table) -> pa.Table:
-    chunk = Chunk(list(utf8(group["text"])))
-    by_level: dict[int, list] = {order: [] for order in ORDERS}
-    for bucket, level, values in sorted(zip(answers["bucket"].to_pylist(), answers["level"].to_pylist(), (x.values.to_numpy() for x in answers["totals"])), key=lambda r: r[:2]):
-        by_level[level].append(values)
+    chunk = Chunk(group["text"])
     n = []
-    for order in ORDERS:
-        keys, none = chunk.keys(order)
-        at = np.zeros(len(keys), np.int64)
-        found, of = np.unique(keys[~none], return_inverse=True)
-        total = np.concatenate(by_level[order]) if by_level[order] else np.zeros(0, np.int64)
+    for level in range(1, max(answers["level"].to_pylist()) + 1):
+        at = np.flatnonzero(answers["level"].to_numpy() == level)
+        total = np.concatenate([answers["totals"][int(i)].values.to_numpy() for i in at[np.argsort(answers["bucket"].to_numpy()[at])]])
+        keys, there = chunk.keys(level)
+        found = np.unique(keys[there])
         if len(total) != len(found):
             raise RuntimeError("a chunk's texts aren't those it listed")
-        at[~none] = total[of]
-        n.append(at)
+        n.append(np.zeros(len(keys), np.int64))
+        for i in range(0, len(keys), BLOCK):
+            ok = there[i : i + BLOCK]
+            n[-1][i : i + BLOCK][ok] = total[np.searchsorted(found, keys[i : i + BLOCK][ok])]
     n_tokens, n_types = answers["n_tokens"][0].as_py(), answers["n_types"][0].as_py()
-    base, score = walk(n, n_tokens, n_types)
-    base[chunk.starts] = score[chunk.starts] = 0.0  # START is given
-    known = (n[0] > 0).astype(np.int64)
-    known[chunk.starts] = 0
-    sums = lambda x: np.add.reduceat(x, chunk.starts)
-    columns = [group["doc_id"], group["held_out"], pa.array(chunk.ends - chunk.starts - 1, pa.int64()), pa.array(sums(known), pa.int64()), pa.array([n_tokens] * group.num_rows, pa.int64()), pa.array(sums(base)), pa.array(sums(score))]
+    rows, cuts = [], np.unique(np.searchsorted(chunk.ends, np.arange(0, len(chunk.tokens), BLOCK), "right"))  # whole texts at a time
+    for i, j in zip(cuts, [*cuts[1:], len(chunk.ends)]):
+        a, b = chunk.starts[i], chunk.ends[j - 1]
+        starts = chunk.starts[i:j] - a
+        base, score = walk([x[a:b] for x in n], n_tokens, n_types)
+        known = n[0][a:b] > 0
+        base[starts], score[starts], known[starts] = 0.0, 0.0, False  # a START is given
+        rows.append([np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, score)])
+    known, base, score = (np.concatenate(x) for x in zip(*rows))
+    columns = [group["doc_id"], group["held_out"], pa.array(chunk.ends - chunk.starts - 1), pa.array(known), pa.array(np.full(group.num_rows, n_tokens, np.int64)), pa.array(base), pa.array(score)]
     return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     Learned from the rows with crc32(doc_id) mod 10 other than 0 (a null doc_id is neither learned from nor held out). Null and
     empty texts are one END. Without a row to learn from every token has probability 1. Repeated rows get equal scores.
 
-    The model has every n-gram of up to three tokens that training texts have, at any size. ``chunk`` and ``bucket`` bound what a task
+    The model has every n-gram of up to ``order`` tokens that training texts have, at any size. ``chunk`` and ``bucket`` bound what a task
     holds and change no score; a text is held whole. Chunks are dealt by a hash, so a frequent word, n-gram or text is in as many
     lists as there are chunks with it, once in each, and buckets are ranges of hashes: none is larger for a frequent n-gram.
     """
@@ -209,7 +214,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
     # The partition's number parts even repeated rows; each partition is dealt alike whenever it is computed.
     dealt = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_chunks)).alias("chunk")
     texts = rows.select(dealt, "doc_id", "text", F.coalesce(rest != 0, F.lit(False)).alias("train"), F.coalesce(rest == 0, F.lit(False)).alias("held_out")).repartition(n_chunks, "chunk")
-    lists = listed(texts, n_buckets).repartition(n_buckets, "bucket")  # each exchange is used twice and made once
+    lists = listed(texts, n_buckets, order).repartition(n_buckets, "bucket")  # each exchange is used twice and made once
     known = totals(lists).withColumn("one", F.lit(1)).join(F.broadcast(corpus_size(lists)), "one").select("chunk", "bucket", "level", "totals", "n_tokens", "n_types")
     return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scored, SCORED)
 

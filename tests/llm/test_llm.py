@@ -411,8 +411,8 @@ def test_bpe_of_odd_strings():
     assert v._merge_long([v.byte_ids[b] for b in b"thethethere" * 9]) == v.merge(b"thethethere" * 9)
 
 
-def brute_model(rows):
-    """The smoothed model of three tokens with dictionaries, without states or failure arcs: counts of one token, all tokens, p1, p2, p3."""
+def brute_model(rows, order=3):
+    """The smoothed model of two or three tokens with dictionaries, without states or failure arcs: counts of one token, all tokens, p1, p2, p3."""
     train = [["", *words(lower(t)), "\n"] for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 10]
     c = [Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
     v, n = len([w for w in c[0] if w != ("",)]), sum(x for w, x in c[0].items() if w != ("",))
@@ -426,13 +426,13 @@ def brute_model(rows):
 
     def p3(a, b, w):
         seen = c[1][a, b]
-        return (c[2][a, b, w] + m * p2(b, w)) / (seen + m) if seen >= language_model.STATE else p2(b, w)
+        return (c[2][a, b, w] + m * p2(b, w)) / (seen + m) if order == 3 and seen >= language_model.STATE else p2(b, w)
 
     return c[0], n, p1, p2, p3
 
 
-def brute_lm(rows):
-    c, n, p1, p2, p3 = brute_model(rows)
+def brute_lm(rows, order=3):
+    c, n, p1, p2, p3 = brute_model(rows, order)
     out = []
     for d, t in rows:
         ws = ["", *words(lower(t)), "\n"]
@@ -441,12 +441,12 @@ def brute_lm(rows):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk": 20_000, "bucket": 3_000}, {"chunk": 1 << 40, "bucket": 1 << 40}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 20_000, "bucket": 3_000}, {"chunk": 1 << 40, "bucket": 1 << 40, "order": 3}, {"chunk": 50_000, "bucket": 5_000, "order": 3}])
 def test_lm_matches_brute_force(spark, docs, rows, sizes):
     frequent = " ".join(["filler"] * 3000)
     table = [(r[0], r[1]) for r in rows] + [(10_000 + i, frequent) for i in range(40)] + [(10_100, None), (10_101, "")]
     df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
-    want = {w[0]: w[1:] for w in brute_lm(table)}
+    want = {w[0]: w[1:] for w in brute_lm(table, sizes.get("order", language_model.ORDER))}
     got = language_model.scores(df, **sizes).collect()
     assert len(got) == len(table) == len({g["doc_id"] for g in got})
     for g in got:
@@ -579,3 +579,17 @@ def test_bounds_below_counts_like_a_scan(spark, n):
     ids = sorted({*range(-30, 40), *bounds, 10**12})
     got = spark.createDataFrame([(i,) for i in ids], "doc_id bigint").select("doc_id", fingerprint._bounds_below(F.col("doc_id"), bounds)).collect()
     assert [tuple(r) for r in sorted(got)] == [(i, sum(b < i for b in bounds)) for i in ids]
+
+
+def test_ngram_keys_in_blocks_and_packing(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.chunked_array([["a b c d e f g h i j k", "", "b c"], ["x y z a b c"]])
+    whole = [language_model.Chunk(texts).keys(k) for k in (1, 2, 3)]
+    monkeypatch.setattr(language_model, "BLOCK", 3)
+    for (keys, there), (other, ok) in zip(whole, (language_model.Chunk(texts).keys(k) for k in (1, 2, 3))):
+        assert (there == ok).all() and (keys[there] == other[ok]).all()
+    ascending = np.unique(whole[1][0])
+    assert (language_model._unpacked(language_model._packed(ascending)) == ascending).all()
+    bounds = language_model._bounds(7)
+    assert len(bounds) == 6 and (np.diff(bounds) > 0).all()
