@@ -82,6 +82,7 @@ _SPDX = re.compile(rb"(?i)spdx-license-identifier\s*:([^\r\n]*)")
 _SPDX_ID = re.compile(rb"[a-z0-9]+(?:[.-]+[a-z0-9]+)*")
 _CARRIER = r"(?i)^(licen[cs]e|copying|notice|copyright)([._-].*)?$"
 LEAST = 0.75  # cosine
+FEW = 100_000  # directories, about 10 MB
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -188,7 +189,7 @@ def own_licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     return files.select("id", "path", "text").mapInArrow(run, "id string, path string, own_licence string, own_score double")
 
 
-def licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST, few: int = FEW) -> DataFrame:
     """(id, path, own_licence, own_score, licence, inherited_from) for each row of files (id, path, text).
 
     A file without a licence of its own inherits that of the nearest directory at or above its own which has a licence
@@ -196,7 +197,8 @@ def licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, leas
     score counts, then the first by path. inherited_from is that directory. Null and empty texts have no licence of their
     own; a null path inherits nothing. Repeated rows stay, other columns are not read, and an empty table gives no rows.
 
-    A directory can hold a third of all files: its heirloom is one row, so the adaptive plan splits the files' side of the join.
+    A directory can hold a third of all files: up to ``few`` directories that inherit are broadcast, so files stay where they are; of more
+    each has one row, so that the adaptive plan can split the files' side of the join.
     """
     found = written(own_licences(files, templates, least), "licences")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
@@ -205,9 +207,9 @@ def licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, leas
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("up")))
     dirs = placed.where(F.col("own_licence").isNull() & F.col("dir").isNotNull()).select("dir").distinct().withColumn("a", F.explode(above)).select("dir", "a.*")
-    heirs = dirs.join(carriers.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("given", "up"), "depth").alias("from"))
+    heirs = written(dirs.join(carriers.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("given", "up"), "depth").alias("from")), "heirs")
     inherits = F.col("own_licence").isNull()
-    joined = placed.join(heirs, "dir", "left")
+    joined = placed.join(F.broadcast(heirs) if heirs.count() <= few else heirs, "dir", "left")
     return joined.select("id", "path", "own_licence", "own_score", F.coalesce("own_licence", "from.given").alias("licence"), F.when(inherits, F.col("from.up")).alias("inherited_from"))
 
 

@@ -292,6 +292,7 @@ def test_licences_and_inheritance(spark):
     ]
     df = spark.createDataFrame(files, "id string, path string, text string").withColumn("dir", F.lit("x"))
     got = {r["id"]: (r["licence"], r["inherited_from"]) for r in licences.licences(df).collect()}
+    assert got == {r["id"]: (r["licence"], r["inherited_from"]) for r in licences.licences(df, few=0).collect()}
     assert got == {
         "1": ("MIT", None), "2": ("GPL-3.0", "r/a"), "3": ("GPL-3.0", None), "4": ("Apache-2.0", None), "5": (None, None), "6": (None, None), "7": ("MIT", "r"), "8": (None, None), "9": ("CC-BY-NC-4.0", None), "10": ("MIT", "r"),
     }
