@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from planwatch.llm.common import crc_remainder, documents, utf8
 
-CHUNK = 24 << 20  # bytes of texts that a task holds at a time; on larger executors, larger chunks make fewer lists
-BUCKET = 3_000_000  # listed n-grams that a task sums at a time
+CHUNK = 12 << 20  # bytes of texts that a task holds at a time; on larger executors, larger chunks make fewer lists
+BUCKET = 1_500_000  # listed n-grams that a task sums at a time
 BLOCK = 1 << 19  # tokens that are weighed at once
 ORDER = 2  # tokens of the longest n-grams, 3 at most
 ADDED = 0.1  # to each token's count, the unknown token included
