@@ -1,13 +1,15 @@
-"""Sessions: the settings the engine counts on, and the package on the executors."""
+"""Sessions: the settings the engine counts on, the package on the executors, and tables in the folder that all share."""
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "planwatch", **conf: str) -> SparkSession:
@@ -32,3 +34,26 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(shutil.make_archive(os.path.join(own, "planwatch"), "zip", os.path.join(own, "src")))
         sc._planwatch_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset and all run in one process, as in
+    tests, one of our own; on a cluster that is an error, as no machine's own folder can be seen by the others."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc = spark.sparkContext
+        sc._planwatch_folder = root = getattr(sc, "_planwatch_folder", None) or own_folder()
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written to the shared folder.
+
+    It cuts lineage, survives lost executors, and computes once what several branches read. The folder is the
+    cluster's scratch space, whose retention removes the tables.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
