@@ -1,15 +1,15 @@
-"""What the operators of this subpackage share: the shared folder, Arrow access to texts, stable fractions."""
+"""What the operators of this subpackage share: Arrow access to texts, stable fractions, names that clash with no column."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planwatch.session import shared_folder, written  # noqa: F401  for the operators
+
 #: A word is a run of characters other than space, \t, \n, \v, \f and \r. ``bytes.split()`` cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,21 +18,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or f"{tempfile.gettempdir()}/planwatch-{spark.sparkContext.applicationId}").rstrip("/")
+class Numbered:
+    """A table under names of its own, so that what an operator adds clashes with none of its columns, in whichever case.
 
+    ``rows`` has the columns c0, c1, ..., and, with ``name``, is written with ``row``, a number for each row that holds
+    whenever the table is read, so that rows which share a doc_id or have none can be told apart.
+    """
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder.
+    def __init__(self, docs: DataFrame, name: str | None = None):
+        self.names = docs.columns
+        rows = docs.toDF(*[f"c{i}" for i in range(len(self.names))])
+        self.rows = written(rows.withColumn("row", F.monotonically_increasing_id()), name) if name else rows
 
-    It cuts lineage, survives lost executors, and computes once what several branches read. The folder is the
-    cluster's scratch space, whose retention removes the tables.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def of(self, column: str) -> str:
+        """The own name of a column of documents."""
+        return f"c{self.names.index(column)}"
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """``rows`` under the table's names, in its order, without what was added."""
+        return rows.select(*[f"c{i}" for i in range(len(self.names))]).toDF(*self.names)
+
+
+def sized(df: DataFrame, few: int = 500_000) -> DataFrame:
+    """A written table of narrow rows to join with: broadcast if it has few rows (some 20 MB at most), else to be shuffled."""
+    return F.broadcast(df) if df.count() <= few else df
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

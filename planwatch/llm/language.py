@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwatch.llm.common import crc_remainder, documents, share_of, slices, utf8
+from planwatch.llm.common import Numbered, crc_remainder, documents, share_of, slices, utf8
 
 DIMS = 2048
 SAMPLE = 1000  # labelled documents to learn from, for each language, at most in expectation
@@ -166,15 +166,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns over all documents, as ``identify`` says it for nulls, texts without letters and repeated rows."""
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     return identify(documents(spark, sf_dir)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def in_a_known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Pipeline stage: rows go whose text is null or has no letter, or whose language stays in doubt (a score under ``least``;
-    between two languages 0.25 is the lowest there is). All columns stay as they are."""
-    if "lang_pred" in docs.columns or "score" in docs.columns:
-        renamed = docs.toDF(*[f"__{c}" for c in docs.columns])
-        found = identify(renamed, "__doc_id", "__text", "__lang", keep=renamed.columns)
-        return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)
-    return identify(docs, keep=docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
+    between two languages 0.25 is the lowest there is). All columns stay as they are, whatever their names; repeated rows stay or
+    go together, and an empty table gives no rows."""
+    own = Numbered(docs)
+    found = identify(own.rows, own.of("doc_id"), own.of("text"), own.of("lang"), keep=own.rows.columns)
+    return own.named(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)))

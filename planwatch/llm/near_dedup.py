@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from planwatch.llm.common import documents, slices, utf8, written
+from planwatch.llm.common import Numbered, documents, sized, slices, utf8, written
 from planwatch.llm.graph import components
 
 BITS = 64
 PIVOTS = 16  # reference fingerprints, eight distances to a long
 CHUNK = 1 << 15  # shingles whose bits are counted at once
 BANDS, ROWS = 25, 5  # of min-hashes: two texts of similarity s meet with probability 1 - (1 - s ** 5) ** 25, which is 0.99995 at 0.8
-SEEN = 200_000  # different texts that a task knows again
 
 
 def _shingles(text: bytes, width: int) -> tuple[bytes, list[int], list[int]]:
@@ -138,6 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns over all documents, as ``near_duplicates`` says it for nulls, empty texts and repeated rows."""
     return near_duplicates(documents(spark, sf_dir))
 
 
@@ -167,69 +167,58 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(set, least_id, component_id) for each different set of word shingles of ``docs``.
-
-    Sets with at least that Jaccard similarity are linked; least_id is the smallest doc_id with the set and component_id the
-    smallest reachable by links, null where no member has an id. Texts without words share the empty set, which links to none.
+def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, least) for each different set of word shingles: node is the row number of the first row with that set, least the first row of
+    the component, as a struct whose ``row`` is its number. Rows come first by doc_id, those without one last, then by number.
 
+    Sets with at least that Jaccard similarity are linked. Texts without words share the empty set, which links to none.
     Candidates share a band of min-hashes and are verified by their exact similarity. Each member of a band's bucket is first
     verified against the bucket's smallest, which is linear in large groups; then only pairs whose groups are still apart are.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def hashed(batches):
         for batch in slices(batches):
-            sets = [shingle_set(t, width) for t in utf8(batch.column(1))]
+            sets = [shingle_set(t, width) for t in utf8(batch.column(2))]
             columns = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "set", "size", "bands"])
-
-    def different(batches):
-        seen: set[bytes] = set()  # so that a text of many copies leaves a task once
-        for batch in slices(batches):
-            found = []
-            for i, t in enumerate(utf8(batch.column(0))):
-                key = xxhash.xxh3_128_digest(shingle_set(t, width).tobytes())
-                if key not in seen:
-                    found.append((i, key))
-                    seen.add(key)
-            if len(seen) > SEEN:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in found], pa.binary()), batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))], names=["set", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "set", "size", "bands"])
 
     def unrolled(batches):
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).view(np.int64) for t in utf8(batch.column(1))], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    sets = texts.mapInArrow(hashed, "doc_id bigint, set binary, size bigint, bands array<bigint>")
-    nodes = sets.groupBy("set").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
+    sets = texts.mapInArrow(hashed, "doc_id bigint, row bigint, set binary, size bigint, bands array<bigint>")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
+    nodes = sets.groupBy("set").agg(F.min(place).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select(F.col("first.row").alias("node"), "first", "size", "bands"), "distinct-sets")
     buckets = nodes.select("node", "size", F.explode("bands").alias("key"))
-    first = buckets.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")  # no task holds a bucket
-    members = written(buckets.join(first, "key").select("key", "node", "size", "first"), "buckets")
+    smallest = buckets.groupBy("key").agg(F.min(F.struct("node", "size")).alias("smallest"), F.count("*").alias("n")).where("n > 1")  # no task holds a bucket
+    members = written(buckets.join(smallest, "key").select("key", "node", "size", "smallest"), "buckets")
 
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("set", "node")
-    once = texts.select("text").mapInArrow(different, "set binary, text string").join(wanted, "set").dropDuplicates(["node"])
-    shingles = written(once.select("node", "text").mapInArrow(unrolled, "node bigint, shingles array<bigint>"), "shingles")
+    wanted = written(members.select("node").distinct(), "candidates")
+    once = texts.join(sized(wanted), F.col("row") == F.col("node")).select("node", "text")
+    shingles = written(once.mapInArrow(unrolled, "node bigint, shingles array<bigint>"), "shingles")
 
     comparable = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)
-    to_first = members.where((F.col("first.node") < F.col("node")) & comparable("size", "first.size")).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    to_first = members.where((F.col("smallest.node") < F.col("node")) & comparable("size", "smallest.size")).select(F.col("smallest.node").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_similar(to_first, shingles, similarity), "links-to-first")
     grouped = members.join(components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     grouped = written(grouped.join(mixed, "key", "left_semi"), "mixed-buckets")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & comparable(F.col("x.size"), F.col("y.size"))
     rest = grouped.alias("x").join(grouped.alias("y"), apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    roots = components(links.unionByName(_similar(rest, shingles, similarity)))
-    named = nodes.select("node", "set", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return named.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("set", "least_id", "component_id")
+    roots = written(components(links.unionByName(_similar(rest, shingles, similarity))), "roots")
+    named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return named.join(named.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each group of near copies (five words, similarity 0.8) the document with the smallest doc_id stays.
+    """Pipeline stage: of each group of near copies (five words, similarity 0.8) one row stays, the one with the smallest doc_id.
 
-    doc_id names a document: of repeated rows with one doc_id one stays. Rows without a doc_id can't be told apart and stay.
+    Rows without an id come last, and of rows that share an id or have none the first as the table is written counts: repeated rows are copies of
+    each other, two different texts under one id are not. Null and empty texts are copies of each other too. Other columns stay as they
+    are, whatever their names; an empty table gives no rows.
     """
-    kept = near_copies(docs).where("least_id = component_id").select(F.col("component_id").alias("__kept")).distinct()
-    known = docs.join(kept, docs["doc_id"].cast("bigint") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    own = Numbered(docs, "to-dedup")
+    kept = written(near_copies(own.rows, own.of("doc_id"), own.of("text")).where("node = least.row").select(F.col("node").alias("kept")), "kept")
+    return own.named(own.rows.join(sized(kept), F.col("row") == F.col("kept"), "left_semi"))

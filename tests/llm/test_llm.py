@@ -110,6 +110,24 @@ def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     stage = near_dedup.keep_one_of_each_group(awkward)
     assert sorted(r["doc_id"] or 0 for r in stage.collect()) == [0, 1, 4, 5, 6, 7, 8] and stage.columns == awkward.columns
+    assert near_dedup.keep_one_of_each_group(empty).count() == 0
+
+
+def test_stage_tells_rows_apart(spark):
+    rows = [(1, "one text of six words here"), (1, "another text that differs from it"), (None, "one text of six words here"), (None, "a third text of words alone"), (None, "a third text of words alone"), (7, "a third text of words alone")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    got = sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_one_of_each_group(df).collect())
+    assert got == [(1, "another text that differs from it"), (1, "one text of six words here"), (7, "a third text of words alone")]
+
+
+CLASHING = ("Score", "__spans", "__kept", "__mix", "ROW", "spans", "size", "C0", "least", "node", "words", "cut", "lang_PRED")
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumns({c: F.col("doc_id") for c in CLASHING})
+    for stage in (language.in_a_known_language, near_dedup.keep_one_of_each_group, secrets.without_secrets, mixing.mixed_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns and all(r[c] == r["doc_id"] for r in out.collect() for c in CLASHING)
 
 
 def brute_shingles(text):
@@ -185,7 +203,10 @@ def test_mix_of_awkward_rows(awkward, empty, spark):
     out = mixing.mixed_documents(awkward)
     assert out.columns == awkward.columns
     words_out = sum(len(words(r["text"])) for r in out.collect())
-    assert words_out >= sum(r["taken"] for r in got) - 10
+    assert words_out == sum(r["taken"] for r in got) > 0
+    twins = spark.createDataFrame([(1, "a b c d e", "en", "s", 9), (1, "f g h i j k l", "en", "s", 13), (None, "m n o", "en", "s", 5), (None, "p q r s", "en", "s", 7)] + [(2, "x y", "en", "t", 3)] * 5, SCHEMA)
+    taken = sum(r["taken"] for r in mixing.mix(twins).collect())
+    assert sum(len(words(r["text"])) for r in mixing.mixed_documents(twins).collect()) == taken > 0
     one = spark.createDataFrame([(i, "a b\tc  d", "en", "s", 8) for i in range(5)], SCHEMA)
     assert {r["text"] for r in mixing.mixed_documents(one).collect()} <= {"a b\tc  d", "a", "a b", "a b\tc"}
 
@@ -529,7 +550,7 @@ def test_base_spans_match_brute_force(spark, docs, rows, awkward, empty):
         want = Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
         got = Counter()
         for r in secrets.scan(df).collect():
-            got[(r["doc_id"], r["n_chars"], digest([tuple(s) for s in r["spans"] if s["place"] < 3]))] += 1
+            got[(r["doc_id"], r["length"], digest([tuple(s) for s in r["spans"] if s["place"] < 3]))] += 1
         assert got == sum((Counter({(d, len(t or ""), digest(brute_base(t))): n}) for (d, t), n in want.items()), Counter())
     assert secrets.scan(empty).count() == 0
 
