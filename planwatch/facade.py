@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwatch.operators import network
 from planwatch.operators import quote as quotes
+from planwatch.operators.collecting import operators_by_name
+
+
+#: How each table is listed where a caller asks for no other order.
+ORDERS = {
+    "documents": ("-received",), "columns": ("page", "place"), "cells": ("column_id", "band"), "versions": ("product", "place", "-version"),
+    "events": ("-at", "-id"), "sources": ("name",), "runs": ("-started",),
+}
+#: What each state and kind is called where people read it.
+LABELS = {
+    "processing": "in leitura", "review": "em revisão", "published": "publicado", "history": "histórico", "discarded": "descartado", "error": "erro",
+}
+
+
+def label(code: Column) -> Column:
+    """A state's name for people; a code without one stays."""
+    names = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, code), code)
 
 
 class Planwatch:
@@ -15,10 +33,12 @@ class Planwatch:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
         self.spark, self.tables = spark, tables
 
-    def quote(self, ages: list[int], contract: str = "") -> DataFrame:
-        """Offers for a family, cheapest first; a blank contract asks for all kinds. Wrong ages are refused."""
+    def quote(self, ages: list[int], contract: str = "", region: str = "") -> DataFrame:
+        """Offers for a family, cheapest first; a blank contract asks for all kinds. Wrong ages and regions are refused."""
         if not ages or any(not 0 <= a <= 120 for a in ages):
             raise ValueError("ages must be 0 to 120, one at least")
+        if region and not (len(region) == 2 and region.isalpha()):
+            raise ValueError("a region has two letters")
         offers = self.tables["prices"]
         if contract:
             offers = offers.where(F.lower("contract").contains(contract.lower()))
@@ -53,6 +73,21 @@ class Planwatch:
         d = self.tables["documents"]
         return (d.where(F.col("status") == status) if status else d).orderBy(F.desc("received"))
 
+    def regions(self, plan: str) -> DataFrame:
+        """A plan's regions (plan, region, hospitals, urgent), those with the most hospitals first."""
+        return self.tables["networks"].where(F.col("plan") == plan).orderBy(F.desc("hospitals"), "region")
+
+    def columns(self, doc: str) -> DataFrame:
+        """A document's columns as they stand in it."""
+        return self.tables["columns"].where(F.col("doc") == doc).orderBy("page", "table", "label")
+
+    def listed(self, name: str) -> DataFrame:
+        """A table in its own order."""
+        return self.tables[name].orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in ORDERS[name]])
+
+    def operators(self, fragment: str) -> DataFrame:
+        return operators_by_name(self.tables["operators"], fragment)
+
     def sources(self) -> DataFrame:
         return self.tables["sources"].orderBy(F.desc("reliability"), "name")
 

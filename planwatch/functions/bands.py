@@ -48,11 +48,24 @@ def unread(prices: Column) -> Column:
 
 
 def changed(old: Column, new: Column, least: float = 0.005) -> Column:
-    """The bands whose price differs by ``least`` or more, one that only one side has included."""
-    differ = lambda b: ~F.coalesce(F.abs(F.get(old, b) - F.get(new, b)) < least, F.get(old, b).isNull() & F.get(new, b).isNull())
+    """The bands that both sides sell at prices ``least`` or more apart."""
+    differ = lambda b: F.coalesce(F.abs(F.get(old, b) - F.get(new, b)) >= least, F.lit(False))
     return F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), differ)
 
 
+def variation(old: Column, new: Column, least: float = 0.005) -> Column:
+    """The ratios, less one, of the prices of the changed bands; a band that was free has none."""
+    ratio = lambda b: F.try_divide(F.get(new, b).cast("double"), F.get(old, b).cast("double")) - 1
+    return F.filter(F.transform(changed(old, new, least), ratio), lambda x: x.isNotNull())
+
+
+def middle(values: Column) -> Column:
+    """The exact median of an array of numbers; null of an empty one."""
+    v, n = F.array_sort(values), F.size(values)
+    at = lambda i: F.get(v, i.cast("int"))
+    return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+
+
 def agreement(a: Column, b: Column, least: float = 0.005) -> Column:
     """How many bands both have with the same price."""
     return F.size(F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.coalesce(F.abs(F.get(a, i) - F.get(b, i)) < least, F.lit(False))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from planwatch.functions.text import validity
+
 OUTCOMES = ("new", "known", "unchanged", "blocked", "error")
 
 
@@ -37,3 +39,68 @@ def loaded(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     both = old.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
     rest = [c for c in both.columns if c not in keys]
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "fresh").alias("_row")).select(*keys, "_row.*")
+
+
+def of_known_series(candidates: DataFrame, seen: DataFrame, docs: DataFrame) -> DataFrame:
+    """The candidates (source, key) whose source has shown the key before, or whose key a document's address reduces to."""
+    known = seen.select("source", "key").union(docs.select("source", "key")).distinct()
+    return candidates.join(known, ["source", "key"], "left_semi")
+
+
+def material_date(*sources: Column) -> Column:
+    """The date of a material: the first that is known, in order, as that of its document, the reading's, the printed one."""
+    return F.coalesce(*sources)
+
+
+def printed_validity(lines: DataFrame, pages: int = 3) -> DataFrame:
+    """(doc, starts, ends): the first validity that a line (doc, page, line, text) of a document's first pages states."""
+    said = lines.where(F.col("page") <= pages).withColumns({"starts": validity(F.col("text")), "ends": validity(F.col("text"), last=True)}).where("starts is not null")
+    return said.groupBy("doc").agg(F.min_by(F.struct("starts", "ends"), F.struct("page", "line")).alias("r")).select("doc", "r.*")
+
+
+def run_totals(documents: DataFrame, by: list[str]) -> DataFrame:
+    """What a reading of many documents comes to: documents, prices, and those confirmed, to review and read by one only."""
+    sums = {c: F.sum(c).cast("bigint").alias(c) for c in ("cells", "confirmed", "to_review", "alone")}
+    return documents.groupBy(*by).agg(F.count("*").alias("documents"), *sums.values())
+
+
+def latest_notes(notes: DataFrame, plan: str = "plan", note: str = "note", dated: str = "dated", loaded: str = "loaded") -> DataFrame:
+    """Of each plan and note the bands of its latest date; a band that was loaded twice for it as it came last. notes: (plan, note, dated, band, loaded, ...)."""
+    latest = notes.withColumn("_last", F.max(dated).over(W.partitionBy(plan, note))).where(F.col(dated) == F.col("_last")).drop("_last")
+    rest = [c for c in notes.columns if c not in (plan, note, "band")]
+    return latest.groupBy(plan, note, "band").agg(F.max_by(F.struct(*rest), loaded).alias("_r")).select(plan, note, "band", "_r.*")
+
+
+def operators_by_name(operators: DataFrame, fragment: str) -> DataFrame:
+    """Operators (name, trade_name, active) whose name or trade name holds the fragment in either case, active ones first."""
+    hit = F.contains(F.upper("name"), F.lit(fragment.upper())) | F.coalesce(F.contains(F.upper("trade_name"), F.lit(fragment.upper())), F.lit(False))
+    return operators.where(hit).orderBy(F.desc("active"), "name")
+
+
+def tables_of_operators(operators: DataFrame, tables: DataFrame, name: str = "name", operator: str = "operator", size: int = 3) -> DataFrame:
+    """(operator, table) pairs where a table's operator holds the first word of an operator's name, in either case.
+
+    A word is held just if its first ``size`` letters are, somewhere; so the different names meet by runs of so many letters, and
+    only names that share one are compared. Shorter words are looked up as they are, among runs of their own length."""
+    first = operators.select(F.col(name).alias("_name"), F.lower(F.split(F.trim(name), r"\s+")[0]).alias("_word")).where("_word <> ''").distinct()
+    first = first.withColumn("_run", F.left("_word", F.lit(size)))
+    held = tables.select(F.col(operator).alias("_operator")).distinct().withColumn("_low", F.lower("_operator"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))), lambda i: F.substr("_low", i, F.lit(n)))
+    spread = held.withColumn("_run", F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, size + 1)]))))
+    pairs = first.join(spread, "_run").where(F.contains("_low", F.col("_word"))).select("_name", "_operator").distinct()
+    return pairs.join(tables.withColumn("_operator", F.col(operator)), "_operator").select(F.col("_name").alias("asked"), *tables.columns)
+
+
+def mutated(prices: DataFrame, keys: list[str], every: int = 7) -> DataFrame:
+    """Fault injection: about one price (keys, band, cents) in ``every`` has one digit changed, which one and to what by a hash of its key, so that any
+    engine plants the same faults. Adds true_cents and kind: large (over 1 %), small (over 0.1 %), cents; null where nothing was changed."""
+    seed = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, "band"]]).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    digits = F.length(F.col("cents").cast("string"))
+    power = F.pow(F.lit(10.0), F.pmod(F.floor(seed / every), digits)).cast("bigint")
+    digit = F.pmod(F.floor(F.col("cents") / power), F.lit(10))
+    other = F.pmod(digit + 1 + F.pmod(F.floor(seed / (every * 10)), F.lit(9)), F.lit(10))
+    wrong = F.col("cents") + (other - digit) * power
+    hit = (F.pmod(seed, F.lit(every)) == 0) & (wrong > 0)
+    off = F.abs(F.col("cents") - F.col("true_cents")) / F.col("true_cents")
+    planted = prices.withColumn("true_cents", F.col("cents")).withColumn("cents", F.when(hit, wrong).otherwise(F.col("cents")).cast("bigint"))
+    return planted.withColumn("kind", F.when(F.col("cents") != F.col("true_cents"), F.when(off > 0.01, "large").when(off > 0.001, "small").otherwise("cents")))

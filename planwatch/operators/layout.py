@@ -1,22 +1,27 @@
 """Price grids from the words of pages: lines, band labels, the prices beside them, tables and columns.
 
-Words are rows (doc, page, text, x0, x1, top, base). What needs no memory of earlier rows is joins and windows; lines and tables depend
-on what was assigned before and go page by page through ``applyInPandas``; a page is small.
+Words are rows (doc, page, text, x0, x1, top, base). All but lines is joins and windows within a page. A line depends on the mean of the words
+assigned to it before and goes page by page through ``applyInPandas``; a page is small.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from planwatch.functions.text import band_of_label, money
+from planwatch.functions.tags import condition_tags
+from planwatch.functions.text import band_of_label, fold, money, registration, without_currency
+from planwatch.session import written
 
 PAGE = ["doc", "page"]
 TOLERANCE = 2.5  # points between a word and the running mean of its line
 ALIGNED = 25  # points between the labels of one table
 STRETCH = 3.5  # times the usual step that a table may skip for each band
+HEAD = 8  # bands that the head of a transposed table names at least
+#: How the words begin that tell a table's condition in its heading.
+HEADING_WORDS = ("tabela", "vidas", "copartic", "adesao", "pme", "mei", "empresarial", "vigencia", "regiao", "capital", "interior", "porte", "grupo", "compuls", "familiar", "titular", "dependente")
 
 
 def lines(words: DataFrame) -> DataFrame:
@@ -44,9 +49,24 @@ def lines(words: DataFrame) -> DataFrame:
     return words.groupBy(*PAGE).applyInPandas(assign, schema)
 
 
-def anchors(lined: DataFrame, longest: int = 4) -> DataFrame:
-    """(doc, page, line, band, x0, x1, y, height): band labels of one to ``longest`` words, of overlapping ones the one that starts first
-    and is shortest, so that a price behind it isn't taken for a part of it. A line that names eight bands and no price is the head of a transposed table and has none."""
+def amounts(lined: DataFrame) -> DataFrame:
+    """(doc, page, line, place, x0, x1, xc, yc, price) of the words that are amounts. Digits that a file draws apart, touching the amount behind
+    them, belong to it where both together are an amount."""
+    w = W.partitionBy(*PAGE, "line").orderBy("place")
+    own = without_currency(F.col("text"))
+    before, end = F.lag("text").over(w), F.lag("x1").over(w)
+    glued = F.concat(before, own)
+    joins = before.rlike(r"^\d{1,3}(\.\d{3})*\.?$") & (F.abs(F.col("x0") - end) <= 1) & money(glued).isNotNull()
+    rows = lined.withColumns({"_joins": F.coalesce(joins, F.lit(False)), "_glued": glued, "_x0": F.lag("x0").over(w), "_own": own}).where(money(own).isNotNull())
+    x0 = F.when(F.col("_joins"), F.col("_x0")).otherwise(F.col("x0"))
+    price = money(F.when(F.col("_joins"), F.col("_glued")).otherwise(F.col("_own")))
+    return rows.select(*PAGE, "line", "place", x0.alias("x0"), "x1", ((x0 + F.col("x1")) / 2).alias("xc"), ((F.col("top") + F.col("base")) / 2).alias("yc"), price.alias("price"))
+
+
+def labels(lined: DataFrame, longest: int = 4) -> DataFrame:
+    """(doc, page, line, place, band, x0, x1, y, height, head): band labels of one to ``longest`` words, of overlapping ones the one that starts
+    first and is shortest, so that a price behind it isn't taken for a part of it. head: the line names eight bands and no price, as the head of
+    a transposed table does."""
     w = W.partitionBy(*PAGE, "line").orderBy("place")
     following = [F.lead(F.struct("text", "x1"), i).over(w) for i in range(1, longest)]
     rows = lined.select(*PAGE, "line", "place", "x0", "x1", "text", ((F.col("top") + F.col("base")) / 2).alias("y"), (F.col("base") - F.col("top")).alias("height"), *[f.alias(f"n{i}") for i, f in enumerate(following, 1)])
@@ -55,54 +75,106 @@ def anchors(lined: DataFrame, longest: int = 4) -> DataFrame:
     options = F.array(*[F.struct(F.lit(i + 1).alias("size"), band_of_label(t).alias("band"), F.col(e).alias("end")) for i, (t, e) in enumerate(zip(texts, ends))])
     best = F.array_min(F.filter(options, lambda o: o["band"].isNotNull() & o["end"].isNotNull()))
     found = rows.withColumn("b", best).where("b is not null").withColumn("before", F.max(F.col("place") + F.col("b.size")).over(w.rowsBetween(W.unboundedPreceding, -1))).where("before is null or place >= before")
-    heads = lined.groupBy(*PAGE, "line").agg(F.max(money(F.col("text")).isNotNull()).alias("priced"))
+    priced = lined.groupBy(*PAGE, "line").agg(F.bool_or(money(without_currency(F.col("text"))).isNotNull()).alias("priced"))
     named = found.withColumn("named", F.size(F.collect_set("b.band").over(W.partitionBy(*PAGE, "line"))))
-    return named.join(heads, [*PAGE, "line"]).where("named < 8 or priced").select(*PAGE, "line", F.col("b.band").alias("band"), "x0", F.col("b.end").alias("x1"), "y", "height")
+    head = (F.col("named") >= HEAD) & ~F.col("priced")
+    return named.join(priced, [*PAGE, "line"]).select(*PAGE, "line", "place", F.col("b.band").alias("band"), "x0", F.col("b.end").alias("x1"), "y", "height", head.alias("head"))
 
 
 def segments(lined: DataFrame) -> DataFrame:
     """(doc, page, band, label_x, y, xs, prices): for each label the prices to its right at its height, up to the next label at that height."""
-    a = anchors(lined).withColumn("reach", F.greatest(F.lit(TOLERANCE), 0.6 * F.col("height"))).withColumn("id", F.struct("line", "x0"))
+    a = written(labels(lined), "labels").where("not head").withColumn("reach", F.greatest(F.lit(TOLERANCE), 0.6 * F.col("height"))).withColumn("id", F.struct("line", "x0"))
     b = a.select(*PAGE, F.col("x0").alias("bx"), F.col("y").alias("by"))
     bound = a.join(b, PAGE).where((F.col("bx") > F.col("x1")) & (F.abs(F.col("by") - F.col("y")) <= F.col("reach"))).groupBy(*PAGE, "id").agg(F.min("bx").alias("bound"))
-    m = lined.select(*PAGE, ((F.col("x0") + F.col("x1")) / 2).alias("xc"), ((F.col("top") + F.col("base")) / 2).alias("yc"), money(F.col("text")).alias("price")).where("price is not null")
+    m = amounts(lined).select(*PAGE, "xc", "yc", "price")
     near = (F.col("xc") > F.col("x1")) & (F.abs(F.col("yc") - F.col("y")) <= F.col("reach")) & (F.col("bound").isNull() | (F.col("xc") < F.col("bound")))
     hit = a.join(bound, [*PAGE, "id"], "left").join(m, PAGE).where(near)
     listed = hit.groupBy(*PAGE, "id", "band", "y").agg(F.array_sort(F.collect_list(F.struct("xc", "price"))).alias("v"))
     return listed.select(*PAGE, "band", F.col("id.x0").alias("label_x"), "y", F.col("v.xc").alias("xs"), F.col("v.price").cast("array<double>").alias("prices"))
 
 
+def stacked(found: DataFrame) -> DataFrame:
+    """Segments with the number of their table on the page. Labels that lie above each other make a stack; in a stack a table ends where the
+    band doesn't rise or the way down is over STRETCH times the stack's usual step for each band. A table has three segments at least."""
+    across = W.partitionBy(*PAGE).orderBy("label_x", "y")
+    apart = F.coalesce(F.col("label_x") - F.lag("label_x").over(across) > ALIGNED, F.lit(False))
+    stack = found.withColumn("_apart", apart.cast("int")).withColumn("_stack", F.sum("_apart").over(across.rowsBetween(W.unboundedPreceding, 0)))
+    down = W.partitionBy(*PAGE, "_stack").orderBy("y", "band")
+    bands, way = F.col("band") - F.lag("band").over(down), F.col("y") - F.lag("y").over(down)
+    stepped = stack.withColumns({"_bands": bands, "_way": way}).withColumn("_step", F.when(F.col("_bands") > 0, F.col("_way") / F.col("_bands")))
+    usual = F.greatest(F.coalesce(F.median("_step").over(W.partitionBy(*PAGE, "_stack")), F.lit(30.0)), F.lit(6.0))
+    ends = F.coalesce((F.col("_bands") <= 0) | (F.col("_way") > STRETCH * F.col("_usual") * F.col("_bands")), F.lit(False))
+    parted = stepped.withColumn("_usual", usual).withColumn("_ends", ends.cast("int")).withColumn("_part", F.sum("_ends").over(down.rowsBetween(W.unboundedPreceding, 0)))
+    own = W.partitionBy(*PAGE, "_stack", "_part")
+    whole = parted.withColumns({"_n": F.count("*").over(own), "_first": F.min(F.struct("y", "label_x")).over(own)}).where("_n >= 3")
+    number = F.dense_rank().over(W.partitionBy(*PAGE).orderBy("_first")) - 1
+    return whole.withColumn("table", number).drop(*[c for c in whole.columns if c.startswith("_")])
+
+
 def grids(words: DataFrame) -> DataFrame:
-    """(doc, page, table, column, band, price). A table is at least three segments whose labels are aligned, with rising bands in regular steps;
-    its columns are those of the most common number of prices, at the median of their places."""
-
-    def read(page: pd.DataFrame) -> pd.DataFrame:
-        tables: list[list] = []
-        for s in page.sort_values(["y", "label_x"]).itertuples():
-            for t in tables:
-                steps = [b.y - a.y for a, b in zip(t, t[1:])]
-                usual = pd.Series(steps).median() if steps else 30.0
-                if abs(t[-1].label_x - s.label_x) <= ALIGNED and s.band > t[-1].band and s.y - t[-1].y <= STRETCH * max(usual, 6) * (s.band - t[-1].band):
-                    t.append(s)
-                    break
-            else:
-                tables.append([s])
-        rows = []
-        for number, t in enumerate(sorted((t for t in tables if len(t) >= 3), key=lambda t: (t[0].y, t[0].label_x))):
-            sizes = pd.Series([len(s.prices) for s in t])
-            width = int(sizes.mode().iloc[0] if sizes.value_counts().iloc[0] > 1 else sizes.iloc[0])
-            centres = pd.DataFrame([list(s.xs) for s in t if len(s.prices) == width]).median()
-            for s in t:
-                seen = set()
-                for x, price in zip(s.xs, s.prices):
-                    column = int((centres - x).abs().idxmin())
-                    if column not in seen:
-                        seen.add(column)
-                        rows.append((page["doc"].iloc[0], page["page"].iloc[0], number, column, s.band, price))
-        return pd.DataFrame(rows, columns=["doc", "page", "table", "column", "band", "price"])
-
-    doc, page = (words.schema[c].dataType.simpleString() for c in PAGE)
-    return segments(lines(words)).groupBy(*PAGE).applyInPandas(read, f"doc {doc}, page {page}, `table` int, `column` int, band int, price double")
+    """(doc, page, table, column, band, price). A table's columns are those of its most common number of prices, of equally common ones the
+    topmost, at the median of their places; each price goes to the nearest column, the leftmost of several."""
+    tables = stacked(segments(written(lines(words), "lines")))
+    key = [*PAGE, "table"]
+    width = tables.groupBy(*key, F.size("xs").alias("width")).agg(F.count("*").alias("n"), F.min("y").alias("top")).groupBy(*key).agg(F.min_by("width", F.struct(-F.col("n"), F.col("top"))).alias("width"))
+    spread = tables.join(width, key)
+    centres = spread.where(F.size("xs") == F.col("width")).select(*key, F.posexplode("xs").alias("column", "x")).groupBy(*key, "column").agg(F.median("x").alias("centre"))
+    each = spread.select(*key, "band", "y", F.explode(F.arrays_zip("xs", "prices")).alias("v")).select(*key, "band", "y", F.col("v.xs").alias("x"), F.col("v.prices").alias("price"))
+    placed = each.join(centres, key).groupBy(*key, "band", "y", "x", "price").agg(F.min_by("column", F.struct(F.abs(F.col("x") - F.col("centre")), F.col("column"))).alias("column"))
+    return placed.groupBy(*key, "column", "band").agg(F.min_by("price", F.struct("y", "x")).alias("price"))
+
+
+def transposed_grids(words: DataFrame, far: int = 80) -> DataFrame:
+    """(doc, page, line, head, band, price, product, heading) of tables whose head names the bands and whose rows are products.
+
+    Rows are the lines below a head, up to the next one, with five prices or more; a line with fewer over ``far`` points below the last row ends
+    the table. A price belongs to the band whose centre is nearest, within 0.6 of the least step between centres, the leftmost of several.
+    product is the last registration in the row, heading what stands before its first price."""
+    lined = written(lines(words), "lines")
+    heads = written(labels(lined).where("head"), "heads")
+    centre = heads.withColumn("centre", (F.col("x0") + F.col("x1")) / 2)
+    gaps = centre.withColumn("gap", F.col("centre") - F.lag("centre").over(W.partitionBy(*PAGE, "line").orderBy("centre")))
+    steps = gaps.groupBy(*PAGE, F.col("line").alias("head")).agg(F.coalesce(F.min("gap"), F.lit(40.0)).alias("step"))
+    m = amounts(lined)
+    y = (F.col("top") + F.col("base")) / 2
+    of_line = lined.groupBy(*PAGE, "line").agg(F.min_by(y, "place").alias("y")).join(m.groupBy(*PAGE, "line").agg(F.count("*").alias("n"), F.min("x0").alias("first")), [*PAGE, "line"], "left")
+    of_line = of_line.join(heads.select(*PAGE, "line", F.lit(True).alias("is_head")).distinct(), [*PAGE, "line"], "left")
+    w = W.partitionBy(*PAGE).orderBy("line")
+    marked = of_line.withColumn("head", F.last(F.when(F.col("is_head"), F.col("line")), ignorenulls=True).over(w)).where("head is not null")
+    row = (F.coalesce("n", F.lit(0)) >= 5) & F.col("is_head").isNull()
+    below = W.partitionBy(*PAGE, "head").orderBy("line")
+    last = F.last(F.when(row | F.col("is_head"), F.col("y")), ignorenulls=True).over(below.rowsBetween(W.unboundedPreceding, -1))
+    broken = marked.withColumn("_over", (~row & F.col("is_head").isNull() & (F.col("y") - last > far)).cast("int"))
+    broken = broken.withColumn("_over", F.max("_over").over(below.rowsBetween(W.unboundedPreceding, 0)))
+    rows = broken.where(row & (F.coalesce("_over", F.lit(0)) == 0)).select(*PAGE, "line", "head", "first")
+    bands = centre.select(*PAGE, F.col("line").alias("head"), "band", "centre")
+    near = rows.join(m.select(*PAGE, "line", "x0", "xc", "price"), [*PAGE, "line"]).join(bands, [*PAGE, "head"]).join(steps, [*PAGE, "head"])
+    best = near.groupBy(*PAGE, "line", "head", "first", "x0", "xc", "price", "step").agg(F.min(F.struct(F.abs(F.col("xc") - F.col("centre")).alias("d"), "band")).alias("b")).where(F.col("b.d") <= 0.6 * F.col("step"))
+    cells = best.groupBy(*PAGE, "line", "head", F.col("b.band").alias("band")).agg(F.min_by("price", "x0").cast("double").alias("price"))
+    number = F.when(F.col("text").rlike(r"\d{3}\.?\d{3}/\d{2}-?\d|^\d{9}$"), registration(F.col("text")))
+    texts = lined.join(rows, [*PAGE, "line"]).groupBy(*PAGE, "line").agg(
+        F.max_by(number, F.when(number.isNotNull(), F.col("place"))).alias("product"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("x1") <= F.col("first"), F.struct("place", "text")))), lambda t: t["text"]), " ").alias("heading"),
+    )
+    return cells.join(texts, [*PAGE, "line"]).select(*PAGE, "line", "head", "band", "price", "product", F.substring("heading", -80, 80).alias("heading"))
+
+
+def heading_title(lines_: Column) -> Column:
+    """Of the lines above a table the first two that tell its condition, each once, without those that hold a registration or are short."""
+    stems = F.array(*[F.lit(f" {w}") for w in HEADING_WORDS])
+    tells = lambda x: F.exists(stems, lambda s: F.contains(F.concat(F.lit(" "), F.regexp_replace(fold(x), "[^a-z0-9]+", " ")), s))
+    kept = F.filter(F.array_distinct(lines_), lambda x: tells(x) & ~x.rlike(r"\b\d{3}\.?\d{3}/\d{2}-?\d\b") & (F.length(x) > 6))
+    return F.left(F.array_join(F.slice(kept, 1, 2), " · "), F.lit(160))
+
+
+def side_tags(words: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tags) of words written upwards or downwards beside a table (keys, text, y): read down as they are or up with each reversed,
+    whichever gives tags."""
+    listed = lambda order: F.array_sort(F.collect_list(F.struct(order, F.col("text"))))
+    read = words.groupBy(*keys).agg(listed(F.col("y").alias("o")).alias("down"), listed((-F.col("y")).alias("o")).alias("up"))  # a page's margin
+    down = condition_tags(F.array_join(F.transform("down", lambda x: x["text"]), " "))
+    up = condition_tags(F.array_join(F.transform("up", lambda x: F.reverse(x["text"])), " "))
+    return read.select(*keys, F.when(F.size(down) > 0, down).otherwise(up).alias("tags"))
 
 
 def needs_ocr(words: DataFrame, pages: DataFrame, least: int = 10) -> DataFrame:
@@ -111,6 +183,15 @@ def needs_ocr(words: DataFrame, pages: DataFrame, least: int = 10) -> DataFrame:
     return pages.join(n, "doc", "left").select("doc", (F.coalesce("n", F.lit(0)) < least * F.col("n_pages")).alias("ocr"))
 
 
+def upright(words: DataFrame, angle: Column) -> DataFrame:
+    """Words of a tilted scan turned back by their page's median angle (degrees), about the page's corner; boxes keep their size."""
+    turned = words.withColumn("_a", angle).withColumn("_a", F.radians(F.median("_a").over(W.partitionBy(*PAGE))))
+    xc, yc = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("base")) / 2
+    nx, ny = xc * F.cos("_a") + yc * F.sin("_a"), yc * F.cos("_a") - xc * F.sin("_a")
+    half_w, half_h = (F.col("x1") - F.col("x0")) / 2, (F.col("base") - F.col("top")) / 2
+    return turned.withColumns({"x0": nx - half_w, "x1": nx + half_w, "top": ny - half_h, "base": ny + half_h}).drop("_a")
+
+
 def overlapping(boxes: DataFrame, least: float = 0.3, cell: int = 50) -> DataFrame:
     """(doc, page, a, b) of boxes (doc, page, id, x0, x1, top, base) that share at least ``least`` of the smaller one. Boxes meet in cells
     of the page, so only neighbours are compared."""
@@ -124,3 +205,15 @@ def overlapping(boxes: DataFrame, least: float = 0.3, cell: int = 50) -> DataFra
     area = lambda k: (F.col(f"{k}.x1") - F.col(f"{k}.x0")) * (F.col(f"{k}.base") - F.col(f"{k}.top"))
     share = F.try_divide(side("x0", "x1") * side("top", "base"), F.least(area("a"), area("b")))
     return a.join(b, on & (F.col("a.id") < F.col("b.id"))).where(share >= least).select("a.doc", "a.page", F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def drawn_over(boxes: DataFrame, least: float = 0.3) -> DataFrame:
+    """The boxes (doc, page, id, text, drawn, ...) that stay: of two that overlap the one drawn later covers the other, of two with the same
+    text the one drawn first stays."""
+    pairs = overlapping(boxes, least)
+    of = lambda k: boxes.select(*PAGE, F.col("id").alias(k), F.col("text").alias(f"{k}_text"), F.col("drawn").alias(f"{k}_drawn"))
+    both = pairs.join(of("a"), [*PAGE, "a"]).join(of("b"), [*PAGE, "b"])
+    a_first = F.struct("a_drawn", "a") < F.struct(F.col("b_drawn"), F.col("b"))
+    same = F.col("a_text") == F.col("b_text")
+    gone = F.when(a_first, F.when(same, F.col("b")).otherwise(F.col("a"))).otherwise(F.when(same, F.col("a")).otherwise(F.col("b")))
+    return boxes.join(both.select(*PAGE, gone.alias("id")).distinct(), [*PAGE, "id"], "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from planwatch.functions.tags import compatible
+
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
@@ -18,7 +20,8 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 
 def as_of(materials: DataFrame, notes: DataFrame, key: str, at: str, noted: str) -> DataFrame:
-    """``materials`` with note_date: the latest note at or before ``at``, else the earliest of the key; null without notes.
+    """``materials`` with note_date: the latest note at or before ``at``, else the earliest of the key; the latest of all for a material
+    without a date; null without notes.
 
     Both sides go through one window, notes first on equal dates, so nothing is paired with more than one row.
     """
@@ -27,7 +30,7 @@ def as_of(materials: DataFrame, notes: DataFrame, key: str, at: str, noted: str)
     w = W.partitionBy(key)
     both = m.unionByName(n, allowMissingColumns=True)
     before = F.last("_note", ignorenulls=True).over(w.orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0))
-    found = both.withColumn("note_date", F.coalesce(before, F.min("_note").over(w)))
+    found = both.withColumn("note_date", F.when(F.col("_at").isNull(), F.max("_note").over(w)).otherwise(F.coalesce(before, F.min("_note").over(w))))
     return found.where("_kind = 1").drop("_at", "_kind", "_note")
 
 
@@ -46,19 +49,24 @@ def plausible(materials: DataFrame, notes: DataFrame, key: str, at: str, noted:
     return hit.unionByName(as_of(missed, notes, key, at, noted))
 
 
-def nearest(points: DataFrame, anchors: DataFrame, x: str, anchor_x: str, within: float, order: list[Column]) -> DataFrame:
-    """Each point with its nearest anchor at most ``within`` away; points without one go. Cells of that width make the join an equality."""
+def nearest(points: DataFrame, anchors: DataFrame, page: list[str], x: str, anchor_x: str, within: float, order: list[Column]) -> DataFrame:
+    """Each point with its nearest anchor of the same page at most ``within`` away; points without one go. Cells of that width make the join an equality."""
     p = points.withColumn("_cell", F.explode(F.array(*[(F.floor(F.col(x) / within) + d) for d in (-1, 0, 1)])))
     a = anchors.withColumn("_cell", F.floor(F.col(anchor_x) / within))
-    pairs = p.join(a, "_cell").drop("_cell").withColumn("distance", F.abs(F.col(x) - F.col(anchor_x))).where(F.col("distance") <= within)
+    pairs = p.join(a, [*page, "_cell"]).drop("_cell").withColumn("distance", F.abs(F.col(x) - F.col(anchor_x))).where(F.col("distance") <= within)
     return first_by(pairs, points.columns, [F.col("distance"), *order])
 
 
-def other_sources(rows: DataFrame, key: str, source: str) -> DataFrame:
-    """Pairs of rows of one key in different sources: (key, own, peer) as structs."""
-    a = rows.select(key, F.struct(*rows.columns).alias("own"))
-    b = rows.select(key, F.struct(*rows.columns).alias("peer"))
-    return a.join(b, key).where(F.col(f"own.{source}") != F.col(f"peer.{source}"))
+def other_sources(rows: DataFrame, key: str, source: list[str], place: str) -> DataFrame:
+    """(key, own, peer) as structs: each row (key, source, place, tags) with the row of the same key in each other source that is to be compared with it.
+
+    Only compatible tags compare; of several rows of a source the one with the most tags in common counts, then the nearest place, then the
+    first. A key's rows meet by an equality, and each keeps one row for each other source."""
+    a = rows.select(key, F.struct(*rows.columns).alias("own"), F.struct(*source).alias("_a"))
+    b = rows.select(key, F.struct(*rows.columns).alias("peer"), F.struct(*source).alias("_b"))
+    pairs = a.join(b, key).where((F.col("_a") != F.col("_b")) & compatible(F.col("own.tags"), F.col("peer.tags")))
+    common, gap = F.size(F.array_intersect("own.tags", "peer.tags")), F.abs(F.col(f"own.{place}") - F.col(f"peer.{place}"))
+    return pairs.groupBy(key, "own", "_b").agg(F.min_by("peer", F.struct(-common, gap, F.col(f"peer.{place}"))).alias("peer")).select(key, "own", "peer")
 
 
 def not_yet(candidates: DataFrame, raised: DataFrame, key: list[str]) -> DataFrame:

@@ -11,23 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from planwatch.functions import bands, tags
+from planwatch.session import written
 
 
 def greedy(edges: DataFrame, group: list[str], left: str, right: str, order: list[Column]) -> DataFrame:
     """The matched rows of ``edges`` (group, left, right, what ``order`` needs). Groups match side by side.
 
-    Rounds stop when no edge is left, after the smaller side's number of them at most. Each round is checkpointed, so the
-    plan doesn't grow with the rounds.
+    Rounds stop when no edge is left, after the smaller side's number of them at most. Each round is written to the shared
+    folder, so the plan doesn't grow with the rounds.
     """
     taken, rest = None, edges
     while True:
         best = lambda side: F.row_number().over(W.partitionBy(*group, side).orderBy(*order))
         ranked = rest.withColumns({"_l": best(left), "_r": best(right)})
-        now = ranked.where("_l = 1 and _r = 1").drop("_l", "_r").checkpoint()
+        now = written(ranked.where("_l = 1 and _r = 1").drop("_l", "_r"), "matched")
         if now.isEmpty():
             return taken if taken is not None else now
         taken = now if taken is None else taken.unionByName(now)
-        rest = rest.join(now.select(*group, left), [*group, left], "left_anti").join(now.select(*group, right), [*group, right], "left_anti").checkpoint()
+        rest = rest.join(now.select(*group, left), [*group, left], "left_anti").join(now.select(*group, right), [*group, right], "left_anti")
+        rest = written(rest, "edges")
 
 
 def _numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -56,7 +58,8 @@ def match_readings(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
     left = a.select(*group, F.col("place").alias("i"), F.col("page").alias("pa"), F.col("prices").alias("xa"))
     right = b.select(*group, F.col("place").alias("j"), F.col("page").alias("pb"), F.col("prices").alias("xb"))
     gap = F.abs(F.col("pa") - F.col("pb"))
-    edges = left.join(right, group).where(gap <= 1).withColumn("equal", bands.agreement(F.col("xa"), F.col("xb"))).withColumn("gap", gap)
+    beside = left.withColumn("pb", F.explode(F.array(F.col("pa") - 1, F.col("pa"), F.col("pa") + 1)))  # so that only neighbouring pages meet
+    edges = beside.join(right, [*group, "pb"]).withColumn("equal", bands.agreement(F.col("xa"), F.col("xb"))).withColumn("gap", gap)
     edges = edges.where((F.col("equal") >= 8) | ((F.col("gap") == 0) & (F.col("equal") >= 3))).select(*group, "i", "j", "equal", "gap")
     return greedy(edges, group, "i", "j", [F.desc("equal"), F.col("gap"), F.desc("i"), F.desc("j")])
 
@@ -64,3 +67,12 @@ def match_readings(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
 def first_of_signature(rows: DataFrame, signature: list[str], order: list[str]) -> DataFrame:
     """``rows`` with is_first: whether no earlier row has the same signature, nulls alike."""
     return rows.withColumn("is_first", F.row_number().over(W.partitionBy(*signature).orderBy(*order)) == 1)
+
+
+def leftovers(rows: DataFrame, matched: DataFrame, group: list[str], signature: list[str], order: list[str]) -> DataFrame:
+    """The rows (group, place, ...) that no match took, with repeated: whether a taken row, or an earlier one of them, has the same signature. Repeated
+    ones are copies to drop, and their number is what is told of them; the others are columns that one reader alone has read."""
+    taken = matched.select(*group, F.col("j").alias("place")).withColumn("_taken", F.lit(True))
+    marked = rows.join(taken, [*group, "place"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
+    first = F.row_number().over(W.partitionBy(*group, *signature).orderBy(F.desc("_taken"), *order))
+    return marked.withColumn("repeated", first > 1).where("not _taken").drop("_taken")

@@ -33,3 +33,24 @@ def changes(requests: DataFrame, protocol: str, order: str, sides: dict[str, tup
         ordered = F.array_sort(F.collect_list(F.when(which, F.struct(F.col(order), F.col(column)))))
         lists[name] = F.array_distinct(ordered[column])
     return requests.groupBy(protocol).agg(*[c.alias(k) for k, c in lists.items()])
+
+
+def approved(requests: DataFrame, today: Column, region: str | None = None, ahead: bool = False, days: int = 90) -> DataFrame:
+    """Requests (result, effective, region_out, region_in, ...) that were granted and are in force since at most ``days`` days, or will be; of one
+    region on either side if given, and only those still ahead if asked for."""
+    kept = requests.where(F.lower("result").startswith("deferid") & (F.col("effective") >= F.date_sub(today, days)))
+    if region:
+        kept = kept.where((F.col("region_out") == region) | (F.col("region_in") == region))
+    return kept.where(F.col("effective") >= today) if ahead else kept
+
+
+def of_plans(requests: DataFrame, plans: DataFrame, key: str = "plan") -> DataFrame:
+    """The requests of the plans asked for: the reading of a register can drop the others before anything else."""
+    return requests.join(plans.select(key).distinct(), key, "left_semi")
+
+
+def municipality(links: DataFrame, names: DataFrame, code: str = "code", name: str = "municipality") -> DataFrame:
+    """``links`` with the name of each row's municipality: its own, else the register's (code, name), else the code itself."""
+    known = names.select(F.col("code").alias(code), F.col("name").alias("_name"))
+    own = F.nullif(F.trim(F.coalesce(name, F.lit(""))), F.lit(""))
+    return links.join(known, code, "left").withColumn(name, F.coalesce(own, "_name", F.col(code).cast("string"))).drop("_name")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from planwatch.functions.bands import is_complete
 from planwatch.operators.matching import match_conditions
+from planwatch.operators.versions import chains
 
 
 def publishable(columns: DataFrame, cells: DataFrame, key: str = "column_id") -> DataFrame:
@@ -56,3 +57,45 @@ def place_in_history(chain: DataFrame, older: DataFrame, keys: list[str]) -> Dat
     same = F.coalesce(F.col("_before.prices") == F.col("prices"), F.lit(False)) | F.coalesce(F.col("_after.prices") == F.col("prices"), F.lit(False))
     action = F.when(F.col("_there"), "there").when(F.col("_after").isNull() & F.coalesce("_before.is_current", F.lit(False)), "deferred").when(same, "equal").otherwise("inserted")
     return placed.select(*keys, "doc", "dated", "prices", action.alias("action"))
+
+
+def inserted_history(chain: DataFrame, older: DataFrame, keys: list[str]) -> DataFrame:
+    """The chain (keys, doc, dated, prices, is_current) with the rows of ``older`` that belong into it, numbered anew by date: (..., version,
+    next_doc). Nothing that is current changes; a row that is there already, equals a neighbour or would supersede the current one isn't inserted."""
+    placed = place_in_history(chain, older, keys).where("action = 'inserted'").select(*keys, "doc", "dated", "prices", F.lit(False).alias("is_current"))
+    whole = chain.select(*keys, "doc", "dated", "prices", "is_current").unionByName(placed)
+    w = W.partitionBy(*keys).orderBy("dated", "is_current", "doc")
+    return whole.withColumns({"version": F.row_number().over(w), "next_doc": F.lead("doc").over(w)})
+
+
+def history_documents(docs: DataFrame) -> DataFrame:
+    """Documents under review (doc, series, dated, status) of whose series a newer one is there, discarded and failed ones aside: they go into
+    history without waiting for review, as nothing that is quoted changes."""
+    known = docs.where(~F.col("status").isin("discarded", "error"))
+    newest = known.groupBy("series").agg(F.max("dated").alias("_newest"))
+    return docs.where("status = 'review'").join(newest, "series").where("_newest > dated").drop("_newest")
+
+
+def resolved_by_history(events: DataFrame, docs: DataFrame, kinds: list[str]) -> DataFrame:
+    """``events`` (doc, type, resolved) without the open ones of ``kinds`` about documents (doc) that went into history: they speak of what is quoted."""
+    gone = docs.select("doc").distinct().withColumn("_gone", F.lit(True))
+    return events.join(gone, "doc", "left").where(~(F.coalesce("_gone", F.lit(False)) & F.col("type").isin(*kinds) & ~F.col("resolved"))).drop("_gone")
+
+
+def replayed(documents: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """What publishing all columns of ``documents`` (keys, at, arrived, prices), one document after the other as they arrived, leads to: as a chain
+    depends on dates alone, all at once. Adds late: whether a row came after one of a later date."""
+    w = W.partitionBy(*keys).orderBy("arrived").rowsBetween(W.unboundedPreceding, -1)
+    marked = documents.withColumn("late", F.coalesce(F.max(at).over(w) > F.col(at), F.lit(False)))
+    return chains(marked, keys, at, tie="arrived")
+
+
+def published_columns(columns: DataFrame, docs: DataFrame, plans: DataFrame) -> DataFrame:
+    """What a published table says of itself, for columns (doc, product, column, prices, place, tags): name, operator and contract are those of the
+    register's plan (product, name, operator, contract) where it knows the plan, even if they are empty, else the document's (doc, operator, contract,
+    administrator, source, from, until)."""
+    known = plans.withColumn("_known", F.lit(True)).withColumnsRenamed({c: f"_plan_{c}" for c in ("name", "operator", "contract")})
+    of_docs = docs.withColumnsRenamed({c: f"_doc_{c}" for c in ("operator", "contract")})
+    pick = lambda plan, own: F.when(F.col("_known"), F.col(plan)).otherwise(F.col(own))
+    made = columns.join(of_docs, "doc").join(known, "product", "left").withColumns({"name": pick("_plan_name", "column"), "operator": pick("_plan_operator", "_doc_operator"), "contract": pick("_plan_contract", "_doc_contract")})
+    return made.drop(*[c for c in made.columns if c.startswith("_")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planwatch.functions.bands import band_of_age
@@ -20,8 +20,33 @@ def quote(offers: DataFrame, ages: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def divergences(quotes: DataFrame, product: str, source: str, least: int = 1) -> DataFrame:
-    """Pairs of offers of a product from different sources whose totals differ by ``least`` or more: (product, source, other, difference)."""
+    """Pairs of offers of a product from different sources whose totals differ by ``least`` or more: (request, product, source, other,
+    difference, ratio, other_newer) for quotes with dated, the date of the material: ratio is the other total over this one, less one; a
+    material without a date is older than any with one."""
     a, b = quotes.alias("a"), quotes.alias("b")
     on = (F.col(f"a.{product}") == F.col(f"b.{product}")) & (F.col(f"a.{source}") != F.col(f"b.{source}")) & (F.col("a.request") == F.col("b.request"))
-    gap = F.col("b.total") - F.col("a.total")
-    return a.join(b, on).where(F.abs(gap) >= least).select("a.request", f"a.{product}", f"a.{source}", F.col(f"b.{source}").alias("other"), gap.alias("difference"))
+    gap, first = F.col("b.total") - F.col("a.total"), F.lit("0001-01-01").cast("date")
+    newer = F.coalesce("b.dated", first) > F.coalesce("a.dated", first)
+    ratio = F.try_divide(F.col("b.total").cast("double"), F.col("a.total").cast("double")) - 1
+    return a.join(b, on).where(F.abs(gap) >= least).select("a.request", f"a.{product}", f"a.{source}", F.col(f"b.{source}").alias("other"), gap.alias("difference"), ratio.alias("ratio"), newer.alias("other_newer"))
+
+
+def days_since(confirmed: Column, published: Column, now: Column) -> Column:
+    """Whole days since a price was last confirmed, or published if it never was."""
+    return F.floor((F.unix_timestamp(now) - F.unix_timestamp(F.coalesce(confirmed, published))) / 86400).cast("int")
+
+
+def detailed(quotes: DataFrame, keys: list[str], versions: DataFrame, networks: DataFrame, changes: DataFrame, now: Column, region: str | None = None, source: str = "source") -> DataFrame:
+    """Quotes (request, keys, total) with where they come from and what is known about their plan.
+
+    From versions (keys, name, condition, dated, from, until, version, doc, published, confirmed, readers): all of it, and days since confirmation and
+    whether two readers agreed. From networks (product, region, hospitals, urgent): the plan's totals, and those in ``region``. From approved
+    changes (product, protocol, region, effective): how many there are, of the region, or without one those that are still ahead. ``others`` is
+    how many other sources ask for another total. Each side is one row a key before it is joined."""
+    total = networks.groupBy("product").agg(F.sum("hospitals").alias("hospitals"), F.sum("urgent").alias("urgent"), F.sum(F.when(F.col("region") == F.lit(region), F.col("hospitals"))).alias("hospitals_in_region"))
+    near = changes.where(F.col("region") == F.lit(region)) if region else changes.where(F.col("effective") >= F.to_date(now))
+    coming = near.groupBy("product").agg(F.count_distinct("protocol").alias("network_changes"))
+    made = quotes.join(versions, keys).withColumns({"days": days_since(F.col("confirmed"), F.col("published"), now), "two_readers": F.col("readers") == 2})
+    other = divergences(made, "product", source).groupBy("request", "product", source).agg(F.count("*").alias("others"))
+    made = made.join(total, "product", "left").join(coming, "product", "left").join(other, ["request", "product", source], "left")
+    return made.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("network_changes", "others")})

@@ -23,19 +23,31 @@ def effective(chosen: Column, a: Column, b: Column) -> Column:
 
 def needs_review(cells: DataFrame, findings: DataFrame, column: list[str], dual: bool = True) -> DataFrame:
     """``cells`` (column, band, status) with review: divergent, read once where two readers were at work, or named by a finding
-    (column, band) that is an error or alert; a finding without a band names the whole column."""
+    (column, severity, bands) that is an error or alert; a finding that names no band is about the whole column."""
     f = findings.where(F.col("severity").isin("error", "alert"))
-    whole = f.where(F.col("band").isNull()).select(*column).distinct().withColumn("_whole", F.lit(True))
-    one = f.where(F.col("band").isNotNull()).select(*column, "band").distinct().withColumn("_one", F.lit(True))
+    whole = f.where(F.size("bands") == 0).select(*column).distinct().withColumn("_whole", F.lit(True))
+    one = f.select(*column, F.explode("bands").alias("band")).distinct().withColumn("_one", F.lit(True))
     alone = F.col("status").isin("only_a", "only_b") if dual else F.lit(False)
     review = (F.col("status") == "divergent") | alone | F.coalesce("_whole", F.lit(False)) | F.coalesce("_one", F.lit(False))
     return cells.join(whole, column, "left").join(one, [*column, "band"], "left").withColumn("review", review).drop("_whole", "_one")
 
 
-def _agrees(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """Both columns have the same ratio, but for rounding to cents; null if a price is missing or no ratio can be formed."""
-    bound = F.lit(SLACK) * (F.try_divide(F.lit(0.005), a0) + F.try_divide(F.lit(0.005), a1) + F.try_divide(F.lit(0.005), b0) + F.try_divide(F.lit(0.005), b1))
-    return F.abs(F.try_divide(F.try_divide(a1, a0), F.try_divide(b1, b0)) - 1) <= bound
+def _transitions(df: DataFrame, keys: list[str], prices: str, mark: str) -> DataFrame:
+    """(keys, r1..r9, e1..e9, rises, falls): the ratio of each price to the one before it, how much of it rounding to cents explains, and
+    the ratios into and out of each band. Made once for each column, as flat columns, so that comparing two needs no lambda."""
+    p = [F.get(F.col(prices), F.lit(i)).cast("double") for i in range(10)]
+    flat = df.select(*keys, *[x.alias(f"p{i}") for i, x in enumerate(p)])
+    ratio = lambda a, b: F.try_divide(F.col(f"p{a}"), F.col(f"p{b}"))
+    error = lambda i: F.try_divide(F.lit(0.005), F.col(f"p{i}"))
+    none = F.lit(None).cast("double")
+    rises = F.array(none, *[ratio(i, i - 1) for i in range(1, 10)])
+    falls = F.array(*[ratio(i + 1, i) for i in range(9)], none)
+    made = [c for i in range(1, 10) for c in (ratio(i, i - 1).alias(f"{mark}r{i}"), (error(i - 1) + error(i)).alias(f"{mark}e{i}"))]
+    return flat.select(*keys, *made, rises.alias(f"{mark}rises"), falls.alias(f"{mark}falls"))
+
+
+#: Which bands two columns of one pattern can differ in, by the bits of the transitions that differ: a band touches those into and out of it.
+_BANDS_OF = {0: range(10)} | {1 << i: (i - 1, i) for i in range(1, 10)} | {3 << i: (i,) for i in range(1, 9)}
 
 
 def recompute(columns: DataFrame, doc: str, column: str, prices: str = "prices") -> DataFrame:
@@ -43,30 +55,60 @@ def recompute(columns: DataFrame, doc: str, column: str, prices: str = "prices")
 
     A peer has at least six comparable transitions and differs from the column in none but those that touch the band. Two peers are
     needed. The medians of their ratios give an estimate from the band below and one from above, which must agree. Columns
-    are compared within a document only; the comparison is one row for each pair of columns and differing transitions, not for each band.
+    are compared within a document only; the comparison is one row for each pair of columns.
     """
-    x = columns.select(doc, F.col(column).alias("c"), F.transform(prices, lambda p: p.cast("double")).alias("s"))
-    y = x.select(doc, F.col("c").alias("p"), F.col("s").alias("t"))
-    step = F.sequence(F.lit(1), F.lit(9))
-    agrees = lambda i: _agrees(F.get("s", i - 1), F.get("s", i), F.get("t", i - 1), F.get("t", i))
-    pairs = x.join(y, doc).where("c <> p").withColumn("same", F.transform(step, agrees)).where(F.size(F.filter("same", lambda q: q.isNotNull())) >= TRANSITIONS)
-    pairs = pairs.withColumn("differ", F.filter(step, lambda i: ~F.get("same", i - 1))).where(F.size("differ") <= 2)
-    at = pairs.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(9)))).where(F.size(F.array_except("differ", F.array(F.col("band"), F.col("band") + 1))) == 0)
-    ratio = lambda a, b: F.try_divide(F.get("t", a), F.get("t", b))
+    named = columns.select(doc, F.col(column).alias("c"), F.transform(prices, lambda p: p.cast("double")).alias("s"))
+    x, y = _transitions(named, [doc, "c"], "s", "x"), _transitions(named, [doc, "c"], "s", "y").withColumnRenamed("c", "p")
+    off = [F.abs(F.try_divide(F.col(f"xr{i}"), F.col(f"yr{i}")) - 1) > F.lit(SLACK) * (F.col(f"xe{i}") + F.col(f"ye{i}")) for i in range(1, 10)]
+    known, differ = F.lit(0), F.lit(0)
+    for i, o in enumerate(off, 1):
+        known, differ = known + F.when(o.isNotNull(), 1).otherwise(0), differ + F.when(o, 1 << i).otherwise(0)
+    pairs = x.join(y, doc).where("c <> p").select(doc, "c", "yrises", "yfalls", known.alias("known"), differ.alias("differ")).where(F.col("known") >= TRANSITIONS)
+    bands = F.create_map(*[c for k, v in _BANDS_OF.items() for c in (F.lit(k), F.array(*map(F.lit, v)))])
+    at = pairs.where(F.col("differ").isin(*_BANDS_OF)).withColumn("band", F.explode(F.try_element_at(bands, F.col("differ"))))
+    medians = at.groupBy(doc, "c", "band").agg(F.count("*").alias("support"), F.median(F.get("yrises", F.col("band"))).alias("up"), F.median(F.get("yfalls", F.col("band"))).alias("down"))
+    estimates = medians.where(F.col("support") >= PEERS).join(named, [doc, "c"])
     band = F.col("band")
-    estimates = at.groupBy(doc, "c", "band").agg(F.first("s").alias("s"), F.count("*").alias("support"), F.median(F.when(band > 0, ratio(band, band - 1))).alias("up"), F.median(F.when(band < 9, ratio(band + 1, band))).alias("down"))
     below, above = F.when(band > 0, F.get("s", band - 1)) * F.col("up"), F.try_divide(F.when(band < 9, F.get("s", band + 1)), F.col("down"))
     value = F.when(below.isNull() | above.isNull(), F.coalesce(below, above)).when(F.abs(below - above) <= APART, (below + above) / 2)
-    return estimates.where(F.col("support") >= PEERS).withColumn("value", F.round(value, 2)).where(F.col("value").isNotNull()).select(doc, F.col("c").alias(column), "band", "value", "support")
+    return estimates.withColumn("value", F.round(value, 2)).where(F.col("value").isNotNull()).select(doc, F.col("c").alias(column), "band", "value", "support")
 
 
-def apply_recompute(cells: DataFrame, values: DataFrame, column: list[str]) -> DataFrame:
+def apply_recompute(cells: DataFrame, values: DataFrame, column: list[str], dual: bool = True, scanned: bool = False) -> DataFrame:
     """``cells`` (column, band, a, b, status) with value, chosen and outcome: an unresolved price that one reader has within 0.015 of the
-    value is confirmed_calc and chosen (reader a first); else doubtful by more than 0.10 on a confirmed price or 0.025 on another; a value
-    never replaces a price by itself, and one without a reading is a suggestion."""
-    joined = cells.join(values.select(*column, "band", "value"), [*column, "band"], "left")
+    value is confirmed_calc and chosen (reader a first). Otherwise a trusted price that is over 0.10 off gives info, another one that is over
+    0.025 off an alert; trusted are confirmed prices, and all where one reader read a text that is no scan. A value never replaces a
+    price by itself, and one without a reading is a suggestion."""
+    joined = cells.join(values.select(*column, "band", "value"), [*column, "band"], "full")
     near = lambda c: F.coalesce(F.abs(F.col(c) - F.col("value")) <= 0.015, F.lit(False))
     open_, off = F.col("status") != "confirmed", F.abs(F.coalesce("a", "b") - F.col("value"))
+    trusted = ~open_ | F.lit(not (dual or scanned))
     outcome = F.when(F.col("value").isNull(), None).when(F.col("status").isNull(), "suggestion").when(open_ & (near("a") | near("b")), "confirmed_calc")
-    outcome = outcome.when(~open_ & (off > 0.10), "info").when(open_ & (off > 0.025), "alert")
+    outcome = outcome.when(trusted & (off > 0.10), "info").when(~trusted & (off > 0.025), "alert")
     return joined.withColumn("chosen", F.when(open_ & near("a"), F.col("a")).when(open_ & near("b"), F.col("b"))).withColumn("outcome", outcome)
+
+
+def recompute_findings(applied: DataFrame, column: list[str]) -> DataFrame:
+    """Findings (column, rule, severity, bands) of prices that the pattern of their peers contradicts."""
+    return applied.where(F.col("outcome").isin("info", "alert")).select(*column, F.lit("off_calculation").alias("rule"), F.col("outcome").alias("severity"), F.array("band").alias("bands"))
+
+
+def suggestions(applied: DataFrame, column: list[str]) -> DataFrame:
+    """(column, suggested): the values of bands that nobody read, in order, for the finding about unread bands."""
+    each = F.struct("band", "value")
+    return applied.where("outcome = 'suggestion'").groupBy(*column).agg(F.array_sort(F.collect_list(each)).alias("suggested"))  # ten at most
+
+
+def reviewed_anew(applied: DataFrame, findings: DataFrame, column: list[str], dual: bool = True) -> DataFrame:
+    """The cells that were read, with their status after recomputation and review by it: what the value confirmed needs no review
+    any more, what it contradicts does."""
+    status_ = F.when(F.col("outcome") == "confirmed_calc", "confirmed_calc").otherwise(F.col("status"))
+    cells = applied.where("status is not null").withColumn("status", status_)
+    all_ = findings.select(*column, "severity", "bands").unionByName(recompute_findings(applied, column).select(*column, "severity", F.col("bands").cast("array<int>").alias("bands")))
+    return needs_review(cells, all_, column, dual)
+
+
+def summary(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of cells by status, of those to review and of those corrected: refreshed after each review from the cells themselves."""
+    kinds = ("confirmed", "confirmed_calc", "divergent", "only_a", "only_b")
+    return cells.groupBy(*by).agg(F.count("*").alias("cells"), *[F.count_if(F.col("status") == k).alias(k) for k in kinds], F.count_if("review").alias("to_review"), F.count_if(F.col("chosen").isNotNull()).alias("chosen"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from planwatch.functions import bands
+from planwatch.operators.matching import match_conditions
 
 
 def chains(rows: DataFrame, keys: list[str], at: str, prices: str = "prices", tie: str | None = None) -> DataFrame:
@@ -22,13 +23,28 @@ def chains(rows: DataFrame, keys: list[str], at: str, prices: str = "prices", ti
     return held.withColumn("next_at", F.lead(at).over(by)).withColumn("is_current", F.col("next_at").isNull())
 
 
-def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, change, n_changed): equal, changed, added or removed, for old and new columns (keys, prices)."""
-    a = old.select(*keys, F.col("prices").alias("_old"), F.lit(True).alias("_a"))
-    b = new.select(*keys, F.col("prices").alias("_new"), F.lit(True).alias("_b"))
-    moved = F.size(bands.changed(F.col("_old"), F.col("_new")))
-    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(moved == 0, "equal").otherwise("changed")
-    return a.join(b, keys, "full").select(*keys, change.alias("change"), F.when(change.isin("equal", "changed"), moved).alias("n_changed"))
+def diff(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, old_place, new_place, change, n_changed, variation): equal, changed, added or removed, for old and new columns (keys, tags, prices).
+
+    Columns of one key match by condition, not by position; a band counts as changed where both sides sell it at another price, and variation
+    is the median of how much. Columns without a registration are no rows of either."""
+    pairs = match_conditions(old, new, keys, order)
+    moved = bands.changed(F.col("old.prices"), F.col("new.prices"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.size(moved) == 0, "equal").otherwise("changed")
+    both = change.isin("equal", "changed")
+    place = lambda side: F.col(f"{side}.{order[0]}")
+    return pairs.select(*keys, place("old").alias("old_place"), place("new").alias("new_place"), change.alias("change"), F.when(both, F.size(moved)).alias("n_changed"), F.when(both, bands.middle(bands.variation(F.col("old.prices"), F.col("new.prices")))).alias("variation"))
+
+
+def reordered(old: DataFrame, new: DataFrame, doc: list[str], product: str, at: str) -> DataFrame:
+    """(doc, common, reordered): whether the products that two versions of a document share come in another order of first appearance.
+
+    Orders are compared by neighbours: a product whose successor among the common ones differs shows it, so no list is gathered."""
+    first = lambda df, name: df.groupBy(*doc, product).agg(F.min(at).alias(name))
+    both = first(old, "_a").join(first(new, "_b"), [*doc, product])
+    following = lambda c: F.lead(product).over(W.partitionBy(*doc).orderBy(c, product))
+    moved = both.withColumns({"_x": following("_a"), "_y": following("_b")})
+    return moved.groupBy(*doc).agg(F.count("*").alias("common"), F.bool_or(~F.col("_x").eqNullSafe(F.col("_y"))).alias("reordered"))
 
 
 def retired(current: DataFrame, incoming: DataFrame, product: str, condition: str) -> DataFrame:

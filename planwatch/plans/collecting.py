@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from planwatch.functions import bands
-from planwatch.operators import collecting
-from planwatch.plans.prices import FALLS, KEYS, STATUS, review_flag
+from planwatch.operators import collecting, events, reconcile
+from planwatch.plans.prices import KEYS, RULES, STATUS, reconcile_status, review_flag
 from planwatch.plans.registers import LINKS, network_summary
 from planwatch.plans.registry import Tables, query
 from planwatch.plans.views import PRICES, prices, wide
@@ -76,6 +76,43 @@ def recording_choice(t: Tables) -> DataFrame:
     return files.preferred_recording(made, ["1-URGENT", "3-MEDIUM"]).select("sha", "model", "recorded_at")
 
 
+@query("WITH n AS (SELECT l_suppkey AS plan, l_partkey % 3 AS note, CAST(date_trunc('year', l_shipdate) AS DATE) AS dated, CAST(l_quantity AS BIGINT) % 10 AS band, l_orderkey * 10 + l_linenumber AS loaded, l_partkey AS vcm FROM lineitem), m AS (SELECT *, max(dated) OVER (PARTITION BY plan, note) AS last FROM n) SELECT plan, note, band, arg_max(dated, loaded) AS dated, max(loaded) AS loaded, arg_max(vcm, loaded) AS vcm FROM m WHERE dated = last GROUP BY plan, note, band")
+def latest_notes(t: Tables) -> DataFrame:
+    """Of each plan and note the bands of its latest date, each as it was loaded last."""
+    notes = t.lineitem.select(F.col("l_suppkey").alias("plan"), (F.col("l_partkey") % 3).alias("note"), F.trunc("l_shipdate", "year").alias("dated"), (F.col("l_quantity").cast("bigint") % 10).alias("band"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("loaded"), F.col("l_partkey").alias("vcm"))
+    return collecting.latest_notes(notes)
+
+
+@query("WITH c AS (SELECT c_custkey AS key, c_nationkey AS source FROM customer), s AS (SELECT user_id AS key, event_id % 3 AS source FROM events UNION SELECT o_custkey, o_orderkey % 25 FROM orders) SELECT key, CAST(source AS BIGINT) AS source FROM c WHERE (key, source) IN (SELECT (key, source) FROM s)")
+def known_series(t: Tables) -> DataFrame:
+    candidates = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("bigint").alias("source"))
+    seen = t.events.select((F.col("event_id") % 3).cast("bigint").alias("source"), F.col("user_id").alias("key"))
+    return collecting.of_known_series(candidates, seen, t.orders.select((F.col("o_orderkey") % 25).cast("bigint").alias("source"), F.col("o_custkey").alias("key"))).select("key", "source")
+
+
+@query("WITH r AS (SELECT user_id AS capture, event_id AS run, ts, CASE WHEN event_type = 'click' THEN 'error' ELSE 'ok' END AS outcome, CAST(floor(value / 30) AS BIGINT) AS found FROM events), b AS (SELECT *, last_value(CASE WHEN outcome = 'ok' AND found > 0 THEN found END IGNORE NULLS) OVER (PARTITION BY capture ORDER BY ts, run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) SELECT run, CASE WHEN outcome = 'error' THEN 'failed' ELSE 'found_nothing' END AS kind, CASE WHEN outcome = 'error' THEN 'no answer' ELSE 'found nothing, ' || before || ' before' END AS message FROM b WHERE outcome = 'error' OR (found = 0 AND before IS NOT NULL AND capture % 2 = 0)")
+def run_alerts(t: Tables) -> DataFrame:
+    runs = t.events.select(F.col("user_id").alias("capture"), F.col("event_id").alias("run"), F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") == "click", "error").otherwise("ok").alias("outcome"), F.lit("no answer").alias("message"), F.floor(F.col("value") / 30).alias("found"), (F.col("user_id") % 2 == 0).alias("complete"))
+    return events.of_runs(runs)
+
+
+@query(f"WITH {STATUS}, c AS (SELECT source, version, count(*) AS cells, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status <> 'confirmed') AS to_review, count(*) FILTER (status IN ('only_a', 'only_b')) AS alone FROM cells GROUP BY ALL) SELECT source, count(*) AS documents, CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(confirmed) AS BIGINT) AS confirmed, CAST(sum(to_review) AS BIGINT) AS to_review, CAST(sum(alone) AS BIGINT) AS alone FROM c GROUP BY source")
+def run_totals(t: Tables) -> DataFrame:
+    """What reading each source's documents comes to; their summaries are those of their cells."""
+    cells = reconcile_status(t).withColumns({"review": F.col("status") != "confirmed", "chosen": F.lit(None).cast("bigint")})
+    each = reconcile.summary(cells, ["source", "version"])
+    return collecting.run_totals(each.withColumn("alone", F.col("only_a") + F.col("only_b")), ["source"])
+
+
+@query("SELECT conv_id, count(DISTINCT role || ':' || len(text) // 40) AS kinds, string_agg(DISTINCT role || ':' || len(text) // 40, ',' ORDER BY role || ':' || len(text) // 40) AS listed FROM conversations GROUP BY ALL")
+def distinct_entries(t: Tables) -> DataFrame:
+    """Entries of several pages, equal ones once however many fields they have."""
+    entry = F.struct("role", F.expr("length(text) div 40").alias("size"))
+    found = t.conversations.groupBy("conv_id").agg(F.array_distinct(F.array_sort(F.collect_list(entry))).alias("e"))
+    listed = F.array_sort(F.transform("e", lambda x: F.concat_ws(":", x["role"], x["size"].cast("string"))))
+    return found.select("conv_id", F.size("e").cast("bigint").alias("kinds"), F.array_join(listed, ",").alias("listed"))
+
+
 @query("WITH n AS (SELECT o_custkey AS plan, CAST(o_orderdate AS DATE) AS noted, o_orderkey AS note, o_orderstatus AS band FROM orders) SELECT plan, noted, count(*) AS notes, string_agg(note || ':' || band, ',' ORDER BY note) AS listed FROM n GROUP BY ALL")
 def notes_by_date(t: Tables) -> DataFrame:
     notes = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
@@ -118,7 +155,7 @@ def price_dispersion(t: Tables) -> DataFrame:
     return wide(t).select(*KEYS, (F.try_divide(F.array_max("prices"), F.array_min("prices")) - 1).alias("dispersion"))
 
 
-@query(f"WITH {STATUS}, {FALLS}, v AS (SELECT c.source, NOT (status <> 'confirmed' OR f.band IS NOT NULL) AS fit FROM cells c LEFT JOIN falls f ON c.product = f.product AND c.source = f.source AND c.version = f.version AND c.band = f.band) SELECT source, count(*) AS cells, count(*) FILTER (fit) AS automatic, count(*) FILTER (fit) / count(*) AS share FROM v GROUP BY source")
+@query(f"WITH {STATUS}, {RULES}, named AS (SELECT DISTINCT product, source, version, unnest(bands) AS band FROM found WHERE severity <> 'info'), v AS (SELECT c.source, NOT (status <> 'confirmed' OR n.band IS NOT NULL) AS fit FROM cells c LEFT JOIN named n ON c.product = n.product AND c.source = n.source AND c.version = n.version AND c.band = n.band) SELECT source, count(*) AS cells, count(*) FILTER (fit) AS automatic, count(*) FILTER (fit) / count(*) AS share FROM v GROUP BY source")
 def automation_rate(t: Tables) -> DataFrame:
     """How many prices need no review, by source."""
     automatic = F.count_if(~F.col("review"))

@@ -11,23 +11,87 @@ from planwatch.plans.registry import Tables, query
 from planwatch.plans.views import PRICES, prices, wide
 
 
-@query("WITH p AS (SELECT p_partkey % 50 AS doc, p_partkey AS n, p_size FROM part), c AS (SELECT doc, n, p_size, row_number() OVER (PARTITION BY doc ORDER BY n) - 1 AS col FROM p QUALIFY col < 4) SELECT doc, CAST(1 AS INT) AS page, CAST(0 AS INT) AS \"table\", CAST(col AS INT) AS \"column\", CAST(b AS INT) AS band, (p_size * 1000 + 12345 + b * 777)::DOUBLE / 100 AS price FROM c, range(10) r(b)")
-def geometric_grid(t: Tables) -> DataFrame:
-    """Price grids drawn as words, a page for each of 50 documents with up to four columns, slightly out of line, and read back."""
-    rows = t.part.select((F.col("p_partkey") % 50).alias("doc"), F.col("p_partkey").alias("n"), "p_size")
-    placed = rows.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "p_size"))), 1, 4).alias("c")).select("doc", F.posexplode("c").alias("col", "c")).select("doc", "col", "c.n", "c.p_size")
-    cell = placed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(9))))
+DRAWN = "WITH c AS (SELECT p_partkey // 4 AS doc, p_partkey % 4 AS col, p_size FROM part), "
+
+
+def _cells(t: Tables) -> DataFrame:
+    """(doc, col, n, b, price text): ten prices for each part, four parts a document."""
+    each = t.part.select(F.expr("p_partkey div 4").alias("doc"), (F.col("p_partkey") % 4).cast("int").alias("col"), F.col("p_partkey").alias("n"), "p_size").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(9))))
     cents = F.col("p_size") * 1000 + 12345 + F.col("b") * 777
-    text = F.translate(F.format_number(cents / 100, 2), ",.", ".,")
+    return each.withColumn("text", F.translate(F.format_number(cents / 100, 2), ",.", ".,"))
+
+
+@query(DRAWN + """w AS (SELECT *, dense_rank() OVER (PARTITION BY doc ORDER BY col) - 1 AS place FROM c) SELECT doc, CAST(1 AS INT) AS page, CAST(0 AS INT) AS "table", CAST(place AS INT) AS "column", CAST(b AS INT) AS band, (p_size * 1000 + 12345 + b * 777)::DOUBLE / 100 AS price FROM w, range(10) r(b)""")
+def geometric_grid(t: Tables) -> DataFrame:
+    """Price grids drawn as words, a page for each four parts, slightly out of line, some with a digit drawn apart, and read back."""
+    cell = _cells(t)
     y = 100 + F.col("b") * 20.0 + (F.col("n") % 3) * 0.5
-    price = cell.select("doc", text.alias("text"), (200.0 + F.col("col") * 80).alias("x0"), (240.0 + F.col("col") * 80).alias("x1"), y.alias("top"), (y + 10).alias("base"))
+    x = 200.0 + F.col("col") * 80
+    apart = (F.col("n") % 5 == 0) & F.col("text").rlike(r"^\d{3}")
+    word = lambda text, x0, x1: F.struct(text.alias("text"), x0.alias("x0"), x1.alias("x1"))
+    drawn = F.when(apart, F.array(word(F.left("text", F.lit(1)), x, x + 8), word(F.substr("text", F.lit(2)), x + 8.2, x + 40))).otherwise(F.array(word(F.col("text"), x, x + 40)))
+    price = cell.select("doc", F.explode(drawn).alias("w"), y.alias("top"), (y + 10).alias("base")).select("doc", "w.*", "top", "base")
     labels = F.element_at(F.array(*map(F.lit, LABELS)), F.col("b") + 1)
     y0 = 100 + F.col("b") * 20.0
-    named = cell.where("col = 0").select("doc", labels.alias("text"), F.lit(50.0).alias("x0"), F.lit(90.0).alias("x1"), y0.alias("top"), (y0 + 10).alias("base"))
+    named = cell.select("doc", "b").distinct().select("doc", labels.alias("text"), F.lit(50.0).alias("x0"), F.lit(90.0).alias("x1"), y0.alias("top"), (y0 + 10).alias("base"))
     words = price.unionByName(named).withColumn("page", F.lit(1)).select("doc", "page", "text", "x0", "x1", "top", "base")
     return layout.grids(words)
 
 
+@query(DRAWN + """r AS (SELECT *, p_size % 7 <> 0 AS sold FROM c) SELECT doc, CAST(b AS INT) AS band, (p_size * 1000 + 12345 + b * 777)::DOUBLE / 100 AS price, lpad(CAST(doc * 4 + col AS VARCHAR), 9, '0') AS product, 'Plano ' || col || ' ' || lpad(CAST(doc * 4 + col AS VARCHAR), 9, '0') AS heading FROM r, range(10) x(b) WHERE sold OR b < 6""")
+def transposed_grid(t: Tables) -> DataFrame:
+    """Tables whose head names the bands and whose rows are products, drawn as words and read back."""
+    cell = _cells(t)
+    y, x = 140.0 + F.col("col") * 20, 200.0 + F.col("b") * 60
+    price = cell.where("p_size % 7 <> 0 or b < 6").select("doc", "text", x.alias("x0"), (x + 40).alias("x1"), y.alias("top"), (y + 10).alias("base"))
+    number = F.lpad(F.col("n").cast("string"), 9, "0")
+    own = F.explode(F.array(F.struct(F.lit("Plano").alias("text"), F.lit(10.0).alias("x0")), F.struct(F.col("col").cast("string").alias("text"), F.lit(60.0).alias("x0")), F.struct(number.alias("text"), F.lit(90.0).alias("x0"))))
+    first = cell.where("b = 0").select("doc", own.alias("w"), y.alias("top"), (y + 10).alias("base")).select("doc", "w.text", "w.x0", (F.col("w.x0") + 25).alias("x1"), "top", "base")
+    labels = F.element_at(F.array(*map(F.lit, LABELS)), F.col("b") + 1)
+    head = cell.select("doc", "b").distinct().select("doc", labels.alias("text"), (200.0 + F.col("b") * 60).alias("x0"), (240.0 + F.col("b") * 60).alias("x1"), F.lit(100.0).alias("top"), F.lit(110.0).alias("base"))
+    words = price.unionByName(first).unionByName(head).withColumn("page", F.lit(1)).select("doc", "page", "text", "x0", "x1", "top", "base")
+    return layout.transposed_grids(words).select("doc", "band", "price", "product", "heading")
+
+
+@query("WITH d AS (SELECT o_custkey AS series, o_orderkey AS doc, CAST(o_orderdate AS DATE) AS dated, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'review' ELSE 'error' END AS status FROM orders), k AS (SELECT series, max(dated) AS newest FROM d WHERE status <> 'error' GROUP BY series), n AS (SELECT * FROM d WHERE doc % 3 = 0 AND status <> 'error'), e AS (SELECT n.doc, max(d.dated) AS before FROM n JOIN d ON d.series = n.series AND d.dated < n.dated GROUP BY n.doc) SELECT n.doc, CASE WHEN newest > n.dated THEN 'older' WHEN before IS NOT NULL THEN 'version' ELSE 'first' END AS kind, (CASE WHEN newest > n.dated THEN 'version of ' || strftime(n.dated, '%d/%m/%Y') || ', before that of ' || strftime(newest, '%d/%m/%Y') WHEN before IS NOT NULL THEN 'new version; the one before is of ' || strftime(before, '%d/%m/%Y') ELSE 'not seen before' END) || '; checked' AS message FROM n JOIN k USING (series) LEFT JOIN e ON e.doc = n.doc")
+def capture_alerts(t: Tables) -> DataFrame:
+    docs = _documents(t)
+    return events.of_captures(docs.where("doc % 3 = 0 and status <> 'error'").select("doc", "series", "dated", F.array(F.lit("checked")).alias("notes")), docs)
+
+
+def _documents(t: Tables) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "review").otherwise("error")
+    return t.orders.select(F.col("o_custkey").alias("series"), F.col("o_orderkey").alias("doc"), F.col("o_orderdate").cast("date").alias("dated"), status.alias("status"))
+
+
+@query("WITH d AS (SELECT o_custkey AS series, o_orderkey AS doc, CAST(o_orderdate AS DATE) AS dated, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'review' ELSE 'error' END AS status FROM orders) SELECT doc, series, dated, status FROM d WHERE status = 'review' AND EXISTS (SELECT 1 FROM d e WHERE e.series = d.series AND e.dated > d.dated AND e.status <> 'error')")
+def history_documents(t: Tables) -> DataFrame:
+    return publish.history_documents(_documents(t)).select("doc", "series", "dated", "status")
+
+
+@query("WITH c AS (SELECT l_orderkey AS doc, l_partkey AS product, l_linenumber AS place, l_returnflag AS col FROM lineitem), d AS (SELECT o_orderkey AS doc, o_orderpriority AS operator, o_orderstatus AS contract FROM orders), p AS (SELECT p_partkey AS product, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS name, p_brand AS operator, p_type AS contract FROM part WHERE p_partkey % 3 <> 0) SELECT c.doc, c.product, c.place, CASE WHEN p.product IS NULL THEN col ELSE p.name END AS name, CASE WHEN p.product IS NULL THEN d.operator ELSE p.operator END AS operator, CASE WHEN p.product IS NULL THEN d.contract ELSE p.contract END AS contract FROM c JOIN d USING (doc) LEFT JOIN p ON p.product = c.product")
+def published_columns(t: Tables) -> DataFrame:
+    columns = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("product"), F.col("l_linenumber").alias("place"), F.col("l_returnflag").alias("column"))
+    docs = t.orders.select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("operator"), F.col("o_orderstatus").alias("contract"))
+    plans = t.part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("product"), F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_name")).alias("name"), F.col("p_brand").alias("operator"), F.col("p_type").alias("contract"))
+    return publish.published_columns(columns, docs, plans).select("doc", "product", "place", "name", "operator", "contract")
+
+
+@query("WITH a AS (SELECT 'operator_cancelled' AS kind, CAST(s_suppkey AS VARCHAR) AS key, 'error' AS severity FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'plan_not_active', CAST(p_partkey AS VARCHAR), 'alert' FROM part WHERE p_size % 3 <> 0 UNION ALL SELECT DISTINCT 'network_changed', CAST(l_orderkey AS VARCHAR), 'info' FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'newer_note', c_custkey || ':' || c_nationkey, 'alert' FROM customer WHERE c_nationkey < 5 UNION ALL SELECT 'expired', CAST(o_orderkey AS VARCHAR), 'alert' FROM orders WHERE o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) <= DATE '1994-06-01'), r AS (SELECT kind, key FROM a WHERE len(key) % 2 = 0 AND (kind <> 'plan_not_active' OR CAST(key AS BIGINT) % 2 = 0)) SELECT * FROM a WHERE (kind, key) NOT IN (SELECT (kind, key) FROM r)")
+def daily_sync(t: Tables) -> DataFrame:
+    """Five syncs as one table; half of what they say was told before, of plans only where the event is still open."""
+    operators = t.supplier.select(F.col("s_suppkey").alias("operator"), (F.col("s_suppkey") % 4 != 0).alias("active"))
+    plans = t.part.select(F.col("p_partkey").alias("plan"), F.when(F.col("p_size") % 3 == 0, "active").when(F.col("p_size") % 3 == 1, "suspended").alias("status"))
+    changes = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("protocol"), F.lit("info").alias("severity")).distinct()
+    notes = t.customer.where("c_nationkey < 5").select(F.concat_ws(":", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")).alias("key"))
+    docs = t.orders.select(F.col("o_orderkey").alias("doc"), F.col("o_orderdate").cast("date").alias("until"), F.when(F.col("o_orderstatus") == "F", "published").otherwise("history").alias("status"))
+    nothing = t.spark.createDataFrame([], "kind string, key string, resolved boolean")
+    today = F.lit("1994-06-01").cast("date")
+    all_ = events.daily_sync(operators, plans, changes, notes, docs, nothing, today)
+    raised = all_.where(F.length("key") % 2 == 0).select("kind", "key", F.when(F.col("kind") == "plan_not_active", F.col("key").cast("bigint") % 2 == 1).otherwise(F.lit(True)).alias("resolved"))
+    return events.daily_sync(operators, plans, changes, notes, docs, raised, today)
+
+
 @query()
 def publish_document(t: Tables) -> DataFrame:
     """The columns of one year published over those of the year before, with conditions by source."""
@@ -59,9 +123,9 @@ def newer_note_events(t: Tables) -> DataFrame:
     return events.of_newer_notes(published, notes, raised)
 
 
-@query("WITH c AS (SELECT l_orderkey AS protocol, l_partkey % 20 AS plan, count(*) FILTER (l_returnflag <> 'R') AS included FROM lineitem GROUP BY ALL) SELECT protocol, count(DISTINCT plan) AS plans, CASE WHEN max(included) > 0 THEN 'info' ELSE 'alert' END AS severity FROM c WHERE plan < 10 AND protocol % 5 <> 0 GROUP BY protocol")
+@query("WITH c AS (SELECT l_orderkey AS protocol, l_partkey // 10 AS plan, count(*) FILTER (l_returnflag <> 'R') AS included FROM lineitem GROUP BY ALL) SELECT protocol, count(DISTINCT plan) AS plans, CASE WHEN max(included) > 0 THEN 'info' ELSE 'alert' END AS severity FROM c WHERE plan < 10 AND protocol % 5 <> 0 GROUP BY protocol")
 def network_events(t: Tables) -> DataFrame:
     kept = F.filter(F.collect_list(F.when(F.col("l_returnflag") != "R", F.col("l_suppkey"))), lambda x: x.isNotNull())
-    changes = t.lineitem.groupBy(F.col("l_orderkey").alias("protocol"), (F.col("l_partkey") % 20).alias("plan")).agg(kept.alias("included"))
+    changes = t.lineitem.groupBy(F.col("l_orderkey").alias("protocol"), F.expr("l_partkey div 10").alias("plan")).agg(kept.alias("included"))
     raised = t.orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("protocol"))
     return events.of_network_changes(changes, t.part.select((F.col("p_partkey") % 10).alias("plan")), raised)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from planwatch.functions import bands
-from planwatch.operators import lookup, matching, quote, reconcile, rules, versions
+from planwatch.operators import collecting, lookup, matching, network, publish, quote, reconcile, rules, versions
 from planwatch.plans.registry import Tables, query
 from planwatch.plans.views import PRICES, READINGS, WIDE, prices, readings, wide
 
@@ -35,9 +35,24 @@ def quote_family(t: Tables) -> DataFrame:
     return _quotes(t).withColumn("place", F.row_number().over(W.partitionBy("request").orderBy("total", "product", "source")))
 
 
-@query(f"WITH {QUOTES} SELECT a.request, a.product, a.source, b.source AS other, b.total - a.total AS difference FROM quotes a JOIN quotes b ON a.request = b.request AND a.product = b.product AND a.source <> b.source WHERE abs(b.total - a.total) >= 1")
+@query(f"WITH {QUOTES} SELECT a.request, a.product, a.source, b.source AS other, b.total - a.total AS difference, CAST(b.total AS DOUBLE) / CAST(a.total AS DOUBLE) - 1 AS ratio, b.version > a.version AS other_newer FROM quotes a JOIN quotes b ON a.request = b.request AND a.product = b.product AND a.source <> b.source WHERE abs(b.total - a.total) >= 1")
 def quote_divergence(t: Tables) -> DataFrame:
-    return quote.divergences(_quotes(t), "product", "source")
+    return quote.divergences(_quotes(t).withColumn("dated", F.col("version")), "product", "source")
+
+
+@query(f"""WITH {QUOTES}, net AS (SELECT lpad(CAST(l_partkey // 10 AS VARCHAR), 9, '0') AS product, count(DISTINCT l_suppkey) AS hospitals, count(DISTINCT CASE WHEN s_nationkey = 3 THEN l_suppkey END) AS here FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+ch AS (SELECT lpad(CAST(l_partkey // 10 AS VARCHAR), 9, '0') AS product, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' AND s_nationkey = 3 GROUP BY ALL),
+o AS (SELECT a.request, a.product, a.source, count(*) AS n FROM quotes a JOIN quotes b ON a.request = b.request AND a.product = b.product AND a.source <> b.source AND a.total <> b.total GROUP BY ALL)
+SELECT q.request, q.product, q.source, q.total, CAST(date_diff('day', coalesce(CASE WHEN q.source <> 2 THEN q.version + 30 END, q.version), DATE '1999-01-01') AS INT) AS days, q.source % 2 = 0 AS two_readers, net.hospitals, CASE WHEN here > 0 THEN here END AS hospitals_in_region, coalesce(ch.n, 0) AS network_changes, coalesce(o.n, 0) AS others
+FROM quotes q LEFT JOIN net USING (product) LEFT JOIN ch USING (product) LEFT JOIN o ON o.request = q.request AND o.product = q.product AND o.source = q.source""")
+def quote_details(t: Tables) -> DataFrame:
+    """Quotes with where they come from, the plan's network and its coming changes, and how many other sources disagree."""
+    lines = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.lpad(F.expr("l_partkey div 10").cast("string"), 9, "0").alias("product"), F.col("s_nationkey").cast("string").alias("region"), F.col("l_suppkey").alias("hospital"), "l_orderkey", "l_returnflag")
+    networks = network.summary(lines, "product", "region", "hospital", F.lit(False))
+    changes = lines.where("l_returnflag = 'R'").select("product", F.col("l_orderkey").alias("protocol"), "region", F.lit("1999-02-01").cast("date").alias("effective"))
+    made = _latest(t).select(*KEYS).distinct().withColumns({"dated": F.col("version"), "published": F.col("version").cast("timestamp"), "confirmed": F.when(F.col("source") != 2, F.date_add("version", 30).cast("timestamp")), "readers": F.when(F.col("source") % 2 == 0, 2).otherwise(1)})
+    found = quote.detailed(_quotes(t), KEYS, made, networks, changes, F.lit("1999-01-01").cast("timestamp"), region="3")
+    return found.select("request", "product", "source", "total", "days", "two_readers", "hospitals", "hospitals_in_region", "network_changes", "others")
 
 
 @query(f"WITH {PRICES} SELECT product, source, version, band, cents AS price FROM prices")
@@ -72,21 +87,42 @@ def status_summary(t: Tables) -> DataFrame:
 
 
 FALLS = "falls AS (SELECT product, source, version, band FROM (SELECT *, lag(cents) OVER (PARTITION BY product, source, version ORDER BY band) AS before FROM prices) WHERE cents < before)"
+RULES = FALLS + """, ends AS (SELECT product, source, version, max(cents) FILTER (band = 0) AS p1, max(cents) FILTER (band = 6) AS p7, max(cents) FILTER (band = 9) AS p10 FROM prices GROUP BY ALL), found AS (
+  SELECT product, source, version, 'decrease' AS rule, 'error' AS severity, [band] AS bands FROM falls UNION ALL
+  SELECT product, source, version, 'incomplete', 'info', [] FROM ends WHERE p1 IS NULL AND p7 IS NOT NULL AND p10 IS NOT NULL UNION ALL
+  SELECT product, source, version, 'six_times', 'error', [0, 9] FROM ends WHERE p7 IS NOT NULL AND CAST(p10 AS DOUBLE) > 6 * p1 * CAST(1.001 AS DOUBLE) UNION ALL
+  SELECT product, source, version, 'late_rise', 'error', [0, 6, 9] FROM ends WHERE CAST(p10 * p1 AS DOUBLE) > p7 * p7 * CAST(1.001 AS DOUBLE))"""
 
 
-@query(f"""WITH {STATUS}, {FALLS} SELECT c.product, c.source, c.version, c.band, status, status <> 'confirmed' OR f.band IS NOT NULL AS review FROM cells c LEFT JOIN falls f ON c.product = f.product AND c.source = f.source AND c.version = f.version AND c.band = f.band""")
+@query(f"""WITH {STATUS}, {RULES}, named AS (SELECT DISTINCT product, source, version, unnest(bands) AS band FROM found WHERE severity <> 'info')
+SELECT c.product, c.source, c.version, c.band, status, status <> 'confirmed' OR n.band IS NOT NULL AS review FROM cells c LEFT JOIN named n ON c.product = n.product AND c.source = n.source AND c.version = n.version AND c.band = n.band""")
 def review_flag(t: Tables) -> DataFrame:
-    findings = rules.band_rules(prices(t).withColumnRenamed("cents", "price"), KEYS).where("rule = 'decrease'")
+    findings = rules.band_rules(prices(t).withColumnRenamed("cents", "price"), KEYS)
     return reconcile.needs_review(reconcile_status(t), findings, KEYS).select(*KEYS, "band", "status", "review")
 
 
-@query(f"""WITH {PRICES}, {FALLS}, ends AS (SELECT product, source, version, max(cents) FILTER (band = 0) AS p1, max(cents) FILTER (band = 6) AS p7, max(cents) FILTER (band = 9) AS p10 FROM prices GROUP BY ALL), all_ AS (
-  SELECT product, source, version, 'decrease' AS rule, 'error' AS severity, band FROM falls UNION ALL
-  SELECT product, source, version, 'incomplete', 'info', NULL FROM ends WHERE p1 IS NULL OR p7 IS NULL OR p10 IS NULL UNION ALL
-  SELECT product, source, version, 'six_times', 'error', NULL FROM ends WHERE CAST(p10 AS DOUBLE) > 6 * p1 * CAST(1.001 AS DOUBLE) AND p7 IS NOT NULL UNION ALL
-  SELECT product, source, version, 'late_rise', 'error', NULL FROM ends WHERE CAST(p10 * p1 AS DOUBLE) > p7 * p7 * CAST(1.001 AS DOUBLE)) SELECT * FROM all_""")
+def _listed(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("bands", F.array_join("bands", ","))
+
+
+@query(f"WITH {PRICES}, {RULES} SELECT product, source, version, rule, severity, array_to_string(bands, ',') AS bands FROM found")
 def band_rules(t: Tables) -> DataFrame:
-    return rules.band_rules(prices(t).withColumnRenamed("cents", "price"), KEYS)
+    return _listed(rules.band_rules(prices(t).withColumnRenamed("cents", "price"), KEYS))
+
+
+@query(f"WITH {PRICES}, c AS (SELECT product, source, version, max(cents) FILTER (band = 0) AS p1, max(cents) FILTER (band = 6) AS p7, max(cents) FILTER (band = 9) AS p10 FROM prices GROUP BY ALL) SELECT product, source, version, 'six_times' AS rule, CASE WHEN source % 2 = 0 THEN 'info' ELSE 'error' END AS severity FROM c WHERE p7 IS NOT NULL AND CAST(p10 AS DOUBLE) > 6 * p1 * CAST(1.001 AS DOUBLE)")
+def composite_rules(t: Tables) -> DataFrame:
+    """Prices of half the sources include dental cover, as their heading says: legal ratios don't bind them."""
+    heading = F.when(F.col("source") % 4 == 0, F.lit("Plano + ODONTO")).when(F.col("source") % 4 == 2, F.lit("com  Odonto")).otherwise(F.lit("Odontologia à parte"))
+    composite = rules.is_composite(F.array().cast("array<string>"), heading)
+    return rules.band_rules(prices(t).withColumnRenamed("cents", "price"), KEYS, composite).where("rule = 'six_times'").drop("bands")
+
+
+@query("SELECT p_partkey, 'registration_conflict' AS rule, 'error' AS severity FROM part WHERE p_size % 4 <> 0 AND p_size % 3 = 1")
+def registration_conflicts(t: Tables) -> DataFrame:
+    written = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    read = t.part.select("p_partkey", F.when(F.col("p_size") % 4 != 0, written).alias("a"), F.when(F.col("p_size") % 3 == 0, written).when(F.col("p_size") % 3 == 1, F.lpad((F.col("p_partkey") + 1).cast("string"), 9, "0")).alias("b"))
+    return rules.registration_conflict(read, ["p_partkey"], "a", "b").drop("bands")
 
 
 def _patterned(t: Tables) -> DataFrame:
@@ -126,23 +162,43 @@ def pattern_outcomes(t: Tables) -> DataFrame:
     return reconcile.apply_recompute(cells, reconcile.recompute(money, "doc", "c"), ["doc", "c"])
 
 
-NOTES = ", notes AS (SELECT product AS plan, source AS note, version AS note_date, band, cents AS vcm, CASE WHEN source % 2 = 0 THEN cents * 9 // 10 ELSE cents * 7 // 10 END AS low, cents * 13 // 10 AS high FROM prices WHERE version = DATE '1995-01-01')"
+NOTES = ", notes AS (SELECT product AS plan, source AS note, version AS note_date, band, cents AS vcm, CASE WHEN source % 2 = 0 THEN cents * 9 // 10 ELSE cents * 7 // 10 END AS low, cents * 13 // 10 AS high FROM prices WHERE {} AND product <> '000000004')"
+#: Findings of columns against the notes of one date, with a key for the date.
+FOUND = """tried AS (SELECT plan, source, material_date, noted, band, note, low, high, vcm, price, CAST(price AS DOUBLE) / CAST(vcm AS DOUBLE) AS ratio FROM cols JOIN dates USING (plan, source, material_date) JOIN notes USING (plan, band) WHERE note_date = noted),
+best AS (SELECT plan, source, material_date, noted, arg_min(note, (spread, note)) AS note FROM (SELECT plan, source, material_date, noted, note, max(ratio) / min(ratio) - 1 AS spread FROM tried GROUP BY ALL) GROUP BY ALL),
+held AS (SELECT *, median(ratio) OVER (PARTITION BY plan, source, material_date, noted) AS typical FROM tried JOIN best USING (plan, source, material_date, noted, note)),
+f AS (SELECT *, noted > material_date AS later, abs(ratio / typical - 1) > 0.03 AS off, CAST(low AS DOUBLE) > 0.7::DOUBLE * vcm + 0.01 AND price < low - 0.01 AS under FROM held),
+out_ AS (SELECT plan, source, material_date, noted, note, bool_or(later OR date_diff('day', noted, material_date) > 365) AS mild, array_to_string(list(band ORDER BY band), ',') AS bands FROM f WHERE NOT (off OR (under AND NOT later)) AND NOT price BETWEEN low - 0.01 AND high + 0.01 GROUP BY ALL),
+found AS (SELECT plan, source, material_date, noted, note, 'off_pattern' AS rule, 'alert' AS severity, CAST(band AS VARCHAR) AS bands FROM f WHERE off UNION ALL
+SELECT plan, source, material_date, noted, note, 'below_minimum', CASE WHEN later THEN 'info' ELSE 'alert' END, CASE WHEN later THEN '' ELSE CAST(band AS VARCHAR) END FROM f WHERE under UNION ALL
+SELECT plan, source, material_date, noted, note, 'out_of_band', CASE WHEN mild THEN 'info' ELSE 'alert' END, CASE WHEN mild THEN '' ELSE bands END FROM out_)"""
+NO_NOTE = "SELECT DISTINCT plan, source, material_date, {} CAST(NULL AS INT), 'no_note', 'info', '' FROM cols WHERE plan NOT IN (SELECT plan FROM notes)"
 
 
-@query(f"""WITH {PRICES}{NOTES}, cols AS (SELECT product AS plan, source, version AS material_date, band, cents AS price FROM prices WHERE version >= DATE '1994-01-01'),
-each_ AS (SELECT plan, source, material_date, band, note, note_date, low, high, vcm, price, CAST(price AS DOUBLE) / CAST(vcm AS DOUBLE) AS ratio FROM cols JOIN notes USING (plan, band)),
-best AS (SELECT plan, source, material_date, arg_min(note, (spread, note)) AS note FROM (SELECT plan, source, material_date, note, max(ratio) / min(ratio) - 1 AS spread FROM each_ GROUP BY ALL) GROUP BY ALL),
-held AS (SELECT *, median(ratio) OVER (PARTITION BY plan, source, material_date) AS typical FROM each_ JOIN best USING (plan, source, material_date, note)),
-f AS (SELECT *, note_date > material_date AS later, abs(ratio / typical - 1) > 0.03 AS off, CAST(low AS DOUBLE) > 0.7::DOUBLE * vcm + 0.01 AND price < low - 0.01 AS under FROM held)
-SELECT plan, source, material_date, note, rule, severity, band FROM (SELECT plan, source, material_date, note, band, 'off_pattern' AS rule, 'alert' AS severity FROM f WHERE off UNION ALL
-SELECT plan, source, material_date, note, band, 'below_minimum', CASE WHEN later THEN 'info' ELSE 'alert' END FROM f WHERE under UNION ALL
-SELECT plan, source, material_date, note, band, 'out_of_band', CASE WHEN later OR date_diff('day', note_date, material_date) > 365 THEN 'info' ELSE 'alert' END FROM f WHERE NOT (off OR (under AND NOT later)) AND NOT price BETWEEN low - 0.01 AND high + 0.01)""")
-def rule_reference_note(t: Tables) -> DataFrame:
+def _noted(t: Tables, when: str) -> tuple[DataFrame, DataFrame]:
     p = prices(t)
     low = F.when(F.col("source") % 2 == 0, F.expr("cents * 9 div 10")).otherwise(F.expr("cents * 7 div 10"))
-    notes = p.where("version = date'1995-01-01'").select(F.col("product").alias("plan"), F.col("source").alias("note"), F.col("version").alias("note_date"), "band", F.col("cents").alias("vcm"), low.alias("low"), F.expr("cents * 13 div 10").alias("high"))
+    notes = p.where(when).where("product <> '000000004'").select(F.col("product").alias("plan"), F.col("source").alias("note"), F.col("version").alias("note_date"), "band", F.col("cents").alias("vcm"), low.alias("low"), F.expr("cents * 13 div 10").alias("high"))
     columns = p.where("version >= date'1994-01-01'").select(F.col("product").alias("plan"), "source", F.col("version").alias("material_date"), "band", F.col("cents").alias("price"))
-    return rules.reference_note(columns, notes, ["plan", "source", "material_date"], "plan")
+    return columns, notes
+
+
+@query(f"""WITH {PRICES}{NOTES.format("version = DATE '1995-01-01'")}, cols AS (SELECT product AS plan, source, version AS material_date, band, cents AS price FROM prices WHERE version >= DATE '1994-01-01'),
+dates AS (SELECT DISTINCT plan, source, material_date, DATE '1995-01-01' AS noted FROM cols), {FOUND} SELECT * EXCLUDE (noted) FROM found UNION ALL {NO_NOTE.format("")}""")
+def rule_reference_note(t: Tables) -> DataFrame:
+    return _listed(rules.reference_note(*_noted(t, "version = date'1995-01-01'"), ["plan", "source", "material_date"], "plan"))
+
+
+@query(f"""WITH {PRICES}{NOTES.format("version BETWEEN DATE '1994-01-01' AND DATE '1996-01-01'")}, cols AS (SELECT product AS plan, source, version AS material_date, band, cents AS price FROM prices WHERE version >= DATE '1994-01-01'),
+m AS (SELECT DISTINCT plan, source, material_date FROM cols), d AS (SELECT DISTINCT plan, note_date FROM notes),
+near AS (SELECT plan, source, material_date, note_date AS noted FROM m JOIN d USING (plan) WHERE note_date BETWEEN material_date - 365 AND material_date + 180),
+dates AS (SELECT * FROM near UNION ALL SELECT plan, source, material_date, coalesce(max(note_date) FILTER (note_date <= material_date), min(note_date)) FROM m JOIN d USING (plan) WHERE (plan, source, material_date) NOT IN (SELECT (plan, source, material_date) FROM near) GROUP BY ALL),
+{FOUND}, grave AS (SELECT plan, source, material_date, noted, count(*) FILTER (severity <> 'info') AS n FROM dates LEFT JOIN found USING (plan, source, material_date, noted) GROUP BY ALL),
+chosen AS (SELECT plan, source, material_date, noted FROM grave QUALIFY row_number() OVER (PARTITION BY plan, source, material_date ORDER BY n, noted DESC) = 1)
+SELECT plan, source, material_date, noted AS note_date, note, rule, severity, bands FROM found JOIN chosen USING (plan, source, material_date, noted) UNION ALL {NO_NOTE.format("CAST(NULL AS DATE),")}""")
+def rule_note_at_the_time(t: Tables) -> DataFrame:
+    """Each column against the notes of each plausible date, and the date that speaks against it least."""
+    return _listed(rules.note_at_the_time(*_noted(t, "version between date'1994-01-01' and date'1996-01-01'"), ["plan", "source", "material_date"], "plan"))
 
 
 @query(f"WITH {WIDE}, moved AS (SELECT *, coalesce(CAST(prices AS VARCHAR) <> lag(CAST(prices AS VARCHAR)) OVER w, true) AS new_ FROM (SELECT product, source, version, list_transform(prices, lambda x: x // 20000) AS prices FROM wide) WINDOW w AS (PARTITION BY product, source ORDER BY version)), numbered AS (SELECT *, CAST(sum(new_::INT) OVER (PARTITION BY product, source ORDER BY version) AS INT) AS number FROM moved), kept AS (SELECT *, max(version) OVER (PARTITION BY product, source, number) AS confirmed FROM numbered QUALIFY new_) SELECT product, source, version AS dated, number AS version, confirmed, lead(version) OVER (PARTITION BY product, source ORDER BY number) AS next_at, lead(version) OVER (PARTITION BY product, source ORDER BY number) IS NULL AS is_current FROM kept")
@@ -162,17 +218,20 @@ YEARS = "old_ AS (SELECT * FROM prices WHERE version = DATE '1996-01-01' AND NOT
 
 
 def _years(t: Tables) -> tuple[DataFrame, DataFrame]:
-    w = wide(t)
+    w = wide(t).withColumn("tags", F.array(F.concat(F.lit("grupo: "), F.col("source").cast("string"))))
     old = w.where("version = date'1996-01-01' and not (product = '000000003' and source = 1)").drop("version")
     return old, w.where("version = date'1997-01-01' and not (product = '000000005' and source = 2)").drop("version")
 
 
 @query(f"""WITH {PRICES}, {YEARS}, o AS (SELECT DISTINCT product, source FROM old_), n AS (SELECT DISTINCT product, source FROM new_),
-d AS (SELECT product, source, count(*) FILTER (a.cents IS DISTINCT FROM b.cents) AS moved FROM old_ a FULL JOIN new_ b USING (product, source, band) GROUP BY ALL)
-SELECT d.product, d.source, CASE WHEN o.product IS NULL THEN 'added' WHEN n.product IS NULL THEN 'removed' WHEN moved = 0 THEN 'equal' ELSE 'changed' END AS change, CASE WHEN o.product IS NOT NULL AND n.product IS NOT NULL THEN CAST(moved AS INT) END AS n_changed
-FROM d LEFT JOIN o ON d.product = o.product AND d.source = o.source LEFT JOIN n ON d.product = n.product AND d.source = n.source""")
+d AS (SELECT a.product, a.source, count(*) FILTER (a.cents <> b.cents) AS moved, median(b.cents / a.cents - 1) FILTER (a.cents <> b.cents) AS m FROM old_ a JOIN new_ b USING (product, source, band) GROUP BY ALL)
+SELECT coalesce(o.product, n.product) AS product, o.source AS old_place, n.source AS new_place, CASE WHEN o.product IS NULL THEN 'added' WHEN n.product IS NULL THEN 'removed' WHEN coalesce(moved, 0) = 0 THEN 'equal' ELSE 'changed' END AS change,
+  CASE WHEN o.product IS NOT NULL AND n.product IS NOT NULL THEN CAST(coalesce(moved, 0) AS INT) END AS n_changed, CAST(floor(m * 100000 + 0.5) AS BIGINT) AS variation
+FROM o FULL JOIN n ON o.product = n.product AND o.source = n.source LEFT JOIN d ON d.product = o.product AND d.source = n.source AND o.source = n.source""")
 def version_diff(t: Tables) -> DataFrame:
-    return versions.diff(*_years(t), ["product", "source"])
+    """Two years of each product, matched by condition; the variation in hundred-thousandths."""
+    found = versions.diff(*_years(t), ["product"], ["source"])
+    return found.withColumn("variation", F.floor(F.col("variation") * 100000 + 0.5).cast("bigint"))
 
 
 @query(f"WITH {PRICES}, c AS (SELECT DISTINCT product, source FROM prices WHERE version = DATE '1996-01-01'), i AS (SELECT DISTINCT product, source FROM prices WHERE version = DATE '1997-01-01' AND source <> 3 AND product <> '000000007') SELECT product, source, CASE WHEN product IN (SELECT product FROM i) THEN 'condition_changed' ELSE 'product_removed' END AS reason FROM c WHERE (product, source) NOT IN (SELECT (product, source) FROM i)")
@@ -205,18 +264,41 @@ def readjust_events(t: Tables) -> DataFrame:
 @query(f"WITH {LATEST}, s AS (SELECT a.product, a.source, b.source AS other, a.band, a.cents AS x, b.cents AS y FROM latest a JOIN latest b ON a.product = b.product AND a.band = b.band AND a.source <> b.source) SELECT product, source, other, count(*) AS differing, CAST(median(y * 10000 // x) AS DOUBLE) AS variation FROM s WHERE x <> y GROUP BY ALL")
 def cross_source(t: Tables) -> DataFrame:
     """Bands whose price differs between two sources of a product, and the median of how much."""
-    pairs = lookup.other_sources(bands.to_wide(_latest(t), ["product", "source"], price="cents"), "product", "source")
+    rows = bands.to_wide(_latest(t), ["product", "source"], price="cents").withColumns({"tags": F.array().cast("array<string>"), "place": F.col("source")})
+    pairs = lookup.other_sources(rows, "product", ["source"], "place")
     each = pairs.select("product", F.col("own.source").alias("source"), F.col("peer.source").alias("other"), F.explode(F.arrays_zip(F.col("own.prices").alias("x"), F.col("peer.prices").alias("y"))).alias("z")).where("z.x <> z.y")
     return each.groupBy("product", "source", "other").agg(F.count("*").alias("differing"), F.median(F.expr("z.y * 10000 div z.x")).alias("variation"))
 
 
-@query(f"WITH {PRICES}, f AS (SELECT product, version, min(source * 10 + band) AS at FROM prices GROUP BY ALL), r AS (SELECT a.product, row_number() OVER (ORDER BY a.at, a.product) AS p, row_number() OVER (ORDER BY b.at, a.product) AS q FROM f a JOIN f b ON a.product = b.product AND a.version = DATE '1996-01-01' AND b.version = DATE '1997-01-01') SELECT count(*) AS common, bool_or(p <> q) AS reordered FROM r")
+@query(f"WITH {PRICES}, f AS (SELECT source, product, version, min(cents) AS at FROM prices GROUP BY ALL), r AS (SELECT source, a.product, row_number() OVER (PARTITION BY source ORDER BY a.at, a.product) AS p, row_number() OVER (PARTITION BY source ORDER BY b.at, a.product) AS q FROM f a JOIN f b USING (source) WHERE a.product = b.product AND a.version = DATE '1996-01-01' AND b.version = DATE '1997-01-01') SELECT source, count(*) AS common, bool_or(p <> q) AS reordered FROM r GROUP BY source")
 def reorder_flag(t: Tables) -> DataFrame:
-    """Whether the products that two versions share come in another order of first appearance."""
-    at = prices(t).groupBy("product", "version").agg(F.min(F.col("source") * 10 + F.col("band")).alias("at"))
-    two = at.groupBy("product").agg(*[F.max(F.when(F.col("version") == F.lit(y).cast("date"), F.col("at"))).alias(n) for n, y in (("a", "1996-01-01"), ("b", "1997-01-01"))]).where("a is not null and b is not null")
-    order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(c, "product"))), lambda x: x["product"])
-    return two.agg(F.count("*").alias("common"), (order("a") != order("b")).alias("reordered"))
+    """Whether the products that two versions of a source share come in another order of first appearance."""
+    of = lambda year: prices(t).where(F.col("version") == F.lit(f"{year}-01-01").cast("date"))
+    return versions.reordered(of(1996), of(1997), ["source"], "product", "cents")
+
+
+@query(f"WITH {PRICES}, s AS (SELECT *, CAST(('0x' || substr(md5(product || '|' || source || '|' || version || '|' || band), 1, 8)) AS BIGINT) AS h FROM prices), d AS (SELECT *, h // 7 % len(CAST(cents AS VARCHAR)) AS k, cents AS true_cents FROM s), e AS (SELECT *, CAST(pow(10, k) AS BIGINT) AS p FROM d), g AS (SELECT *, cents // p % 10 AS digit FROM e), m AS (SELECT *, cents + ((digit + 1 + h // 70 % 9) % 10 - digit) * p AS wrong FROM g), w AS (SELECT product, source, version, band, true_cents, CASE WHEN h % 7 = 0 AND wrong > 0 THEN wrong ELSE cents END AS cents FROM m) SELECT *, CASE WHEN cents <> true_cents THEN CASE WHEN abs(cents - true_cents) / true_cents > 0.01 THEN 'large' WHEN abs(cents - true_cents) / true_cents > 0.001 THEN 'small' ELSE 'cents' END END AS kind FROM w")
+def fault_injection(t: Tables) -> DataFrame:
+    return collecting.mutated(prices(t), KEYS).select(*KEYS, "band", "true_cents", "cents", "kind")
+
+
+@query()
+def recompute_review(t: Tables) -> DataFrame:
+    """Planted faults, what recomputation makes of them, and what is left to review."""
+    money = _patterned(t).withColumn("prices", F.transform("prices", lambda p: p / F.lit(100.0)))
+    cells = bands.to_long(money, ["doc", "c"]).withColumn("b", F.when((F.col("c") + F.col("band")) % 13 != 0, F.col("price"))).withColumnRenamed("price", "a")
+    cells = cells.withColumn("status", reconcile.status(F.col("a"), F.col("b")))
+    applied = reconcile.apply_recompute(cells, reconcile.recompute(money, "doc", "c"), ["doc", "c"])
+    findings = rules.unread_bands(money, ["doc", "c"], bands.unread(F.col("prices")))
+    return reconcile.reviewed_anew(applied, findings, ["doc", "c"]).select("doc", "c", "band", "status", "outcome", "review")
+
+
+@query()
+def history_inserted(t: Tables) -> DataFrame:
+    """Versions of odd years that arrive late, put into chains of even years and numbered anew."""
+    w = wide(t).select("product", "source", F.year("version").alias("doc"), F.col("version").alias("dated"), "prices")
+    chain = w.where("doc % 2 = 0 and doc <= 1996").withColumn("is_current", F.col("doc") == 1996)
+    return publish.inserted_history(chain, w.where("doc <= 1997"), ["product", "source"]).select("product", "source", "doc", "version", "next_doc", "is_current")
 
 
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:

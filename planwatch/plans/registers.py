@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from planwatch.operators import lookup, network, rules
+from planwatch.operators import collecting, lookup, network, rules
 from planwatch.plans.registry import Tables, query
 
 TODAY = "2024-01-31"
@@ -66,24 +66,24 @@ def event_anti(t: Tables) -> DataFrame:
 @query("SELECT s_suppkey, coalesce(nullif(CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END, ''), n_name, CAST(s_nationkey AS VARCHAR)) AS place FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 5 <> 0")
 def municipality_fallback(t: Tables) -> DataFrame:
     name = F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).otherwise(F.col("s_name"))
-    joined = t.supplier.join(t.nation.where("n_nationkey % 5 <> 0"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return joined.select("s_suppkey", F.coalesce(F.nullif(name, F.lit("")), "n_name", F.col("s_nationkey").cast("string")).alias("place"))
+    links = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("code"), name.alias("municipality"))
+    return network.municipality(links, t.nation.where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))).select("s_suppkey", F.col("municipality").alias("place"))
 
 
-@query("WITH p AS (SELECT event_id, CAST(event_id % 1000 AS DOUBLE) AS x FROM events), a AS (SELECT n_nationkey, n_nationkey * 41.0::DOUBLE AS pos FROM nation WHERE n_nationkey % 4 <> 2) SELECT event_id, x, n_nationkey, abs(x - pos) AS distance FROM p JOIN a ON abs(x - pos) <= 24.6 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(x - pos), n_nationkey) = 1")
+@query("WITH p AS (SELECT event_id, event_id % 5 AS page, CAST(event_id % 1000 AS DOUBLE) AS x FROM events), a AS (SELECT n_nationkey, n_regionkey AS page, n_nationkey * 41.0::DOUBLE AS pos FROM nation WHERE n_nationkey % 4 <> 2) SELECT event_id, page, x, n_nationkey, abs(x - pos) AS distance FROM p JOIN a USING (page) WHERE abs(x - pos) <= 124.6 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(x - pos), n_nationkey) = 1")
 def nearest_header(t: Tables) -> DataFrame:
-    anchors = t.nation.where("n_nationkey % 4 <> 2").select("n_nationkey", (F.col("n_nationkey") * F.lit(41.0)).alias("at"))
-    points = t.events.select("event_id", (F.col("event_id") % 1000).cast("double").alias("x"))
-    return lookup.nearest(points, anchors, "x", "at", 24.6, [F.col("n_nationkey")]).select("event_id", "x", "n_nationkey", "distance")
+    anchors = t.nation.where("n_nationkey % 4 <> 2").select("n_nationkey", F.col("n_regionkey").cast("bigint").alias("page"), (F.col("n_nationkey") * F.lit(41.0)).alias("at"))
+    points = t.events.select("event_id", (F.col("event_id") % 5).cast("bigint").alias("page"), (F.col("event_id") % 1000).cast("double").alias("x"))
+    return lookup.nearest(points, anchors, ["page"], "x", "at", 124.6, [F.col("n_nationkey")]).select("event_id", "page", "x", "n_nationkey", "distance")
 
 
-LINKS = "links AS (SELECT l_partkey % 20 AS plan, s_nationkey AS region, l_suppkey AS hospital, l_linestatus = 'O' AS urgent, l_orderkey, l_linenumber, l_shipdate FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'R')"
+LINKS = "links AS (SELECT l_partkey // 10 AS plan, s_nationkey AS region, l_suppkey AS hospital, l_linestatus = 'O' AS urgent, l_orderkey, l_linenumber, l_shipdate FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'R')"
 
 
 def _links(t: Tables) -> DataFrame:
     ended = F.when(F.col("l_returnflag") == "R", F.lit("2000-01-01"))
     joined = network.active(t.lineitem.withColumn("end", ended), "end").join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
-    return joined.select((F.col("l_partkey") % 20).alias("plan"), F.col("s_nationkey").alias("region"), F.col("l_suppkey").alias("hospital"), (F.col("l_linestatus") == "O").alias("urgent"), "l_orderkey", "l_linenumber", "l_shipdate")
+    return joined.select(F.expr("l_partkey div 10").alias("plan"), F.col("s_nationkey").alias("region"), F.col("l_suppkey").alias("hospital"), (F.col("l_linestatus") == "O").alias("urgent"), "l_orderkey", "l_linenumber", "l_shipdate")
 
 
 @query(f"WITH {LINKS} SELECT plan, region, count(DISTINCT hospital) AS hospitals, count(DISTINCT CASE WHEN urgent THEN hospital END) AS urgent FROM links GROUP BY plan, region")
@@ -113,9 +113,11 @@ def changes_by_protocol(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus LIKE 'F%' AND CAST(o_orderdate AS DATE) >= DATE '1995-06-17' - 90 AND (c_nationkey = 3 OR o_custkey % 25 = 3)")
 def approved_changes(t: Tables) -> DataFrame:
-    recent = t.orders.where(F.col("o_orderstatus").startswith("F") & (F.col("o_orderdate").cast("date") >= F.date_sub(F.lit("1995-06-17").cast("date"), 90)))
-    joined = recent.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
-    return joined.where("c_nationkey = 3 or o_custkey % 25 = 3").select("o_orderkey", "o_custkey")
+    requests = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(
+        "o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "F", "DEFERIDO").otherwise("negado").alias("result"), F.col("o_orderdate").cast("date").alias("effective"),
+        F.col("c_nationkey").cast("string").alias("region_out"), (F.col("o_custkey") % 25).cast("string").alias("region_in"),
+    )
+    return network.approved(requests, F.lit("1995-06-17").cast("date"), region="3").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (value > 50) AS high, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_total, count(DISTINCT event_type) AS types, min(ts) AS first_, max(ts) AS last_, count(*) FILTER (ts < TIMESTAMP '2024-01-31') AS expired_kpi, count(*) FILTER (CAST(ts AS DATE) <= DATE '2024-01-31') AS expired_event FROM events")
@@ -185,9 +187,19 @@ def union_distinct(t: Tables) -> DataFrame:
     return t.lineitem.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("id")).union(t.supplier.where("s_acctbal > 0").select("s_suppkey")).distinct()
 
 
-@query("SELECT n_nationkey, count(*) AS suppliers FROM nation JOIN supplier ON contains(lower(s_name), '#') AND s_nationkey = n_nationkey GROUP BY ALL")
+@query("SELECT DISTINCT s_name AS asked, p_brand AS operator FROM part JOIN supplier ON contains(lower(p_brand), CASE WHEN s_suppkey % 3 = 0 THEN 'brand' ELSE 'rand#' || s_suppkey % 7 END)")
 def name_contains(t: Tables) -> DataFrame:
-    return t.supplier.where(F.lower("s_name").contains("#")).groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    """Suppliers with the makers whose name holds the first word of theirs, which is made up here as few makers' names are words."""
+    word = F.when(F.col("s_suppkey") % 3 == 0, F.lit("Brand of")).otherwise(F.concat(F.lit("Rand#"), (F.col("s_suppkey") % 7).cast("string"), F.lit(" & sons")))
+    asked = t.supplier.select("s_name", word.alias("name"))
+    found = collecting.tables_of_operators(asked, t.part.select(F.col("p_brand").alias("operator")).distinct())
+    return found.join(asked, F.col("asked") == F.col("name")).select(F.col("s_name").alias("asked"), "operator")
+
+
+@query("SELECT p_partkey, p_name, active FROM (SELECT p_partkey, p_name, p_size % 2 = 0 AS active FROM part) WHERE contains(upper(p_name), 'AL')")
+def operator_search(t: Tables) -> DataFrame:
+    named = t.part.select("p_partkey", F.col("p_name").alias("name"), F.lit(None).cast("string").alias("trade_name"), (F.col("p_size") % 2 == 0).alias("active"))
+    return collecting.operators_by_name(named, "al").select("p_partkey", F.col("name").alias("p_name"), "active")
 
 
 @query("WITH plans AS (SELECT p_partkey AS plan, p_size AS operator, CASE p_size % 5 WHEN 0 THEN 'suspended' WHEN 1 THEN 'cancelled' ELSE 'active' END AS status FROM part WHERE p_partkey % 6 <> 0), ops AS (SELECT DISTINCT p_size AS operator, p_size % 4 <> 0 AS active FROM part), c AS (SELECT DISTINCT l_partkey AS plan FROM lineitem) SELECT plan, rule, severity FROM (SELECT c.plan, 'unknown_plan' AS rule, 'error' AS severity FROM c LEFT JOIN plans p ON c.plan = p.plan WHERE p.plan IS NULL UNION ALL SELECT plan, CASE WHEN status = 'suspended' THEN 'suspended' ELSE 'not_active' END, CASE WHEN status = 'suspended' THEN 'alert' ELSE 'error' END FROM c JOIN plans USING (plan) WHERE status <> 'active' UNION ALL SELECT plan, 'operator_cancelled', 'error' FROM c JOIN plans USING (plan) JOIN ops USING (operator) WHERE NOT active)")

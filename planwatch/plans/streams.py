@@ -8,40 +8,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planwatch.plans.registry import Tables, query
-from planwatch.plans.views import wide
+from planwatch.plans.views import WIDE, wide
+from planwatch.session import shared_folder
 from planwatch.streaming import feeds
 
 
 def _folder(t: Tables) -> str:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-@query("SELECT sha256(text) AS sha, count(*) > 0 AS kept FROM documents GROUP BY ALL")
+@query("SELECT sha256(text) AS sha, min(CAST(len(text) AS BIGINT)) AS length FROM documents GROUP BY ALL")
 def stream_dedup(t: Tables) -> DataFrame:
-    """Documents arrive as a stream of files, each text is kept once."""
+    """Documents arrive as a stream of files; each text is kept once, by the stream's own state."""
     folder, docs = _folder(t), t.documents
-    docs.select("doc_id", "text").repartition(4).write.parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    t.spark.createDataFrame([], "sha string").write.parquet(f"{folder}/seen")
+    docs.select("doc_id", "text").repartition(8, "doc_id").write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    once = feeds.unseen_stream(stream, "text").select("sha", F.length("text").cast("bigint").alias("length"))
+    once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("sha string, length bigint").parquet(f"{folder}/out")
 
-    def each(batch: DataFrame, n: int) -> None:
-        seen = t.spark.read.schema("sha string").option("recursiveFileLookup", True).parquet(f"{folder}/seen")
-        feeds.unseen(batch, seen, "text").select("sha").write.mode("overwrite").parquet(f"{folder}/seen/batch={n}")
 
-    feeds.available_now(stream, each, f"{folder}/state")
-    return t.spark.read.schema("sha string").option("recursiveFileLookup", True).parquet(f"{folder}/seen").select("sha", F.lit(True).alias("kept"))
-
-
-@query()
+@query(f"WITH {WIDE}, w AS (SELECT product, source, version AS dated, list_transform(prices, lambda x: x // 20000) AS prices FROM wide), moved AS (SELECT *, coalesce(CAST(prices AS VARCHAR) <> lag(CAST(prices AS VARCHAR)) OVER v, true) AS new_ FROM w WINDOW v AS (PARTITION BY product, source ORDER BY dated)), numbered AS (SELECT *, CAST(sum(new_::INT) OVER (PARTITION BY product, source ORDER BY dated) AS INT) AS version FROM moved), kept AS (SELECT *, max(dated) OVER (PARTITION BY product, source, version) AS confirmed FROM numbered QUALIFY new_) SELECT product, source, dated, version, confirmed, lead(dated) OVER (PARTITION BY product, source ORDER BY version) AS next_at, lead(dated) OVER (PARTITION BY product, source ORDER BY version) IS NULL AS is_current FROM kept")
 def stream_late_insert(t: Tables) -> DataFrame:
-    """Price columns arrive in an order that has nothing to do with their dates; the chains are those of their dates."""
+    """Price columns arrive in an order that has nothing to do with their dates; what the stream has published is the chains of their dates."""
     folder, name = _folder(t), f"late_{uuid.uuid4().hex}"
-    rows = wide(t).select("product", "source", F.col("version").alias("dated"), "prices")
+    rows = wide(t).select("product", "source", F.col("version").alias("dated"), F.transform("prices", lambda x: F.floor(x / 20000)).alias("prices"))
     rows.repartition(4, F.xxhash64("product", "dated")).write.parquet(f"{folder}/in")
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    published: list[DataFrame] = []
-    feeds.available_now(stream, feeds.late_versions(["product", "source"], "dated", name, lambda df: published.append(df)), f"{folder}/state")
-    from planwatch.operators.versions import chains
+    feeds.available_now(stream, feeds.late_versions(["product", "source"], "dated", name, f"{name}_chains"), f"{folder}/state")
+    return feeds.current_chains(t.spark, f"{name}_chains", ["product", "source"]).select("product", "source", "dated", "version", "confirmed", "next_at", "is_current")
+
+
+FETCHED = "s AS (SELECT user_id AS url, arg_max(event_type, ts) AS sha, max(ts) AS seen FROM events WHERE event_id % 3 = 0 GROUP BY user_id), f AS (SELECT user_id AS url, event_id, ts AS moment, CASE WHEN event_id % 5 = 0 THEN 'error' ELSE 'new' END AS outcome, CASE WHEN event_id % 5 <> 0 THEN event_type END AS sha FROM events WHERE event_id % 3 = 1)"
+
+
+def _fetches(t: Tables) -> tuple[DataFrame, DataFrame]:
+    state = t.events.where("event_id % 3 = 0").groupBy(F.col("user_id").alias("url")).agg(F.max_by("event_type", "ts").alias("sha"), F.max("ts").alias("seen")).withColumns({"etag": F.lit(None).cast("string"), "modified": F.lit(None).cast("string")})
+    bad = F.col("event_id") % 5 == 0
+    fetched = t.events.where("event_id % 3 = 1").select(F.col("user_id").alias("url"), F.when(~bad, F.col("event_type")).alias("sha"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("modified"), F.col("ts").alias("at"), F.when(bad, "error").otherwise("new").alias("outcome"))
+    return state, fetched
+
+
+@query(f"WITH {FETCHED}, n AS (SELECT url, arg_max(sha, moment) FILTER (outcome <> 'error') AS sha, max(moment) AS moment FROM f GROUP BY url) SELECT coalesce(s.url, n.url) AS url, coalesce(n.sha, s.sha) AS sha, greatest(s.seen, n.moment) AS seen FROM s FULL JOIN n ON s.url = n.url")
+def fetch_state(t: Tables) -> DataFrame:
+    """The state of each address after a run: what came well replaces what was known."""
+    return feeds.next_state(*_fetches(t)).select("url", "sha", "seen")
+
 
-    return chains(t.spark.table(name), ["product", "source"], "dated").select("product", "source", "dated", "version", "confirmed", "next_at", "is_current")
+@query(f"WITH {FETCHED}, c AS (SELECT DISTINCT user_id AS url, user_id % 2 = 0 AS fixed FROM events) SELECT url, fixed FROM c WHERE NOT (fixed AND url IN (SELECT url FROM s))")
+def fetch_plan(t: Tables) -> DataFrame:
+    """Addresses to ask for: those that never change only if they weren't fetched before."""
+    candidates = t.events.select(F.col("user_id").alias("url"), (F.col("user_id") % 2 == 0).alias("fixed")).distinct()
+    return feeds.to_fetch(candidates, _fetches(t)[0], F.col("fixed")).select("url", "fixed")

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planwatch.functions import tags, text
-from planwatch.operators import rules
+from planwatch.operators import layout, rules
 from planwatch.plans.registry import Tables, query
 from planwatch.sources import links
 
 
-@query(f"SELECT doc_id, md5(translate(lower(text), '{text.ACCENTED}–—', '{text.PLAIN}--')) AS folded FROM documents WHERE lang IN ('fr', 'es')")
+@query("SELECT doc_id, md5(replace(replace(strip_accents(lower(text)), '–', '-'), '—', '-')) AS folded FROM documents")
 def fold_accents(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("lang").isin("fr", "es")).select("doc_id", F.md5(text.fold(F.col("text")).cast("binary")).alias("folded"))
+    return t.documents.select("doc_id", F.md5(text.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
 @query("SELECT o_orderkey, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS BIGINT) AS cents FROM orders")
@@ -32,7 +32,7 @@ def _titles(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", title.alias("title"))
 
 
-@query(f"""WITH {TITLES}, f AS (SELECT *, translate(lower(title), '{text.ACCENTED}–—', '{text.PLAIN}--') AS x FROM titles) SELECT p_partkey, array_to_string(list_sort(list_filter([
+@query(f"""WITH {TITLES}, f AS (SELECT *, strip_accents(lower(title)) AS x FROM titles) SELECT p_partkey, array_to_string(list_sort(list_filter([
   CASE WHEN contains(x, ' aberta') THEN 'tabela: aberta' END, CASE WHEN contains(x, ' fechada') THEN 'tabela: fechada' END, CASE WHEN contains(x, '2 a 29 vidas') THEN 'vidas: 2 a 29' END, CASE WHEN contains(x, ' 1 vida') THEN 'vidas: 1' END,
   CASE WHEN contains(x, 'a partir de 30 vidas') THEN 'vidas: 30 ou mais' END, CASE WHEN contains(x, 'com coparticipacao parcial') THEN 'coparticipação: parcial' END, CASE WHEN contains(x, 'sem coparticipacao') THEN 'coparticipação: sem' END,
   CASE WHEN contains(x, 'livre ades') THEN 'adesão: livre' END, CASE WHEN contains(x, 'capital') THEN 'região: capital' END, CASE WHEN contains(x, 'interior 2') THEN 'região: interior 2' END], lambda v: v IS NOT NULL)), ', ') AS tags FROM f""")
@@ -40,17 +40,23 @@ def condition_tags(t: Tables) -> DataFrame:
     return _titles(t).select("p_partkey", F.array_join(tags.condition_tags(F.col("title")), ", ").alias("tags"))
 
 
-@query(r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)), '^www\.', '') || lower(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '(20\d{2})[-_.]?(0[1-9]|1[0-2])(?:[-_.]?(0[1-9]|[12]\d|3[01]))?', '')) AS series FROM pages")
+@query(r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)), '^www\.', '') || lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) || '/t.pdf' AS series FROM pages")
 def url_series_key(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", text.series_key(F.col("url")).alias("series"))
+    """Addresses of pages with a dated file below each, in the forms that dates have in names, some as copies in an archive."""
+    path = F.regexp_replace("url", r"[?#].*$", "")
+    name = F.element_at(F.array(*map(F.lit, ("/t_16_07_2026.pdf", "/t-2026-07-16.pdf", "/T_20260716.PDF", "/t.pdf"))), (F.col("page_id") % 4 + 1).cast("int"))
+    url = F.concat(F.when(F.col("page_id") % 3 == 0, "https://web.archive.org/web/20240812162732id_/").otherwise(""), path, name)
+    return t.pages.select("page_id", text.series_key(url).alias("series"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(date_trunc('month', CAST(o_orderdate AS DATE) + 11000) AS DATE) ELSE CAST(o_orderdate AS DATE) + 11000 END AS dated FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 3 THEN CAST(o_orderdate AS DATE) + 11000 END AS dated, o_orderkey % 6 = 5 OR (o_orderkey % 6 = 1 AND day(CAST(o_orderdate AS DATE) + 11000) = year(CAST(o_orderdate AS DATE) + 11000) % 100) AS monthly FROM orders")
 def filename_date(t: Tables) -> DataFrame:
-    """Dates written into file names, with and without a day, and read again. Order dates are moved into this century."""
+    """Dates written into file names in each form, and names whose digits are no date at their end, read again. Order dates are moved into this century."""
     day = F.date_add(F.col("o_orderdate").cast("date"), 11000)
-    name = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "'https://x.example/tabela_'yyyy-MM'.pdf'")).otherwise(F.date_format(day, "'https://x.example/tabela_'yyyyMMdd'.pdf'"))
-    return t.orders.select("o_orderkey", text.date_in_name(name).alias("dated"))
+    forms = ("'https://x.example/a/t_'dd_MM_yyyy'.pdf'", "'https://x.example/a/t-'yyyy-MM-dd'.pdf'", "'https://x.example/a/t_'yyyyMMdd'.PDF'", "'https://x.example/product'yyyyMMdd'8.pdf'", "'https://x.example/'yyyy-MM-dd'/t.pdf'", "'https://x.example/t_'MM-yy'.pdf'")
+    url = F.coalesce(*[F.when(F.col("o_orderkey") % 6 == i, F.date_format(day, f)) for i, f in enumerate(forms)])
+    monthly = text.date_in_name(url, (("ms", "-"),)) == F.trunc(day, "month")
+    return t.orders.select("o_orderkey", text.date_in_name(url).alias("dated"), F.coalesce(monthly, F.lit(False)).alias("monthly"))
 
 
 @query("SELECT s_suppkey, 'Hospital de ' || s_suppkey || ' LTDA da Serra' AS name FROM supplier")
@@ -59,10 +65,23 @@ def proper_case(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", text.proper_name(raw).alias("name"))
 
 
-@query("SELECT b AS band, label FROM (VALUES (0, '00-18'), (0, 'até 18 anos'), (1, '19 a 23 anos'), (4, 'de 34 – 38'), (9, '59 ou mais'), (9, '&gt; 59 anos'), (9, 'acima de 59'), (9, '59+'), (NULL, '5 a 10 vidas'), (NULL, 'Enfermaria'), (NULL, '19 a 24')) v(b, label)")
+LAWFUL = {0: 18, 19: 23, 24: 28, 29: 33, 34: 38, 39: 43, 44: 48, 49: 53, 54: 58}
+
+
+@query(f"""WITH r AS (SELECT CAST(a AS INT) AS a, CAST(e AS INT) AS e, CAST(k AS INT) AS k FROM range(0, 60) x(a), range(15, 65) y(e), range(0, 4) z(k)), law AS (SELECT * FROM (VALUES {", ".join(f"({i}, {a}, {e})" for i, (a, e) in enumerate(LAWFUL.items()))}) v(band, a, e)),
+l AS (SELECT r.a, r.e, k, band FROM r LEFT JOIN law ON law.a = r.a AND law.e = r.e)
+SELECT a, e, k, CAST(band AS INT) AS band FROM l UNION ALL SELECT n, -1, k, CASE WHEN n = 59 THEN 9 END FROM (SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k FROM range(55, 63) x(n), range(0, 12) y(k))""")
 def band_labels(t: Tables) -> DataFrame:
-    rows = ["00-18", "até 18 anos", "19 a 23 anos", "de 34 – 38", "59 ou mais", "&gt; 59 anos", "acima de 59", "59+", "5 a 10 vidas", "Enfermaria", "19 a 24"]
-    return t.spark.createDataFrame([(x,) for x in rows], "label string").select(text.band_of_label(F.col("label")).alias("band"), "label")
+    """Every range of ages in four spellings, and every first age with each sign or word for "and more"."""
+    pick = lambda *forms: F.coalesce(*[F.when(F.col("k") == i, f) for i, f in enumerate(forms)])
+    of = lambda lo, hi, name: t.spark.range(lo, hi).select(F.col("id").cast("int").alias(name))
+    two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    both = of(0, 60, "a").join(of(15, 65, "e"), F.lit(True)).join(of(0, 4, "k"), F.lit(True))  # every spelling of every range: the data are made here
+    ranges = both.withColumn("label", pick(F.concat(two("a"), F.lit("-"), two("e")), F.concat(F.lit("De "), two("a"), F.lit(" a "), two("e"), F.lit(" anos")), F.concat(F.col("a").cast("string"), F.lit(" – "), two("e")), F.concat(two("a"), F.lit("\u00a0até\u00a0"), two("e"))))
+    n = F.col("a").cast("string")
+    more = [F.concat(F.lit(x), n, F.lit(y)) for x, y in (("", " ou mais"), ("", " anos ou +"), ("", "+"), ("", "/ +"), ("&gt; ", " anos"), ("&#62; ", ""), ("&ge; ", ""), ("acima de ", " anos"), ("a partir de ", ""), ("+ de ", ""), ("", " anos e acima"), ("", " em diante"))]
+    ends = of(55, 63, "a").join(of(0, 12, "k"), F.lit(True)).select("a", F.lit(-1).alias("e"), "k", pick(*more).alias("label"))
+    return ranges.select("a", "e", "k", "label").unionByName(ends).select("a", "e", "k", text.band_of_label(F.col("label")).alias("band"))
 
 
 @query("SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS number, regexp_replace(lpad(CAST(p_partkey AS VARCHAR), 9, '0'), '^(...)(...)(..)(.)$', '\\1.\\2/\\3-\\4') AS written FROM part")
@@ -85,16 +104,63 @@ def attribute_check(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(wrong, ",").alias("mismatches"))
 
 
-@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1), 1) AS i FROM pages) SELECT page_id, href, CAST(min(i) - 1 AS INT) AS place FROM a WHERE href LIKE '/%' GROUP BY ALL""")
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:a|button|area|link|option)\\b([^>]*)>', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '(?is)<(?:a|button|area|link|option)\\b([^>]*)>', 1), 1) - 1 AS i FROM pages), h AS (SELECT page_id, CAST(i AS INT) AS place, trim(replace(regexp_extract(raw, '(?i)\\bhref\\s*=\\s*"([^"]*)"', 1), '&amp;', '&')) AS href FROM a) SELECT * FROM h WHERE href <> '' AND NOT starts_with(href, '#')""")
 def link_extract(t: Tables) -> DataFrame:
-    return links.hrefs(t.pages, "page_id", "html").where(F.col("href").startswith("/")).groupBy("page_id", "href").agg(F.min("place").alias("place"))
+    return links.tags_with_links(t.pages, "page_id", "html").select("page_id", "place", "href")
+
+
+ROBOTS = ("# robots\nUser-agent: other\nDisallow: /\n\nUser-agent: *\n\nDisallow: /en/ # all\nAllow: /en/1\nDisallow: /*?*page=\nCrawl-delay: 2.5\nno rule\nDisallow: /*.html$\n", "User-Agent: *\nDisallow: /\nUser-agent: Planwatch\nUser-agent: second\nsitemap: x\nDisallow: /fr/\nDisallow:\n")
+
+
+def _robots(t: Tables) -> tuple[DataFrame, DataFrame]:
+    host = F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]*)", 1)
+    pages = t.pages.select("page_id", host.alias("host"), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^#]*)", 1).alias("path"))
+    body = F.when(F.length("host") % 2 == 0, F.lit(ROBOTS[0])).otherwise(F.lit(ROBOTS[1]))
+    return pages, links.robots_rules(pages.select("host").distinct().withColumn("body", body), "planwatch/1.0 (reads price tables)")
+
+
+@query("WITH h AS (SELECT DISTINCT regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host FROM pages), r AS (SELECT * FROM (VALUES (0, 'Disallow', '/en/', 2.5::DOUBLE), (0, 'Allow', '/en/1', 2.5), (0, 'Disallow', '/*?*page=', 2.5), (0, 'Disallow', '/*.html$', 2.5), (1, 'Disallow', '/fr/', NULL), (1, 'Disallow', '', NULL)) v(odd, kind, pattern, delay)) SELECT host, kind, pattern, delay FROM h JOIN r ON len(host) % 2 = odd")
+def robots_rules(t: Tables) -> DataFrame:
+    return _robots(t)[1]
 
 
-@query("WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages) SELECT page_id, path, CASE WHEN regexp_matches(path, '\\?.*page=') OR regexp_matches(path, '\\.html$') THEN false WHEN starts_with(path, '/en/1') THEN true WHEN starts_with(path, '/en/') THEN false ELSE true END AS allowed FROM p")
+@query("WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages) SELECT page_id, path, CASE WHEN len(host) % 2 = 1 THEN NOT starts_with(path, '/fr/') WHEN regexp_matches(path, '\\?.*page=') OR regexp_matches(path, '\\.html$') THEN false WHEN starts_with(path, '/en/1') THEN true WHEN starts_with(path, '/en/') THEN false ELSE true END AS allowed FROM p")
 def robots_allow(t: Tables) -> DataFrame:
-    rules_ = t.spark.createDataFrame([("Disallow", "/en/"), ("Allow", "/en/1"), ("Disallow", "/*?*page="), ("Disallow", "/*.html$")], "kind string, pattern string")
-    path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^#]*)", 1)
-    return links.allowed(t.pages.select("page_id", path.alias("path")), rules_, "path").select("page_id", "path", "allowed")
+    pages, rules_ = _robots(t)
+    return links.allowed(pages, rules_, "path").select("page_id", "path", "allowed")
+
+
+MONTH_NAMES = ("janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) + 11000 AS d, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
+SELECT k, CAST(date_trunc('month', d) AS DATE) AS month, CASE WHEN k % 2 = 0 THEN d END AS iso, strftime(d, '%d/%m/%Y') AS written, 'carrier_' || k AS series, 'tabela nº ' || k AS label, CASE WHEN k % 3 = 0 THEN d WHEN k % 3 = 1 THEN CAST(date_trunc('month', d) AS DATE) END AS starts,
+  CASE WHEN k % 3 = 0 THEN d + 30 WHEN k % 3 = 1 THEN last_day(d) END AS ends, cents // 100 % 1000 * 100 + cents % 100 AS price, (CASE WHEN k % 201 >= 100 THEN '+' ELSE '-' END) || abs(k % 201 - 100) // 10 || ',' || abs(k % 201 - 100) % 10 || '%' AS percent, 'x/a%20b/' || k || '%C3%A9?q=1%20' AS url FROM o""")
+def text_forms(t: Tables) -> DataFrame:
+    """Dates, months, validities, amounts, percentages, names and addresses, written as documents write them and read again."""
+    k, d = F.col("o_orderkey"), F.date_add(F.col("o_orderdate").cast("date"), 11000)
+    month = F.element_at(F.array(*map(F.lit, MONTH_NAMES)), F.month(d))
+    named = F.when(k % 2 == 0, F.concat(F.lit("Tabela de "), month, F.lit(" de "), F.year(d).cast("string"))).otherwise(F.concat(F.upper(F.left(month, F.lit(3))), F.lit("/"), F.date_format(d, "yy")))
+    said = F.when(k % 3 == 0, F.concat(F.lit("VÁLIDA de "), text.written_date(d), F.lit(" até "), text.written_date(F.date_add(d, 30)))).when(k % 3 == 1, F.concat(F.lit("Vigência: "), F.date_format(d, "MM/yyyy"), F.lit(" a "), F.date_format(d, "MM/yyyy"))).otherwise(F.concat(F.lit("impresso em "), text.written_date(d)))
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    amount = F.concat(F.lit("R$:"), (F.expr("cast(round(o_totalprice * 100) as bigint) div 100 % 1000")).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return t.orders.select(
+        k.alias("k"), text.month_by_name(named).alias("month"), text.iso_date(F.when(k % 2 == 0, d.cast("string")).otherwise(text.written_date(d))).alias("iso"), text.written_date(d).alias("written"),
+        text.series_of_name(F.concat(F.when(k % 2 == 0, "wayback_").otherwise(""), F.lit("carrier_"), k.cast("string"), F.date_format(d, "'_'yyyy-MM-dd'.PDF'"))).alias("series"), text.normalized(F.concat(F.lit("  Tabela\u00a0 Nº\t"), k.cast("string"))).alias("label"),
+        text.validity(said).alias("starts"), text.validity(said, last=True).alias("ends"), (text.money(text.without_currency(amount)) * 100).cast("bigint").alias("price"),
+        text.written_percent((k % 201 - 100) / 1000).alias("percent"), text.safe_url(F.concat(F.lit("x/a b/"), k.cast("string"), F.lit("é?q=1%20"))).alias("url"),
+    )
+
+
+@query("WITH p AS (SELECT p_partkey, p_size FROM part) SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Tabela ' || p_size || ' · 2 a 29 vidas' WHEN 1 THEN '2 a 29 vidas' WHEN 2 THEN 'Tabela ' || p_size ELSE '' END AS title, CASE WHEN p_size % 2 = 0 THEN 'coparticipação: com' ELSE 'região: capital' END AS side FROM p")
+def headings(t: Tables) -> DataFrame:
+    """The title of a table from the lines above it, and the condition that is written upwards or downwards beside it."""
+    n = F.col("p_size")
+    lines_ = F.array(F.lit("Preços por pessoa"), F.when(n % 2 == 0, F.concat(F.lit("Tabela "), n.cast("string"))).otherwise(F.lit("503.058/25-7 Plano Capital")), F.when(n % 4 < 2, F.lit("2 a 29 vidas")).otherwise(F.lit("vidas")), F.when(n % 2 == 0, F.concat(F.lit("Tabela "), n.cast("string"))).otherwise(F.lit("Pessoas")))
+    written = F.when(n % 2 == 0, F.array(F.lit("Com"), F.lit("coparticipação"))).otherwise(F.array(F.lit("latipaC"), F.lit("oãiger")))
+    words = t.part.select("p_partkey", F.posexplode(written).alias("y", "text"))
+    titled = t.part.select("p_partkey", layout.heading_title(F.filter(lines_, lambda x: x != "vidas")).alias("title"))
+    return titled.join(layout.side_tags(words, ["p_partkey"]), "p_partkey").select("p_partkey", "title", F.array_join("tags", ",").alias("side"))
 
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY ALL")

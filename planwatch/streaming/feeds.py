@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from planwatch.operators.versions import chains
 
+BLOCKED = (401, 403, 429)
+
 
 def available_now(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Runs ``each`` over all that is there now, in micro-batches, and ends. An offset counts as read only once its batch ended well."""
@@ -18,22 +20,54 @@ def available_now(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     return query
 
 
+def unseen_stream(stream: DataFrame, content: str = "content") -> DataFrame:
+    """The stream with sha, each content once in all batches: Spark's state store holds the hashes, dealt by hash, so a batch
+    costs what it brings and not what came before it."""
+    return stream.withColumn("sha", F.sha2(F.col(content).cast("binary"), 256)).dropDuplicates(["sha"])
+
+
 def unseen(batch: DataFrame, seen: DataFrame, content: str = "content") -> DataFrame:
     """One row for each content that neither ``seen`` (sha) nor an earlier row of the batch has."""
     hashed = batch.withColumn("sha", F.sha2(F.col(content).cast("binary"), 256)).dropDuplicates(["sha"])
     return hashed.join(seen.select("sha").distinct(), "sha", "left_anti")
 
 
+def to_fetch(candidates: DataFrame, state: DataFrame, immutable: Column) -> DataFrame:
+    """``candidates`` (url) without those of sources whose addresses never change that were fetched before; the others carry the etag and the
+    date (modified) that a conditional request needs. ``immutable`` is a column of candidates."""
+    known = state.where("sha is not null").select("url", F.lit(True).alias("_known"), "etag", "modified").dropDuplicates(["url"])
+    return candidates.withColumn("_immutable", immutable).join(known, "url", "left").where("not (_immutable and coalesce(_known, false))").drop("_immutable", "_known")
+
+
+def pdf_fault(content: Column, kind: Column) -> Column:
+    """Why bytes are no whole PDF: they don't begin as one, or lack its end mark in the last 2,048; null for a whole one."""
+    head, tail = F.substring(content, 1, 4), F.substring(content, -2048, 2048)
+    short = F.when(F.length(content) < 2048, content).otherwise(tail)
+    said = F.when(F.coalesce(kind, F.lit("")) == "", F.lit("no type")).otherwise(kind)
+    return F.when(head != F.lit(b"%PDF"), F.concat(F.lit("not a PDF ("), said, F.lit(")"))).when(~F.contains(short, F.lit(b"%%EOF")), F.concat(F.lit("ends without %%EOF after "), F.length(content).cast("string"), F.lit(" bytes")))
+
+
 def outcomes(fetched: DataFrame, state: DataFrame) -> DataFrame:
     """Fetches (url, status, sha) against the state (url, sha) of the last good fetch, with outcome: blocked, error, unchanged
     (not modified, or the same content), known (the content came from another address) or new."""
     known = state.select("sha").distinct().withColumn("_known", F.lit(True))
     joined = fetched.join(state.select("url", F.col("sha").alias("_before")).dropDuplicates(["url"]), "url", "left").join(known, "sha", "left")
-    outcome = F.when(F.col("status").isin(401, 403, 429), "blocked").when(F.col("status") == 304, "unchanged").when(F.col("status") != 200, "error")
+    outcome = F.when(F.col("status").isin(*BLOCKED), "blocked").when(F.col("status") == 304, "unchanged").when(F.col("status") != 200, "error")
     outcome = outcome.when(F.col("sha") == F.col("_before"), "unchanged").when(F.col("_known"), "known").otherwise("new")
     return joined.withColumn("outcome", outcome).drop("_before", "_known")
 
 
+def next_state(state: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The state (url, sha, etag, modified, seen) after fetches with outcomes (url, sha, etag, modified, at, outcome): what came well replaces
+    what was known, any fetch moves ``seen``, a blocked or failed one changes nothing else. One row for each address."""
+    good = F.col("outcome").isin("new", "known", "unchanged") & F.col("sha").isNotNull()
+    value = F.struct("sha", "etag", "modified")
+    news = fetched.groupBy("url").agg(F.max_by(value, F.when(good, F.col("at"))).alias("_new"), F.max("at").alias("_at"))
+    both = state.withColumn("_old", value).select("url", "_old", "seen").join(news, "url", "full")
+    kept = F.coalesce(F.when(F.col("_new.sha").isNotNull(), F.col("_new")), F.col("_old"))
+    return both.withColumn("_kept", kept).select("url", "_kept.sha", "_kept.etag", "_kept.modified", F.greatest("seen", "_at").alias("seen"))
+
+
 def next_offset(state: tuple[int, int] | None, validity: int, uids: list[int], limit: int) -> tuple[tuple[int, int], list[int]]:
     """The offset (validity, last uid) of a mailbox and the uids to read: a new validity starts anew, ``limit`` a run."""
     last = state[1] if state and state[0] == validity else 0
@@ -41,22 +75,34 @@ def next_offset(state: tuple[int, int] | None, validity: int, uids: list[int], l
     return (validity, todo[-1] if todo else last), todo
 
 
-def late_versions(keys: list[str], at: str, table: str, publish: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: appends the rows of a batch to ``table`` and publishes anew the chains of the keys that it touches.
+def kept_offset(before: str | None, after: str | None, outcome: str, partial: bool) -> str | None:
+    """The offset to store after a run: it moves on only if the run ended well and read all there was."""
+    return after if outcome == "ok" and not partial else before
+
 
-    Late rows are always accepted: a chain depends on dates alone, so whatever the order of arrival, the newest is current. A batch that
-    is run again appends nothing, as its rows are there already.
+def late_versions(keys: list[str], at: str, table: str, published: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: appends the rows of a batch to ``table``, and writes anew the chains of the keys that it touches into
+    ``published``, as (keys, batch, chain rows): of each key those of its latest batch hold (``current_chains``).
+
+    Late rows are always accepted: a chain depends on dates alone, so whatever the order of arrival, the newest is current. Rows of one date all
+    stay. A batch that is run again appends nothing, as its number is there already.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates([*keys, at]).persist()
-        if spark.catalog.tableExists(table):
-            batch.join(spark.table(table), [*keys, at], "left_anti").select(*batch.columns).write.mode("append").saveAsTable(table)
-        else:
-            batch.write.saveAsTable(table)
-        touched = spark.table(table).join(batch.select(*keys).distinct(), keys, "left_semi")
-        publish(chains(touched, keys, at))
-        batch.unpersist()
+        numbered = batch.withColumn("_batch", F.lit(number).cast("bigint"))
+        done = spark.catalog.tableExists(table) and not spark.table(table).where(F.col("_batch") == number).isEmpty()
+        if not done:
+            numbered.write.mode("append").saveAsTable(table)
+        rows = spark.table(table)
+        touched = rows.join(rows.where(F.col("_batch") == number).select(*keys).distinct(), keys, "left_semi")
+        chains(touched.drop("_batch"), keys, at, tie="prices").withColumn("_batch", F.lit(number).cast("bigint")).write.mode("append").saveAsTable(published)
 
     return each
+
+
+def current_chains(spark: SparkSession, published: str, keys: list[str]) -> DataFrame:
+    """What a stream of late versions has published: of each key the chain of its latest batch, once even if that batch ran twice."""
+    rows = spark.table(published)
+    last = rows.groupBy(*keys).agg(F.max("_batch").alias("_batch"))
+    return rows.join(last, [*keys, "_batch"]).drop("_batch").distinct()

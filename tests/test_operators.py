@@ -41,7 +41,7 @@ def test_tags_combine_and_contradict(spark):
 @pytest.mark.parametrize("f,raw,want", [
     (text.money, "1.065,14", "1065.14"), (text.money, "12,5", None), (text.money, "1065,14", None), (text.registration, "503.058/25-7", "503058257"), (text.registration, "503058257", "503058257"), (text.registration, "12", None),
     (text.formatted_registration, "503058257", "503.058/25-7"), (text.slug, "São Paulo 2024!", "s_o_paulo_2024"), (text.fold, "Não–É", "nao-e"), (text.proper_name, "HOSPITAL DE CLINICAS UTI", "Hospital de Clinicas UTI"),
-    (text.series_key, "https://web.archive.org/web/20240101000000/http://www.x.com/a/Tabela_2024-05.pdf", "x.com/a/tabela_.pdf"), (text.file_name, "https://x.com/a/b%20c?d=1", "b c.pdf"), (text.date_in_name, "https://x.com/t_20240230.pdf", None), (text.date_in_name, "https://x.com/t_2024-05.pdf", date(2024, 5, 1)),
+    (text.series_key, "https://web.archive.org/web/20240101000000/http://www.x.com:80/a/Tabela_2024-05-17.pdf", "x.com/a/tabela.pdf"), (text.series_key, "https://x.com/t_16_07_2026.pdf", "x.com/t.pdf"), (text.series_key, "https://x.com/product201205678.pdf", "x.com/product201205678.pdf"), (text.date_in_name, "https://x.com/product201205678.pdf", None), (text.date_in_name, "https://x.com/t_16_07_2026.pdf", date(2026, 7, 16)), (text.file_name, "https://x.com/a/b%20c?d=1", "b c.pdf"), (text.date_in_name, "https://x.com/t_20240230.pdf", None), (text.date_in_name, "https://x.com/t-2024-05-01.pdf", date(2024, 5, 1)), (text.fold, "Nº 1ª ﬁm ŏ", "no 1a fim o"), (text.band_of_label, "59\u00a0anos ou mais", 9), (text.band_of_label, "&ge; 59", 9), (text.band_of_label, "&#62; 59", 9), (text.band_of_label, "5 a 10 vidas", None), (text.unescaped, "a &amp;gt; b &#233;&x;", "a &gt; b é&x;"), (text.safe_url, "http://x/a b%20ç", "http://x/a%20b%20%C3%A7"),
     (text.validity, "Vigência: 01/05/2024 a 30/04/2025", date(2024, 5, 1)), (text.validity, "válida a partir de 02/2024", date(2024, 2, 1)), (text.validity, "atualizado em 01/05/2024", None),
 ])
 def test_texts(spark, f, raw, want):
@@ -63,7 +63,7 @@ def test_vectors(spark):
     full = a(*range(1, 11))
     assert one(spark, bands.is_complete(full)) and one(spark, bands.is_complete(a(None, None, *range(8)))) and not one(spark, bands.is_complete(a(1, None, *range(8))))
     assert one(spark, bands.unread(a(None, 1, None, *range(7)))) == [2] and one(spark, F.size(bands.padded(a(1)))) == 10 and not one(spark, bands.is_complete(a()))
-    assert one(spark, bands.changed(a(1, 2, 3), a(1, 2.004, 4))) == [2] and one(spark, bands.agreement(full, full)) == 10
+    assert one(spark, bands.changed(a(1, 2, 3, None, 5), a(1, 2.004, 4, 7, None))) == [2] and one(spark, bands.middle(bands.variation(a(1, 2, 4), a(2, 3, 5)))) == 0.5 and one(spark, bands.middle(a())) is None and one(spark, bands.agreement(full, full)) == 10
 
 
 def test_recompute_repairs_a_planted_error(spark):
@@ -73,20 +73,21 @@ def test_recompute_repairs_a_planted_error(spark):
     got = {(r["c"], r["band"]): r["value"] for r in reconcile.recompute(df, "doc", "c").collect()}
     assert abs(got[0, 4] - truth) <= 0.015 and not any(c in (9, 10, 11) for c, _ in got)
     cells = spark.createDataFrame([(1, 0, 4, truth + 30, truth, "divergent"), (1, 1, 4, rows[1][2][4] + 1, rows[1][2][4] + 1, "confirmed"), (1, 2, 4, None, 1.0, "only_b")], "doc int, c int, band int, a double, b double, status string")
-    out = {r["c"]: (r["outcome"], r["chosen"]) for r in reconcile.apply_recompute(cells, reconcile.recompute(df, "doc", "c"), ["doc", "c"]).collect()}
+    out = {r["c"]: (r["outcome"], r["chosen"]) for r in reconcile.apply_recompute(cells, reconcile.recompute(df, "doc", "c"), ["doc", "c"]).collect() if r["status"]}
     assert out == {0: ("confirmed_calc", truth), 1: ("info", None), 2: ("alert", None)}
 
 
 def found(spark, prices, mixed=False):
     df = spark.createDataFrame([(1, i, float(p), mixed) for i, p in enumerate(prices) if p is not None], "k int, band int, price double, mixed boolean")
-    return sorted((r["rule"], r["severity"], r["band"]) for r in rules.band_rules(df, ["k"], F.col("mixed")).collect())
+    return sorted((r["rule"], r["severity"], r["bands"]) for r in rules.band_rules(df, ["k"], F.col("mixed")).collect())
 
 
 def test_band_rules(spark):
     legal = [100, 110, 120, 130, 140, 150, 300, 400, 500, 600]
-    assert found(spark, legal) == [] and found(spark, [*legal[:9], 700]) == [("six_times", "error", None)] and found(spark, [*legal[:9], 700], True) == [("six_times", "info", None)]
-    assert ("decrease", "error", 3) in found(spark, [100, 110, 130, 120, *legal[4:]]) and found(spark, [None] * 6 + legal[6:]) == [("incomplete", "info", None)]
-    assert found(spark, [100, 110, 120, 130, 140, 150, 160, 400, 500, 590]) == [("late_rise", "error", None)]
+    assert found(spark, legal) == [] and found(spark, [*legal[:9], 700]) == [("six_times", "error", [0, 9])] and found(spark, [*legal[:9], 700], True) == [("six_times", "info", [0, 9])]
+    assert ("decrease", "error", [3]) in found(spark, [100, 110, 130, 120, *legal[4:]]) and found(spark, [None] * 6 + legal[6:]) == [("incomplete", "info", [])]
+    assert found(spark, [100, *[None] * 5, 300, 400]) == [] and found(spark, [*legal[:6], None, *legal[7:]]) == []
+    assert found(spark, [100, 110, 120, 130, 140, 150, 160, 400, 500, 590]) == [("late_rise", "error", [0, 6, 9])]
 
 
 def test_reference_note(spark):
@@ -96,7 +97,13 @@ def test_reference_note(spark):
     prices = [v * 1.2 for v in vcm]
     prices[3] *= 1.2
     cols = spark.createDataFrame([("p", date(2024, 3, 1), b, v) for b, v in enumerate(prices)], "plan string, material_date date, band int, price double")
-    assert [(r["note"], r["rule"], r["severity"], r["band"]) for r in rules.reference_note(cols, notes, ["plan", "material_date"], "plan").collect()] == [(1, "off_pattern", "alert", 3)]
+    check = lambda f, cols: sorted((r["note"] or 0, r["rule"], r["severity"], r["bands"]) for r in f(cols, notes, ["plan", "material_date"], "plan").collect())
+    assert check(rules.reference_note, cols) == [(1, "off_pattern", "alert", [3])]
+    high = spark.createDataFrame([("p", date(2024, 3, 1), b, v * 2) for b, v in enumerate(vcm)] + [("q", date(2024, 3, 1), 0, 1.0)], cols.schema)
+    assert check(rules.reference_note, high) == [(0, "no_note", "info", []), (1, "out_of_band", "alert", list(range(10)))]
+    later = notes.union(notes.select("plan", "note", F.lit("2024-06-01").cast("date"), "band", F.col("vcm") * 2, F.col("low") * 2, F.col("high") * 2))
+    got = rules.note_at_the_time(high, later, ["plan", "material_date"], "plan").collect()
+    assert sorted((r["plan"], r["rule"], r["note_date"]) for r in got) == [("q", "no_note", None)]  # the later note explains the prices
 
 
 @pytest.mark.parametrize("cover,limit", [("Doença preexistente", 730), ("Parto", 300), ("Cirurgia", 180), ("Urgência e parto", 300), ("emergencia", 1), ("CPT", 730), ("Consultas", 180)])
@@ -223,8 +230,11 @@ def test_registers_and_zips(spark, tmp_path):
         z.writestr("b.csv", "id;v\n1;2,5\n")
         z.writestr("a.csv", "id;v\r\n3;x\r\n")
         z.writestr("readme.txt", "no")
-    rows = files.parsed(files.zipped_lines(spark, str(tmp_path / "z.zip")), "id int, v string").collect()
+    lines = files.zipped_lines(spark, [str(tmp_path / "z.zip")])
+    rows = files.parsed(lines, "id int, v string").collect()
     assert sorted((r["member"], r["id"], r["v"]) for r in rows) == [("a.csv", 3, "x"), ("b.csv", 1, "2,5")]
+    assert [r["line"] for r in files.of_interest(lines, 1, spark.createDataFrame([(3,)], "id int")).collect()] == ["3;x"]
+    assert files.zipped_lines(spark, []).count() == 0
 
 
 def test_configurations_merge_by_depth(spark, tmp_path):
@@ -240,17 +250,31 @@ def test_api_items_and_mail(spark):
     body = '{"data": {"items": [{"url": "a", "title": "x"}, {"url": ["b", "c"], "title": "y"}, {"title": "z"}]}}'
     items = files.api_items(spark.createDataFrame([(body,)], "body string"), "$.data.items")
     assert sorted(tuple(r) for r in items.collect()) == [("a", "x"), ("b", "y"), ("c", "y")]
-    mails = spark.createDataFrame([("A <a@x.com>", "dkim=pass"), ("b@mail.x.com", "dmarc = PASS"), ("c@evilx.com", "dkim=pass"), ("d@x.com", "dkim=fail")], "sender string, auth string")
-    assert sorted(r["sender"] for r in files.mail_from_trusted(mails, ["x.com"]).collect()) == ["A <a@x.com>", "b@mail.x.com"]
+    ours, forged = "mx.our.net; dkim=pass header.d={0}", "mx.evil.net; dkim=pass header.d={0}"
+    mails = [
+        ("A <a@x.com>", [ours.format("x.com")]), ("b@mail.x.com", ["MX.our.net 1;\r\n dmarc=PASS (p=none) header.from=mail.x.com"]), ("c@evilx.com", [ours.format("evilx.com")]), ("d@x.com", ["mx.our.net; dkim=fail header.d=x.com"]),
+        ("e@x.com", [forged.format("x.com")]), ("f@x.com", [ours.format("other.com")]), ("g@x.com", ["mx.our.net.evil.com; dkim=pass header.d=x.com"]), ("h@x.com", [ours.format("x.com.evil.org")]), ("i@y.org", [forged.format("y.org"), ours.format("y.org")]), ("j@x.com", None),
+    ]
+    mails = spark.createDataFrame(mails, "sender string, headers array<string>")
+    assert sorted(r["sender"] for r in files.mail_from_trusted(mails, ["@x.com", "i@y.org"], "mx.our.net").collect()) == ["A <a@x.com>", "b@mail.x.com", "i@y.org"]
 
 
 def test_links_and_robots(spark):
     base = F.lit("https://h.com/a/b.html?q=1")
-    for href, want in (("c.pdf", "https://h.com/a/c.pdf"), ("/d e.pdf#x", "https://h.com/d%20e.pdf"), ("//o.com/x", "https://o.com/x"), ("http://y/?a=1&amp;b=2", "http://y/?a=1&b=2")):
+    for href, want in (("c.pdf", "https://h.com/a/c.pdf"), ("/d e.pdf#x", "https://h.com/d%20e.pdf"), ("//o.com/x", "https://o.com/x"), ("http://y/?a=1&b=2", "http://y/?a=1&b=2"), ("../up/./c.pdf?x=../", "https://h.com/up/c.pdf?x=../"), ("?p=2", "https://h.com/a/b.html?p=2"), ("é.pdf", "https://h.com/a/%C3%A9.pdf")):
         assert one(spark, links.absolute(F.lit(href), base)) == want
-    rules_ = spark.createDataFrame([("Disallow", "/a"), ("Allow", "/a"), ("Disallow", "/*.pdf$"), ("Disallow", "")], "kind string, pattern string")
-    paths = spark.createDataFrame([("/a/x",), ("/b.pdf",), ("/b.pdf?x",), ("/c",)], "path string")
-    assert [r["allowed"] for r in links.allowed(paths, rules_, "path").collect()] == [True, False, True, True]
+    page = """<A HREF='x.pdf' title="T &amp; U">x</A><button data-url=y.pdf disabled>y</button><a href="#top">t</a><a href="javascript:z()">z</a><area
+      href = "q.pdf?a=1&amp;b=2"/><img src="n.png"><option value="o.pdf">"""
+    found = links.tags_with_links(spark.createDataFrame([(1, page)], "k int, html string"), "k", "html", ("href", "data-url"), "title").collect()
+    assert [(r["href"], r["title"], r["disabled"]) for r in sorted(found, key=lambda r: r["place"])] == [("x.pdf", "T & U", False), ("y.pdf", None, True), ("q.pdf?a=1&b=2", None, False)]
+    body = "User-agent: *\n\nDisallow: /a\nAllow: /a\nDisallow: /*.pdf$\nDisallow:\nUser-agent: bot\nDisallow: /\n"
+    rules_ = links.robots_rules(spark.createDataFrame([("h", body)], "host string, body string"), "Planwatch/2")
+    paths = spark.createDataFrame([("h", "/a/x"), ("h", "/b.pdf"), ("h", "/b.pdf?x"), ("h", "/c"), ("other", "/b.pdf")], "host string, path string")
+    assert {(r["host"], r["path"]): r["allowed"] for r in links.allowed(paths, rules_, "path").collect()} == {("h", "/a/x"): True, ("h", "/b.pdf"): False, ("h", "/b.pdf?x"): True, ("h", "/c"): True, ("other", "/b.pdf"): True}
+    assert [r["allowed"] for r in links.allowed(paths.limit(1), links.robots_rules(spark.createDataFrame([("h", body)], "host string, body string"), "Bot/1"), "path").collect()] == [False]
+    index = '[["urlkey","timestamp","original","digest"],["k","2","http://x/a","D"],["k","1","http://y/a","D"]]'
+    copies = links.archive_rows(spark.createDataFrame([("s", index), ("t", "[]")], "s string, body string"), "s", "body")
+    assert [tuple(r) for r in links.earliest_copies(copies, "digest", "at", "address").collect()] == [("D", "http://y/a", "1")]
 
 
 def test_fetch_outcomes_and_offsets(spark):
@@ -285,3 +309,137 @@ def test_last_results_pass_over_empty_runs(spark):
     runs = spark.createDataFrame([("c", 1, 4), ("c", 2, 0), ("c", 3, 2), ("d", 1, 0)], "capture string, at int, found int")
     got = {(r["capture"], r["at"]): r["before"] for r in collecting.last_results(runs, ["capture"], "at", "found").collect()}
     assert got == {("c", 1): None, ("c", 2): 4, ("c", 3): 4, ("d", 1): None}
+
+
+def test_pdf_faults(spark):
+    df = spark.createDataFrame([(b"%PDF-1.7 x %%EOF\n",), (b"<html>",), (b"%PDF-1.7 " + b"x" * 5000,), (b"%PDF" + b"x" * 5000 + b"%%EOF",), (b"",)], "c binary").select(feeds.pdf_fault(F.col("c"), F.lit("text/html")).alias("f"))
+    assert [r["f"] for r in df.collect()] == [None, "not a PDF (text/html)", "ends without %%EOF after 5009 bytes", None, "not a PDF (text/html)"]
+
+
+def test_offsets_are_kept_only_after_whole_runs():
+    assert feeds.kept_offset("a", "b", "ok", False) == "b" and feeds.kept_offset("a", "b", "ok", True) == "a" and feeds.kept_offset(None, "b", "error", False) is None
+
+
+def test_as_of_without_a_date(spark):
+    m = spark.createDataFrame([("p", None), ("p", date(2020, 1, 1)), ("q", None)], "plan string, at date")
+    n = spark.createDataFrame([("p", date(2021, 1, 1)), ("p", date(2023, 1, 1))], "plan string, noted date")
+    assert sorted((r["plan"], str(r["at"]), r["note_date"]) for r in lookup.as_of(m, n, "plan", "at", "noted").collect() if r["plan"] == "p") == [("p", "2020-01-01", date(2021, 1, 1)), ("p", "None", date(2023, 1, 1))]
+
+
+def test_other_sources_take_the_nearest_compatible_row(spark):
+    schema = "product string, source int, place int, tags array<string>, price int"
+    rows = spark.createDataFrame([("p", 1, 0, ["vidas: 1"], 10), ("p", 2, 0, ["vidas: 2 a 29"], 20), ("p", 2, 3, ["vidas: 1"], 30), ("p", 2, 1, [], 40), ("p", 3, 5, [], 50)], schema)
+    got = {(r["own"]["price"], r["peer"]["price"]) for r in lookup.other_sources(rows, "product", ["source"], "place").collect()}
+    assert got == {(10, 30), (10, 50), (20, 50), (30, 10), (30, 50), (40, 10), (40, 50), (50, 10), (50, 30)}
+
+
+def test_versions_differ_by_condition_and_shared_bands(spark):
+    schema = "product string, place int, tags array<string>, prices array<double>"
+    old = spark.createDataFrame([("p", 0, ["vidas: 1"], [10.0, 20.0, None]), ("p", 1, ["vidas: 2 a 29"], [5.0, 6.0, 7.0])], schema)
+    new = spark.createDataFrame([("p", 0, ["vidas: 2 a 29"], [5.0, 6.0, 7.0]), ("p", 1, ["vidas: 1"], [11.0, 20.0, 30.0]), ("p", 2, ["vidas: 30 ou mais"], [1.0])], schema)
+    got = sorted((r["old_place"], r["new_place"], r["change"], r["n_changed"], r["variation"] and round(r["variation"], 6)) for r in versions.diff(old, new, ["product"], ["place"]).collect() if r["old_place"] is not None)
+    assert got == [(0, 1, "changed", 1, 0.1), (1, 0, "equal", 0, None)]
+
+
+def test_late_versions_keep_all_of_one_date(spark, tmp_path):
+    rows = [("k", date(2024, 2, 1), [2.0]), ("k", date(2024, 1, 1), [1.0]), ("k", date(2024, 2, 1), [3.0]), ("j", date(2024, 1, 1), [9.0])]
+    schema = "k string, dated date, prices array<double>"
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    feeds.available_now(stream, feeds.late_versions(["k"], "dated", "late_rows", "late_chains"), str(tmp_path / "state"))
+    got = sorted((r["k"], r["dated"], r["version"], r["prices"], r["is_current"]) for r in feeds.current_chains(spark, "late_chains", ["k"]).collect())
+    assert got == [("j", date(2024, 1, 1), 1, [9.0], True), ("k", date(2024, 1, 1), 1, [1.0], False), ("k", date(2024, 2, 1), 2, [2.0], False), ("k", date(2024, 2, 1), 3, [3.0], True)]
+
+
+def test_history_is_renumbered(spark):
+    schema = "k string, doc int, dated date, prices array<double>"
+    chain = spark.createDataFrame([("k", 1, date(2024, 1, 1), [1.0], False), ("k", 3, date(2024, 3, 1), [3.0], True)], schema + ", is_current boolean")
+    older = spark.createDataFrame([("k", 2, date(2024, 2, 1), [2.0]), ("k", 4, date(2024, 2, 5), [3.0])], schema)
+    got = sorted((r["version"], r["doc"], r["next_doc"], r["is_current"]) for r in publish.inserted_history(chain, older, ["k"]).collect())
+    assert got == [(1, 1, 2, False), (2, 2, 3, False), (3, 3, None, True)]
+    docs = spark.createDataFrame([(1, "rule", False), (1, "rule", True), (2, "rule", False), (1, "other", False)], "doc int, type string, resolved boolean")
+    assert sorted(map(tuple, publish.resolved_by_history(docs, docs.where("doc = 1"), ["rule"]).collect())) == [(1, "other", False), (1, "rule", True), (2, "rule", False)]
+    replay = spark.createDataFrame([("k", date(2024, 2, 1), 1, [2.0]), ("k", date(2024, 1, 1), 2, [1.0])], "k string, dated date, arrived int, prices array<double>")
+    assert sorted((r["version"], r["late"]) for r in publish.replayed(replay, ["k"], "dated").collect()) == [(1, True), (2, False)]
+
+
+def test_documents_are_saved_anew(spark, tmp_path):
+    folder, ev = str(tmp_path / "saved"), "doc int, title string, resolved boolean"
+    column, cell = spark.createDataFrame([(1, "a"), (2, "b")], "doc int, column string"), spark.createDataFrame([(1, 5), (2, 6)], "doc int, v int")
+    files.save_documents(spark.createDataFrame([(1, "x", False), (1, "y", True), (2, "z", False)], ev), column, cell, folder)
+    files.save_documents(spark.createDataFrame([(1, "new", False)], ev), column.where("doc = 1"), cell.where("doc = 1").withColumn("v", F.lit(7)), folder)
+    assert sorted((r["doc"], r["title"]) for r in files.saved_events(spark, folder, ev).collect()) == [(1, "new"), (1, "y"), (2, "z")]
+    assert sorted((r["doc"], r["v"]) for r in spark.read.parquet(f"{folder}/cells").collect()) == [(1, 7), (2, 6)]
+    files.save_documents(spark.createDataFrame([], ev), column.where("doc = 2"), cell.where("doc = 2"), folder)
+    assert sorted((r["doc"], r["title"]) for r in files.saved_events(spark, folder, ev).collect()) == [(1, "new"), (1, "y")]
+
+
+def test_tables_are_swapped_and_exported(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.replace_table(spark.range(3), path)
+    files.replace_table(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    offers, peers = spark.createDataFrame([("a", 1), ("b", 2)], "offer string, total int"), spark.createDataFrame([("a", "b"), ("a", "b")], "offer string, peer string")
+    files.export_snapshot(offers, peers, "offer", str(tmp_path / "json"))
+    assert {r["offer"]: r["peers"] for r in spark.read.json(str(tmp_path / "json")).collect()} == {"a": ["b"], "b": None}
+    files.write_recordings(spark.createDataFrame([("0123456789abcdef", "m", "{}")], "sha string, model string, body string"), str(tmp_path / "rec"))
+    (tmp_path / "read").mkdir()
+    (tmp_path / "read" / "0123456789abcdef_model-1.json").write_text('{"pages": 3}')
+    assert [(r["pages"], r["folder"], r["sha"], r["model"]) for r in files.recordings(spark, str(tmp_path / "read"), "pages int").collect()] == [(3, "read", "0123456789abcdef", "model-1")]
+    (tmp_path / "m.json").write_text('[{"id": 35, "nome": "São Paulo", "uf": 1},\n {"id": 33, "nome": "Rio"}]')
+    assert sorted(map(tuple, files.municipalities(spark, str(tmp_path / "m.json")).collect())) == [(33, "Rio"), (35, "São Paulo")]
+    maps = spark.createDataFrame([("a/1.json", "r", "x", "u"), ("b/2.json", "r", "y", "v")], "path string, registration string, channel string, report string")
+    assert [tuple(r) for r in files.operator_mapping(maps).collect()] == [("r", "y", "v")]
+    cols, cells = spark.createDataFrame([(1, "c", 2)], "doc int, column string, page int"), spark.createDataFrame([(1, "c", 0, 5.0)], "doc int, column string, band int, price double")
+    files.write_reports(cols, cells, spark.createDataFrame([], "doc int, column string, rule string"), str(tmp_path / "reports"))
+    assert spark.read.json(str(tmp_path / "reports")).first()["columns"][0]["cells"][0]["price"] == 5.0
+
+
+def test_configurations_are_checked_before_loading(spark):
+    rows = [("a", "u", "page", 3, "x(", 0, "p1", [("page", "", "u1"), ("mail", "m", "u2")]), ("a", "u", "page", 3, "ok", 1, "p2", [("page", None, "u3")])]
+    c = spark.createDataFrame(rows, "name string, url string, kind string, reliability int, include string, depth int, path string, captures array<struct<type:string,name:string,url:string>>")
+    assert [r["problem"] for r in files.violations(c, ["page"], ("include",)).collect()] == ["include is no pattern"]
+    with pytest.raises(ValueError, match="include is no pattern"):
+        files.checked(c, ["page"], ("include",))
+    assert files.checked(c.where("depth = 1"), ["page"], ("include",)).count() == 1
+    assert sorted(r["capture"]["url"] for r in files.united_captures(c, "name").collect()) == ["u1", "u2"]
+    assert sorted(r["url"] for r in links.fixed_addresses(spark.createDataFrame([("s", ["b", "a", "b"])], "s string, urls array<string>"), "s", "urls").collect()) == ["a", "b"]
+
+
+def test_leftover_readings_and_recomputed_review(spark):
+    rows = spark.createDataFrame([("d", 0, "A", [1.0]), ("d", 1, "A", [1.0]), ("d", 2, "B", [2.0]), ("d", 3, "B", [2.0])], "doc string, place int, label string, prices array<double>")
+    taken = spark.createDataFrame([("d", 0)], "doc string, j int")
+    assert sorted((r["place"], r["repeated"]) for r in matching.leftovers(rows, taken, ["doc"], ["label", "prices"], ["place"]).collect()) == [(1, True), (2, False), (3, True)]
+    applied = spark.createDataFrame([(1, 0, "divergent", "confirmed_calc", 5.0, 5.0), (1, 1, "confirmed", None, 6.0, None), (1, 2, "only_a", "alert", 7.0, None), (1, 3, None, "suggestion", 8.0, None)], "c int, band int, status string, outcome string, value double, chosen double")
+    none = spark.createDataFrame([], "c int, severity string, bands array<int>")
+    assert {r["band"]: (r["status"], r["review"]) for r in reconcile.reviewed_anew(applied, none, ["c"]).collect()} == {0: ("confirmed_calc", False), 1: ("confirmed", False), 2: ("only_a", True)}
+    assert [(s["band"], s["value"]) for s in reconcile.suggestions(applied, ["c"]).first()["suggested"]] == [(3, 8.0)]
+
+
+def test_facade_lists_in_order(spark):
+    from planwatch.facade import label
+
+    desk = Planwatch(spark, {
+        "networks": spark.createDataFrame([("p", "RJ", 2), ("p", "SP", 5), ("q", "MG", 9)], "plan string, region string, hospitals int"), "columns": spark.createDataFrame([("d", 2, "t", "b"), ("d", 1, "t", "z"), ("d", 1, "t", "a")], "doc string, page int, table string, label string"),
+        "events": spark.createDataFrame([(1, 1, "k"), (2, 3, "k"), (3, 3, "j")], "id int, at int, type string"), "sources": spark.createDataFrame([("b", 5), ("a", 5), ("c", 1)], "name string, reliability int"), "operators": spark.createDataFrame([("Vida", None, False), ("Boa Vida", None, True), ("Nada", "x", True)], "name string, trade_name string, active boolean"),
+    })
+    assert [r["region"] for r in desk.regions("p").collect()] == ["SP", "RJ"] and [r["label"] for r in desk.columns("d").collect()] == ["a", "z", "b"]
+    assert [r["id"] for r in desk.events().collect()] == [3, 2, 1] and [r["id"] for r in desk.events("k", 1).collect()] == [2] and [r["name"] for r in desk.sources().collect()] == ["a", "b", "c"]
+    assert [r["name"] for r in desk.operators("vida").collect()] == ["Boa Vida", "Vida"] and [r["id"] for r in desk.listed("events").collect()] == [3, 2, 1]
+    assert one(spark, label(F.lit("review"))) == "em revisão" and one(spark, label(F.lit("?"))) == "?"
+    with pytest.raises(ValueError):
+        desk.quote([30], region="SPX")
+
+
+def test_words_drawn_over_others_and_tilted_pages(spark):
+    box = "doc int, page int, id int, text string, drawn int, x0 double, x1 double, top double, base double"
+    rows = [(1, 1, 0, "12", 0, 0.0, 10.0, 0.0, 10.0), (1, 1, 1, "13", 1, 1.0, 11.0, 0.0, 10.0), (1, 1, 2, "a", 2, 50.0, 60.0, 0.0, 10.0), (1, 1, 3, "a", 3, 50.5, 60.5, 0.0, 10.0)]
+    assert sorted(r["id"] for r in layout.drawn_over(spark.createDataFrame(rows, box)).collect()) == [1, 2]
+    words = spark.createDataFrame([(1, 1, "a", 95.0, 105.0, 95.0, 105.0)], "doc int, page int, text string, x0 double, x1 double, top double, base double")
+    r = layout.upright(words, F.lit(45.0)).first()
+    assert abs((r["top"] + r["base"]) / 2) < 1e-9 and abs((r["x0"] + r["x1"]) / 2 - 141.42135) < 1e-4
+    lines = spark.createDataFrame([("d", 2, 0, "Vigência: 01/2024"), ("d", 1, 5, "válida de 02/03/2024 a 01/03/2025"), ("d", 4, 0, "vigente 01/2020"), ("e", 4, 0, "vigente 01/2020")], "doc string, page int, line int, text string")
+    from planwatch.operators import collecting
+
+    assert [tuple(r) for r in collecting.printed_validity(lines).collect()] == [("d", date(2024, 3, 2), date(2025, 3, 1))]
