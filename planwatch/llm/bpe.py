@@ -393,4 +393,5 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns over all documents, as ``encode`` says it for nulls, empty texts and repeated rows."""
     return encode(documents(spark, sf_dir))

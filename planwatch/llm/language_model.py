@@ -22,7 +22,7 @@ BUCKET = 1_500_000  # listed n-grams that a task sums at a time
 BLOCK = 1 << 19  # tokens that are weighed at once
 ORDER = 2  # tokens of the longest n-grams, 3 at most
 ADDED = 0.1  # to each token's count, the unknown token included
-MASS = 2.0  # what the shorter context's probabilities weigh against counts
+MASS = 50.0  # by held-out likelihood; what the shorter context's probabilities weigh against counts
 STATE = 2  # two tokens are a state if training texts have them at least so often
 
 _START, _END = b"a start.", b"an end. "

@@ -106,6 +106,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns over all documents, as ``score`` says it for nulls, empty texts and repeated rows."""
     scored = score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

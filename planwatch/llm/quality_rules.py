@@ -43,8 +43,9 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: tuple[str, ...] = FEATURE
     """A decision list of rules for ``bad`` rows, in the order found.
 
     Two thirds of the rows grow a rule test by test, each the threshold that raises the m-estimate most; the last third prunes
-    it, dropping tests from the end while that doesn't lower its precision there. A rule stays if it is precise enough on both
-    parts; the rows that it covers go, and the next one is grown until none is good enough.
+    it, dropping tests from the end while that doesn't lower its precision there. A rule stays if its m-estimate is ``precision``
+    on the first part and at most 0.1 less on the last; the rows that it covers go, and the next one is grown until none is good
+    enough, however many rows or rules there are. So a few rows, which can't show that a rule holds, give no rules.
     """
     rules: list[Rule] = []
     prune = np.arange(len(x)) % 3 == 2
@@ -80,7 +81,7 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: tuple[str, ...] = FEATURE
         if not tests:
             return rules
         rule = Rule(tuple(tests))
-        if precise(rule, grow)[0] < precision or (len(x) >= 300 and precise(rule, left & prune)[0] < precision - 0.1) or len(rules) >= 20:
+        if precise(rule, grow)[0] < precision or precise(rule, left & prune)[0] < precision - 0.1:
             return rules
         rules.append(rule)
         left &= ~rule.holds(x, names)
@@ -113,5 +114,6 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns and the rule that failed a document, over all documents, as ``apply_rules`` says it for nulls and repeated rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return apply_rules(documents(spark, sf_dir), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

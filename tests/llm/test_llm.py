@@ -263,6 +263,12 @@ def test_rules_keep_good_documents(spark, awkward, empty):
     good, bad = [got[d] for d, q in labels if q == 1], [got[d] for d, q in labels if q == 0]
     assert sum(not r["kept"] for r in bad) > 0.8 * len(bad)
     assert sum(not r["kept"] and not r["base_failed"] for r in good) < 0.02 * len(good)
+    rules = [quality_rules.Rule((("words", False, 40.0), ("mark_share", True, 0.01))), quality_rules.Rule((("symbol_share", True, 0.005),)), quality_rules.Rule((("dup_line_share", True, 0.2),))]
+    stats = textstats.with_features(textstats.with_statistics(spark.read.parquet(f"{SF}/documents.parquet"))).withColumn("rule", quality_rules.verdict(rules)).collect()
+    for r in stats:  # the first rule that holds, by the same thresholds in numpy
+        x = np.array([[r[f] for f in textstats.FEATURES]])
+        assert r["rule"] == next((i for i, rule in enumerate(rules, 1) if rule.holds(x)[0]), 0)
+    assert len({r["rule"] for r in stats}) > 2
     some = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None)], "doc_id bigint, quality int")
     out = quality_rules.apply_rules(awkward, some).collect()
     assert len(out) == len(AWKWARD) and all(r["base_failed"] and not r["kept"] for r in out if r["n_words"] < 50)
@@ -578,6 +584,23 @@ def test_queries_return_a_row_for_each_document(spark, docs):
         assert QUERIES[name](spark, SF).count() == docs.count()
 
 
+def test_pipeline_finds_what_is_planted(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = " ".join(f"the plain words number {i} and others of the kind" for i in range(30))
+    rows = [(900_001, text), (900_002, text.replace("number 7", "number seven")), (900_003, text + " password='Zx81kPq77LmN'"), (900_004, "12345 !!"), (900_005, None)]
+    planted = spark.createDataFrame([(i, t, "en", "planted", len(t or "")) for i, t in rows], SCHEMA).select(*docs.columns)
+    docs = docs.unionByName(planted)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF).cache()
+        seen[name] = {r["doc_id"]: r["text"] for r in docs.where("doc_id > 900000").collect()}
+    assert set(seen["language"]) == {900_001, 900_002, 900_003} and set(seen["near_dedup"]) == {900_001}
+    clean = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect() if any(map(str.isalpha, r["text"]))}
+    assert len(clean) >= 190 and seen["secrets"][900_001] == text
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline
 
