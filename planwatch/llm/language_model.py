@@ -12,6 +12,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from planwatch.llm.common import crc_remainder, documents, utf8
 CHUNK = 12 << 20  # bytes of texts that a task holds at a time; on larger executors, larger chunks make fewer lists
 BUCKET = 1_500_000  # listed n-grams that a task sums at a time
 BLOCK = 1 << 19  # tokens that are weighed at once
-ORDER = 2  # tokens of the longest n-grams, 3 at most
+ORDER = 3  # tokens of the longest n-grams, 2 or 3
 ADDED = 0.1  # to each token's count, the unknown token included
 MASS = 50.0  # by held-out likelihood; what the shorter context's probabilities weigh against counts
 STATE = 2  # two tokens are a state if training texts have them at least so often
@@ -67,13 +68,13 @@ class Chunk:
         return out, there
 
 
-def _packed(ascending: np.ndarray) -> bytes:
-    """Ascending keys as the bytes of their differences, low bytes first, so that the high ones compress away."""
-    return np.diff(ascending, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as compressed bytes, the low bytes of all first: small numbers take little room."""
+    return zstandard.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def _unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def _bounds(n_buckets: int) -> np.ndarray:
@@ -81,37 +82,79 @@ def _bounds(n_buckets: int) -> np.ndarray:
     return np.array([i * (1 << 64) // n_buckets for i in range(1, n_buckets)], np.uint64)
 
 
-LISTED = "bucket int, chunk bigint, level int, grams binary, counts array<int>"
+LISTED = "bucket int, chunk bigint, level int, grams binary, counts binary"
 
 
-def listed(texts: DataFrame, n_buckets: int, order: int) -> DataFrame:
-    """(bucket, chunk, level, grams, counts): each chunk's different n-grams of each order by bucket, ascending, with their number in training texts."""
+def _lists(group: pa.Table, levels: list[tuple[int, np.ndarray, np.ndarray]], n_buckets: int) -> pa.Table:
+    """LISTED rows of a chunk for (level, keys, which are of training texts): the different keys of each bucket as their differences, ascending."""
+    rows, bounds = [], _bounds(n_buckets)
+    for level, keys, train in levels:
+        found, n = np.unique(keys[train], return_counts=True)
+        held = np.setdiff1d(keys[~train], found)
+        if len(held):
+            found, n = np.concatenate([found, held]), np.concatenate([n, np.zeros(len(held), n.dtype)])
+            by = np.argsort(found)
+            found, n = found[by], n[by]
+        cuts = [0, *np.searchsorted(found, bounds), len(found)]
+        rows += [(b, level, _packed(np.diff(found[i:j], prepend=np.uint64(0))), _packed(n[i:j].astype(np.int64))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+    bucket, level, grams, counts = zip(*rows) if rows else ([], [], [], [])
+    columns = [pa.array(bucket, pa.int32()), pa.array([group["chunk"][0].as_py()] * len(rows), pa.int64()), pa.array(level, pa.int32()), pa.array(grams, pa.binary()), pa.array(counts, pa.binary())]
+    return pa.table(columns, names=["bucket", "chunk", "level", "grams", "counts"])
+
+
+def _training(group: pa.Table, chunk: Chunk) -> np.ndarray:
+    return np.repeat(np.array(group["train"].to_pylist(), bool), np.diff(chunk.ends, prepend=0))
+
+
+def listed(texts: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, chunk, level, grams, counts): each chunk's different tokens and pairs by bucket, with their number in training texts."""
 
     def run(group: pa.Table) -> pa.Table:
-        chunk, bounds, rows = Chunk(group["text"]), _bounds(n_buckets), []
-        train = np.repeat(np.array(group["train"].to_pylist(), bool), np.diff(chunk.ends, prepend=0))
-        for level in range(1, order + 1):
-            keys, there = chunk.keys(level)
-            found, n = np.unique(keys[there & train], return_counts=True)
-            held = np.setdiff1d(keys[there & ~train], found)
-            if len(held):
-                found, n = np.concatenate([found, held]), np.concatenate([n, np.zeros(len(held), n.dtype)])
-                by = np.argsort(found)
-                found, n = found[by], n[by]
-            cuts = [0, *np.searchsorted(found, bounds), len(found)]
-            rows += [(b, level, _packed(found[i:j]), n[i:j].astype(np.int32)) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
-        bucket, level, grams, counts = zip(*rows)
-        columns = [pa.array(bucket, pa.int32()), pa.array([group["chunk"][0].as_py()] * len(rows), pa.int64()), pa.array(level, pa.int32()), pa.array(grams, pa.binary()), pa.array(counts, pa.list_(pa.int32()))]
-        return pa.table(columns, names=["bucket", "chunk", "level", "grams", "counts"])
+        chunk = Chunk(group["text"])
+        train, (pairs, there) = _training(group, chunk), chunk.keys(2)
+        return _lists(group, [(1, chunk.tokens, train), (2, pairs[there], train[there])], n_buckets)
 
     return texts.groupBy("chunk").applyInArrow(run, LISTED)
 
 
+def listed_triples(texts: DataFrame, known: DataFrame, n_buckets: int) -> DataFrame:
+    """The same of three tokens whose first two are a state by ``known`` totals: others have no arcs of their own."""
+
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(group["text"])
+        triples, there = _of_states(chunk, _counted(chunk, answers, 2, *chunk.keys(2)))
+        return _lists(group, [(3, triples[there], _training(group, chunk)[there])], n_buckets)
+
+    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, LISTED)
+
+
+def _of_states(chunk: Chunk, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of three tokens, and where there is one whose first two are a state; ``pairs`` has the number of the pair that ends at each token."""
+    keys, there = chunk.keys(3)
+    return keys, there & (np.roll(pairs, 1) >= STATE)
+
+
+def _counted(chunk: Chunk, answers: pa.Table, level: int, keys: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """The number of the n-gram that ends at each token of a chunk by the totals of what it listed; 0 where there is none."""
+    at = np.flatnonzero(answers["level"].to_numpy() == level)
+    parts = [_unpacked(answers["totals"][int(i)].as_py()) for i in at[np.argsort(answers["bucket"].to_numpy()[at])]]
+    total, found = np.concatenate([np.zeros(0, np.int64), *parts]), np.sort(keys[there])
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+    if len(total) != len(found):
+        raise RuntimeError("a chunk's texts aren't those it listed")
+    n = np.zeros(len(keys), np.int64)
+    for i in range(0, len(keys), BLOCK):
+        ok = there[i : i + BLOCK]
+        if ok.any():
+            n[i : i + BLOCK][ok] = total[np.searchsorted(found, keys[i : i + BLOCK][ok])]
+    return n
+
+
 def _summed(group: pa.Table, level: int):
     """The rows of one order in a bucket: row numbers, ends of their lists, the totals of their n-grams, and the totals of the different ones."""
     at = np.flatnonzero(group["level"].to_numpy() == level)
-    lists = [_unpacked(group["grams"][int(i)].as_py()) for i in at]
-    counts = [group["counts"][int(i)].values.to_numpy() for i in at]
+    lists = [np.cumsum(_unpacked(group["grams"][int(i)].as_py(), np.uint64), dtype=np.uint64) for i in at]
+    counts = [_unpacked(group["counts"][int(i)].as_py()) for i in at]
     if not lists:
         return at, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     found, of = np.unique(np.concatenate(lists), return_inverse=True)
@@ -140,9 +183,9 @@ def totals(lists: DataFrame) -> DataFrame:
             at, ends, each, *_ = _summed(group, level)
             rows += [(int(i), part) for i, part in zip(at, np.split(each, ends[:-1]))] if len(at) else []
         at = pa.array([i for i, _ in rows], pa.int64())
-        return pa.table([*(group[c].take(at) for c in ("chunk", "bucket", "level")), pa.array([x for _, x in rows], pa.list_(pa.int64()))], names=["chunk", "bucket", "level", "totals"])
+        return pa.table([*(group[c].take(at) for c in ("chunk", "bucket", "level")), pa.array([_packed(x) for _, x in rows], pa.binary())], names=["chunk", "bucket", "level", "totals"])
 
-    return lists.groupBy("bucket").applyInArrow(run, "chunk bigint, bucket int, level int, totals array<bigint>")
+    return lists.groupBy("bucket").applyInArrow(run, "chunk bigint, bucket int, level int, totals binary")
 
 
 def walk(n: list[np.ndarray], n_tokens: int, n_types: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,21 +210,11 @@ def walk(n: list[np.ndarray], n_tokens: int, n_types: int) -> tuple[np.ndarray,
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _scored(group: pa.Table, answers: pa.Table) -> pa.Table:
+def _scored(group: pa.Table, answers: pa.Table, order: int) -> pa.Table:
     chunk = Chunk(group["text"])
-    n = []
-    for level in range(1, max(answers["level"].to_pylist()) + 1):
-        at = np.flatnonzero(answers["level"].to_numpy() == level)
-        total = np.concatenate([answers["totals"][int(i)].values.to_numpy() for i in at[np.argsort(answers["bucket"].to_numpy()[at])]])
-        keys, there = chunk.keys(level)
-        found = np.sort(keys[there])
-        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
-        if len(total) != len(found):
-            raise RuntimeError("a chunk's texts aren't those it listed")
-        n.append(np.zeros(len(keys), np.int64))
-        for i in range(0, len(keys), BLOCK):
-            ok = there[i : i + BLOCK]
-            n[-1][i : i + BLOCK][ok] = total[np.searchsorted(found, keys[i : i + BLOCK][ok])]
+    n = [_counted(chunk, answers, level, *chunk.keys(level)) for level in (1, 2)]
+    if order > 2:
+        n.append(_counted(chunk, answers, 3, *_of_states(chunk, n[1])))
     n_tokens, n_types = answers["n_tokens"][0].as_py(), answers["n_types"][0].as_py()
     rows, cuts = [], np.unique(np.searchsorted(chunk.ends, np.arange(0, len(chunk.tokens), BLOCK), "right"))  # whole texts at a time
     for i, j in zip(cuts, [*cuts[1:], len(chunk.ends)]):
@@ -202,7 +235,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     Learned from the rows with crc32(doc_id) mod 10 other than 0 (a null doc_id is neither learned from nor held out). Null and
     empty texts are one END. Without a row to learn from every token has probability 1. Repeated rows get equal scores.
 
-    The model has every n-gram of up to ``order`` tokens that training texts have, at any size. ``chunk`` and ``bucket`` bound what a task
+    The model has every token and pair of tokens that training texts have, and with ``order`` 3 every token behind a pair that is a state
+    (STATE times or more), at any size. ``chunk`` and ``bucket`` bound what a task
     holds and change no score; a text is held whole. Chunks are dealt by a hash, so a frequent word, n-gram or text is in as many
     lists as there are chunks with it, once in each, and buckets are ranges of hashes: none is larger for a frequent n-gram.
     """
@@ -215,9 +249,13 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     # The partition's number parts even repeated rows; each partition is dealt alike whenever it is computed.
     dealt = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_chunks)).alias("chunk")
     texts = rows.select(dealt, "doc_id", "text", F.coalesce(rest != 0, F.lit(False)).alias("train"), F.coalesce(rest == 0, F.lit(False)).alias("held_out")).repartition(n_chunks, "chunk")
-    lists = listed(texts, n_buckets, order).repartition(n_buckets, "bucket")  # each exchange is used twice and made once
-    known = totals(lists).withColumn("one", F.lit(1)).join(F.broadcast(corpus_size(lists)), "one").select("chunk", "bucket", "level", "totals", "n_tokens", "n_types")
-    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scored, SCORED)
+    lists = listed(texts, n_buckets).repartition(n_buckets, "bucket")  # exchanges that are used twice are made once
+    known = totals(lists).repartition(n_chunks, "chunk")
+    if order > 2:
+        triples = listed_triples(texts, known, n_buckets).repartition(n_buckets, "bucket")
+        known = known.unionByName(totals(triples).repartition(n_chunks, "chunk"))
+    known = known.withColumn("one", F.lit(1)).join(F.broadcast(corpus_size(lists)), "one").select("chunk", "bucket", "level", "totals", "n_tokens", "n_types")
+    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(lambda group, answers: _scored(group, answers, order), SCORED)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
