@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from planwatch.functions.bands import LABELS
 from planwatch.operators import events, layout, publish
 from planwatch.plans.registry import Tables, query
-from planwatch.plans.views import PRICES, prices, wide
+from planwatch.plans.views import PRICES, WIDE, prices, wide
 
 
+#: Where the versions of all years to 1997 go in chains of even years to 1996.
+PLACED = """w AS (SELECT product, source, CAST(year(version) AS INT) AS doc, version AS dated, CAST(prices AS VARCHAR) AS p FROM wide), c AS (SELECT *, doc = 1996 AS cur FROM w WHERE doc % 2 = 0 AND doc <= 1996),
+b AS (SELECT o.product, o.source, o.doc, arg_max(c.p, c.dated) AS bp, arg_max(c.cur, c.dated) AS bcur FROM w o JOIN c ON o.product = c.product AND o.source = c.source AND c.dated <= o.dated GROUP BY ALL), a AS (SELECT o.product, o.source, o.doc, arg_min(c.p, c.dated) AS ap FROM w o JOIN c ON o.product = c.product AND o.source = c.source AND c.dated > o.dated GROUP BY ALL),
+placed AS (SELECT w.*, CASE WHEN (product, source, doc) IN (SELECT (product, source, doc) FROM c) THEN 'there' WHEN ap IS NULL AND coalesce(bcur, false) THEN 'deferred' WHEN coalesce(bp = p, false) OR coalesce(ap = p, false) THEN 'equal' ELSE 'inserted' END AS action FROM w LEFT JOIN b USING (product, source, doc) LEFT JOIN a USING (product, source, doc) WHERE doc <= 1997)"""
 DRAWN = "WITH c AS (SELECT p_partkey // 4 AS doc, p_partkey % 4 AS col, p_size FROM part), "
 
 
@@ -92,7 +96,10 @@ def daily_sync(t: Tables) -> DataFrame:
     return events.daily_sync(operators, plans, changes, notes, docs, raised, today)
 
 
-@query()
+@query(f"""WITH {WIDE}, o AS (SELECT product, source, CAST(prices AS VARCHAR) AS p, source <> 3 AS cur FROM wide WHERE version = DATE '1996-01-01' AND source <> 4), n AS (SELECT product, source, CAST(prices AS VARCHAR) AS p, source <> 0 AS ok FROM wide WHERE version = DATE '1997-01-01' AND product <> '000000007')
+SELECT 's' AS series, coalesce(n.product, o.product) AS product, CASE WHEN n.product IS NULL THEN 'retired' WHEN NOT ok THEN 'blocked' WHEN o.product IS NULL THEN 'first' WHEN cur AND o.p = n.p THEN 'confirmed' ELSE 'version' END AS action,
+  CAST(CASE WHEN n.product IS NOT NULL AND ok AND NOT coalesce(cur AND o.p = n.p, false) THEN 1 ELSE 0 END + CASE WHEN o.product IS NOT NULL THEN 1 ELSE 0 END AS INT) AS version,
+  CASE WHEN n.product IS NULL THEN CASE WHEN o.product IN (SELECT product FROM n) THEN 'condition_changed' ELSE 'product_removed' END END AS reason FROM o FULL JOIN n ON o.product = n.product AND o.source = n.source WHERE n.product IS NOT NULL OR cur""")
 def publish_document(t: Tables) -> DataFrame:
     """The columns of one year published over those of the year before, with conditions by source."""
     w = wide(t).withColumn("tags", F.array(F.concat(F.lit("grupo: "), F.col("source").cast("string"))))
@@ -101,13 +108,21 @@ def publish_document(t: Tables) -> DataFrame:
     return publish.publish(old, new).select("series", "product", "action", "version", "reason")
 
 
-@query()
+@query(f"WITH {WIDE}, {PLACED} SELECT product, source, doc, action FROM placed")
 def history_placement(t: Tables) -> DataFrame:
     w = wide(t).select("product", "source", F.year("version").alias("doc"), F.col("version").alias("dated"), "prices")
     chain = w.where("doc % 2 = 0").withColumn("is_current", F.col("doc") == 1996)
     return publish.place_in_history(chain.where("doc <= 1996"), w.where("doc <= 1997"), ["product", "source"]).select("product", "source", "doc", "action")
 
 
+@query(f"WITH {WIDE}, {PLACED}, whole AS (SELECT product, source, doc, dated, cur FROM c UNION ALL SELECT product, source, doc, dated, false FROM placed WHERE action = 'inserted') SELECT product, source, doc, CAST(row_number() OVER v AS INT) AS version, lead(doc) OVER v AS next_doc, cur AS is_current FROM whole WINDOW v AS (PARTITION BY product, source ORDER BY dated)")
+def history_inserted(t: Tables) -> DataFrame:
+    """Versions of odd years that arrive late, put into chains of even years and numbered anew."""
+    w = wide(t).select("product", "source", F.year("version").alias("doc"), F.col("version").alias("dated"), "prices")
+    chain = w.where("doc % 2 = 0 and doc <= 1996").withColumn("is_current", F.col("doc") == 1996)
+    return publish.inserted_history(chain, w.where("doc <= 1997"), ["product", "source"]).select("product", "source", "doc", "version", "next_doc", "is_current")
+
+
 @query("WITH f AS (SELECT user_id AS doc, CASE event_type WHEN 'click' THEN 'suspended' WHEN 'view' THEN 'off_pattern' WHEN 'purchase' THEN 'operator_cancelled' ELSE 'decrease' END AS rule, CASE WHEN value > 50 THEN 'alert' ELSE 'info' END AS severity, props AS message FROM events) SELECT doc, CASE rule WHEN 'suspended' THEN 'plan' WHEN 'off_pattern' THEN 'reference' WHEN 'operator_cancelled' THEN 'operator' ELSE 'table' END AS type, severity, count(DISTINCT message) AS n, CASE WHEN count(DISTINCT message) = 1 THEN min(message) ELSE count(DISTINCT message) || ' findings' END AS title FROM f GROUP BY ALL")
 def finding_events(t: Tables) -> DataFrame:
     rule = F.when(F.col("event_type") == "click", "suspended").when(F.col("event_type") == "view", "off_pattern").when(F.col("event_type") == "purchase", "operator_cancelled").otherwise("decrease")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from planwatch.functions import bands
-from planwatch.operators import collecting, lookup, matching, network, publish, quote, reconcile, rules, versions
+from planwatch.operators import collecting, lookup, matching, network, quote, reconcile, rules, versions
 from planwatch.plans.registry import Tables, query
 from planwatch.plans.views import PRICES, READINGS, WIDE, prices, readings, wide
 
@@ -293,14 +293,6 @@ def recompute_review(t: Tables) -> DataFrame:
     return reconcile.reviewed_anew(applied, findings, ["doc", "c"]).select("doc", "c", "band", "status", "outcome", "review")
 
 
-@query()
-def history_inserted(t: Tables) -> DataFrame:
-    """Versions of odd years that arrive late, put into chains of even years and numbered anew."""
-    w = wide(t).select("product", "source", F.year("version").alias("doc"), F.col("version").alias("dated"), "prices")
-    chain = w.where("doc % 2 = 0 and doc <= 1996").withColumn("is_current", F.col("doc") == 1996)
-    return publish.inserted_history(chain, w.where("doc <= 1997"), ["product", "source"]).select("product", "source", "doc", "version", "next_doc", "is_current")
-
-
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     name = F.split(F.col("p_name"), " ")
     kinds = F.array(F.lit("região: capital"), F.lit("região: interior 1"), F.lit("vidas: 1"), F.lit("vidas: 2 a 29"), F.lit("coparticipação: com"), F.lit("coparticipação: parcial"), F.lit("adesão: livre"))

@@ -97,7 +97,8 @@ def waiting_period(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", limit.alias("days"), (F.col("n_nationkey") * 40 > limit).alias("illegal"))
 
 
-@query()
+@query("""WITH a AS (SELECT p_partkey, p_size % 2 AS r, p_size % 4 AS rr, p_size % 3 AS c, p_size % 5 AS rc FROM part), m AS (SELECT p_partkey, CASE WHEN rr <> 2 AND (rr = 1) <> (r = 1) THEN 'room' END AS x, CASE WHEN (c = 0 AND rc IN (1, 3)) OR (c <> 0 AND rc IN (0, 4)) THEN 'copay' END AS y, CASE WHEN NOT (c = r AND c < 2) THEN 'contract' END AS z FROM a)
+SELECT p_partkey, concat_ws(',', x, y, z) AS mismatches FROM m""")
 def attribute_check(t: Tables) -> DataFrame:
     pick = lambda n, *options: F.element_at(F.array(*map(F.lit, options)), (F.col("p_size") % n + 1).cast("int"))
     wrong = rules.attribute_mismatches(pick(2, "enfermaria", "apartamento"), pick(3, "sem", "com", "parcial"), pick(2, "individual_familiar", "coletivo_adesao"), pick(4, "Coletiva", "Individual", "", "Coletiva"), pick(5, "Ausente", "Coparticipação", "", "Franquia", "Ausente"), pick(3, "Individual ou familiar", "Coletivo por adesão", ""))
