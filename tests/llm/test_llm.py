@@ -218,6 +218,42 @@ def test_languages_are_told_apart(docs, rows):
     assert len(got) == len(rows) and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.9 * len(held) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def brute_language(model, text):
+    """Trigrams by dictionary, then each contest of the hierarchy by plain sums."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    raw = " ".join("".join(c if ord(c) > 127 or c.isalpha() else " " for c in text.lower()).encode().decode("latin-1").split(" "))
+    raw = b" " + b" ".join(raw.encode("latin-1").split()) + b" "
+    counts = Counter((int.from_bytes(raw[i : i + 3], "big") * 2654435761 % 2**32) >> 21 for i in range(len(raw) - 2))
+    norm = math.sqrt(sum(counts.values()))
+
+    def contest(names, machines):
+        votes, total = Counter(), Counter()
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                w = machines[a, b]
+                m = sum(math.sqrt(n) / norm * float(w[k]) for k, n in counts.items()) + float(w[-2])
+                p = 1 / (1 + math.exp(-max(-30, min(30, float(w[-1]) * m))))
+                votes[a if p >= 0.5 else b] += 1
+                total[a], total[b] = total[a] + p, total[b] + 1 - p
+        best = max(names, key=lambda n: votes[n] + total[n] / (len(names) + 1))
+        return best, total[best] / (len(names) - 1) if len(names) > 1 else 1.0
+
+    family, p = contest(list(range(len(model.families))), model.between)
+    lang, q = contest(model.families[family], model.within)
+    return lang, p * q
+
+
+def test_languages_match_brute_force(docs, rows, awkward):
+    model = language.train(docs)
+    for df in (docs, awkward):
+        texts = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect() if len(r["text"] or "") < 20_000]
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(df, model=model).collect()}
+        for d, t in texts:
+            want = brute_language(model, t)
+            assert got[d][0] == want[0] and got[d][1] == pytest.approx(want[1], abs=2e-3)
+
+
 def test_language_of_awkward_rows(awkward, empty):
     got = {r["doc_id"]: r for r in language.identify(awkward).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1, 2, 3, 7)) and got[4]["lang_pred"] != "und"
