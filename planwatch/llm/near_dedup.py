@@ -173,7 +173,8 @@ def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row
 
     Sets with at least that Jaccard similarity are linked. Texts without words share the empty set, which links to none.
     Candidates share a band of min-hashes and are verified by their exact similarity. Each member of a band's bucket is first
-    verified against the bucket's smallest, which is linear in large groups; then only pairs whose groups are still apart are.
+    verified against three pivots of it, the smallest and two taken by hash, which is linear in large groups and joins a group of near copies, as
+    each of them meets other pivots in other bands; then only pairs whose groups are still apart are.
     """
     texts = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
 
@@ -192,16 +193,19 @@ def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row
     nodes = sets.groupBy("set").agg(F.min(place).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = written(nodes.select(F.col("first.row").alias("node"), "first", "size", "bands"), "distinct-sets")
     buckets = nodes.select("node", "size", F.explode("bands").alias("key"))
-    smallest = buckets.groupBy("key").agg(F.min(F.struct("node", "size")).alias("smallest"), F.count("*").alias("n")).where("n > 1")  # no task holds a bucket
-    members = written(buckets.join(smallest, "key").select("key", "node", "size", "smallest"), "buckets")
+    one, by = F.struct("node", "size"), F.xxhash64("node", "key")
+    pivots = F.array_distinct(F.array(F.min(one), F.min_by(one, by), F.max_by(one, by)))
+    pivots = buckets.groupBy("key").agg(pivots.alias("pivots"), F.count("*").alias("n")).where("n > 1")  # no task holds a bucket
+    members = written(buckets.join(pivots, "key").select("key", "node", "size", "pivots"), "buckets")
 
     wanted = written(members.select("node").distinct(), "candidates")
     once = texts.join(sized(wanted), F.col("row") == F.col("node")).select("node", "text")
     shingles = written(once.mapInArrow(unrolled, "node bigint, shingles array<bigint>"), "shingles")
 
     comparable = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)
-    to_first = members.where((F.col("smallest.node") < F.col("node")) & comparable("size", "smallest.size")).select(F.col("smallest.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_similar(to_first, shingles, similarity), "links-to-first")
+    to_pivots = members.select("node", "size", F.explode("pivots").alias("p")).where((F.col("p.node") != F.col("node")) & comparable("size", "p.size"))
+    to_pivots = to_pivots.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    links = written(_similar(to_pivots, shingles, similarity), "links-to-pivots")
     grouped = members.join(components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     grouped = written(grouped.join(mixed, "key", "left_semi"), "mixed-buckets")
