@@ -110,12 +110,12 @@ def band_rules(t: Tables) -> DataFrame:
     return _listed(rules.band_rules(prices(t).withColumnRenamed("cents", "price"), KEYS))
 
 
-@query(f"WITH {PRICES}, c AS (SELECT product, source, version, max(cents) FILTER (band = 0) AS p1, max(cents) FILTER (band = 6) AS p7, max(cents) FILTER (band = 9) AS p10 FROM prices GROUP BY ALL) SELECT product, source, version, 'six_times' AS rule, CASE WHEN source % 2 = 0 THEN 'info' ELSE 'error' END AS severity FROM c WHERE p7 IS NOT NULL AND CAST(p10 AS DOUBLE) > 6 * p1 * CAST(1.001 AS DOUBLE)")
+@query(f"WITH {PRICES}, {RULES} SELECT product, source, version, rule, CASE WHEN source % 2 = 0 THEN 'info' ELSE 'error' END AS severity FROM found WHERE rule IN ('six_times', 'late_rise')")
 def composite_rules(t: Tables) -> DataFrame:
     """Prices of half the sources include dental cover, as their heading says: legal ratios don't bind them."""
     heading = F.when(F.col("source") % 4 == 0, F.lit("Plano + ODONTO")).when(F.col("source") % 4 == 2, F.lit("com  Odonto")).otherwise(F.lit("Odontologia à parte"))
     composite = rules.is_composite(F.array().cast("array<string>"), heading)
-    return rules.band_rules(prices(t).withColumnRenamed("cents", "price"), KEYS, composite).where("rule = 'six_times'").drop("bands")
+    return rules.band_rules(prices(t).withColumnRenamed("cents", "price"), KEYS, composite).where("rule in ('six_times', 'late_rise')").drop("bands")
 
 
 @query("SELECT p_partkey, 'registration_conflict' AS rule, 'error' AS severity FROM part WHERE p_size % 4 <> 0 AND p_size % 3 = 1")
