@@ -160,11 +160,11 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their shingle sets' intersection and union, common and all."""
     sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab"]
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+    both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    return both.select("a", "b", "common", (F.size("of_a") + F.size("of_b") - F.col("common")).alias("all"))
 
 
 def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -174,7 +174,7 @@ def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row
     Sets with at least that Jaccard similarity are linked. Texts without words share the empty set, which links to none.
     Candidates share a band of min-hashes and are verified by their exact similarity. Each member of a band's bucket is first
     verified against three pivots of it, the smallest and two taken by hash, which is linear in large groups and joins a group of near copies, as
-    each of them meets other pivots in other bands; then only pairs whose groups are still apart are.
+    each of them meets other pivots in other bands; then only pairs whose groups are still apart are, and whose distances to the pivots allow it.
     """
     texts = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
 
@@ -205,13 +205,22 @@ def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row
     comparable = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)
     to_pivots = members.select("node", "size", F.explode("pivots").alias("p")).where((F.col("p.node") != F.col("node")) & comparable("size", "p.size"))
     to_pivots = to_pivots.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-    links = written(_similar(to_pivots, shingles, similarity), "links-to-pivots")
-    grouped = members.join(components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    alike = lambda measured: measured.where(F.col("common") >= similarity * F.col("all")).select("a", "b")
+    measured = written(_measured(to_pivots, shingles), "pivot-similarities")
+    links = written(alike(measured), "links-to-pivots")
+    grouped = members.join(components(links), "node", "left").select("key", "node", "size", "pivots", F.coalesce("root", "node").alias("root"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     grouped = written(grouped.join(mixed, "key", "left_semi"), "mixed-buckets")
+    # Jaccard distance is a metric: a pair whose distances to a pivot differ by more than a link may be long is none.
+    far = grouped.select("key", "node", F.posexplode("pivots").alias("i", "p")).select("key", "node", "i", F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+    far = far.join(measured, ["a", "b"], "left").withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("common") / F.col("all")))
+    far = far.groupBy("key", "node").agg(*[F.max(F.when(F.col("i") == i, F.col("d"))).alias(f"d{i}") for i in range(3)])
+    placed = written(grouped.drop("pivots").join(far, ["key", "node"]), "pivot-distances")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & comparable(F.col("x.size"), F.col("y.size"))
-    rest = grouped.alias("x").join(grouped.alias("y"), apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    roots = written(components(links.unionByName(_similar(rest, shingles, similarity))), "roots")
+    for i in range(3):
+        apart = apart & F.coalesce(F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) <= 1 - similarity + 1e-9, F.lit(True))
+    rest = placed.alias("x").join(placed.alias("y"), apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    roots = written(components(links.unionByName(alike(_measured(rest, shingles)))), "roots")
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return named.join(named.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
 
