@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planwatch.llm import mixing
+from planwatch.llm import mixing, substrings
 from planwatch.llm.bpe import op6_bpe_roundtrip
 from planwatch.llm.fingerprint import op8_simhash_fingerprint
 from planwatch.llm.language import op3_language_id
@@ -13,12 +13,14 @@ from planwatch.llm.near_dedup import op1_simhash_near_dedup
 from planwatch.llm.quality_model import op9_quality_classifier
 from planwatch.llm.quality_rules import op4_quality_rules
 from planwatch.llm.secrets import op10_secret_scan
+from planwatch.llm.substrings import op12_substring_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_source_mix, op3_language_id, op4_quality_rules, op5_license_scan,
         op6_bpe_roundtrip, op7_lm_score, op8_simhash_fingerprint, op9_quality_classifier, op10_secret_scan,
+        op12_substring_dedup,
     )
 }
-ORACLE_SQL = {"op2_source_mix": mixing.ORACLE}
+ORACLE_SQL = {"op2_source_mix": mixing.ORACLE, "op12_substring_dedup": substrings.ORACLE}
