@@ -10,6 +10,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,3 +151,14 @@ def dealt(rows: DataFrame, chunk: int, *by: str) -> tuple[DataFrame, int, int]:
     n_chunks = max(ceil(size / chunk), min(2 * cores, ceil(size / (4 << 20))), 1)
     named = rows.withColumn("chunk", F.pmod(F.xxhash64(*by, "text", F.spark_partition_id()), F.lit(n_chunks)))
     return named.repartition(n_chunks, "chunk"), n_chunks, size
+
+
+def by_bytes(batches, column: int, limit: int = 4 << 20):
+    """The batches in parts of about so many bytes of a text column, a row at least."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, end - at)
+            at = end
