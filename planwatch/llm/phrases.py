@@ -97,12 +97,35 @@ class Index:
             made.unpersist()
 
 
-def _plain(ids: np.ndarray) -> np.ndarray:
-    """Word numbers from 1 on, 0 for what is no frequent word; of neighbouring zeros one."""
-    return ids[~((ids == 0) & (np.concatenate([[1], ids[:-1]]) == 0))] if len(ids) else ids
+_RUNS = "at bigint, ids binary, slots binary"
 
 
-_RUNS = "at bigint, ids binary, slots binary"
+def _whole(at: int, ids: np.ndarray, slots: np.ndarray) -> pa.RecordBatch:
+    """A row of RUNS as it is, for rows of other passes to be merged with."""
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([grams.packed(ids)], pa.binary()), pa.array([grams.packed(slots)], pa.binary())], names=["at", "ids", "slots"])
+
+
+def _merged(passes: list[DataFrame], width: int) -> DataFrame:
+    """What the passes over the blocks of an index have found, as one table of RUNS."""
+
+    def merged(group: pa.Table) -> pa.Table:
+        most = lambda c: reduce(np.maximum, [grams.unpacked(x.as_py()) for x in group[c]])
+        return pa.Table.from_batches([_in_phrases(group["at"][0].as_py(), most("ids"), most("slots") if width > 1 else None, width)])
+
+    return written(reduce(DataFrame.unionByName, passes).groupBy("at").applyInArrow(merged, _RUNS), "runs")
+
+
+def _in_phrases(at: int, ids: np.ndarray, slots: np.ndarray | None, width: int) -> pa.RecordBatch:
+    """A row of RUNS with the words only that are in a frequent phrase of ``width`` words, as no longer phrase has others: of neighbours that
+    are in none one stays, as 0. Without ``slots`` these are the words' own."""
+    if slots is not None:
+        covered = np.zeros(len(ids) + 1, np.int64)
+        starts = np.flatnonzero(slots)
+        covered[starts] += 1
+        covered[starts + width] -= 1
+        ids = np.where(np.cumsum(covered[:-1]) > 0, ids, 0)
+    keep = ~((ids == 0) & (np.concatenate([[1], ids[:-1]]) == 0)) if len(ids) else np.zeros(0, bool)
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([grams.packed(ids[keep])], pa.binary()), pa.array([None if slots is None else grams.packed(slots[keep])], pa.binary())], names=["at", "ids", "slots"])
 
 
 def encoded(texts: DataFrame, index: Index) -> DataFrame:
@@ -121,26 +144,19 @@ def encoded(texts: DataFrame, index: Index) -> DataFrame:
                 table[list(BREAKS)] = True
                 breaks = np.cumsum(table[words.bytes])[words.starts]  # texts are parted by one, too
                 ids = np.insert(np.where(slot < 0, 0, slot + base + 1), np.flatnonzero(np.diff(breaks)) + 1, 0)
-                ids = grams.packed(_plain(ids) if single else ids)
-                yield pa.RecordBatch.from_arrays([pa.array([part + seq]), pa.array([ids], pa.binary()), pa.array([ids], pa.binary())], names=["at", "ids", "slots"])
+                yield _in_phrases(part + seq, ids, None, 1) if single else _whole(part + seq, ids, ids)
                 seq += 1
 
         passes.append(written(texts.mapInArrow(run, _RUNS), "encoded"))
-    if single:
-        return passes[0]
-
-    def merged(group: pa.Table) -> pa.Table:
-        ids = grams.packed(_plain(reduce(np.maximum, [grams.unpacked(x.as_py()) for x in group["ids"]])))
-        return pa.table([group["at"].slice(0, 1), pa.array([ids], pa.binary()), pa.array([ids], pa.binary())], names=["at", "ids", "slots"])
-
-    return written(reduce(DataFrame.unionByName, passes).groupBy("at").applyInArrow(merged, _RUNS), "encoded")
+    return passes[0] if single else _merged(passes, 1)
 
 
 class Run:
     """Some texts as word numbers and as slots of phrases of ``width - 1`` words; its phrases of ``width`` words whose shorter ones are both frequent."""
 
-    def __init__(self, ids: bytes, slots: bytes, width: int, size: int):
-        self.ids, self.slots = grams.unpacked(ids), grams.unpacked(slots)
+    def __init__(self, ids: bytes, slots: bytes | None, width: int, size: int):
+        self.ids = grams.unpacked(ids)
+        self.slots = self.ids if slots is None else grams.unpacked(slots)
         n = len(self.ids) - width + 1
         self.at = np.flatnonzero((self.slots[:n] > 0) & (self.slots[1 : n + 1] > 0)) if n > 0 else np.zeros(0, np.int64)
         self.prefix, self.word = self.slots[self.at] - 1, self.ids[self.at + width - 1] - 1
@@ -225,8 +241,8 @@ def frequent(index: Index, counts: DataFrame, least: int) -> DataFrame:
 
 
 def extended(runs: DataFrame, width: int, size: int, index: Index) -> DataFrame:
-    """``runs`` with the slots of frequent phrases of ``width`` words, from 1 on, where they start."""
-    passes = []
+    """``runs`` with the slots of frequent phrases of ``width`` words, from 1 on, where they start, and the words of these only."""
+    single, passes = index.n_blocks == 1, []
     for base, made in index.each():
 
         def run(batches, base=base, made=made):
@@ -234,17 +250,10 @@ def extended(runs: DataFrame, width: int, size: int, index: Index) -> DataFrame:
                 slots = made.value.lookup(one.keys)
                 new = np.zeros(len(one.ids), np.int64)
                 new[one.at[slots >= 0]] = slots[slots >= 0] + base + 1
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([grams.packed(one.ids)], pa.binary()), pa.array([grams.packed(new)], pa.binary())], names=["at", "ids", "slots"])
+                yield _in_phrases(at, one.ids, new, width) if single else _whole(at, one.ids, new)
 
         passes.append(written(runs.mapInArrow(run, _RUNS), "runs"))
-    if len(passes) == 1:
-        return passes[0]
-
-    def merged(group: pa.Table) -> pa.Table:
-        slots = reduce(np.maximum, [grams.unpacked(x.as_py()) for x in group["slots"]])
-        return pa.table([group["at"].slice(0, 1), group["ids"].slice(0, 1), pa.array([grams.packed(slots)], pa.binary())], names=["at", "ids", "slots"])
-
-    return written(reduce(DataFrame.unionByName, passes).groupBy("at").applyInArrow(merged, _RUNS), "runs")
+    return passes[0] if single else _merged(passes, width)
 
 
 def _with_parts(rows: DataFrame, shorter: DataFrame, width: int) -> DataFrame:
