@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = b" \t\n\v\f\r"
@@ -97,8 +97,16 @@ def unpacked_ascending(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, U), dtype=U)
 
 
+def packed_bytes(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.tobytes(), 1)
+
+
+def unpacked_bytes(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8, n)
+
+
 def packed_flags(flags: np.ndarray) -> bytes:
-    return zstandard.compress(np.packbits(flags).tobytes(), 1)
+    return packed_bytes(np.packbits(flags))
 
 
 def unpacked_flags(data: bytes, n: int) -> np.ndarray:
@@ -121,35 +129,35 @@ def lists(chunk: int, at: list[int], columns: dict) -> pa.Table:
     return pa.table({"bucket": pa.array([b for b, *_ in there], pa.int32()), "chunk": pa.array([chunk] * len(there), pa.int64()), "size": pa.array([j - i for _, i, j in there], pa.int64())} | made)
 
 
-ANSWERED = "chunk bigint, bucket int, size bigint, flags binary"
+ANSWERED = "chunk bigint, bucket int, size bigint, answers binary"
 
 
-def answers(group: pa.Table, flags: np.ndarray) -> pa.Table:
+def answers(group: pa.Table, values: np.ndarray, pack=packed_flags) -> pa.Table:
     """What a bucket says of the numbers of its lists, one list behind the other."""
     ends = np.cumsum(group["size"].to_numpy())
-    made = pa.array([packed_flags(x) for x in np.split(flags, ends[:-1])], pa.binary())
-    return pa.table([group["chunk"], group["bucket"], group["size"], made], names=["chunk", "bucket", "size", "flags"])
+    made = pa.array([pack(x) for x in np.split(values, ends[:-1])], pa.binary())
+    return pa.table([group["chunk"], group["bucket"], group["size"], made], names=["chunk", "bucket", "size", "answers"])
 
 
-def answered(group: pa.Table, n: int) -> np.ndarray:
-    """The flags of the ``n`` numbers that a chunk listed, in its order."""
+def answered(group: pa.Table, n: int, unpack=unpacked_flags) -> np.ndarray:
+    """What buckets say of the ``n`` numbers that a chunk listed, in its order."""
     order = np.argsort(group["bucket"].to_numpy())
-    parts = [unpacked_flags(group["flags"][int(i)].as_py(), group["size"][int(i)].as_py()) for i in order]
-    flags = np.concatenate([np.zeros(0, bool), *parts])
-    if len(flags) != n:
+    parts = [unpack(group["answers"][int(i)].as_py(), group["size"][int(i)].as_py()) for i in order]
+    values = np.concatenate([unpack(packed_bytes(np.zeros(0, np.uint8)), 0), *parts])
+    if len(values) != n:
         raise RuntimeError("a chunk's texts aren't those it listed")
-    return flags
+    return values
 
 
-def dealt(rows: DataFrame, chunk: int, *by: str) -> tuple[DataFrame, int, int]:
+def dealt(rows: DataFrame, chunk: int, *by: str | Column) -> tuple[DataFrame, int, int]:
     """``rows`` (with text) in chunks of about so many bytes, the number of chunks, and the bytes of all texts.
 
-    Chunks are dealt by a hash of ``by``, the text and the partition, so even repeated rows part; a partition is dealt alike whenever it is computed.
+    Chunks are dealt by a hash of ``by``. With the partition's number in it even repeated rows part, and a partition is dealt alike whenever it is computed.
     """
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).cast("bigint")).first()[0]
     cores = rows.sparkSession.sparkContext.defaultParallelism
     n_chunks = max(ceil(size / chunk), min(2 * cores, ceil(size / (4 << 20))), 1)
-    named = rows.withColumn("chunk", F.pmod(F.xxhash64(*by, "text", F.spark_partition_id()), F.lit(n_chunks)))
+    named = rows.withColumn("chunk", F.pmod(F.xxhash64(*by), F.lit(n_chunks)))
     return named.repartition(n_chunks, "chunk"), n_chunks, size
 
 

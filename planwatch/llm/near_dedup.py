@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
-from math import log2
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from planwatch.llm import grams
 from planwatch.llm.common import Numbered, documents, sized, slices, utf8, written
 from planwatch.llm.graph import components
 
 BITS = 64
 PIVOTS = 16  # reference fingerprints, eight distances to a long
 CHUNK = 1 << 15  # shingles whose bits are counted at once
-BANDS, ROWS = 25, 5  # of min-hashes: two texts of similarity s meet with probability 1 - (1 - s ** 5) ** 25, which is 0.99995 at 0.8
+CHUNK_BYTES = 12 << 20  # of texts that a task holds at a time
+BUCKET = 1_500_000  # listed shingles that a task counts at a time
 
 
 def _shingles(text: bytes, width: int) -> tuple[bytes, list[int], list[int]]:
@@ -141,23 +144,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
-    """The different hashes of a text's word shingles, ascending."""
-    joined, starts, ends = _shingles(text, width)
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(joined[s:e], 42) for s, e in zip(starts, ends)]), np.uint64))
-
-
-_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A key for each band of min-hashes of a shingle set; none for the empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, ((hashes[at : at + 4096] ^ _MIX[0]) * _MIX[1]).min(axis=1))
-    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
+    """The different 64-bit hashes of each text's word shingles, ascending; a text of fewer words is one shingle, one without words has none."""
+    words = grams.Words([t.lower() for t in texts])  # bytes.lower() touches A-Z only
+    h = words.hashes()
+    r = grams.rolled(h, width)
+    sets = []
+    for a, b in zip(words.firsts.tolist(), words.firsts[1:].tolist()):
+        sets.append(np.unique(r[a : b - width + 1]) if b - a >= width else grams.rolled(h[a:b], b - a)[:1])
+    return sets
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -167,48 +162,106 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "common", (F.size("of_a") + F.size("of_b") - F.col("common")).alias("all"))
 
 
-def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row", width: int = 5, similarity: float = 0.8) -> DataFrame:
+_LISTED = grams.LISTED.format("grams binary, counts binary")
+_RARITY = 8  # steps a doubling of how many sets have a shingle
+
+
+def _listed_sets(group: pa.Table, width: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The shingle sets of a chunk's texts, and the high bits of their hashes: the different ones, which of them each shingle has, and in how many sets they are."""
+    sets = shingle_sets(list(utf8(group["text"])), width)
+    keys, of, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+    return sets, keys, of, n
+
+
+def _rarities(group: pa.Table) -> pa.Table:
+    """Of a bucket's lists: how rare each shingle is, from 0 for one that a single set has."""
+    _, of = np.unique(np.concatenate([grams.unpacked_ascending(x.as_py()) for x in group["grams"]]), return_inverse=True)
+    n = np.bincount(of, weights=np.concatenate([grams.unpacked(x.as_py()) for x in group["counts"]]))
+    return grams.answers(group, np.minimum(np.ceil(_RARITY * np.log2(n)), 255).astype(np.uint8)[of], grams.packed_bytes)
+
+
+def prefixes(texts: DataFrame, width: int, similarity: float, chunk: int, bucket: int) -> DataFrame:
+    """(key, node, size, pos) of (node, text): the shingles of each set that a similar one must share one of, rarest first, without those that no other set has.
+
+    Sets are ordered by how many sets have a shingle (in steps, of the high bits of its hash), then by hash. Of two sets as similar, the first shingle in
+    common is within the first n - similarity * n + 1 of either. Chunks list what they have, buckets of hashes answer with the rarity.
+    """
+    rows, n_chunks, size = grams.dealt(texts, chunk, "node")
+    bits = min(64, ceil(log2(max(size, 2) / 4)) + 8)
+    n_buckets = max(ceil(size / 6 / bucket), min(n_chunks, ceil(size / (4 << 20))), 1)
+
+    def listed(group: pa.Table) -> pa.Table:
+        _, keys, _, n = _listed_sets(group, width, bits)
+        return grams.lists(group["chunk"][0].as_py(), grams.cuts(keys, n_buckets, bits), {"grams": (grams.packed_ascending, keys), "counts": (grams.packed, n.astype(np.int64))})
+
+    def first(group: pa.Table, rarities: pa.Table) -> pa.Table:
+        sets, keys, of, _ = _listed_sets(group, width, bits)
+        rarity, at, parts = grams.answered(rarities, len(keys), grams.unpacked_bytes)[of], 0, []
+        for node, x in zip(group["node"].to_pylist(), sets):
+            own, at = rarity[at : at + len(x)], at + len(x)
+            order = np.lexsort((x, own))[: len(x) - ceil(similarity * len(x) - 1e-9) + 1]
+            pos = np.flatnonzero(own[order] > 0)
+            parts.append((x[order][pos], np.full(len(pos), node), np.full(len(pos), len(x)), pos))
+        key, node, n, pos = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(c).view(np.int64) for c in x)]) for x in zip(*parts))
+        return pa.table({"key": key, "node": node, "size": n, "pos": pos})
+
+    each = rows.groupBy("chunk")
+    rarities = each.applyInArrow(listed, _LISTED).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_rarities, grams.ANSWERED).repartition(n_chunks, "chunk")
+    return each.cogroup(rarities.groupBy("chunk")).applyInArrow(first, "key bigint, node bigint, size bigint, pos bigint")
+
+
+def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row", width: int = 5, similarity: float = 0.8, chunk: int = CHUNK_BYTES, bucket: int = BUCKET) -> DataFrame:
     """(node, least) for each different set of word shingles: node is the row number of the first row with that set, least the first row of
     the component, as a struct whose ``row`` is its number. Rows come first by doc_id, those without one last, then by number.
 
-    Sets with at least that Jaccard similarity are linked. Texts without words share the empty set, which links to none.
-    Candidates share a band of min-hashes and are verified by their exact similarity. Each member of a band's bucket is first
-    verified against three pivots of it, the smallest and two taken by hash, which is linear in large groups and joins a group of near copies, as
-    each of them meets other pivots in other bands; then only pairs whose groups are still apart are, and whose distances to the pivots allow it.
+    Sets with at least that Jaccard similarity are linked, without loss. Texts without words share the empty set, which links to none.
+    Candidates share a shingle of their ``prefixes``, are of like size, and have enough shingles left behind it: for the first shingle that two
+    sets share this bounds what they share, so texts that only share frequent shingles are no pair. They are verified by their exact similarity. Members of
+    a shingle's bucket are verified against three of them first (the one that has it earliest, and two by hash), which is linear and joins a large group of near
+    copies; then only pairs whose groups are still apart are, and whose distances to these three allow it.
     """
     texts = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def hashed(batches):
         for batch in slices(batches):
-            sets = [shingle_set(t, width) for t in utf8(batch.column(2))]
-            columns = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "set", "size", "bands"])
+            sets = [xxhash.xxh3_128_digest(x.tobytes()) for x in shingle_sets(list(utf8(batch.column(2))), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["doc_id", "row", "set"])
 
     def unrolled(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).view(np.int64) for t in utf8(batch.column(1))], pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = shingle_sets(list(utf8(batch.column(1))), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    sets = texts.mapInArrow(hashed, "doc_id bigint, row bigint, set binary, size bigint, bands array<bigint>")
+    sets = texts.mapInArrow(hashed, "doc_id bigint, row bigint, set binary")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
-    nodes = sets.groupBy("set").agg(F.min(place).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select(F.col("first.row").alias("node"), "first", "size", "bands"), "distinct-sets")
-    buckets = nodes.select("node", "size", F.explode("bands").alias("key"))
-    one, by = F.struct("node", "size"), F.xxhash64("node", "key")
-    pivots = F.array_distinct(F.array(F.min(one), F.min_by(one, by), F.max_by(one, by)))
-    pivots = buckets.groupBy("key").agg(pivots.alias("pivots"), F.count("*").alias("n")).where("n > 1")  # no task holds a bucket
-    members = written(buckets.join(pivots, "key").select("key", "node", "size", "pivots"), "buckets")
-
-    wanted = written(members.select("node").distinct(), "candidates")
-    once = texts.join(sized(wanted), F.col("row") == F.col("node")).select("node", "text")
-    shingles = written(once.mapInArrow(unrolled, "node bigint, shingles array<bigint>"), "shingles")
-
-    comparable = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)
-    to_pivots = members.select("node", "size", F.explode("pivots").alias("p")).where((F.col("p.node") != F.col("node")) & comparable("size", "p.size"))
+    nodes = sets.groupBy("set").agg(F.min(place).alias("first"))
+    nodes = written(nodes.select(F.col("first.row").alias("node"), "first"), "distinct-sets")
+    once = lambda some: texts.join(sized(some), F.col("row") == F.col("node")).select("node", F.coalesce("text", F.lit("")).alias("text"))
+
+    found = written(prefixes(once(nodes.select("node")), width, similarity, chunk, bucket), "prefixes")
+    one, by = F.struct("node", "size", "pos"), F.xxhash64("node", "key")
+    pivots = F.array_distinct(F.array(F.min_by(one, F.struct(F.col("pos") / F.col("size"), "node")), F.min_by(one, by), F.max_by(one, by)))
+    pivots = found.groupBy("key").agg(pivots.alias("pivots"), F.count("*").alias("n")).where("n > 1")  # no task holds a bucket
+    members = written(found.join(pivots, "key").select("key", "node", "size", "pos", "pivots"), "buckets")
+
+    def may(x, y):
+        """Two sets whose first common shingle is at these places can be as similar."""
+        left = F.least(x("size") - x("pos"), y("size") - y("pos"))
+        return (F.least(x("size"), y("size")) >= similarity * F.greatest(x("size"), y("size")) - 1e-9) & (left * (1 + similarity) >= similarity * (x("size") + y("size")) - 1e-9)
+
+    of = lambda side: lambda c: F.col(f"{side}{c}")
+    to_pivots = members.select("node", "size", "pos", F.explode("pivots").alias("p")).where((F.col("p.node") != F.col("node")) & may(of(""), of("p.")))
     to_pivots = to_pivots.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    to_pivots = written(to_pivots, "pairs-with-pivots")
+
+    def arrays(*pairs: DataFrame) -> DataFrame:
+        wanted = [p.select(F.col(c).alias("node")) for p in pairs for c in "ab"]
+        return written(once(written(reduce(DataFrame.unionByName, wanted).distinct(), "wanted")).mapInArrow(unrolled, "node bigint, shingles array<bigint>"), "shingles")
+
     alike = lambda measured: measured.where(F.col("common") >= similarity * F.col("all")).select("a", "b")
-    measured = written(_measured(to_pivots, shingles), "pivot-similarities")
+    measured = written(_measured(to_pivots, arrays(to_pivots)), "pivot-similarities")
     links = written(alike(measured), "links-to-pivots")
-    grouped = members.join(components(links), "node", "left").select("key", "node", "size", "pivots", F.coalesce("root", "node").alias("root"))
+    grouped = members.join(components(links), "node", "left").select("key", "node", "size", "pos", "pivots", F.coalesce("root", "node").alias("root"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     grouped = written(grouped.join(mixed, "key", "left_semi"), "mixed-buckets")
     # Jaccard distance is a metric: a pair whose distances to a pivot differ by more than a link may be long is none.
@@ -216,11 +269,11 @@ def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row
     far = far.join(measured, ["a", "b"], "left").withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("common") / F.col("all")))
     far = far.groupBy("key", "node").agg(*[F.max(F.when(F.col("i") == i, F.col("d"))).alias(f"d{i}") for i in range(3)])
     placed = written(grouped.drop("pivots").join(far, ["key", "node"]), "pivot-distances")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & comparable(F.col("x.size"), F.col("y.size"))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & may(of("x."), of("y."))
     for i in range(3):
         apart = apart & F.coalesce(F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) <= 1 - similarity + 1e-9, F.lit(True))
-    rest = placed.alias("x").join(placed.alias("y"), apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    roots = written(components(links.unionByName(alike(_measured(rest, shingles)))), "roots")
+    rest = written(placed.alias("x").join(placed.alias("y"), apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs-apart")
+    roots = written(components(links.unionByName(alike(_measured(rest, arrays(rest))))), "roots")
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return named.join(named.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
 

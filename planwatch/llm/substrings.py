@@ -123,7 +123,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if width < 2:
         raise ValueError("a window has two words at least")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts, n_chunks, size = grams.dealt(rows, chunk, "doc_id")
+    texts, n_chunks, size = grams.dealt(rows, chunk, "doc_id", "text", F.spark_partition_id())
     bits = min(64, ceil(log2(max(size, 2) / 4)) + SPARE)
     rest_bits = min(64, max(1, 2 * ceil(log2(max(size, 2) / 4)) + SURE - 64))
     n_buckets = max(ceil(size / 6 / bucket), min(n_chunks, ceil(size / (4 << 20))), 1)

@@ -674,3 +674,33 @@ def test_ngram_keys_in_blocks_and_packing(monkeypatch):
     assert (language_model._unpacked(language_model._packed(numbers), np.uint64) == numbers).all()
     bounds = language_model._bounds(7)
     assert len(bounds) == 6 and (np.diff(bounds) > 0).all()
+
+
+@pytest.mark.parametrize("chunk, bucket", [(12 << 20, 1_500_000), (3000, 200)])
+def test_near_copies_lose_no_link(spark, chunk, bucket):
+    """Against all pairs: near copies at every distance, and texts that share frequent shingles only."""
+    rng = np.random.default_rng(5)
+    frame = [f"f{i}" for i in range(140)]
+    texts = [" ".join([*frame, *(f"o{i}x{k}" for k in range(60))]) for i in range(60)]  # alike at about 0.5
+    for base in range(25):
+        w = [f"w{x}" for x in rng.integers(0, 40 if base % 3 else 400, int(rng.integers(1, 90)))]
+        for _ in range(int(rng.integers(1, 9))):
+            v = list(w)
+            for at in rng.integers(0, len(v), int(rng.integers(0, 4))):
+                v[at] = f"y{rng.integers(0, 30)}"
+            texts.append(" ".join(v[int(rng.integers(0, 3)) :]))
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA).withColumn("row", F.col("doc_id"))
+    sets = [brute_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or x and sets[j] and len(x & sets[j]) / len(x | sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = near_dedup.near_copies(df, "doc_id", "text", chunk=chunk, bucket=bucket).collect()
+    named = {next(i for i, s in enumerate(sets) if s == sets[r["node"]]): r["least"]["row"] for r in got}
+    assert named == {i: find(i) for i, s in enumerate(sets) if s not in sets[:i]} and len(set(named.values())) > 70
