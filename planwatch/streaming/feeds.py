@@ -1,15 +1,13 @@
-"""Streams of documents: exactly-once content, fetch states, and versions that arrive late."""
+"""Streams of documents: exactly-once content and fetch states."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from planwatch.operators.versions import chains
-
 BLOCKED = (401, 403, 429)
 
 
@@ -78,31 +76,3 @@ def next_offset(state: tuple[int, int] | None, validity: int, uids: list[int], l
 def kept_offset(before: str | None, after: str | None, outcome: str, partial: bool) -> str | None:
     """The offset to store after a run: it moves on only if the run ended well and read all there was."""
     return after if outcome == "ok" and not partial else before
-
-
-def late_versions(keys: list[str], at: str, table: str, published: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: appends the rows of a batch to ``table``, and writes anew the chains of the keys that it touches into
-    ``published``, as (keys, batch, chain rows): of each key those of its latest batch hold (``current_chains``).
-
-    Late rows are always accepted: a chain depends on dates alone, so whatever the order of arrival, the newest is current. Rows of one date all
-    stay. A batch that is run again appends nothing, as its number is there already.
-    """
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        numbered = batch.withColumn("_batch", F.lit(number).cast("bigint"))
-        done = spark.catalog.tableExists(table) and not spark.table(table).where(F.col("_batch") == number).isEmpty()
-        if not done:
-            numbered.write.mode("append").saveAsTable(table)
-        rows = spark.table(table)
-        touched = rows.join(rows.where(F.col("_batch") == number).select(*keys).distinct(), keys, "left_semi")
-        chains(touched.drop("_batch"), keys, at, tie="prices").withColumn("_batch", F.lit(number).cast("bigint")).write.mode("append").saveAsTable(published)
-
-    return each
-
-
-def current_chains(spark: SparkSession, published: str, keys: list[str]) -> DataFrame:
-    """What a stream of late versions has published: of each key the chain of its latest batch, once even if that batch ran twice."""
-    rows = spark.table(published)
-    last = rows.groupBy(*keys).agg(F.max("_batch").alias("_batch"))
-    return rows.join(last, [*keys, "_batch"]).drop("_batch").distinct()

@@ -341,15 +341,6 @@ def test_versions_differ_by_condition_and_shared_bands(spark):
     assert got == [(0, 1, "changed", 1, 0.1), (1, 0, "equal", 0, None)]
 
 
-def test_late_versions_keep_all_of_one_date(spark, tmp_path):
-    rows = [("k", date(2024, 2, 1), [2.0]), ("k", date(2024, 1, 1), [1.0]), ("k", date(2024, 2, 1), [3.0]), ("j", date(2024, 1, 1), [9.0])]
-    schema = "k string, dated date, prices array<double>"
-    for i, r in enumerate(rows):
-        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    feeds.available_now(stream, feeds.late_versions(["k"], "dated", "late_rows", "late_chains"), str(tmp_path / "state"))
-    got = sorted((r["k"], r["dated"], r["version"], r["prices"], r["is_current"]) for r in feeds.current_chains(spark, "late_chains", ["k"]).collect())
-    assert got == [("j", date(2024, 1, 1), 1, [9.0], True), ("k", date(2024, 1, 1), 1, [1.0], False), ("k", date(2024, 2, 1), 2, [2.0], False), ("k", date(2024, 2, 1), 3, [3.0], True)]
 
 
 def test_history_is_renumbered(spark):
