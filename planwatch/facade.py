@@ -17,7 +17,7 @@ ORDERS = {
 }
 #: What each state and kind is called where people read it.
 LABELS = {
-    "processing": "in leitura", "review": "em revisão", "published": "publicado", "history": "histórico", "discarded": "descartado", "error": "erro",
+    "processing": "em leitura", "review": "em revisão", "published": "publicado", "history": "histórico", "discarded": "descartado", "error": "erro",
 }
 
 

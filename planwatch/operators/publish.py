@@ -19,15 +19,16 @@ def publishable(columns: DataFrame, cells: DataFrame, key: str = "column_id") ->
 
 
 def publish(versions: DataFrame, incoming: DataFrame) -> DataFrame:
-    """What publishing does to (series, product, version, tags, prices, is_current, is_head), by incoming (series, product, place, tags, prices, publishable).
+    """What publishing does to (series, product, version, place, tags, prices, is_current, is_head), by incoming (series, product, place, tags, prices, publishable).
 
     Rows (series, product, action, version, prices): ``first``, ``version`` (supersedes the matched one), ``confirmed`` (equal prices), ``blocked`` (present,
     but not to be published: the old version stays), ``retired`` with reason. Columns match current versions by condition, the rest
-    then matches heads of histories that ended, and continues them.
+    then matches heads of histories that ended, and continues them. ``place`` is that in its document: where conditions don't decide, tables
+    match in the order in which their documents have them.
     """
     key = ["series", "product"]
     new = incoming.where(F.coalesce("product", F.lit("")) != "").withColumn("order_", F.col("place"))
-    old = versions.withColumn("order_", F.col("version"))
+    old = versions.withColumn("order_", F.col("place"))
     pairs = match_conditions(old.where("is_current"), new, key, ["order_"])
     left = pairs.where("old is null").select("new.*")
     again = match_conditions(old.where("is_head and not is_current"), left, key, ["order_"]).where("new is not null")
@@ -43,29 +44,45 @@ def publish(versions: DataFrame, incoming: DataFrame) -> DataFrame:
     return done.select(*key, "action", version.alias("version"), F.coalesce("new.prices", "old.prices").alias("prices"), reason.alias("reason"))
 
 
-def place_in_history(chain: DataFrame, older: DataFrame, keys: list[str]) -> DataFrame:
-    """Where older rows (keys, doc, dated, prices) go in a chain (keys, doc, dated, prices, is_current): ``there`` (the document is in it already), ``equal``
-    to the row before or behind it, ``deferred`` (it would supersede the current one, which only a newer document may), else ``inserted``."""
-    rows = chain.select(*keys, "doc", "dated", "prices", "is_current").withColumn("_old", F.lit(False))
-    both = rows.unionByName(older.select(*keys, "doc", "dated", "prices", F.lit(None).cast("boolean").alias("is_current"), F.lit(True).alias("_old")))
-    held = F.when(~F.col("_old"), F.struct("prices", "is_current"))
-    w = W.partitionBy(*keys).orderBy("dated", "_old")
-    before = F.last(held, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    after = F.first(held, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    there = F.max((~F.col("_old")).cast("int")).over(W.partitionBy(*keys, "doc")) == 1
-    placed = both.withColumns({"_before": before, "_after": after, "_there": there}).where("_old")
-    same = F.coalesce(F.col("_before.prices") == F.col("prices"), F.lit(False)) | F.coalesce(F.col("_after.prices") == F.col("prices"), F.lit(False))
-    action = F.when(F.col("_there"), "there").when(F.col("_after").isNull() & F.coalesce("_before.is_current", F.lit(False)), "deferred").when(same, "equal").otherwise("inserted")
-    return placed.select(*keys, "doc", "dated", "prices", action.alias("action"))
-
-
-def inserted_history(chain: DataFrame, older: DataFrame, keys: list[str]) -> DataFrame:
-    """The chain (keys, doc, dated, prices, is_current) with the rows of ``older`` that belong into it, numbered anew by date: (..., version,
-    next_doc). Nothing that is current changes; a row that is there already, equals a neighbour or would supersede the current one isn't inserted."""
-    placed = place_in_history(chain, older, keys).where("action = 'inserted'").select(*keys, "doc", "dated", "prices", F.lit(False).alias("is_current"))
-    whole = chain.select(*keys, "doc", "dated", "prices", "is_current").unionByName(placed)
-    w = W.partitionBy(*keys).orderBy("dated", "is_current", "doc")
-    return whole.withColumns({"version": F.row_number().over(w), "next_doc": F.lead("doc").over(w)})
+def _arrived(chain: DataFrame, older: DataFrame, keys: list[str], arrived: str) -> DataFrame:
+    """(keys, folded): the rows of ``older`` put into their chains one by one, by ``arrived``, as a struct of the chain (dated, doc, prices, is_current) and what became of
+    each. A chain and what comes late of one key are few rows; keys are dealt as they hash."""
+    kind = older.schema["prices"].dataType.simpleString()
+    doc, dated = older.schema["doc"].dataType.simpleString(), older.schema["dated"].dataType.simpleString()
+    one = f"struct<dated: {dated}, place: bigint, doc: {doc}, prices: {kind}, is_current: boolean>"
+    held = F.struct("dated", F.lit(0).cast("bigint").alias("place"), "doc", "prices", F.coalesce("is_current", F.lit(False)).alias("is_current"))
+    chains_ = chain.groupBy(*keys).agg(F.array_sort(F.collect_list(held)).cast(f"array<{one}>").alias("chain"))
+    late = older.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(arrived).alias("arrived"), "dated", "doc", "prices"))).alias("late"))
+
+    def put(state, x):
+        earlier = F.filter(state["chain"], lambda e: e["dated"] <= x["dated"])
+        later = F.filter(state["chain"], lambda e: e["dated"] > x["dated"])
+        before, after = F.try_element_at(earlier, F.lit(-1)), F.try_element_at(later, F.lit(1))
+        same = F.coalesce(before["prices"] == x["prices"], F.lit(False)) | F.coalesce(after["prices"] == x["prices"], F.lit(False))
+        there = F.exists(state["chain"], lambda e: e["doc"] == x["doc"])
+        action = F.when(there, "there").when(after.isNull() & F.coalesce(before["is_current"], F.lit(False)), "deferred").when(same, "equal").otherwise("inserted")
+        new = F.struct(x["dated"], F.lit(0).cast("bigint").alias("place"), x["doc"], x["prices"], F.lit(False).alias("is_current")).cast(one)
+        chain_ = F.when(action == "inserted", F.concat(earlier, F.array(new), later)).otherwise(state["chain"])
+        told = F.concat(state["told"], F.array(F.struct(x["doc"].alias("doc"), x["dated"].alias("dated"), x["prices"].alias("prices"), action.alias("action"))))
+        return F.struct(chain_.alias("chain"), told.alias("told"))
+
+    told = f"array<struct<doc: {doc}, dated: {dated}, prices: {kind}, action: string>>"
+    first = F.struct(F.coalesce("chain", F.array().cast(f"array<{one}>")).alias("chain"), F.array().cast(told).alias("told"))
+    return chains_.join(late, keys, "full").withColumn("folded", F.aggregate(F.coalesce("late", F.array().cast(late.schema["late"].dataType)), first, put)).select(*keys, "folded")
+
+
+def place_in_history(chain: DataFrame, older: DataFrame, keys: list[str], arrived: str = "doc") -> DataFrame:
+    """What becomes of older rows (keys, doc, dated, prices) that arrive, one after the other, in a chain (keys, doc, dated, prices, is_current): ``there`` (the document is
+    in it already), ``equal`` to the row before or behind it by then, ``deferred`` (it would supersede the current one, which only a newer document may), else ``inserted``."""
+    return _arrived(chain, older, keys, arrived).select(*keys, F.inline("folded.told"))
+
+
+def inserted_history(chain: DataFrame, older: DataFrame, keys: list[str], arrived: str = "doc") -> DataFrame:
+    """The chain (keys, doc, dated, prices, is_current) with the rows of ``older`` that belong into it (``place_in_history``), numbered anew by date: (..., version,
+    next_doc). Nothing that is current changes. Which of equal neighbours stays depends on which came first, as with documents that arrive."""
+    whole = _arrived(chain, older, keys, arrived).select(*keys, F.posexplode("folded.chain").alias("n", "e"))
+    w = W.partitionBy(*keys).orderBy("n")
+    return whole.select(*keys, "e.doc", "e.dated", "e.prices", "e.is_current", (F.col("n") + 1).alias("version"), F.lead("e.doc").over(w).alias("next_doc"))
 
 
 def history_documents(docs: DataFrame) -> DataFrame:

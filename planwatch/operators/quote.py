@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planwatch.functions.bands import band_of_age
+from planwatch.operators.lookup import other_sources
 
 
 def quote(offers: DataFrame, ages: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,16 +20,25 @@ def quote(offers: DataFrame, ages: DataFrame, keys: list[str]) -> DataFrame:
     return sums.join(wanted, "request").where("met = bands").select("request", *keys, "total")
 
 
-def divergences(quotes: DataFrame, product: str, source: str, least: int = 1) -> DataFrame:
-    """Pairs of offers of a product from different sources whose totals differ by ``least`` or more: (request, product, source, other,
+def divergences(quotes: DataFrame, product: str, source: str, least: int = 1, offers: DataFrame | None = None) -> DataFrame:
+    """Offers of a product whose total differs by ``least`` or more from that of another source's offer of the same condition: (request, product, source, other,
     difference, ratio, other_newer) for quotes with dated, the date of the material: ratio is the other total over this one, less one; a
-    material without a date is older than any with one."""
-    a, b = quotes.alias("a"), quotes.alias("b")
-    on = (F.col(f"a.{product}") == F.col(f"b.{product}")) & (F.col(f"a.{source}") != F.col(f"b.{source}")) & (F.col("a.request") == F.col("b.request"))
-    gap, first = F.col("b.total") - F.col("a.total"), F.lit("0001-01-01").cast("date")
-    newer = F.coalesce("b.dated", first) > F.coalesce("a.dated", first)
-    ratio = F.try_divide(F.col("b.total").cast("double"), F.col("a.total").cast("double")) - 1
-    return a.join(b, on).where(F.abs(gap) >= least).select("a.request", f"a.{product}", f"a.{source}", F.col(f"b.{source}").alias("other"), gap.alias("difference"), ratio.alias("ratio"), newer.alias("other_newer"))
+    material without a date is older than any with one.
+
+    Of each other source the one offer counts whose tags fit best, then whose place is nearest (``lookup.other_sources``), among all of ``offers`` (product, source,
+    place, tags), the quotes themselves if these are not given. Without tags or place a source has one offer of a product."""
+    plain = {"place": F.lit(0), "tags": F.array().cast("array<string>")}
+    filled = lambda df: df.withColumns({c: v for c, v in plain.items() if c not in df.columns})
+    quotes = filled(quotes)
+    offers = filled(offers if offers is not None else quotes).select(product, source, "place", "tags").distinct()
+    pairs = other_sources(offers, product, [source], "place").select(product, F.col(f"own.{source}").alias(source), F.col("own.place").alias("place"), F.col(f"peer.{source}").alias("other"), F.col("peer.place").alias("other_place"))
+    own = quotes.select("request", product, source, "place", F.col("total").alias("_a"), F.col("dated").alias("_a_dated"))
+    peer = quotes.select("request", product, F.col(source).alias("other"), F.col("place").alias("other_place"), F.col("total").alias("_b"), F.col("dated").alias("_b_dated"))
+    both = own.join(pairs, [product, source, "place"]).join(peer, ["request", product, "other", "other_place"])
+    gap, first = F.col("_b") - F.col("_a"), F.lit("0001-01-01").cast("date")
+    newer = F.coalesce("_b_dated", first) > F.coalesce("_a_dated", first)
+    ratio = F.try_divide(F.col("_b").cast("double"), F.col("_a").cast("double")) - 1
+    return both.where(F.abs(gap) >= least).select("request", product, source, "other", gap.alias("difference"), ratio.alias("ratio"), newer.alias("other_newer"))
 
 
 def days_since(confirmed: Column, published: Column, now: Column) -> Column:

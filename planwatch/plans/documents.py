@@ -103,11 +103,47 @@ SELECT 's' AS series, coalesce(n.product, o.product) AS product, CASE WHEN n.pro
 def publish_document(t: Tables) -> DataFrame:
     """The columns of one year published over those of the year before, with conditions by source."""
     w = wide(t).withColumn("tags", F.array(F.concat(F.lit("grupo: "), F.col("source").cast("string"))))
-    old = w.where("version = date'1996-01-01' and source <> 4").select(F.lit("s").alias("series"), "product", F.lit(1).alias("version"), "tags", "prices", (F.col("source") != 3).alias("is_current"), F.lit(True).alias("is_head"))
+    old = w.where("version = date'1996-01-01' and source <> 4").select(F.lit("s").alias("series"), "product", F.lit(1).alias("version"), F.col("source").alias("place"), "tags", "prices", (F.col("source") != 3).alias("is_current"), F.lit(True).alias("is_head"))
     new = w.where("version = date'1997-01-01' and product <> '000000007'").select(F.lit("s").alias("series"), "product", F.col("source").alias("place"), "tags", "prices", (F.col("source") != 0).alias("publishable"))
     return publish.publish(old, new).select("series", "product", "action", "version", "reason")
 
 
+@query(f"WITH {WIDE}, o AS (SELECT product, source, prices FROM wide WHERE version = DATE '1996-01-01'), n AS (SELECT product, source, prices FROM wide WHERE version = DATE '1997-01-01'), b AS (SELECT product, CAST(source * 7 % 5 + 1 AS INT) AS version, CAST(product AS BIGINT) % 2 = 0 OR o.prices IS NOT DISTINCT FROM n.prices AS same FROM o JOIN n USING (product, source)) SELECT 's' AS series, product, CASE WHEN same THEN 'confirmed' ELSE 'version' END AS action, CAST(CASE WHEN same THEN version ELSE version + 1 END AS INT) AS version FROM b")
+def publish_again(t: Tables) -> DataFrame:
+    """Documents with several tables of each product and no conditions, published again, half of them unchanged: tables match by their order, whatever their versions."""
+    w = wide(t).withColumns({"series": F.lit("s"), "tags": F.array().cast("array<string>"), "place": F.col("source")})
+    old = w.where("version = date'1996-01-01'").select("series", "product", (F.col("source") * 7 % 5 + 1).alias("version"), "place", "tags", "prices", F.lit(True).alias("is_current"), F.lit(True).alias("is_head"))
+    new = w.where(F.col("version") == F.when(F.col("product").cast("bigint") % 2 == 0, F.lit("1996-01-01").cast("date")).otherwise(F.lit("1997-01-01").cast("date")))
+    return publish.publish(old, new.select("series", "product", "place", "tags", "prices", F.lit(True).alias("publishable"))).select("series", "product", "action", "version")
+
+
+FOLDED = """w AS (SELECT product, source, CAST(year(version) AS INT) AS y, CASE WHEN prices[2] IS NULL THEN 0 ELSE 1 END AS p FROM wide), late AS (SELECT *, row_number() OVER (PARTITION BY product, source ORDER BY y * 3 % 7) AS n FROM w WHERE y <> 2000),
+fold AS (
+  SELECT product, source, CAST(0 AS BIGINT) AS n, list({'y': y, 'p': p, 'cur': y = 2000} ORDER BY y) AS c, 0 AS doc, '' AS action FROM w WHERE y IN (1996, 2000) GROUP BY product, source
+  UNION ALL
+  SELECT product, source, n, CASE WHEN act = 'inserted' THEN list_concat(list_concat(head, [{'y': y, 'p': p, 'cur': false}]), tail) ELSE c END, y, act FROM (
+    SELECT *, CASE WHEN len(list_filter(c, lambda e: e.y = y)) > 0 THEN 'there' WHEN len(tail) = 0 AND coalesce(head[-1].cur, false) THEN 'deferred' WHEN coalesce(head[-1].p = p, false) OR coalesce(tail[1].p = p, false) THEN 'equal' ELSE 'inserted' END AS act
+    FROM (SELECT f.product, f.source, l.n, l.y, l.p, f.c, list_filter(f.c, lambda e: e.y <= l.y) AS head, list_filter(f.c, lambda e: e.y > l.y) AS tail FROM fold f JOIN late l ON l.product = f.product AND l.source = f.source AND l.n = f.n + 1))
+)"""
+
+
+def _late(t: Tables) -> tuple[DataFrame, DataFrame]:
+    w = wide(t).select("product", "source", F.year("version").alias("doc"), F.col("version").alias("dated"), F.array(F.when(F.get("prices", F.lit(1)).isNull(), 0).otherwise(1)).alias("prices"))
+    return w.where("doc in (1996, 2000)").withColumn("is_current", F.col("doc") == 2000), w.where("doc <> 2000").withColumn("arrived", F.col("doc") * 3 % 7)
+
+
+@query(f"WITH RECURSIVE {WIDE}, {FOLDED} SELECT product, source, doc, action FROM fold WHERE n > 0")
+def history_arrivals(t: Tables) -> DataFrame:
+    """Old versions that arrive one by one, in an order that has nothing to do with their dates, many of them equal: which of equal ones stays depends on which came first."""
+    return publish.place_in_history(*_late(t), ["product", "source"], "arrived").select("product", "source", "doc", "action")
+
+
+@query(f"WITH RECURSIVE {WIDE}, {FOLDED}, last AS (SELECT product, source, unnest(c) AS e, generate_subscripts(c, 1) AS version FROM fold QUALIFY n = max(n) OVER (PARTITION BY product, source)) SELECT product, source, e.y AS doc, CAST(version AS INT) AS version, lead(e.y) OVER (PARTITION BY product, source ORDER BY version) AS next_doc, e.cur AS is_current FROM last")
+def history_after_arrivals(t: Tables) -> DataFrame:
+    """The chains that these arrivals lead to."""
+    return publish.inserted_history(*_late(t), ["product", "source"], "arrived").select("product", "source", "doc", "version", "next_doc", "is_current")
+
+
 @query(f"WITH {WIDE}, {PLACED} SELECT product, source, doc, action FROM placed")
 def history_placement(t: Tables) -> DataFrame:
     w = wide(t).select("product", "source", F.year("version").alias("doc"), F.col("version").alias("dated"), "prices")

@@ -40,6 +40,13 @@ def quote_divergence(t: Tables) -> DataFrame:
     return quote.divergences(_quotes(t).withColumn("dated", F.col("version")), "product", "source")
 
 
+@query(f"WITH {QUOTES} SELECT a.request, a.product, a.source // 2 AS material, b.source // 2 AS other, b.total - a.total AS difference, b.version > a.version AS other_newer FROM quotes a JOIN quotes b ON a.request = b.request AND a.product = b.product AND a.source // 2 <> b.source // 2 AND a.source % 2 = b.source % 2 WHERE abs(b.total - a.total) >= 1")
+def quote_divergence_by_condition(t: Tables) -> DataFrame:
+    """Materials with two tables of each product: a table is compared with the one of its own condition in each other material, and with no other."""
+    two = _quotes(t).withColumns({"dated": F.col("version"), "material": F.expr("source div 2").cast("int"), "place": F.col("source") % 2, "tags": F.array(F.concat(F.lit("grupo: "), F.col("source") % 2))})
+    return quote.divergences(two, "product", "material").select("request", "product", "material", "other", "difference", "other_newer")
+
+
 @query(f"""WITH {QUOTES}, net AS (SELECT lpad(CAST(l_partkey // 10 AS VARCHAR), 9, '0') AS product, count(DISTINCT l_suppkey) AS hospitals, count(DISTINCT CASE WHEN s_nationkey = 3 THEN l_suppkey END) AS here FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
 ch AS (SELECT lpad(CAST(l_partkey // 10 AS VARCHAR), 9, '0') AS product, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' AND s_nationkey = 3 GROUP BY ALL),
 o AS (SELECT a.request, a.product, a.source, count(*) AS n FROM quotes a JOIN quotes b ON a.request = b.request AND a.product = b.product AND a.source <> b.source AND a.total <> b.total GROUP BY ALL)
@@ -172,7 +179,7 @@ out_ AS (SELECT plan, source, material_date, noted, note, bool_or(later OR date_
 found AS (SELECT plan, source, material_date, noted, note, 'off_pattern' AS rule, 'alert' AS severity, CAST(band AS VARCHAR) AS bands FROM f WHERE off UNION ALL
 SELECT plan, source, material_date, noted, note, 'below_minimum', CASE WHEN later THEN 'info' ELSE 'alert' END, CASE WHEN later THEN '' ELSE CAST(band AS VARCHAR) END FROM f WHERE under UNION ALL
 SELECT plan, source, material_date, noted, note, 'out_of_band', CASE WHEN mild THEN 'info' ELSE 'alert' END, CASE WHEN mild THEN '' ELSE bands END FROM out_)"""
-NO_NOTE = "SELECT DISTINCT plan, source, material_date, {} CAST(NULL AS INT), 'no_note', 'info', '' FROM cols WHERE plan NOT IN (SELECT plan FROM notes)"
+NO_NOTE = "SELECT DISTINCT plan, source, material_date, {} CAST(NULL AS INT), 'no_note', 'info', '' FROM cols ANTI JOIN notes USING (plan)"
 
 
 def _noted(t: Tables, when: str) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +199,7 @@ def rule_reference_note(t: Tables) -> DataFrame:
 @query(f"""WITH {PRICES}{NOTES.format("version BETWEEN DATE '1994-01-01' AND DATE '1996-01-01'")}, cols AS (SELECT product AS plan, source, version AS material_date, band, cents AS price FROM prices WHERE version >= DATE '1994-01-01'),
 m AS (SELECT DISTINCT plan, source, material_date FROM cols), d AS (SELECT DISTINCT plan, note_date FROM notes),
 near AS (SELECT plan, source, material_date, note_date AS noted FROM m JOIN d USING (plan) WHERE note_date BETWEEN material_date - 365 AND material_date + 180),
-dates AS (SELECT * FROM near UNION ALL SELECT plan, source, material_date, coalesce(max(note_date) FILTER (note_date <= material_date), min(note_date)) FROM m JOIN d USING (plan) WHERE (plan, source, material_date) NOT IN (SELECT (plan, source, material_date) FROM near) GROUP BY ALL),
+dates AS (SELECT * FROM near UNION ALL SELECT plan, source, material_date, coalesce(max(note_date) FILTER (note_date <= material_date), min(note_date)) FROM (SELECT * FROM m ANTI JOIN near USING (plan, source, material_date)) JOIN d USING (plan) GROUP BY ALL),
 {FOUND}, grave AS (SELECT plan, source, material_date, noted, count(*) FILTER (severity <> 'info') AS n FROM dates LEFT JOIN found USING (plan, source, material_date, noted) GROUP BY ALL),
 chosen AS (SELECT plan, source, material_date, noted FROM grave QUALIFY row_number() OVER (PARTITION BY plan, source, material_date ORDER BY n, noted DESC) = 1)
 SELECT plan, source, material_date, noted AS note_date, note, rule, severity, bands FROM found JOIN chosen USING (plan, source, material_date, noted) UNION ALL {NO_NOTE.format("CAST(NULL AS DATE),")}""")

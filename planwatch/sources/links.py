@@ -102,16 +102,30 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
     return said.withColumn("kind", kind).where("kind is not null").join(delays, "host", "left").select("host", "kind", F.col("value").alias("pattern"), "delay")
 
 
+def _decoded(text: Column) -> Column:
+    """Escapes of an address as the characters they stand for; a plus sign and a percent sign that begins none stay."""
+    return F.url_decode(F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+
+
+def _asked_path(path: Column) -> Column:
+    """What rules are held against: the path, / if it is empty, and the query, both without escapes."""
+    at = F.instr(path, "?")
+    before = F.when(at > 0, F.substring(path, F.lit(1), at - 1)).otherwise(path)
+    query = F.when(at > 0, F.substr(path, at + 1)).otherwise("")
+    return F.concat(_decoded(F.when(before == "", "/").otherwise(before)), F.when(query != "", F.concat(F.lit("?"), _decoded(query))).otherwise(""))
+
+
 def _pattern(rule: Column) -> Column:
-    """A robots pattern as a regular expression: * is anything, a $ at the end is the end."""
-    quoted = F.regexp_replace(F.regexp_replace(rule, r"\$$", ""), r"([.?+^$()\[\]{}|\\])", r"\\$1")
+    """A robots pattern as a regular expression: escapes are decoded, * is anything, a $ at the end is the end."""
+    quoted = F.regexp_replace(_decoded(F.regexp_replace(rule, r"\$$", "")), r"([.?+^$()\[\]{}|\\])", r"\\$1")
     return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(rule.endswith("$"), "$").otherwise(""))
 
 
 def allowed(paths: DataFrame, rules: DataFrame, path: str, host: str = "host") -> DataFrame:
-    """``paths`` (host, path) with allowed by the rules (host, kind, pattern) of their host: the longest pattern that matches wins, Allow on
-    ties, true without one. Each host's rules are one row; a robots file is small."""
+    """``paths`` (host, path with its query) with allowed by the rules (host, kind, pattern) of their host: the longest pattern that matches wins, Allow on
+    ties, true without one. Both are compared without escapes, an empty path as /. Each host's rules are one row; a robots file is small."""
     rule = F.struct(F.length("pattern").alias("n"), (F.col("kind") == "Allow").alias("ok"), _pattern(F.col("pattern")).alias("re"))
     listed = rules.where("pattern <> ''").groupBy(host).agg(F.collect_set(rule).alias("_rules"))
-    best = F.array_max(F.filter("_rules", lambda r: F.regexp_like(F.col(path), r["re"])))
-    return paths.join(listed, host, "left").withColumn("allowed", F.coalesce(best["ok"], F.lit(True))).drop("_rules")
+    best = F.array_max(F.filter("_rules", lambda r: F.regexp_like(F.col("_asked"), r["re"])))
+    asked = paths.withColumn("_asked", _asked_path(F.coalesce(F.col(path), F.lit(""))))
+    return asked.join(listed, host, "left").withColumn("allowed", F.coalesce(best["ok"], F.lit(True))).drop("_rules", "_asked")

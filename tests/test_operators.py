@@ -159,8 +159,8 @@ def test_chains_do_not_depend_on_arrival(spark):
 
 
 def test_publish_actions(spark):
-    schema = "series string, product string, version int, tags array<string>, prices array<double>, is_current boolean, is_head boolean"
-    old = spark.createDataFrame([("s", "p", 3, ["vidas: 1"], [1.0], True, True), ("s", "q", 1, [], [2.0], True, True), ("s", "r", 4, [], [5.0], False, True), ("s", "t", 1, ["vidas: 1"], [1.0], True, True)], schema)
+    schema = "series string, product string, version int, place int, tags array<string>, prices array<double>, is_current boolean, is_head boolean"
+    old = spark.createDataFrame([("s", "p", 3, 0, ["vidas: 1"], [1.0], True, True), ("s", "q", 1, 1, [], [2.0], True, True), ("s", "r", 4, 2, [], [5.0], False, True), ("s", "t", 1, 3, ["vidas: 1"], [1.0], True, True)], schema)
     new = spark.createDataFrame([("s", "p", 0, ["vidas: 1"], [1.0], True), ("s", "r", 1, [], [6.0], True), ("s", "n", 2, [], [7.0], True), ("s", "t", 3, ["vidas: 2 a 29"], [1.0], False), ("s", "", 4, [], [1.0], True)], "series string, product string, place int, tags array<string>, prices array<double>, publishable boolean")
     got = sorted((r["product"], r["action"], r["version"], r["reason"]) for r in publish.publish(old, new).collect())
     assert got == [("n", "first", 1, None), ("p", "confirmed", 3, None), ("q", "retired", 1, "product_removed"), ("r", "version", 5, None), ("t", "blocked", 0, None), ("t", "retired", 1, "condition_changed")]
@@ -434,3 +434,46 @@ def test_words_drawn_over_others_and_tilted_pages(spark):
     from planwatch.operators import collecting
 
     assert [tuple(r) for r in collecting.printed_validity(lines).collect()] == [("d", date(2024, 3, 2), date(2025, 3, 1))]
+
+
+def test_tables_without_conditions_match_by_their_place(spark):
+    schema = "series string, product string, version int, place int, tags array<string>, prices array<double>, is_current boolean, is_head boolean"
+    old = spark.createDataFrame([("s", "p", 3, 0, [], [1.0], True, True), ("s", "p", 1, 1, [], [2.0], True, True)], schema)
+    new = spark.createDataFrame([("s", "p", 0, [], [1.0], True), ("s", "p", 1, [], [2.0], True)], "series string, product string, place int, tags array<string>, prices array<double>, publishable boolean")
+    assert sorted((r["action"], r["version"]) for r in publish.publish(old, new).collect()) == [("confirmed", 1), ("confirmed", 3)]
+
+
+def test_equal_late_documents_enter_history_once(spark):
+    schema = "k string, doc int, dated date, prices array<double>"
+    chain = spark.createDataFrame([("k", 1, date(1996, 1, 1), [9.0], True)], schema + ", is_current boolean")
+    for docs in ((7, 8), (8, 7)):  # the one that arrives first stays
+        older = spark.createDataFrame([("k", docs[0], date(1993, 1, 1), [5.0]), ("k", docs[1], date(1994, 1, 1), [5.0])], schema)
+        assert sorted((r["doc"], r["action"]) for r in publish.place_in_history(chain, older, ["k"]).collect()) == [(7, "inserted"), (8, "equal")]
+        assert [r["doc"] for r in publish.inserted_history(chain, older, ["k"]).orderBy("version").collect()] == [7, 1]
+    assert publish.place_in_history(chain, older.limit(0), ["k"]).collect() == [] and publish.inserted_history(chain, older.limit(0), ["k"]).count() == 1
+
+
+def test_divergences_are_those_of_one_condition(spark):
+    rows = [(1, "p", s, i, [f"vidas: {'1' if i == 0 else '2 a 29'}"], 100 * (i + 1) + s, date(2024, 1 + s, 1)) for s in (0, 1) for i in (0, 1)]
+    quotes = spark.createDataFrame(rows, "request int, product string, source int, place int, tags array<string>, total bigint, dated date")
+    assert sorted((r["source"], r["other"], r["difference"], r["other_newer"]) for r in quote.divergences(quotes, "product", "source").collect()) == [(0, 1, 1, True), (0, 1, 1, True), (1, 0, -1, False), (1, 0, -1, False)]
+    some = quotes.where("place = 1 or source = 0")  # the other source's table of the condition lacks a band: none is taken in its stead
+    assert quote.divergences(some, "product", "source", offers=quotes).count() == 2
+
+
+@pytest.mark.parametrize("rule, path, ok", [("/", "", False), ("/", "?x=1", False), ("/a%20b/", "/a b/c", False), ("/é", "/%C3%A9/1", False), ("/x$", "/x%", True), ("/50%", "/50%/a", False), ("/a+b", "/a%2Bb", False), ("/q?a=%41", "/q?a=A", False), ("/(x)", "/x", True)])
+def test_robots_compare_without_escapes(spark, rule, path, ok):
+    rules_ = spark.createDataFrame([("h", "Disallow", rule)], "host string, kind string, pattern string")
+    assert [r["allowed"] for r in links.allowed(spark.createDataFrame([("h", path)], "host string, path string"), rules_, "path").collect()] == [ok]
+
+
+def test_notes_without_a_material_date_and_composite_prices(spark):
+    notes = spark.createDataFrame([("p", 1, date(2015, 1, 1), b, 100.0 * f, 50.0 * f, 130.0 * f) for b, f in enumerate(FACTORS)], "plan string, note int, note_date date, band int, vcm double, low double, high double")
+    prices = [(1, "p", None, b, 300.0 * f) for b, f in enumerate(FACTORS)]
+    columns = spark.createDataFrame(prices, "c int, plan string, material_date date, band int, price double")
+    for today, severity in (("2024-06-01", "info"), ("2015-06-01", "alert")):
+        for f in (rules.reference_note, rules.note_at_the_time):
+            assert [(r["rule"], r["severity"]) for r in f(columns, notes, ["c"], "plan", today=F.lit(today).cast("date")).collect()] == [("out_of_band", severity)]
+    mixed = columns.withColumns({"material_date": F.lit("2015-03-01").cast("date"), "price": F.col("price") / 3 + 40})
+    found = lambda composite: {r["rule"] for r in rules.note_at_the_time(mixed, notes, ["c"], "plan", composite).collect()}
+    assert "off_pattern" in found(None) and "off_pattern" not in found(F.lit(True))
