@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from planwatch.functions import bands
 from planwatch.operators.matching import match_conditions
+from planwatch.session import written
 
 
 def chains(rows: DataFrame, keys: list[str], at: str, prices: str = "prices", tie: str | None = None) -> DataFrame:
@@ -71,3 +72,21 @@ def corrected(cells: DataFrame, corrections: DataFrame, keys: list[str], at: str
     """Cells with the latest correction of each: an append-only log, read latest-wins."""
     last = corrections.groupBy(*keys).agg(F.max_by("value", at).alias("chosen"))
     return cells.join(last, keys, "left")
+
+
+def roots(tables: DataFrame, key: str, superseded_by: str, rounds: int = 64) -> DataFrame:
+    """``tables`` with root, the oldest table of the history that leads to each: of several that one superseded the largest key is its predecessor.
+
+    Each round doubles how far a table sees back, so a history of n tables takes log2(n) rounds, each a join on the key, written to the shared folder. A table
+    whose predecessors lead back to itself has no root, which is an error after ``rounds``.
+    """
+    before = tables.where(F.col(superseded_by).isNotNull()).groupBy(F.col(superseded_by).alias("_key")).agg(F.max(key).alias("_up"))
+    ids = tables.select(F.col(key).alias("_key")).distinct()
+    seen = written(ids.join(before, "_key", "left").withColumn("_up", F.coalesce("_up", "_key")), "predecessors")
+    for _ in range(rounds):
+        further = seen.select(F.col("_key").alias("_up"), F.col("_up").alias("_next"))
+        now = written(seen.join(further, "_up", "left").select("_key", F.coalesce("_next", "_up").alias("_up"), (F.col("_next") != F.col("_up")).alias("_moved")), "predecessors")
+        seen = now.drop("_moved")
+        if now.where("_moved").isEmpty():
+            return tables.join(seen.select(F.col("_key").alias(key), F.col("_up").alias("root")), key)
+    raise ValueError("a history leads back to itself")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from planwatch.functions import bands
-from planwatch.operators import collecting, lookup, matching, network, quote, reconcile, rules, versions
+from planwatch.functions import bands, money
+from planwatch.operators import collecting, extensions, lookup, matching, network, quote, reconcile, rules, versions
 from planwatch.plans.registry import Tables, query
 from planwatch.plans.views import PRICES, READINGS, WIDE, prices, readings, wide
 
@@ -104,7 +104,8 @@ RULES = FALLS + """, ends AS (SELECT product, source, version, max(cents) FILTER
 @query(f"""WITH {STATUS}, {RULES}, named AS (SELECT DISTINCT product, source, version, unnest(bands) AS band FROM found WHERE severity <> 'info')
 SELECT c.product, c.source, c.version, c.band, status, status <> 'confirmed' OR n.band IS NOT NULL AS review FROM cells c LEFT JOIN named n ON c.product = n.product AND c.source = n.source AND c.version = n.version AND c.band = n.band""")
 def review_flag(t: Tables) -> DataFrame:
-    findings = rules.band_rules(prices(t).withColumnRenamed("cents", "price"), KEYS)
+    long = prices(t).withColumnRenamed("cents", "price")
+    findings = extensions.findings(long, KEYS, rules.band_rules(long, KEYS))
     return reconcile.needs_review(reconcile_status(t), findings, KEYS).select(*KEYS, "band", "status", "review")
 
 
@@ -214,6 +215,25 @@ def version_chain(t: Tables) -> DataFrame:
     return versions.chains(coarse, ["product", "source"], "dated").select("product", "source", "dated", "version", "confirmed", "next_at", "is_current")
 
 
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN lead(o_orderkey, 2) OVER w ELSE lead(o_orderkey) OVER w END AS superseded_by FROM orders WINDOW w AS (PARTITION BY o_custkey % 50 ORDER BY o_orderdate, o_orderkey)),
+before AS (SELECT superseded_by AS id, max(id) AS up FROM o WHERE superseded_by IS NOT NULL GROUP BY superseded_by),
+down AS (SELECT id, id AS root FROM o WHERE id NOT IN (SELECT id FROM before) UNION ALL SELECT b.id, d.root FROM down d JOIN before b ON b.up = d.id)
+SELECT o.id, superseded_by, root FROM o JOIN down ON down.id = o.id""")
+def history_roots(t: Tables) -> DataFrame:
+    """Long histories by their stored links, some with branches: each table with the oldest one that leads to it."""
+    w = W.partitionBy(F.col("o_custkey") % 50).orderBy("o_orderdate", "o_orderkey")
+    link = F.when(F.col("o_orderkey") % 7 == 0, F.lead("o_orderkey", 2).over(w)).otherwise(F.lead("o_orderkey").over(w))
+    return versions.roots(t.orders.select(F.col("o_orderkey").alias("id"), link.alias("superseded_by")), "id", "superseded_by").select("id", "superseded_by", "root")
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS line, CAST(printf('%.2f', CAST(CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + 5 AS DOUBLE) / 1000) AS DOUBLE) AS half, CAST(printf('%.2f', CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS DOUBLE) / 700) AS DOUBLE) AS share, CAST(printf('%.1f', CAST(l_partkey AS DOUBLE) / 4) AS DOUBLE) AS even FROM lineitem")
+def binary_rounding(t: Tables) -> DataFrame:
+    """Amounts that end half-way between two cents as they are written: what the binary value is closer to decides."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    double = lambda c: c.cast("double")
+    return t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), money.rounded(double(cents * 10 + 5) / 1000).alias("half"), money.rounded(double(cents) / 700).alias("share"), money.rounded(double(F.col("l_partkey")) / 4, 1).alias("even"))
+
+
 @query(f"WITH {PRICES} SELECT DISTINCT product, source, version, min(version) OVER (PARTITION BY product, source) AS root, dense_rank() OVER (PARTITION BY product, source ORDER BY version) AS depth FROM prices")
 def chain_root(t: Tables) -> DataFrame:
     rows = prices(t).select(*KEYS).distinct()
