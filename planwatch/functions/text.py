@@ -143,18 +143,45 @@ def normalized(text: Column) -> Column:
 
 
 def original_url(url: Column) -> Column:
-    """The address a copy in a web archive was made of, or the address itself."""
-    inner = F.regexp_extract(url, r"(?i)^https?://web\.archive\.org/web/[0-9]{1,14}[a-z_]*/(https?://.+)$", 1)
-    return F.when(inner != "", inner).otherwise(url)
+    """The address a copy in a web archive was made of, or the address itself: what stands behind the archive's host, ``web`` and a time stamp."""
 
+    def of(steps):  # scheme, nothing, host, web, stamp, and the address that was copied
+        step = lambda i: F.coalesce(F.get(steps, F.lit(i)), F.lit(""))
+        stamp = F.translate(F.lower(step(4)), "abcdefghijklmnopqrstuvwxyz_", "")
+        copy = F.lower(step(0)).isin("http:", "https:") & (F.lower(step(2)) == "web.archive.org") & (F.lower(step(3)) == "web") & F.length(stamp).between(1, 14) & step(4).startswith(stamp) & (F.translate(stamp, "0123456789", "") == "")
+        whole = F.lower(step(5)).isin("http:", "https:") & (F.size(steps) > 7)
+        return F.array_join(F.when(copy & whole, F.slice(steps, 6, F.greatest(F.size(steps) - 5, F.lit(0)))).otherwise(steps), "/")
 
-#: How a date stands at the end of a file's name: the order of day, month and year (s: two digits of it), and what may part them.
-DATED_NAMES = (("dmy", "[_-]"), ("ymd", "-?"))
+    return let(F.split(url, "/"), of)
 
 
-def _dated(order: str, between: str) -> str:
-    digits = {"d": r"([0-9]{2})", "m": r"([0-9]{2})", "y": r"(20[0-9]{2})", "s": r"([0-9]{2})"}
-    return r"(?i)[_-]" + between.join(digits[x] for x in order) + r"(?=\.pdf$)"
+#: How a date stands at the end of a file's name: the order of day, month and year (s: two digits of it), and what parts them; - may be left out.
+DATED_NAMES = (("dmy", "_-"), ("ymd", "-"))
+
+
+def _dated_end(path: Column, order: str, between: str) -> Column:
+    """(digits, length) of the date at the end of a name, before .pdf: its groups of digits in order, and how much of the name it takes with the sign before
+    it; null without one. Groups that are parted are as long as their part of the date, those that aren't are one."""
+    widths = [4 if x == "y" else 2 for x in order]
+    n, total = len(order), sum(widths)
+
+    def of(tail):
+        return let(F.split(tail, "[_-]"), lambda groups: told(tail, groups))
+
+    def told(tail, groups):
+        group = lambda back: F.coalesce(F.get(groups, F.size(groups) - back), F.lit(""))
+        parted = F.size(groups) > n
+        for k, width in enumerate(widths):
+            parted = parted & (F.length(group(n - k)) == width)
+        if "_" not in between:
+            parted = parted & ~F.contains(F.right(tail, F.lit(total + n - 1)), F.lit("_"))
+        joined = (F.size(groups) > 1) & (F.length(group(1)) == total) & F.lit(between == "-")
+        one = lambda digits, length: F.struct(digits.alias("digits"), F.lit(length).alias("length"))
+        found = F.when(parted, one(F.concat(*[group(n - k) for k in range(n)]), total + n)).when(joined, one(group(1), total + 1))
+        return let(found, lambda f: F.when(F.substring(f["digits"], sum(widths[: order.index("y")]) + 1, 2) == "20", f)) if "y" in order else found
+
+    stem = F.when(F.lower(path).endswith(".pdf"), F.left(path, F.length(path) - 4))
+    return let(F.regexp_extract(stem, "[0-9_-]+$", 0), of)
 
 
 def _path(url: Column) -> Column:
@@ -167,7 +194,10 @@ def series_key(url: Column, forms: tuple = DATED_NAMES) -> Column:
     host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), r"^www\.", "")
     path = _path(u)
     for form in forms:
-        path = F.regexp_replace(path, _dated(*form), "")
+        def without(p, form=form):
+            return let(_dated_end(p, *form), lambda end: F.when(end.isNotNull(), F.concat(F.left(p, F.length(p) - 4 - end["length"]), F.right(p, F.lit(4)))).otherwise(p))
+
+        path = let(path, lambda p: without(p))
     return F.concat(host, F.lower(path))
 
 
@@ -176,9 +206,17 @@ def date_in_name(url: Column, forms: tuple = DATED_NAMES) -> Column:
     without one, or for one that doesn't exist."""
     path, found = _path(original_url(url)), []
     for order, between in forms:
-        part = {x: F.regexp_extract(path, _dated(order, between), i) for i, x in enumerate(order, 1)}
-        year = part["y"] if "y" in part else F.concat(F.lit("20"), part["s"])
-        found.append(F.when(part["m"] != "", F.try_to_date(F.concat_ws("-", year, part["m"], part.get("d", F.lit("01"))), "yyyy-MM-dd")))
+        spans, at = {}, 1
+        for x in order:
+            spans[x] = (at, 4 if x == "y" else 2)
+            at += spans[x][1]
+
+        def dated(digits, spans=spans):
+            part = {x: F.substring(digits, *span) for x, span in spans.items()}
+            year = part["y"] if "y" in part else F.concat(F.lit("20"), part["s"])
+            return F.try_to_date(F.concat(year, F.lit("-"), part["m"], F.lit("-"), part.get("d", F.lit("01"))), "yyyy-MM-dd")
+
+        found.append(let(_dated_end(path, order, between)["digits"], lambda digits: dated(digits)))
     return F.coalesce(*found)
 
 
@@ -203,22 +241,43 @@ def safe_url(url: Column) -> Column:
     return F.array_join(F.transform(F.split(url, odd, -1), lambda piece, i: F.concat(piece, F.coalesce(escape(F.get(found, i)), F.lit("")))), "")
 
 
-#: Words that announce a validity, in folded text.
-ANNOUNCED = ["vigencia", "vigente", "a partir de", *(f"valid{end} {to}" for end in ("o", "a", "os", "as") for to in ("de", "a partir de", "para", "ate"))]
-_DAY = r"((?:[0-9]{1,2}/)?[0-9]{1,2}/[0-9]{4})"
+#: Words that announce a validity, in folded text, the characters that may part one from its date, and what joins two dates.
+ANNOUNCED = ("vigencia", "vigente", "a partir de", "valido de", "valido a partir de", "valido para", "valido ate", "valida de", "valida a partir de", "valida para", "valida ate", "validos de", "validos a partir de", "validos para", "validos ate", "validas de", "validas a partir de", "validas para", "validas ate")
+APART = 25
+JOINED = ("a", "ate", "-")
 
 
 def _as_date(written: Column, last: bool) -> Column:
+    parts = F.split(written, "/")
     month = F.try_to_date(F.concat(F.lit("1/"), written), "d/M/yyyy")
-    return F.when(F.length(F.regexp_replace(written, "[^/]", "")) == 2, F.try_to_date(written, "d/M/yyyy")).when(written != "", F.last_day(month) if last else month)
+    return F.when(F.size(parts) == 3, F.try_to_date(written, "d/M/yyyy")).when(F.size(parts) == 2, F.last_day(month) if last else month)
+
+
+def _dates_of(folded: Column) -> Column:
+    """The dates of a text, as words of digits parted by slashes, each with what stands before it since the one before."""
+    shape = r"(?:\d\d?/){1,2}\d{4}"
+    found, around = F.regexp_extract_all(folded, F.lit(shape), F.lit(0)), F.split(folded, shape)
+    return F.zip_with(found, F.slice(around, F.lit(1), F.size(around) - 1), lambda d, b: F.struct(d.alias("date"), b.alias("before")))
 
 
 def validity(text: Column, last: bool = False) -> Column:
-    """The start (or the end) of the validity that a line states: dd/mm/yyyy, or mm/yyyy for the first or last day of a month. A date
-    counts if at most 25 other characters, none a digit, part it from a word that announces it."""
-    words = "|".join(w.replace(" ", r"\s+") for w in sorted(ANNOUNCED, key=len, reverse=True))
-    pattern = rf"\b(?:{words})[^0-9]{{0,25}}?{_DAY}(?:\s*(?:a|ate|-)\s*{_DAY})?"
-    return _as_date(F.regexp_extract(fold(text), pattern, 2 if last else 1), last)
+    """The start (or the end) of the validity that a line states: dd/mm/yyyy, or mm/yyyy for the first or last day of a month. A date counts if few other characters,
+    none a digit and blanks counted as one, part it from words that announce it; the end is a date that a word joins to it."""
+
+    def announced(before):
+        return let(F.concat(F.lit(" "), F.regexp_replace(F.regexp_extract(before, "[^0-9]*$", 0), "[^a-z]+", " ")), close)
+
+    def close(near):
+        return F.exists(F.array(*map(F.lit, ANNOUNCED)), lambda w: F.contains(near, F.concat(F.lit(" "), w)) & (F.length(F.element_at(F.split(near, F.concat(F.lit(" "), w)), -1)) <= APART))
+
+    def stated(dates):
+        at = F.array_position(F.transform(dates, lambda d: announced(d["before"])), F.lit(True)).cast("int")
+        start, following = F.get(dates, at - 1), F.get(dates, at)
+        if not last:
+            return F.when(at > 0, _as_date(start["date"], False))
+        return F.when((at > 0) & F.trim(following["before"]).isin(*JOINED), _as_date(following["date"], True))
+
+    return let(let(fold(text), _dates_of), stated)
 
 
 def month_by_name(text: Column) -> Column:

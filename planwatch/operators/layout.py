@@ -20,7 +20,7 @@ TOLERANCE = 2.5  # points between a word and the running mean of its line
 ALIGNED = 25  # points between the labels of one table
 STRETCH = 3.5  # times the usual step that a table may skip for each band
 HEAD = 8  # bands that the head of a transposed table names at least
-#: How the words begin that tell a table's condition in its heading.
+#: How the words begin that tell a table's condition in its heading.
 HEADING_WORDS = ("tabela", "vidas", "copartic", "adesao", "pme", "mei", "empresarial", "vigencia", "regiao", "capital", "interior", "porte", "grupo", "compuls", "familiar", "titular", "dependente")
 
 
@@ -56,7 +56,9 @@ def amounts(lined: DataFrame) -> DataFrame:
     own = without_currency(F.col("text"))
     before, end = F.lag("text").over(w), F.lag("x1").over(w)
     glued = F.concat(before, own)
-    joins = before.rlike(r"^\d{1,3}(\.\d{3})*\.?$") & (F.abs(F.col("x0") - end) <= 1) & money(glued).isNotNull()
+    groups = F.split(before, r"\.")
+    thousands = F.forall(groups, lambda g: F.translate(g, "0123456789", "") == "") & F.length(F.get(groups, F.lit(0))).between(1, 3) & F.forall(F.slice(groups, F.lit(2), F.greatest(F.size(groups) - 2, F.lit(0))), lambda g: F.length(g) == 3) & ((F.size(groups) == 1) | F.length(F.element_at(groups, -1)).isin(0, 3))
+    joins = thousands & (F.abs(F.col("x0") - end) <= 1) & money(glued).isNotNull()
     rows = lined.withColumns({"_joins": F.coalesce(joins, F.lit(False)), "_glued": glued, "_x0": F.lag("x0").over(w), "_own": own}).where(money(own).isNotNull())
     x0 = F.when(F.col("_joins"), F.col("_x0")).otherwise(F.col("x0"))
     price = money(F.when(F.col("_joins"), F.col("_glued")).otherwise(F.col("_own")))

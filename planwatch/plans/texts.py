@@ -105,7 +105,9 @@ def attribute_check(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(wrong, ",").alias("mismatches"))
 
 
-@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:a|button|area|link|option)\\b([^>]*)>', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '(?is)<(?:a|button|area|link|option)\\b([^>]*)>', 1), 1) - 1 AS i FROM pages), h AS (SELECT page_id, CAST(i AS INT) AS place, trim(replace(regexp_extract(raw, '(?i)\\bhref\\s*=\\s*"([^"]*)"', 1), '&amp;', '&')) AS href FROM a) SELECT * FROM h WHERE href <> '' AND NOT starts_with(href, '#')""")
+@query("""WITH a AS (SELECT page_id, list_filter(string_split(html, '<')[2:], lambda x: contains(x, '>') AND list_contains(['a', 'button', 'area', 'link', 'option'], lower(regexp_extract(x, '^[A-Za-z0-9]+')))) AS tags FROM pages),
+h AS (SELECT page_id, CAST(generate_subscripts(tags, 1) - 1 AS INT) AS place, string_split(lower(string_split(unnest(tags), '>')[1]), 'href="') AS parts, string_split(unnest(tags), '>')[1] AS raw FROM a),
+v AS (SELECT page_id, place, trim(replace(string_split(substr(raw, len(parts[1]) + 7), '"')[1], '&amp;', '&')) AS href FROM h WHERE len(parts) > 1) SELECT * FROM v WHERE href <> '' AND NOT starts_with(href, '#')""")
 def link_extract(t: Tables) -> DataFrame:
     return links.tags_with_links(t.pages, "page_id", "html").select("page_id", "place", "href")
 

@@ -215,19 +215,26 @@ def export_snapshot(offers: DataFrame, peers: DataFrame, key: str, path: str) ->
 
 def mail_authenticated(headers: Column, domain: Column, server: str = "") -> Column:
     """Whether a mailbox's server confirmed that a message is its sender's domain's: DMARC passed for it, or a DKIM signature of it did. A header
-    that another server than ``server`` wrote proves nothing; what a sender puts into the message is such a header."""
-    quoted = F.regexp_replace(F.lower(domain), r"([.+*?^$()\[\]{}|\\])", r"\\$1")
-    own = rf"(?:[\w-]+\.)*"
-    dmarc = F.concat(F.lit(r"\bdmarc=pass\b.*\bheader\.from=" + own), quoted, F.lit(r"\b(?![.-])"))
-    dkim = F.concat(F.lit(r"\bdkim=pass\b.*\bheader\.[di]=@?" + own), quoted, F.lit(r"\b(?![.-])"))
-    plain = F.transform(headers, lambda h: F.regexp_replace(F.lower(F.trim(h)), r"\s+", " "))
-    heard = F.filter(plain, lambda h: F.split(h, ";")[0].rlike(rf"^{_quoted(server)}( [0-9]+)?$")) if server else plain
-    results = F.flatten(F.transform(heard, lambda h: F.split(h, ";")))
-    return F.coalesce(F.exists(results, lambda r: F.regexp_like(r, dmarc) | F.regexp_like(r, dkim)), F.lit(False))
-
-
-def _quoted(text: str) -> str:
-    return "".join(c if c.isalnum() else "\\" + c for c in text.lower())
+    that another server than ``server`` wrote proves nothing; what a sender puts into the message is such a header.
+
+    A header is the server's name and its results, parted by semicolons; a result is ``method=result`` and properties as ``name=value``, parted by blanks."""
+    words = lambda text: F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    asked = F.lower(domain)
+
+    def covers(value):
+        """The domain itself or one below it, as a domain or behind an @."""
+        host = F.substring_index(value, "@", -1)
+        return (host == asked) | host.endswith(F.concat(F.lit("."), asked))
+
+    def proves(result, method, names):
+        told = lambda w: F.substring_index(w, "=", 1).isin(*names) & covers(F.substr(w, F.instr(w, "=") + 1))
+        return F.array_contains(result, f"{method}=pass") & F.exists(result, told)
+
+    parts = F.transform(headers, lambda h: F.transform(F.split(h, ";"), words))
+    heard = F.filter(parts, lambda p: F.coalesce(F.get(F.get(p, F.lit(0)), F.lit(0)) == server.lower(), F.lit(False))) if server else parts
+    results = F.flatten(heard)
+    found = F.exists(results, lambda r: proves(r, "dmarc", ("header.from",)) | proves(r, "dkim", ("header.d", "header.i")))
+    return F.coalesce(found & (asked != ""), F.lit(False))
 
 
 def mail_from_trusted(messages: DataFrame, senders: list[str], server: str = "", authenticated: bool = True) -> DataFrame:

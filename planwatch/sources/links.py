@@ -10,7 +10,24 @@ from planwatch.functions.text import safe_url, unescaped
 
 #: The elements that may carry a link.
 ELEMENTS = ("a", "button", "area", "link", "option")
-_ATTRIBUTE = r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: An attribute by HTML's grammar: a name, an equals sign, and a value that ends at its own quote or, without quotes, at a blank.
+_NAMED = r"""[^\s"'=<>/]+\s*=\s*"""
+_VALUES = tuple(f"{q}[^{q}]*{q}" for q in "\"'") + (r"""[^\s"'>]+""",)
+
+
+def _opened(html: Column) -> Column:
+    """The tags of a page that open an element of ELEMENTS, as name and the rest up to the next >, in order."""
+    tags = F.transform(F.filter(F.slice(F.split(html, "<"), F.lit(2), F.greatest(F.size(F.split(html, "<")) - 1, F.lit(0))), lambda x: F.contains(x, F.lit(">"))), lambda x: F.substring_index(x, ">", 1))
+    named = F.transform(tags, lambda x: F.struct(F.lower(F.regexp_extract(x, "^[A-Za-z0-9]+", 0)).alias("name"), x.alias("raw")))
+    return F.filter(named, lambda t: t["name"].isin(*ELEMENTS))
+
+
+def _attributes(raw: Column) -> Column:
+    """The attributes of a tag, as name in lower case and value without its quotes."""
+    whole = F.regexp_extract_all(raw, F.lit(f"{_NAMED}(?:{'|'.join(_VALUES)})"), F.lit(0))
+    value = lambda x: F.trim(F.substr(x, F.instr(x, "=") + 1))
+    bare = lambda v: F.when(F.left(v, F.lit(1)).isin('"', "'"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    return F.transform(whole, lambda x: F.struct(F.lower(F.rtrim(F.substring_index(x, "=", 1))).alias("name"), bare(F.regexp_replace(value(x), r"^\s+", "")).alias("value")))
 
 
 def tags_with_links(pages: DataFrame, key: str, html: str, attributes: tuple[str, ...] = ("href",), title: str | None = None) -> DataFrame:
@@ -18,16 +35,13 @@ def tags_with_links(pages: DataFrame, key: str, html: str, attributes: tuple[str
 
     Reads what browsers forgive: elements and attributes in either case, values in double, single or no quotes. The link is the first of
     ``attributes`` that has a value which is neither a fragment nor a script, with its entities decoded; title is another attribute's value."""
-    element = rf"(?is)<(?:{'|'.join(ELEMENTS)})\b([^>]*)>"
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(element), F.lit(1))).alias("place", "raw"))
-    part = lambda i: F.regexp_extract_all("raw", F.lit(_ATTRIBUTE), F.lit(i))
-    values = F.zip_with(F.zip_with(part(2), part(3), lambda a, b: F.concat(a, b)), part(4), lambda a, b: F.concat(a, b))
-    named = found.withColumn("pairs", F.zip_with(F.transform(part(1), F.lower), values, lambda k, v: F.struct(k.alias("name"), v.alias("value"))))
+    found = pages.select(key, F.posexplode(_opened(F.col(html))).alias("place", "tag")).select(key, "place", "tag.raw", _attributes(F.col("tag.raw")).alias("pairs"))
     of = lambda name: F.get(F.transform(F.reverse(F.filter("pairs", lambda p: p["name"] == name)), lambda p: p["value"]), 0)
     usable = lambda v: F.when((v != "") & ~v.startswith("#") & ~v.startswith("javascript:"), v)
     link = F.coalesce(*[usable(unescaped(of(a.lower()))) for a in attributes])
     name = F.trim(unescaped(of(title.lower()))) if title else F.lit(None).cast("string")
-    return named.select(key, "place", F.trim(link).alias("href"), name.alias("title"), F.col("raw").rlike(r"\bdisabled\b").alias("disabled")).where("href is not null")
+    disabled = F.array_contains(F.split(F.lower("raw"), r"[\s/=]+"), "disabled")
+    return found.select(key, "place", F.trim(link).alias("href"), name.alias("title"), disabled.alias("disabled")).where("href is not null")
 
 
 def absolute(href: Column, base: Column) -> Column:
