@@ -353,7 +353,9 @@ def newer_document(t: Tables) -> DataFrame:
     return versions.neighbours(docs, "source", "version", "doc")
 
 
-@query(f"WITH {PRICES}, log AS (SELECT product, source, version, band, event_id AS seq, CAST(event_id * 3 AS BIGINT) AS value FROM prices JOIN events ON event_id % 700 = CAST(product AS INT) * 5 + source AND event_id % 10 = band) SELECT p.*, l.value AS chosen FROM prices p LEFT JOIN (SELECT product, source, version, band, arg_max(value, seq) AS value FROM log GROUP BY ALL) l USING (product, source, version, band)")
+@query(f"WITH {PRICES}, log AS (SELECT product, source, version, band, event_id AS seq, CAST(event_id * 3 AS BIGINT) AS value FROM prices JOIN events ON event_id % (SELECT (max(CAST(product AS INT)) + 1) * 5 FROM prices) = CAST(product AS INT) * 5 + source AND event_id % 10 = band) SELECT p.*, l.value AS chosen FROM prices p LEFT JOIN (SELECT product, source, version, band, arg_max(value, seq) AS value FROM log GROUP BY ALL) l USING (product, source, version, band)")
 def corrections(t: Tables) -> DataFrame:
-    log = prices(t).join(t.events, (F.col("event_id") % 700 == F.col("product").cast("int") * 5 + F.col("source")) & (F.col("event_id") % 10 == F.col("band"))).select(*KEYS, "band", F.col("event_id").alias("at"), (F.col("event_id") * 3).alias("value"))
+    """A log that may name any product and source, over all prices."""
+    n = prices(t).agg((F.max(F.col("product").cast("int")) + 1) * 5).first()[0] or 1
+    log = prices(t).join(t.events, (F.col("event_id") % n == F.col("product").cast("int") * 5 + F.col("source")) & (F.col("event_id") % 10 == F.col("band"))).select(*KEYS, "band", F.col("event_id").alias("at"), (F.col("event_id") * 3).alias("value"))
     return versions.corrected(prices(t), log, [*KEYS, "band"], "at")
