@@ -1,8 +1,9 @@
 """Language-model scores by a weighted backoff automaton over all n-grams of the training texts.
 
 Texts are dealt into chunks of bounded size. A chunk lists its different n-grams once, with how often its training texts have them; the
-lists meet in buckets of n-grams, where the counts of all chunks are summed, and each chunk gets the totals of what it listed. So a chunk
-holds just the part of the automaton that its own texts run through, and nothing of the model is cut, broadcast or sent to the driver.
+lists meet in buckets of n-grams, where the counts of all chunks are summed, and each chunk gets the totals of what it listed. From these it
+compiles just the part of the automaton that its own texts run through, and walks them through it from left to right. Nothing of the model is
+cut, broadcast or sent to the driver.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planwatch.llm.automaton import Automaton
 from planwatch.llm.common import crc_remainder, documents, utf8
 
 CHUNK = 12 << 20  # bytes of texts that a task holds at a time; on larger executors, larger chunks make fewer lists
 BUCKET = 1_500_000  # listed n-grams that a task sums at a time
-BLOCK = 1 << 19  # tokens that are weighed at once
+BLOCK = 1 << 19  # tokens whose keys are made at once
 ORDER = 3  # tokens of the longest n-grams, 2 or 3
 ADDED = 0.1  # to each token's count, the unknown token included
 MASS = 50.0  # by held-out likelihood; what the shorter context's probabilities weigh against counts
@@ -122,7 +124,9 @@ def listed_triples(texts: DataFrame, known: DataFrame, n_buckets: int) -> DataFr
 
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(group["text"])
-        triples, there = _of_states(chunk, _counted(chunk, answers, 2, *chunk.keys(2)))
+        pairs, there = chunk.keys(2)
+        _, of = _numbered(pairs, there)
+        triples, there = _of_states(chunk, np.where(there, _answered(answers, 2)[of], 0))
         return _lists(group, [(3, triples[there], _training(group, chunk)[there])], n_buckets)
 
     return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, LISTED)
@@ -134,20 +138,22 @@ def _of_states(chunk: Chunk, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys, there & (np.roll(pairs, 1) >= STATE)
 
 
-def _counted(chunk: Chunk, answers: pa.Table, level: int, keys: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """The number of the n-gram that ends at each token of a chunk by the totals of what it listed; 0 where there is none."""
+def _numbered(keys: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a chunk, ascending by key: a place where each ends; and for each place the number of the n-gram that ends there, 0 where none does."""
+    places = np.flatnonzero(there)
+    places = places[np.argsort(keys[places])]
+    ascending = keys[places]
+    new = np.concatenate([[True], ascending[1:] != ascending[:-1]]) if len(places) else np.zeros(0, bool)
+    of = np.zeros(len(keys), np.int64)
+    of[places] = np.cumsum(new) - 1
+    return places[new], of
+
+
+def _answered(answers: pa.Table, level: int) -> np.ndarray:
+    """How often training texts have each of the n-grams that a chunk listed, in its order."""
     at = np.flatnonzero(answers["level"].to_numpy() == level)
     parts = [_unpacked(answers["totals"][int(i)].as_py()) for i in at[np.argsort(answers["bucket"].to_numpy()[at])]]
-    total, found = np.concatenate([np.zeros(0, np.int64), *parts]), np.sort(keys[there])
-    found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
-    if len(total) != len(found):
-        raise RuntimeError("a chunk's texts aren't those it listed")
-    n = np.zeros(len(keys), np.int64)
-    for i in range(0, len(keys), BLOCK):
-        ok = there[i : i + BLOCK]
-        if ok.any():
-            n[i : i + BLOCK][ok] = total[np.searchsorted(found, keys[i : i + BLOCK][ok])]
-    return n
+    return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
 def _summed(group: pa.Table, level: int):
@@ -188,23 +194,22 @@ def totals(lists: DataFrame) -> DataFrame:
     return lists.groupBy("bucket").applyInArrow(run, "chunk bigint, bucket int, level int, totals binary")
 
 
-def walk(n: list[np.ndarray], n_tokens: int, n_types: int) -> tuple[np.ndarray, np.ndarray]:
-    """log10 weights along tokens: those of the empty context alone, and those of the automaton's walk.
+def compiled(chunk: Chunk, answers: pa.Table, n_tokens: int, n_types: int, order: int) -> tuple[Automaton, np.ndarray, np.ndarray]:
+    """The part of the automaton that a chunk's texts run through, how often each of their tokens occurs, and the number of each token in its place.
 
-    n[k] is the number of the n-gram of k + 1 tokens that ends at each place, 0 where it would begin before its text. At each place the walk is
-    in the longest run of tokens before it that is a state: one token seen at all, or two seen STATE times. It takes the arc of the next
-    token if training texts have it there, else the failure arc to the shorter state, which weighs what MASS leaves to that, and so on; the
-    empty context has an arc for every token. An arc's probability is the count with MASS times the shorter state's probability, over the
-    state's count and MASS, so those of a state sum to 1. The first place is a START, whose weight is not to be read.
-    """
-    weight = base = np.log10((n[0] + ADDED) / (n_tokens + ADDED * (n_types + 1)))
-    for k in range(1, len(n)):
-        seen = np.roll(n[k - 1], 1)  # the counts of the contexts of k tokens
-        state = seen >= (1 if k == 1 else STATE)
-        arc = np.log10((n[k] + MASS * 10.0**weight) / (seen + MASS))
-        failure = np.log10(MASS / (seen + MASS))
-        weight = np.where(state & (n[k] > 0), arc, np.where(state, failure, 0.0) + weight)
-    return base, weight
+    States are the tokens that training texts have and, with ``order`` 3, the pairs they have STATE times."""
+    _, tokens = _numbered(chunk.tokens, np.ones(len(chunk.tokens), bool))
+    single = _answered(answers, 1)
+    alone = np.log10((single + ADDED) / (n_tokens + ADDED * (n_types + 1)))
+    keys, there = chunk.keys(2)
+    at, of = _numbered(keys, there)
+    pair, triples = _answered(answers, 2), None
+    if order > 2:
+        last, _ = _numbered(*_of_states(chunk, np.where(there, pair[of], 0)))
+        triples = of[last - 1], of[last], _answered(answers, 3)
+    if (len(single), len(pair)) != (tokens.max() + 1, len(at)) or triples and len(triples[0]) != len(triples[2]):
+        raise RuntimeError("a chunk's texts aren't those it listed")
+    return Automaton(single, alone, (tokens[at - 1], tokens[at], pair), triples, MASS, STATE), single, tokens
 
 
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -212,20 +217,13 @@ SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 
 def _scored(group: pa.Table, answers: pa.Table, order: int) -> pa.Table:
     chunk = Chunk(group["text"])
-    n = [_counted(chunk, answers, level, *chunk.keys(level)) for level in (1, 2)]
-    if order > 2:
-        n.append(_counted(chunk, answers, 3, *_of_states(chunk, n[1])))
     n_tokens, n_types = answers["n_tokens"][0].as_py(), answers["n_types"][0].as_py()
-    rows, cuts = [], np.unique(np.searchsorted(chunk.ends, np.arange(0, len(chunk.tokens), BLOCK), "right"))  # whole texts at a time
-    for i, j in zip(cuts, [*cuts[1:], len(chunk.ends)]):
-        a, b = chunk.starts[i], chunk.ends[j - 1]
-        starts = chunk.starts[i:j] - a
-        base, score = walk([x[a:b] for x in n], n_tokens, n_types)
-        known = n[0][a:b] > 0
-        base[starts], score[starts], known[starts] = 0.0, 0.0, False  # a START is given
-        rows.append([np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, score)])
-    known, base, score = (np.concatenate(x) for x in zip(*rows))
-    columns = [group["doc_id"], group["held_out"], pa.array(chunk.ends - chunk.starts - 1), pa.array(known), pa.array(np.full(group.num_rows, n_tokens, np.int64)), pa.array(base), pa.array(score)]
+    automaton, single, tokens = compiled(chunk, answers, n_tokens, n_types, order)
+    base, known = automaton.alone[tokens], (single > 0)[tokens].astype(np.int64)
+    base[chunk.starts], known[chunk.starts] = 0.0, 0  # a START is given
+    score = automaton.walk(tokens, chunk.starts, chunk.ends)
+    sums = [pa.array(np.add.reduceat(x, chunk.starts)) for x in (known, base, score)]
+    columns = [group["doc_id"], group["held_out"], pa.array(chunk.ends - chunk.starts - 1), sums[0], pa.array(np.full(group.num_rows, n_tokens, np.int64)), *sums[1:]]
     return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 

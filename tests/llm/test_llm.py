@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from planwatch.llm import bpe, fingerprint, language, language_model, licences, mixing, near_dedup, quality_model, quality_rules, secrets, textstats
+from planwatch.llm import automaton, bpe, fingerprint, language, language_model, licences, mixing, near_dedup, quality_model, quality_rules, secrets, textstats
 from planwatch.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -528,6 +528,34 @@ def test_lm_probabilities_sum_to_one(rows):
         assert sum(p3(a, b, w) for w in tokens) == pytest.approx(1)
 
 
+def test_automaton_by_hand(monkeypatch):
+    """Tokens a, b, c, x; training texts "a b c", "a b c", "a b a": states a, b, c and the pairs a b, b c that occur twice; x never occurs."""
+    a, b, c, x = range(4)
+    counts, m = np.array([4, 3, 2, 0]), 50.0
+    alone = np.log10((counts + 0.1) / (9 + 0.1 * 4))
+    pairs = np.array([a, b, b]), np.array([b, c, a]), np.array([3, 2, 1])
+    triples = np.array([0, 0]), np.array([1, 2]), np.array([2, 1])
+    auto = automaton.Automaton(counts, alone, pairs, triples, m, 2)
+    assert auto.failure.tolist() == [0, 0, 0, 0, 0, 2, 3] and auto.start.tolist() == [1, 2, 3, 0]  # 5 is a b, 6 is b c
+    assert [(int(k) >> 32, int(k) & 0xFFFFFFFF, int(t)) for k, t in zip(auto.arcs, auto.to)] == [(1, b, 5), (2, a, 1), (2, c, 6), (5, a, 1), (5, c, 6)]
+    p = 10.0**alone
+    ab, bc = (3 + m * p[b]) / (4 + m), (2 + m * p[c]) / (3 + m)
+    abc = (2 + m * bc) / (3 + m)
+    fall = m / (2 + m) * m / (2 + m)  # of b c, seen twice, and of c, seen twice
+    to, weight = auto.step(np.array([0, 1, 5, 6, 6]), np.array([a, b, c, a, x]))
+    assert to.tolist() == [1, 5, 6, 1, 0] and weight == pytest.approx(np.log10([p[a], ab, abc, fall * p[a], fall * p[x]]))
+    text = np.array([a, b, c, x, b, c, a, b, c] * 5 + [c])
+    whole = auto.walk(text, np.array([0, 45]), np.array([45, 46]))
+    state, want = np.array([1]), [0.0]
+    for t in text[1:45]:
+        state, w = auto.step(state, np.array([t]))
+        want.append(w[0])
+    assert whole.tolist() == [*want, 0.0]
+    for lane in (2, 3, 7, 44):
+        monkeypatch.setattr(automaton, "LANE", lane)
+        assert auto.walk(text, np.array([0, 45]), np.array([45, 46])).tolist() == whole.tolist()
+
+
 def test_lm_of_awkward_rows(awkward, empty):
     got = language_model.scores(awkward).collect()
     assert len(got) == len(AWKWARD) and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2, 3))
