@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwatch.operators import network
+from planwatch.operators import network, overview
 from planwatch.operators import quote as quotes
 from planwatch.operators.collecting import operators_by_name
 
@@ -33,8 +33,8 @@ class Planwatch:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
         self.spark, self.tables = spark, tables
 
-    def quote(self, ages: list[int], contract: str = "", region: str = "") -> DataFrame:
-        """Offers for a family, cheapest first; a blank contract asks for all kinds. Wrong ages and regions are refused."""
+    def _asked(self, ages: list[int], contract: str, region: str) -> tuple[DataFrame, DataFrame, list[str]]:
+        """The offers that are asked for, the family, and an offer's keys. Wrong ages and regions are refused."""
         if not ages or any(not 0 <= a <= 120 for a in ages):
             raise ValueError("ages must be 0 to 120, one at least")
         if region and not (len(region) == 2 and region.isalpha()):
@@ -42,9 +42,26 @@ class Planwatch:
         offers = self.tables["prices"]
         if contract:
             offers = offers.where(F.lower("contract").contains(contract.lower()))
-        keys = [c for c in offers.columns if c not in ("band", "cents")]
-        family = self.spark.createDataFrame([(1, a) for a in ages], "request int, age int")
-        return quotes.quote(offers, family, keys).drop("request").orderBy("total", *keys)
+        family = self.spark.createDataFrame([(1, n, a) for n, a in enumerate(ages)], "request int, person int, age int")
+        return offers, family, [c for c in offers.columns if c not in ("band", "cents")]
+
+    def quote(self, ages: list[int], contract: str = "", region: str = "") -> DataFrame:
+        """Offers for a family, cheapest first; a blank contract asks for all kinds. Totals don't depend on the region; ``quote_details`` says what does."""
+        offers, family, keys = self._asked(ages, contract, region)
+        return quotes.quote(offers, family.drop("person"), keys).drop("request").orderBy("total", *keys)
+
+    def quote_details(self, ages: list[int], contract: str = "", region: str = "", now: Column | None = None) -> DataFrame:
+        """The same with what each person pays, where the price comes from, the plan's network (in ``region``, too), its approved changes (those of the region, or without one
+        those ahead) and how many other sources ask for another total. Reads ``made`` (keys, dated, published, confirmed, readers), ``networks`` and ``changes`` as well."""
+        offers, family, keys = self._asked(ages, contract, region)
+        found = quotes.detailed(quotes.quote(offers, family.drop("person"), keys), keys, self.tables["made"], self.tables["networks"].withColumnRenamed("plan", "product"), self.tables["changes"], now if now is not None else F.current_timestamp(), region.upper() or None)
+        return found.join(quotes.by_person(offers, family, keys), ["request", *keys]).drop("request").orderBy("total", *keys)
+
+    def dashboard(self, today: Column | None = None, most: int = 12) -> DataFrame:
+        """The start page in one row: its figures, and the latest events."""
+        row = overview.figures(*[self.tables[n] for n in ("documents", "cells", "versions", "events")], today if today is not None else F.current_date())
+        latest = self.events(most=most).agg(F.sort_array(F.collect_list(F.struct("at", "id", "type", "severity")), asc=False).alias("latest"))
+        return row.withColumn("_one", F.lit(1)).join(latest.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
     def search(self, text: str, most: int = 500) -> DataFrame:
         """Current versions whose name or operator holds the text, or whose product number holds its digits."""

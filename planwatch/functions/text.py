@@ -280,6 +280,29 @@ def validity(text: Column, last: bool = False) -> Column:
     return let(let(fold(text), _dates_of), stated)
 
 
+def stated_period(text: Column) -> Column:
+    """(starts, ends) of a material's validity: its first two dates dd/mm/yyyy, else its first two with the month by name, as '01 de junho/26'; both null without
+    two of a kind. A date that doesn't exist is null."""
+
+    def figures(dates):
+        whole = F.filter(dates, lambda d: F.size(F.split(d["date"], "/")) == 3)
+        return F.transform(whole, lambda d: F.try_to_date(d["date"], "d/M/yyyy"))
+
+    def named(words):
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: (F.get(words, i + 1) == "de") & F.get(words, i).rlike("^[0-9]{1,2}$") & F.get(words, i + 2).rlike("^[a-z]{3,}/[0-9]{2}"))
+        return F.transform(at, lambda i: dated(F.get(words, i), F.split(F.get(words, i + 2), "/")))
+
+    def dated(day, month):
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), F.left(month[0], F.lit(3)))
+        return F.try_to_date(F.concat_ws("-", F.concat(F.lit("20"), F.left(month[1], F.lit(2))), number.cast("string"), day), "yyyy-M-d")
+
+    def both(folded):
+        return let(figures(_dates_of(folded)), lambda d: F.when(F.size(d) >= 2, d).otherwise(let(F.split(F.trim(folded), r"\s+"), named)))
+
+    ends = let(let(fold(text), both), lambda d: F.when(F.size(d) >= 2, F.slice(d, 1, 2)))
+    return F.struct(F.get(ends, F.lit(0)).alias("starts"), F.get(ends, F.lit(1)).alias("ends"))
+
+
 def month_by_name(text: Column) -> Column:
     """The first day of a month that is written out: 'setembro de 2026', 'set/26'; null without one."""
     found = lambda i: F.regexp_extract(fold(text), r"\b(" + "|".join(MONTHS) + r")[a-z]*\.?\s*(?:de|/|-)?\s*(20[0-9]{2}|[0-9]{2})\b", i)

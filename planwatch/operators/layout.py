@@ -49,6 +49,21 @@ def lines(words: DataFrame) -> DataFrame:
     return words.groupBy(*PAGE).applyInPandas(assign, schema)
 
 
+def whole_amounts(words: DataFrame, gap: float = 2.5, slope: float = 3.0) -> DataFrame:
+    """``words`` with the pieces of amounts that a scan parts at the comma joined again, however many: (doc, page, text, x0, x1, top, base).
+
+    A piece belongs to the one before it on the page, by height in steps of ``slope`` and then from left to right, if their heights differ by less than ``slope``, the
+    way between them is 0 to ``gap``, and a comma starts the one or ends the other. Runs of such pieces are islands; of a run the texts are joined and the
+    boxes are one around all. A run is one line's, so no group grows with the data."""
+    y = (F.col("top") + F.col("base")) / 2
+    w = W.partitionBy(*PAGE).orderBy(F.bround(y / slope), "x0", "text")
+    held = F.coalesce((F.abs(y - F.lag(y).over(w)) < slope) & (F.col("x0") - F.lag("x1").over(w)).between(0, gap) & (F.col("x0") - F.lag("x1").over(w) < gap) & (F.startswith("text", F.lit(",")) | F.endswith(F.lag("text").over(w), F.lit(","))), F.lit(False))
+    placed = words.select(*PAGE, "text", "x0", "x1", "top", "base", (~held).cast("int").alias("_new"), F.row_number().over(w).alias("_n"))
+    runs = placed.withColumn("_run", F.sum("_new").over(W.partitionBy(*PAGE).orderBy("_n")))
+    joined = runs.groupBy(*PAGE, "_run").agg(F.array_sort(F.collect_list(F.struct("_n", "text", "x1"))).alias("_p"), F.min_by("x0", "_n").alias("x0"), F.min("top").alias("top"), F.max("base").alias("base"))
+    return joined.select(*PAGE, F.array_join("_p.text", "").alias("text"), "x0", F.element_at("_p.x1", -1).alias("x1"), "top", "base")
+
+
 def amounts(lined: DataFrame) -> DataFrame:
     """(doc, page, line, place, x0, x1, xc, yc, price) of the words that are amounts. Digits that a file draws apart, touching the amount behind
     them, belong to it where both together are an amount."""
@@ -74,9 +89,12 @@ def labels(lined: DataFrame, longest: int = 4) -> DataFrame:
     rows = lined.select(*PAGE, "line", "place", "x0", "x1", "text", ((F.col("top") + F.col("base")) / 2).alias("y"), (F.col("base") - F.col("top")).alias("height"), *[f.alias(f"n{i}") for i, f in enumerate(following, 1)])
     texts = [F.concat_ws(" ", "text", *[F.col(f"n{j}.text") for j in range(1, i + 1)]) for i in range(longest)]
     ends = ["x1", *[f"n{i}.x1" for i in range(1, longest)]]
-    options = F.array(*[F.struct(F.lit(i + 1).alias("size"), band_of_label(t).alias("band"), F.col(e).alias("end")) for i, (t, e) in enumerate(zip(texts, ends))])
-    best = F.array_min(F.filter(options, lambda o: o["band"].isNotNull() & o["end"].isNotNull()))
-    found = rows.withColumn("b", best).where("b is not null").withColumn("before", F.max(F.col("place") + F.col("b.size")).over(w.rowsBetween(W.unboundedPreceding, -1))).where("before is null or place >= before")
+    options = F.array(*[F.struct(F.lit(i + 1).alias("size"), t.alias("label"), F.col(e).alias("end")) for i, (t, e) in enumerate(zip(texts, ends))])
+    own = [*PAGE, "line", "place", "x0", "y", "height"]
+    spread = rows.select(*own, F.inline(options)).where("end is not null").where(F.col("label").rlike("[0-9]"))
+    known = spread.select("label").distinct().withColumn("band", band_of_label(F.col("label"))).where("band is not null")  # each different text is read once
+    best = spread.join(known, "label").groupBy(*own).agg(F.min(F.struct("size", "band", "end")).alias("b"))
+    found = best.withColumn("before", F.max(F.col("place") + F.col("b.size")).over(w.rowsBetween(W.unboundedPreceding, -1))).where("before is null or place >= before")
     priced = lined.groupBy(*PAGE, "line").agg(F.bool_or(money(without_currency(F.col("text"))).isNotNull()).alias("priced"))
     named = found.withColumn("named", F.size(F.collect_set("b.band").over(W.partitionBy(*PAGE, "line"))))
     head = (F.col("named") >= HEAD) & ~F.col("priced")

@@ -12,9 +12,11 @@ from planwatch.operators.versions import chains
 
 
 def publishable(columns: DataFrame, cells: DataFrame, key: str = "column_id") -> DataFrame:
-    """``columns`` (key, product, prices) with publishable: registered, complete, and no cell (key, review) left to review."""
+    """``columns`` (key, product, prices, perhaps status) with publishable: registered, complete, no cell (key, review) left to review, and not ``ignored`` by a reviewer."""
     open_ = cells.where("review").select(key).distinct().withColumn("_open", F.lit(True))
     ok = (F.coalesce("product", F.lit("")) != "") & is_complete(F.col("prices")) & F.col("_open").isNull()
+    if "status" in columns.columns:
+        ok = ok & ~F.coalesce(F.col("status") == "ignored", F.lit(False))
     return columns.join(open_, key, "left").withColumn("publishable", ok).drop("_open")
 
 

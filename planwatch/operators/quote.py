@@ -20,6 +20,15 @@ def quote(offers: DataFrame, ages: DataFrame, keys: list[str]) -> DataFrame:
     return sums.join(wanted, "request").where("met = bands").select("request", *keys, "total")
 
 
+def by_person(offers: DataFrame, people: DataFrame, keys: list[str]) -> DataFrame:
+    """(request, keys, per_person) for people (request, person, age): what each pays under an offer, in the order of ``person``, as (age, band, cents); bands that an
+    offer doesn't sell are left out."""
+    each = offers.join(people.withColumn("band", band_of_age(F.col("age"))), "band")
+    listed = F.array_sort(F.collect_list(F.struct("person", "age", "band", "cents")))
+    made = each.groupBy("request", *keys).agg(listed.alias("_p"))
+    return made.select("request", *keys, F.transform("_p", lambda p: F.struct(p["age"].alias("age"), p["band"].alias("band"), p["cents"].alias("cents"))).alias("per_person"))
+
+
 def divergences(quotes: DataFrame, product: str, source: str, least: int = 1, offers: DataFrame | None = None) -> DataFrame:
     """Offers of a product whose total differs by ``least`` or more from that of another source's offer of the same condition: (request, product, source, other,
     difference, ratio, other_newer) for quotes with dated, the date of the material: ratio is the other total over this one, less one; a

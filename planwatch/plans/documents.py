@@ -42,6 +42,21 @@ def geometric_grid(t: Tables) -> DataFrame:
     return layout.grids(words)
 
 
+@query(r"""WITH p AS (SELECT l_orderkey AS doc, l_linenumber AS line, min(l_partkey) AS l_partkey, CAST(round(min(l_extendedprice) * 100) AS BIGINT) AS cents FROM lineitem GROUP BY ALL), a AS (SELECT *, CAST(cents // 100 AS VARCHAR) AS whole, lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS part FROM p),
+i AS (SELECT doc, line, unnest(CASE l_partkey % 4 WHEN 0 THEN [whole, ',' || part] WHEN 1 THEN [whole, ',', part] WHEN 2 THEN [whole || ',', part, ',x', ',' , 'y'] ELSE [whole, part] END) AS piece, generate_subscripts(CASE l_partkey % 4 WHEN 0 THEN [1, 2] WHEN 1 THEN [1, 2, 3] WHEN 2 THEN [1, 2, 3, 4, 5] ELSE [1, 2] END, 1) AS n FROM a),
+g AS (SELECT *, sum(CASE WHEN n > 1 AND (starts_with(piece, ',') OR ends_with(before, ',')) THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY line, n) AS island FROM (SELECT *, lag(piece) OVER (PARTITION BY doc, line ORDER BY n) AS before FROM i))
+SELECT doc, CAST(min(line) AS INT) AS line, string_agg(piece, '' ORDER BY n) AS text, CAST(min(n) * 20 + 80 AS DOUBLE) AS x0, CAST(max(n) * 20 + 99 AS DOUBLE) AS x1 FROM g GROUP BY doc, island""")
+def joined_pieces(t: Tables) -> DataFrame:
+    """Amounts that a scan parts at the comma into two to five words, and some whose parts are no pieces of one, a line for each number of an order's rows."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    one = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_extendedprice").alias("l_extendedprice"))
+    a = one.select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey", F.floor(cents / 100).cast("string").alias("whole"), F.lpad((cents % 100).cast("string"), 2, "0").alias("part"))
+    k, comma = F.col("l_partkey") % 4, F.lit(",")
+    pieces = F.when(k == 0, F.array(F.col("whole"), F.concat(comma, "part"))).when(k == 1, F.array(F.col("whole"), comma, F.col("part"))).when(k == 2, F.array(F.concat("whole", comma), F.col("part"), F.lit(",x"), comma, F.lit("y"))).otherwise(F.array("whole", "part"))
+    words = a.select("doc", F.lit(1).alias("page"), F.posexplode(pieces).alias("n", "text"), (F.col("l_linenumber") * 12.0).alias("top")).select("doc", "page", "text", (F.col("n") * 20.0 + 100).alias("x0"), (F.col("n") * 20.0 + 119).alias("x1"), "top", (F.col("top") + 8).alias("base"))
+    return layout.whole_amounts(words).select("doc", F.round(F.col("top") / 12).cast("int").alias("line"), "text", "x0", "x1")
+
+
 @query(DRAWN + """r AS (SELECT *, p_size % 7 <> 0 AS sold FROM c) SELECT doc, CAST(b AS INT) AS band, (p_size * 1000 + 12345 + b * 777)::DOUBLE / 100 AS price, lpad(CAST(doc * 4 + col AS VARCHAR), 9, '0') AS product, 'Plano ' || col || ' ' || lpad(CAST(doc * 4 + col AS VARCHAR), 9, '0') AS heading FROM r, range(10) x(b) WHERE sold OR b < 6""")
 def transposed_grid(t: Tables) -> DataFrame:
     """Tables whose head names the bands and whose rows are products, drawn as words and read back."""
@@ -108,7 +123,10 @@ def publish_document(t: Tables) -> DataFrame:
     return publish.publish(old, new).select("series", "product", "action", "version", "reason")
 
 
-@query(f"WITH {WIDE}, o AS (SELECT product, source, prices FROM wide WHERE version = DATE '1996-01-01'), n AS (SELECT product, source, prices FROM wide WHERE version = DATE '1997-01-01'), b AS (SELECT product, CAST(source * 7 % 5 + 1 AS INT) AS version, CAST(product AS BIGINT) % 2 = 0 OR o.prices IS NOT DISTINCT FROM n.prices AS same FROM o JOIN n USING (product, source)) SELECT 's' AS series, product, CASE WHEN same THEN 'confirmed' ELSE 'version' END AS action, CAST(CASE WHEN same THEN version ELSE version + 1 END AS INT) AS version FROM b")
+@query(f"""WITH {WIDE}, o AS (SELECT product, CAST(source * 7 % 5 + 1 AS INT) AS version, prices, row_number() OVER (PARTITION BY product ORDER BY source) AS k FROM wide WHERE version = DATE '1996-01-01'),
+n AS (SELECT product, prices, row_number() OVER (PARTITION BY product ORDER BY source) AS k FROM wide WHERE version = CASE WHEN CAST(product AS BIGINT) % 2 = 0 THEN DATE '1996-01-01' ELSE DATE '1997-01-01' END),
+b AS (SELECT coalesce(o.product, n.product) AS product, CASE WHEN n.k IS NULL THEN 'retired' WHEN o.k IS NULL THEN 'first' WHEN o.prices IS NOT DISTINCT FROM n.prices THEN 'confirmed' ELSE 'version' END AS action, coalesce(version, 0) AS version FROM o FULL JOIN n ON o.product = n.product AND o.k = n.k)
+SELECT 's' AS series, product, action, CAST(CASE WHEN action IN ('first', 'version') THEN version + 1 ELSE version END AS INT) AS version FROM b""")
 def publish_again(t: Tables) -> DataFrame:
     """Documents with several tables of each product and no conditions, published again, half of them unchanged: tables match by their order, whatever their versions."""
     w = wide(t).withColumns({"series": F.lit("s"), "tags": F.array().cast("array<string>"), "place": F.col("source")})
@@ -117,6 +135,17 @@ def publish_again(t: Tables) -> DataFrame:
     return publish.publish(old, new.select("series", "product", "place", "tags", "prices", F.lit(True).alias("publishable"))).select("series", "product", "action", "version")
 
 
+@query(f"""WITH {WIDE}, c AS (SELECT product, source, version, len(list_filter(prices, lambda x: x IS NOT NULL)) AS n, (SELECT min(i) FROM range(10) r(i) WHERE prices[i + 1] IS NOT NULL) AS first_band FROM wide)
+SELECT product, source, version, source <> 3 AND n = 10 - first_band AND NOT (source = 1 AND CAST(product AS BIGINT) % 3 = 0) AND NOT (source = 2 AND CAST(product AS BIGINT) % 5 = 0) AS publishable FROM c""")
+def publishable_columns(t: Tables) -> DataFrame:
+    """Columns that a document may publish: registered, whole, with no price left to review, and not set aside by a reviewer, as those of one source are here."""
+    key = F.struct("product", "source", "version")
+    number = F.when((F.col("source") == 2) & (F.col("product").cast("bigint") % 5 == 0), "").otherwise(F.col("product"))
+    columns = wide(t).withColumns({"column_id": key, "status": F.when(F.col("source") == 3, "ignored").otherwise("open")})
+    cells = prices(t).select(key.alias("column_id"), ((F.col("source") == 1) & (F.col("product").cast("bigint") % 3 == 0)).alias("review"))
+    return publish.publishable(columns.withColumn("product", number), cells).select("column_id.product", "source", "version", "publishable")
+
+
 FOLDED = """w AS (SELECT product, source, CAST(year(version) AS INT) AS y, CASE WHEN prices[2] IS NULL THEN 0 ELSE 1 END AS p FROM wide), late AS (SELECT *, row_number() OVER (PARTITION BY product, source ORDER BY y * 3 % 7) AS n FROM w WHERE y <> 2000),
 fold AS (
   SELECT product, source, CAST(0 AS BIGINT) AS n, list({'y': y, 'p': p, 'cur': y = 2000} ORDER BY y) AS c, 0 AS doc, '' AS action FROM w WHERE y IN (1996, 2000) GROUP BY product, source

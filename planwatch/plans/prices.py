@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from planwatch.functions import bands, money
-from planwatch.operators import collecting, extensions, lookup, matching, network, quote, reconcile, rules, versions
+from planwatch.operators import collecting, events, extensions, lookup, matching, network, quote, reconcile, rules, versions
 from planwatch.plans.registry import Tables, query
 from planwatch.plans.views import PRICES, READINGS, WIDE, prices, readings, wide
 
@@ -297,6 +297,13 @@ def cross_source(t: Tables) -> DataFrame:
     return each.groupBy("product", "source", "other").agg(F.count("*").alias("differing"), F.median(F.expr("z.y * 10000 div z.x")).alias("variation"))
 
 
+@query(f"WITH {LATEST}, s AS (SELECT a.product, a.source, b.source AS other, median(b.cents * 10000 // a.cents) - 10000 AS v FROM latest a JOIN latest b ON a.product = b.product AND a.band = b.band AND a.source <> b.source WHERE a.cents <> b.cents GROUP BY ALL) SELECT source AS doc, other, count(*) AS n, CAST(median(v) AS DOUBLE) AS variation, count(*) || ' columns, ' || CASE WHEN median(v) > 0 THEN 'dearer' WHEN median(v) < 0 THEN 'cheaper' ELSE 'mixed' END AS title FROM s GROUP BY ALL")
+def divergence_events(t: Tables) -> DataFrame:
+    """One event for each document and other source whose prices differ, in ten-thousandths."""
+    pairs = cross_source(t).select(F.col("source").alias("doc"), "other", (F.col("variation") - 10000).alias("variation"))
+    return events.of_divergences(pairs).select("doc", "other", "n", "variation", "title")
+
+
 @query(f"WITH {PRICES}, f AS (SELECT source, product, version, min(cents) AS at FROM prices GROUP BY ALL), r AS (SELECT source, a.product, row_number() OVER (PARTITION BY source ORDER BY a.at, a.product) AS p, row_number() OVER (PARTITION BY source ORDER BY b.at, a.product) AS q FROM f a JOIN f b USING (source) WHERE a.product = b.product AND a.version = DATE '1996-01-01' AND b.version = DATE '1997-01-01') SELECT source, count(*) AS common, bool_or(p <> q) AS reordered FROM r GROUP BY source")
 def reorder_flag(t: Tables) -> DataFrame:
     """Whether the products that two versions of a source share come in another order of first appearance."""

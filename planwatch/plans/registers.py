@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from planwatch.operators import collecting, lookup, network, rules
+from planwatch.operators import collecting, lookup, network, overview, rules
 from planwatch.plans.registry import Tables, query
 
 TODAY = "2024-01-31"
@@ -129,6 +129,21 @@ def kpi_dashboard(t: Tables) -> DataFrame:
     )
 
 
+@query("""WITH d AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'review' ELSE 'error' END AS status, o_custkey % 50 AS w, CASE WHEN o_custkey % 4 <> 0 THEN o_custkey % 7 END AS r, o_orderkey % 1000 AS cost FROM orders), s AS (SELECT string_agg(status || ':' || n, ',' ORDER BY status) AS by_status FROM (SELECT status, count(*) AS n FROM d GROUP BY status)),
+dd AS (SELECT count(*) AS documents, CAST(sum(w) AS BIGINT) AS with_product, CAST(sum(w) - sum(r) AS BIGINT) AS automatic_with_product, CAST(sum(cost) AS BIGINT) AS cost FROM d),
+c AS (SELECT count(*) AS prices, count(*) FILTER (l_returnflag = 'A') AS confirmed, count(*) FILTER (l_linestatus = 'F' AND l_quantity <= 25) AS automatic, count(*) FILTER (l_linestatus <> 'F' AND l_partkey % 5 <> 0) AS to_review, count(*) FILTER (l_partkey % 5 = 0) AS without_product FROM lineitem),
+v AS (SELECT count(*) AS tables, count(DISTINCT p_brand) AS operators, count(*) FILTER (p_size < 20) AS expired FROM part WHERE p_size % 3 <> 0), e AS (SELECT count(*) FILTER (event_type NOT IN ('view', 'click')) AS open_events FROM events) SELECT * FROM dd, s, c, v, e""")
+def dashboard(t: Tables) -> DataFrame:
+    """The fourteen figures of the start page; costs in millionths."""
+    status = F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "review").otherwise("error")
+    docs = t.orders.select(status.alias("status"), (F.col("o_custkey") % 50).alias("with_product"), F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey") % 7).alias("open_with_product"), (F.col("o_orderkey") % 1000).alias("cost"))
+    cells = t.lineitem.select(F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey").cast("string")).alias("product"), F.when(F.col("l_returnflag") == "A", "confirmed").otherwise("divergent").alias("status"), (F.col("l_linestatus") != "F").alias("review"), (F.col("l_quantity") > 25).alias("corrected"))
+    versions = t.part.select(F.col("p_brand").alias("operator"), F.date_add(F.lit("2024-01-11").cast("date"), F.col("p_size").cast("int")).alias("until"), (F.col("p_size") % 3 != 0).alias("is_current"))
+    told = t.events.select((F.col("event_type") == "view").alias("resolved"), F.when(F.col("event_type") == "click", "info").otherwise("alert").alias("severity"))
+    row = overview.figures(docs, cells, versions, told, F.lit(TODAY).cast("date"))
+    return row.withColumn("by_status", F.array_join(F.transform(F.map_entries("by_status"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_counts(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"))

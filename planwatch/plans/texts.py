@@ -68,20 +68,26 @@ def proper_case(t: Tables) -> DataFrame:
 LAWFUL = {0: 18, 19: 23, 24: 28, 29: 33, 34: 38, 39: 43, 44: 48, 49: 53, 54: 58}
 
 
-@query(f"""WITH r AS (SELECT CAST(a AS INT) AS a, CAST(e AS INT) AS e, CAST(k AS INT) AS k FROM range(0, 60) x(a), range(15, 65) y(e), range(0, 4) z(k)), law AS (SELECT * FROM (VALUES {", ".join(f"({i}, {a}, {e})" for i, (a, e) in enumerate(LAWFUL.items()))}) v(band, a, e)),
-l AS (SELECT r.a, r.e, k, band FROM r LEFT JOIN law ON law.a = r.a AND law.e = r.e)
-SELECT a, e, k, CAST(band AS INT) AS band FROM l UNION ALL SELECT n, -1, k, CASE WHEN n = 59 THEN 9 END FROM (SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k FROM range(55, 63) x(n), range(0, 12) y(k))""")
+_STARTS, _ENDS = ", ".join(map(str, LAWFUL)), ", ".join(map(str, LAWFUL.values()))
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS id, o_custkey % 9 AS i, o_orderkey % 7 = 3 AS early, o_orderkey % 5 = 1 AS late FROM orders WHERE o_orderkey % 2 = 0)
+SELECT id, CAST([{_STARTS}][i + 1] + early::INT AS INT) AS a, CAST([{_ENDS}][i + 1] + late::INT AS INT) AS e, CASE WHEN NOT early AND NOT late THEN CAST(i AS INT) END AS band FROM r
+UNION ALL SELECT o_orderkey, CAST(55 + o_custkey % 8 AS INT), NULL, CASE WHEN o_custkey % 8 = 4 THEN 9 END FROM orders WHERE o_orderkey % 2 = 1""")
 def band_labels(t: Tables) -> DataFrame:
-    """Every range of ages in four spellings, and every first age with each sign or word for "and more"."""
-    pick = lambda *forms: F.coalesce(*[F.when(F.col("k") == i, f) for i, f in enumerate(forms)])
-    of = lambda lo, hi, name: t.spark.range(lo, hi).select(F.col("id").cast("int").alias(name))
+    """Ranges of ages, some off by a year, in four spellings, and first ages with each sign or word for "and more", by the keys of orders."""
+    k = F.expr("o_orderkey div 2")
+    pick = lambda *forms: F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
+    of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), (F.col("o_custkey") % 9 + 1).cast("int"))
     two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
-    both = of(0, 60, "a").join(of(15, 65, "e"), F.lit(True)).join(of(0, 4, "k"), F.lit(True))  # every spelling of every range: the data are made here
-    ranges = both.withColumn("label", pick(F.concat(two("a"), F.lit("-"), two("e")), F.concat(F.lit("De "), two("a"), F.lit(" a "), two("e"), F.lit(" anos")), F.concat(F.col("a").cast("string"), F.lit(" – "), two("e")), F.concat(two("a"), F.lit("\u00a0até\u00a0"), two("e"))))
+    a, e = of(LAWFUL) + (F.col("o_orderkey") % 7 == 3).cast("int"), of(LAWFUL.values()) + (F.col("o_orderkey") % 5 == 1).cast("int")
+    ranges = t.orders.where("o_orderkey % 2 = 0").withColumns({"a": a, "e": e})
+    ranges = ranges.withColumn("label", pick(F.concat(two("a"), F.lit("-"), two("e")), F.concat(F.lit("De "), two("a"), F.lit(" a "), two("e"), F.lit(" anos")), F.concat(F.col("a").cast("string"), F.lit(" – "), two("e")), F.concat(two("a"), F.lit("\u00a0até\u00a0"), two("e"))))
     n = F.col("a").cast("string")
     more = [F.concat(F.lit(x), n, F.lit(y)) for x, y in (("", " ou mais"), ("", " anos ou +"), ("", "+"), ("", "/ +"), ("&gt; ", " anos"), ("&#62; ", ""), ("&ge; ", ""), ("acima de ", " anos"), ("a partir de ", ""), ("+ de ", ""), ("", " anos e acima"), ("", " em diante"))]
-    ends = of(55, 63, "a").join(of(0, 12, "k"), F.lit(True)).select("a", F.lit(-1).alias("e"), "k", pick(*more).alias("label"))
-    return ranges.select("a", "e", "k", "label").unionByName(ends).select("a", "e", "k", text.band_of_label(F.col("label")).alias("band"))
+    ends = t.orders.where("o_orderkey % 2 = 1").withColumns({"a": (F.col("o_custkey") % 8 + 55).cast("int"), "e": F.lit(None).cast("int")}).withColumn("label", pick(*more))
+    both = ranges.select("o_orderkey", "a", "e", "label").unionByName(ends.select("o_orderkey", "a", "e", "label"))
+    return both.select(F.col("o_orderkey").alias("id"), "a", "e", text.band_of_label(F.col("label")).alias("band"))
 
 
 @query("SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS number, regexp_replace(lpad(CAST(p_partkey AS VARCHAR), 9, '0'), '^(...)(...)(..)(.)$', '\\1.\\2/\\3-\\4') AS written FROM part")
@@ -165,6 +171,19 @@ def text_forms(t: Tables) -> DataFrame:
     )
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) + 11000 AS d, CAST(o_custkey % 400 AS INT) AS n FROM orders) SELECT k, CASE WHEN k % 4 < 3 THEN d END AS starts, CASE WHEN k % 4 < 3 THEN d + n END AS ends FROM o""")
+def stated_periods(t: Tables) -> DataFrame:
+    """Both ends of a validity as materials write them: with figures, with months by name and two figures of the year, and texts with one date, which is no period."""
+    k, first = F.col("o_orderkey"), F.date_add(F.col("o_orderdate").cast("date"), 11000)
+    last = F.date_add(first, (F.col("o_custkey") % 400).cast("int"))
+    name = lambda d: F.element_at(F.array(*map(F.lit, MONTH_NAMES)), F.month(d))
+    named = lambda d: F.concat(F.date_format(d, "dd"), F.lit(" DE "), F.upper(name(d)), F.lit("/"), F.date_format(d, "yy"))
+    said = F.when(k % 4 == 0, F.concat(F.lit("VÁLIDO DE "), text.written_date(first), F.lit(" A "), text.written_date(last)))
+    said = said.when(k % 4 == 1, F.concat(F.lit("VIGÊNCIA "), named(first), F.lit(" A "), named(last))).when(k % 4 == 2, F.concat(F.lit("de "), F.lower(named(first)), F.lit(" até  "), named(last), F.lit(".")))
+    period = text.stated_period(said.otherwise(F.concat(F.lit("impresso em "), text.written_date(first), F.lit(", "), named(last))))
+    return t.orders.select(k.alias("k"), period["starts"].alias("starts"), period["ends"].alias("ends"))
+
+
 @query("WITH p AS (SELECT p_partkey, p_size FROM part) SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Tabela ' || p_size || ' · 2 a 29 vidas' WHEN 1 THEN '2 a 29 vidas' WHEN 2 THEN 'Tabela ' || p_size ELSE '' END AS title, CASE WHEN p_size % 2 = 0 THEN 'coparticipação: com' ELSE 'região: capital' END AS side FROM p")
 def headings(t: Tables) -> DataFrame:
     """The title of a table from the lines above it, and the condition that is written upwards or downwards beside it."""
