@@ -1,12 +1,12 @@
 """Price grids from the words of pages: lines, band labels, the prices beside them, tables and columns.
 
 Words are rows (doc, page, text, x0, x1, top, base). All but lines is joins and windows within a page. A line depends on the mean of the words
-assigned to it before and goes page by page through ``applyInPandas``; a page is small.
+assigned to it before and goes through Python, page by page; a page is small.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,27 +26,30 @@ HEADING_WORDS = ("tabela", "vidas", "copartic", "adesao", "pme", "mei", "empresa
 
 def lines(words: DataFrame) -> DataFrame:
     """``words`` with line (from 0, downwards) and place (from 0, rightwards). A word joins the last line if it is close to the mean of
-    that line's words so far."""
-
-    columns = [*words.columns, "line", "place"]
-
-    def assign(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(yc=(page["top"] + page["base"]) / 2).sort_values(["yc", "x0", "text"], kind="stable")
-        numbers, line, mean, n = [], -1, 0.0, 0
-        for y in page["yc"]:
-            if line < 0 or abs(mean - y) > TOLERANCE:
-                line, mean, n = line + 1, y, 1
-            else:
-                n += 1
-                mean += (y - mean) / n
-            numbers.append(line)
-        page["line"] = numbers
-        page = page.sort_values(["line", "x0", "text"], kind="stable")
-        page["place"] = page.groupby("line").cumcount()
-        return page[columns]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", line int, place int"
-    return words.groupBy(*PAGE).applyInPandas(assign, schema)
+    that line's words so far; one without a height joins the last line.
+
+    Pages are dealt as they hash and read one behind the other, word by word, so a task holds no more than a batch."""
+    ordered = [F.asc_nulls_last(c) for c in ("_yc", "x0", "text")]
+    dealt = words.withColumn("_yc", (F.col("top") + F.col("base")) / 2).repartition(*PAGE).sortWithinPartitions(*PAGE, *ordered)
+
+    def assign(batches):
+        page, line, mean, n = object(), 0, None, 0
+        for batch in batches:
+            numbers = []
+            for *at, y in zip(*(batch.column(c).to_pylist() for c in (*PAGE, "_yc"))):
+                if at != page:
+                    page, line, mean, n = at, 0, y, 1
+                elif y is not None and abs(mean - y) > TOLERANCE:
+                    line, mean, n = line + 1, y, 1
+                elif y is not None:
+                    n += 1
+                    mean += (y - mean) / n
+                numbers.append(line)
+            yield batch.append_column("line", pa.array(numbers, pa.int32()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", line int"
+    across = W.partitionBy(*PAGE, "line").orderBy(*ordered[1:])
+    return dealt.mapInArrow(assign, schema).drop("_yc").withColumn("place", F.row_number().over(across) - 1)
 
 
 def whole_amounts(words: DataFrame, gap: float = 2.5, slope: float = 3.0) -> DataFrame:

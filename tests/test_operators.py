@@ -1,5 +1,6 @@
 """Behaviour of the operators on small rows of our own."""
 
+import datetime
 import itertools
 import random
 import zipfile
@@ -477,3 +478,69 @@ def test_notes_without_a_material_date_and_composite_prices(spark):
     mixed = columns.withColumns({"material_date": F.lit("2015-03-01").cast("date"), "price": F.col("price") / 3 + 40})
     found = lambda composite: {r["rule"] for r in rules.note_at_the_time(mixed, notes, ["c"], "plan", composite).collect()}
     assert "off_pattern" in found(None) and "off_pattern" not in found(F.lit(True))
+
+
+def test_quote_details_of_a_region(spark):
+    """Two sources of one plan; each person's price in the order asked, the plan's network there, its changes, and the other source's total."""
+    prices = [("1", s, c, b, p) for s, c, cents in ((1, "PME", (100, 200)), (2, "Adesão", (100, 260))) for b, p in zip((0, 4), cents)]
+    day = datetime.date(2024, 1, 1)
+    made = [("1", s, c, day, datetime.datetime(2024, 1, 1), None, s) for s, c in ((1, "PME"), (2, "Adesão"))]
+    tables = {
+        "prices": spark.createDataFrame(prices, "product string, source int, contract string, band int, cents bigint"),
+        "made": spark.createDataFrame(made, "product string, source int, contract string, dated date, published timestamp, confirmed timestamp, readers int"),
+        "networks": spark.createDataFrame([("1", "SP", 5, 2), ("1", "RJ", 3, 1)], "plan string, region string, hospitals bigint, urgent bigint"),
+        "changes": spark.createDataFrame([("1", "p", "SP", day), ("1", "q", "RJ", day)], "product string, protocol string, region string, effective date"),
+    }
+    now = F.lit("2024-01-11").cast("timestamp")
+    found = Planwatch(spark, tables).quote_details([36, 9, 38], region="sp", now=now).collect()
+    assert [(r["source"], r["total"], [tuple(p) for p in r["per_person"]]) for r in found] == [(1, 500, [(36, 4, 200), (9, 0, 100), (38, 4, 200)]), (2, 620, [(36, 4, 260), (9, 0, 100), (38, 4, 260)])]
+    assert [(r["days"], r["two_readers"], r["hospitals"], r["hospitals_in_region"], r["network_changes"], r["others"]) for r in found] == [(10, False, 8, 5, 1, 1), (10, True, 8, 5, 1, 1)]
+    assert [r["network_changes"] for r in Planwatch(spark, tables).quote_details([9], "pme", now=now).collect()] == [0]  # both lie behind
+    for ages, region in (([], ""), ([121], ""), ([30], "S1")):
+        with pytest.raises(ValueError):
+            Planwatch(spark, tables).quote_details(ages, region=region)
+
+
+def test_dashboard_of_few_and_of_no_rows(spark):
+    day = datetime.date(2024, 1, 31)
+    tables = {
+        "documents": spark.createDataFrame([("review", 10, 4, 1.5), ("review", None, None, None), ("published", 5, 0, 0.5)], "status string, with_product bigint, open_with_product bigint, cost double"),
+        "cells": spark.createDataFrame([("1", "confirmed", False, False), ("1", "confirmed", False, True), ("1", "only_a", True, False), ("", "only_b", True, False), (None, "confirmed", None, None)], "product string, status string, review boolean, corrected boolean"),
+        "versions": spark.createDataFrame([("a", day, True), ("a", datetime.date(2024, 1, 30), True), ("b", None, True), ("c", None, False)], "operator string, until date, is_current boolean"),
+        "events": spark.createDataFrame([(i, i // 2, "t", "info" if i % 3 else "alert", i > 6) for i in range(20)], "id int, at int, type string, severity string, resolved boolean"),
+    }
+    r = Planwatch(spark, tables).dashboard(F.lit(day)).collect()[0]
+    assert (r["documents"], r["by_status"], r["with_product"], r["automatic_with_product"], r["cost"]) == (3, {"published": 1, "review": 2}, 15, 11, 2.0)
+    assert (r["prices"], r["confirmed"], r["automatic"], r["to_review"], r["without_product"]) == (5, 3, 2, 1, 2)
+    assert (r["tables"], r["operators"], r["expired"], r["open_events"]) == (3, 2, 1, 3)
+    assert [e["id"] for e in r["latest"]] == list(range(19, 7, -1))
+    none = Planwatch(spark, {k: df.limit(0) for k, df in tables.items()}).dashboard(F.lit(day)).collect()[0]
+    assert none["documents"] == none["prices"] == none["tables"] == none["open_events"] == none["cost"] == 0 and none["by_status"] == {} and none["latest"] == []
+
+
+def test_stated_periods(spark):
+    said = {
+        "VÁLIDO DE 17/08/2026 A 30/09/2026": ("2026-08-17", "2026-09-30"), "VIGÊNCIA 01 DE JUNHO/26 A 31 DE DEZEMBRO/26": ("2026-06-01", "2026-12-31"), "de 1 de março/25 até 5 de abril/25 e 6 de maio/25": ("2025-03-01", "2025-04-05"),
+        "17/08/2026": (None, None), "31 de dezembro/26": (None, None), "17/08/2026 e 01 de junho/26": (None, None), "01/02/2026 a 31/02/2026": ("2026-02-01", None), "": (None, None), None: (None, None), "1 de 2 de": (None, None),
+    }
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    got = rows.select("i", text.stated_period(F.col("s")).alias("p")).orderBy("i").collect()
+    assert [tuple(d and d.isoformat() for d in r["p"]) for r in got] == list(said.values())
+
+
+def test_pieces_of_amounts_join_in_chains(spark):
+    word = lambda t, x0, x1, top=10.0: ("d", 1, t, x0, x1, top, top + 8)
+    words = [word("1.065", 10.0, 30.0), word(",", 31.0, 33.0), word("14", 34.0, 40.0), word(",9", 42.4, 50.0), word("7", 53.0, 60.0), word("R$", 70.0, 80.0), word("12", 81.0, 90.0), word(",5", 80.0, 90.0, 14.0), word(",6", 300.0, 310.0)]
+    schema = "doc string, page int, text string, x0 double, x1 double, top double, base double"
+    got = layout.whole_amounts(spark.createDataFrame(words, schema)).collect()
+    assert sorted((r["text"], r["x0"], r["x1"]) for r in got) == [(",5", 80.0, 90.0), (",6", 300.0, 310.0), ("1.065,14,9", 10.0, 50.0), ("12", 81.0, 90.0), ("7", 53.0, 60.0), ("R$", 70.0, 80.0)]
+    assert layout.whole_amounts(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_lines_of_pages_in_one_task(spark):
+    """Words between two lines go with the mean so far; pages don't touch, whatever their order, nor do null ones; a word without a height ends on the last line."""
+    words = [(d, p, t, x, x + 5, y, y) for d, p, t, x, y in (("a", 1, "m", 9.0, 10.0), ("a", 1, "n", 1.0, 12.0), ("a", 1, "o", 5.0, 13.4), ("a", 1, "p", 0.0, 14.5), ("a", 2, "q", 0.0, 14.0), (None, 1, "r", 3.0, 5.0), (None, 1, "s", 2.0, 5.5), ("a", 2, "t", 7.0, None))]
+    df = spark.createDataFrame(words, "doc string, page int, text string, x0 double, x1 double, top double, base double")
+    got = {r["text"]: (r["line"], r["place"]) for r in layout.lines(df.coalesce(1)).collect()}
+    assert got == {"n": (0, 0), "o": (0, 1), "m": (0, 2), "p": (1, 0), "q": (0, 0), "t": (0, 1), "s": (0, 0), "r": (0, 1)}
+    assert layout.lines(df.limit(0)).count() == 0
