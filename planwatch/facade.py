@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planwatch.operators import network, overview
 from planwatch.operators import quote as quotes
 from planwatch.operators.collecting import operators_by_name
+from planwatch.sources.files import export_answers
 
 
 #: How each table is listed where a caller asks for no other order.
@@ -110,3 +111,15 @@ class Planwatch:
 
     def runs(self, capture: str) -> DataFrame:
         return self.tables["runs"].where(F.col("capture") == capture).orderBy(F.desc("started"))
+
+    def export(self, path: str, today: Column | None = None, most: int = 500) -> None:
+        """All reads as JSON below ``path`` for a page without a server: lists and the start page whole; columns of each document, regions of each plan, history of each
+        product and runs of each capture in folders of their own; and ``quote_base``, from which the page makes quotes for any ages and region itself. Reads
+        ``offers`` (product, source, place, tags, prices, ...) as well."""
+        t, now = self.tables, today if today is not None else F.current_date()
+        whole = {
+            "dashboard": self.dashboard(today), "operators": t["operators"], "documents": self.documents(), "documents_in_review": self.documents("review"), "events": self.events(most=most), "sources": self.sources(),
+            "tables": t["versions"].where("is_current"), "quote_base": quotes.base(t["offers"], t["networks"].withColumnRenamed("plan", "product"), t["changes"], now),
+        }
+        each = {"document": (t["columns"], "doc"), "network": (t["networks"], "plan"), "history": (t["versions"], "product"), "runs": (t["runs"], "capture")}
+        export_answers(whole, each, path)

@@ -93,11 +93,16 @@ def without_currency(text: Column) -> Column:
     return F.when(t.startswith("R$"), F.regexp_replace(F.substr(t, F.lit(3)), r"^[^\p{L}\p{N}_]*", "")).otherwise(t)
 
 
+def written_registration(text: Column) -> Column:
+    """The nine digits of a registration that a text holds as ddd.ddd/dd-d; null without one."""
+    written = F.regexp_extract(text, r"\b(\d{3}\.?\d{3}/\d{2}-?\d)\b", 1)
+    return F.when(written != "", F.regexp_replace(written, r"\D", ""))
+
+
 def registration(text: Column) -> Column:
     """The nine digits of a product's registration, written ddd.ddd/dd-d or not; null without them."""
     digits = F.regexp_replace(text, r"\D", "")
-    written = F.regexp_extract(text, r"\b(\d{3}\.?\d{3}/\d{2}-?\d)\b", 1)
-    return F.when(written != "", F.regexp_replace(written, r"\D", "")).when(F.length(digits) == 9, digits)
+    return F.coalesce(written_registration(text), F.when(F.length(digits) == 9, digits))
 
 
 def formatted_registration(number: Column) -> Column:

@@ -91,16 +91,19 @@ def tables_of_operators(operators: DataFrame, tables: DataFrame, name: str = "na
     return pairs.join(tables.withColumn("_operator", F.col(operator)), "_operator").select(F.col("_name").alias("asked"), *tables.columns)
 
 
-def mutated(prices: DataFrame, keys: list[str], every: int = 7) -> DataFrame:
+def mutated(prices: DataFrame, keys: list[str], every: int = 7, swaps: bool = False) -> DataFrame:
     """Fault injection: about one price (keys, band, cents) in ``every`` has one digit changed, which one and to what by a hash of its key, so that any
-    engine plants the same faults. Adds true_cents and kind: large (over 1 %), small (over 0.1 %), cents; null where nothing was changed."""
+    engine plants the same faults; with ``swaps`` half of them have two neighbouring digits exchanged instead. Adds true_cents and kind: large (from 1 %),
+    small (from 0.1 %), cents; null where nothing was changed."""
     seed = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, "band"]]).cast("binary")), 1, 8), 16, 10).cast("bigint")
     digits = F.length(F.col("cents").cast("string"))
-    power = F.pow(F.lit(10.0), F.pmod(F.floor(seed / every), digits)).cast("bigint")
-    digit = F.pmod(F.floor(F.col("cents") / power), F.lit(10))
+    swap = (F.pmod(F.floor(seed / (every * 100)), F.lit(2)) == 1) & (digits > 1) if swaps else F.lit(False)
+    place = F.pmod(F.floor(seed / every), digits)
+    power = F.pow(F.lit(10.0), F.when(swap, F.least(place, digits - 2)).otherwise(place)).cast("bigint")
+    digit, left = (F.pmod(F.floor(F.col("cents") / p), F.lit(10)) for p in (power, power * 10))
     other = F.pmod(digit + 1 + F.pmod(F.floor(seed / (every * 10)), F.lit(9)), F.lit(10))
-    wrong = F.col("cents") + (other - digit) * power
+    wrong = F.col("cents") + F.when(swap, 9 * (digit - left)).otherwise(other - digit) * power
     hit = (F.pmod(seed, F.lit(every)) == 0) & (wrong > 0)
     off = F.abs(F.col("cents") - F.col("true_cents")) / F.col("true_cents")
     planted = prices.withColumn("true_cents", F.col("cents")).withColumn("cents", F.when(hit, wrong).otherwise(F.col("cents")).cast("bigint"))
-    return planted.withColumn("kind", F.when(F.col("cents") != F.col("true_cents"), F.when(off > 0.01, "large").when(off > 0.001, "small").otherwise("cents")))
+    return planted.withColumn("kind", F.when(F.col("cents") != F.col("true_cents"), F.when(off >= 0.01, "large").when(off >= 0.001, "small").otherwise("cents")))

@@ -69,3 +69,21 @@ def detailed(quotes: DataFrame, keys: list[str], versions: DataFrame, networks:
     other = divergences(made, "product", source).groupBy("request", "product", source).agg(F.count("*").alias("others"))
     made = made.join(total, "product", "left").join(coming, "product", "left").join(other, ["request", "product", source], "left")
     return made.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("network_changes", "others")})
+
+
+def base(offers: DataFrame, networks: DataFrame, changes: DataFrame, today: Column, product: str = "product", source: str = "source") -> DataFrame:
+    """All that a quote needs, made ready for a reader without the engine: ``offers`` (product, source, place, tags, ...) with peers, the offers of the same
+    condition in each other source as (source, place), network, the plan's regions as (region, hospitals, urgent), changes_ahead, the protocols still ahead of
+    ``today``, and changes_by_region, all protocols of each region. networks: (product, region, hospitals, urgent), changes: (product,
+    protocol, region, effective). What there is nothing of is an empty list. Each side is one row a key before it is joined."""
+    key = [product, source, "place"]
+    pairs = other_sources(offers.select(*key, "tags").distinct(), product, [source], "place")
+    peers = pairs.groupBy(product, F.col(f"own.{source}").alias(source), F.col("own.place").alias("place")).agg(F.array_sort(F.collect_set(F.struct(F.col(f"peer.{source}").alias("source"), F.col("peer.place").alias("place")))).alias("peers"))
+    network = networks.groupBy(product).agg(F.array_sort(F.collect_list(F.struct("region", "hospitals", "urgent"))).alias("network"))
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    ahead = changes.where(F.col("effective") >= today).groupBy(product).agg(listed("protocol").alias("changes_ahead"))
+    by_region = changes.where("region is not null").groupBy(product, "region").agg(listed("protocol").alias("protocols")).groupBy(product).agg(F.array_sort(F.collect_list(F.struct("region", "protocols"))).alias("changes_by_region"))
+    made = offers.join(peers, key, "left")
+    for side in (network, ahead, by_region):
+        made = made.join(side, product, "left")
+    return made.withColumns({c: F.coalesce(c, F.array().cast(made.schema[c].dataType)) for c in ("peers", "network", "changes_ahead", "changes_by_region")})

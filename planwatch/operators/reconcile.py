@@ -50,28 +50,33 @@ def _transitions(df: DataFrame, keys: list[str], prices: str, mark: str) -> Data
 _BANDS_OF = {0: range(10)} | {1 << i: (i - 1, i) for i in range(1, 10)} | {3 << i: (i,) for i in range(1, 9)}
 
 
-def recompute(columns: DataFrame, doc: str, column: str, prices: str = "prices") -> DataFrame:
+def recompute(columns: DataFrame, doc: str, column: str, prices: str = "prices", peers: DataFrame | None = None, trial: list[str] | None = None) -> DataFrame:
     """(doc, column, band, value, support): what each price should be by the ratios of the columns that share its pattern.
 
     A peer has at least six comparable transitions and differs from the column in none but those that touch the band. Two peers are
     needed. The medians of their ratios give an estimate from the band below and one from above, which must agree. Columns
     are compared within a document only; the comparison is one row for each pair of columns.
+
+    ``peers`` (doc, column, prices) are what columns are compared with, where these are not each other; ``trial`` names further keys of ``columns``, so
+    that several versions of one column can be tried, each by itself. The result then has these keys, too.
     """
-    named = columns.select(doc, F.col(column).alias("c"), F.transform(prices, lambda p: p.cast("double")).alias("s"))
-    x, y = _transitions(named, [doc, "c"], "s", "x"), _transitions(named, [doc, "c"], "s", "y").withColumnRenamed("c", "p")
+    trial = trial or []
+    plain = [F.col(column).alias("c"), F.transform(prices, lambda p: p.cast("double")).alias("s")]
+    named, key = columns.select(doc, *trial, *plain), [doc, *trial, "c"]
+    x, y = _transitions(named, key, "s", "x"), _transitions(named if peers is None else peers.select(doc, *plain), [doc, "c"], "s", "y").withColumnRenamed("c", "p")
     off = [F.abs(F.try_divide(F.col(f"xr{i}"), F.col(f"yr{i}")) - 1) > F.lit(SLACK) * (F.col(f"xe{i}") + F.col(f"ye{i}")) for i in range(1, 10)]
     known, differ = F.lit(0), F.lit(0)
     for i, o in enumerate(off, 1):
         known, differ = known + F.when(o.isNotNull(), 1).otherwise(0), differ + F.when(o, 1 << i).otherwise(0)
-    pairs = x.join(y, doc).where("c <> p").select(doc, "c", "yrises", "yfalls", known.alias("known"), differ.alias("differ")).where(F.col("known") >= TRANSITIONS)
+    pairs = x.join(y, doc).where("c <> p").select(*key, "yrises", "yfalls", known.alias("known"), differ.alias("differ")).where(F.col("known") >= TRANSITIONS)
     bands = F.create_map(*[c for k, v in _BANDS_OF.items() for c in (F.lit(k), F.array(*map(F.lit, v)))])
     at = pairs.where(F.col("differ").isin(*_BANDS_OF)).withColumn("band", F.explode(F.try_element_at(bands, F.col("differ"))))
-    medians = at.groupBy(doc, "c", "band").agg(F.count("*").alias("support"), F.median(F.get("yrises", F.col("band"))).alias("up"), F.median(F.get("yfalls", F.col("band"))).alias("down"))
-    estimates = medians.where(F.col("support") >= PEERS).join(named, [doc, "c"])
+    medians = at.groupBy(*key, "band").agg(F.count("*").alias("support"), F.median(F.get("yrises", F.col("band"))).alias("up"), F.median(F.get("yfalls", F.col("band"))).alias("down"))
+    estimates = medians.where(F.col("support") >= PEERS).join(named, key)
     band = F.col("band")
     below, above = F.when(band > 0, F.get("s", band - 1)) * F.col("up"), F.try_divide(F.when(band < 9, F.get("s", band + 1)), F.col("down"))
     value = F.when(below.isNull() | above.isNull(), F.coalesce(below, above)).when(F.abs(below - above) <= APART, (below + above) / 2)
-    return estimates.withColumn("value", F.round(value, 2)).where(F.col("value").isNotNull()).select(doc, F.col("c").alias(column), "band", "value", "support")
+    return estimates.withColumn("value", F.round(value, 2)).where(F.col("value").isNotNull()).select(doc, *trial, F.col("c").alias(column), "band", "value", "support")
 
 
 def apply_recompute(cells: DataFrame, values: DataFrame, column: list[str], dual: bool = True, scanned: bool = False) -> DataFrame:

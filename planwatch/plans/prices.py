@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from planwatch.functions import bands, money
-from planwatch.operators import collecting, events, extensions, lookup, matching, network, quote, reconcile, rules, versions
+from planwatch.operators import collecting, events, extensions, faults, lookup, matching, network, quote, reconcile, rules, versions
 from planwatch.plans.registry import Tables, query
 from planwatch.plans.views import PRICES, READINGS, WIDE, prices, readings, wide
 
@@ -149,19 +149,26 @@ pairs AS (SELECT x.doc, x.c, y.c AS p, list(x.i ORDER BY x.i) FILTER (abs((x.x1
 spots AS (SELECT doc, c, p, CAST(b AS INT) AS band FROM pairs, range(10) r(b) WHERE len(list_filter(coalesce(differ, []), lambda d: d <> b AND d <> b + 1)) = 0),
 est AS (SELECT spots.doc, spots.c, spots.band, count(*) AS support, median(own.p / lo.p) AS up, median(hi.p / own.p) AS down FROM spots LEFT JOIN cells own ON own.c = spots.p AND own.band = spots.band LEFT JOIN cells lo ON lo.c = spots.p AND lo.band = spots.band - 1
   LEFT JOIN cells hi ON hi.c = spots.p AND hi.band = spots.band + 1 GROUP BY ALL HAVING support >= 2),
-two AS (SELECT est.*, lo.p * up AS below, hi.p / down AS above FROM est LEFT JOIN cells lo ON lo.c = est.c AND lo.band = est.band - 1 LEFT JOIN cells hi ON hi.c = est.c AND hi.band = est.band + 1)
-SELECT doc, c, band, support, CAST(round((CASE WHEN below IS NULL OR above IS NULL THEN coalesce(below, above) ELSE (below + above) / 2 END) * 10) AS BIGINT) AS dimes FROM two
-WHERE (below IS NULL OR above IS NULL OR abs(below - above) <= 0.03) AND coalesce(below, above) IS NOT NULL"""
+two AS (SELECT est.*, lo.p * up AS below, hi.p / down AS above FROM est LEFT JOIN cells lo ON lo.c = est.c AND lo.band = est.band - 1 LEFT JOIN cells hi ON hi.c = est.c AND hi.band = est.band + 1),
+calc AS (SELECT doc, c, band, support, CASE WHEN below IS NULL OR above IS NULL THEN coalesce(below, above) ELSE (below + above) / 2 END AS value FROM two
+WHERE (below IS NULL OR above IS NULL OR abs(below - above) <= 0.03) AND coalesce(below, above) IS NOT NULL)"""
 
 
-@query(PATTERN)
+@query(f"{PATTERN} SELECT doc, c, band, support, CAST(round(value * 10) AS BIGINT) AS dimes FROM calc")
 def pattern_recompute(t: Tables) -> DataFrame:
     """Rounded to dimes: the two engines may differ in the last cent of a median."""
     money = _patterned(t).withColumn("prices", F.transform("prices", lambda p: p / F.lit(100.0)))
     return reconcile.recompute(money, "doc", "c").select("doc", "c", "band", "support", F.round(F.col("value") * 10).cast("bigint").alias("dimes"))
 
 
-@query()
+#: Each price against a second reading, and what its value says of it.
+OUTCOMES = PATTERN + """, seen AS (SELECT doc, c, band, p AS a, CASE WHEN (c + band) % 13 <> 0 THEN p END AS b FROM cells WHERE p IS NOT NULL), held AS (SELECT *, CASE WHEN b IS NULL THEN 'only_a' ELSE 'confirmed' END AS status FROM seen),
+tried AS (SELECT doc, c, band, a, b, status, round(value, 2) AS value FROM held FULL JOIN calc USING (doc, c, band)),
+told AS (SELECT *, CASE WHEN status = 'only_a' AND abs(a - value) <= 0.015 THEN a END AS chosen, CASE WHEN value IS NULL THEN NULL WHEN status IS NULL THEN 'suggestion' WHEN status = 'only_a' AND abs(a - value) <= 0.015 THEN 'confirmed_calc'
+  WHEN status = 'confirmed' AND abs(a - value) > 0.10 THEN 'info' WHEN status = 'only_a' AND abs(a - value) > 0.025 THEN 'alert' END AS outcome FROM tried)"""
+
+
+@query(f"{OUTCOMES} SELECT * FROM told")
 def pattern_outcomes(t: Tables) -> DataFrame:
     """What recomputation says of each price against a second reading that misses every 13th."""
     money = _patterned(t).withColumn("prices", F.transform("prices", lambda p: p / F.lit(100.0)))
@@ -311,12 +318,14 @@ def reorder_flag(t: Tables) -> DataFrame:
     return versions.reordered(of(1996), of(1997), ["source"], "product", "cents")
 
 
-@query(f"WITH {PRICES}, s AS (SELECT *, CAST(('0x' || substr(md5(product || '|' || source || '|' || version || '|' || band), 1, 8)) AS BIGINT) AS h FROM prices), d AS (SELECT *, h // 7 % len(CAST(cents AS VARCHAR)) AS k, cents AS true_cents FROM s), e AS (SELECT *, CAST(pow(10, k) AS BIGINT) AS p FROM d), g AS (SELECT *, cents // p % 10 AS digit FROM e), m AS (SELECT *, cents + ((digit + 1 + h // 70 % 9) % 10 - digit) * p AS wrong FROM g), w AS (SELECT product, source, version, band, true_cents, CASE WHEN h % 7 = 0 AND wrong > 0 THEN wrong ELSE cents END AS cents FROM m) SELECT *, CASE WHEN cents <> true_cents THEN CASE WHEN abs(cents - true_cents) / true_cents > 0.01 THEN 'large' WHEN abs(cents - true_cents) / true_cents > 0.001 THEN 'small' ELSE 'cents' END END AS kind FROM w")
+@query(f"WITH {PRICES}, s AS (SELECT *, CAST(('0x' || substr(md5(product || '|' || source || '|' || version || '|' || band), 1, 8)) AS BIGINT) AS h FROM prices), d AS (SELECT *, h // 7 % len(CAST(cents AS VARCHAR)) AS k, cents AS true_cents FROM s), e AS (SELECT *, CAST(pow(10, k) AS BIGINT) AS p FROM d), g AS (SELECT *, cents // p % 10 AS digit FROM e), m AS (SELECT *, cents + ((digit + 1 + h // 70 % 9) % 10 - digit) * p AS wrong FROM g), w AS (SELECT product, source, version, band, true_cents, CASE WHEN h % 7 = 0 AND wrong > 0 THEN wrong ELSE cents END AS cents FROM m) SELECT *, CASE WHEN cents <> true_cents THEN CASE WHEN abs(cents - true_cents) / true_cents >= 0.01 THEN 'large' WHEN abs(cents - true_cents) / true_cents >= 0.001 THEN 'small' ELSE 'cents' END END AS kind FROM w")
 def fault_injection(t: Tables) -> DataFrame:
     return collecting.mutated(prices(t), KEYS).select(*KEYS, "band", "true_cents", "cents", "kind")
 
 
-@query()
+@query(f"""{OUTCOMES}, firsts AS (SELECT doc, c, min(band) AS first_band, count(*) AS n FROM seen GROUP BY ALL)
+SELECT doc, c, band, CASE WHEN outcome = 'confirmed_calc' THEN 'confirmed_calc' ELSE status END AS status, outcome, status = 'only_a' AND outcome IS DISTINCT FROM 'confirmed_calc' OR outcome IS NOT DISTINCT FROM 'alert' OR n < 10 - first_band AS review
+FROM told JOIN firsts USING (doc, c) WHERE status IS NOT NULL""")
 def recompute_review(t: Tables) -> DataFrame:
     """Planted faults, what recomputation makes of them, and what is left to review."""
     money = _patterned(t).withColumn("prices", F.transform("prices", lambda p: p / F.lit(100.0)))
@@ -327,6 +336,36 @@ def recompute_review(t: Tables) -> DataFrame:
     return reconcile.reviewed_anew(applied, findings, ["doc", "c"]).select("doc", "c", "band", "status", "outcome", "review")
 
 
+#: Faults in prices that have a value, each in a version of its column of its own, against the other columns as they are.
+FAULTS = PATTERN + """, seeds AS (SELECT doc, c, band, CAST(round(p * 100) AS BIGINT) AS true_cents, CAST(('0x' || substr(md5(doc || '|' || c || '|' || band), 1, 8)) AS BIGINT) AS h, len(CAST(CAST(round(p * 100) AS BIGINT) AS VARCHAR)) AS n FROM calc JOIN cells USING (doc, c, band) WHERE p IS NOT NULL),
+hit AS (SELECT *, h // 700 % 2 = 1 AND n > 1 AS swap FROM seeds WHERE h % 7 = 0), at_ AS (SELECT *, CAST(pow(10, CASE WHEN swap THEN least(h // 7 % n, n - 2) ELSE h // 7 % n END) AS BIGINT) AS p10 FROM hit),
+wrong AS (SELECT doc, c, band, true_cents, true_cents + p10 * CASE WHEN swap THEN 9 * (true_cents // p10 % 10 - true_cents // (p10 * 10) % 10) ELSE (true_cents // p10 % 10 + 1 + h // 70 % 9) % 10 - true_cents // p10 % 10 END AS cents FROM at_),
+faults AS (SELECT *, CASE WHEN abs(cents - true_cents) / true_cents >= 0.01 THEN 'large' WHEN abs(cents - true_cents) / true_cents >= 0.001 THEN 'small' ELSE 'cents' END AS kind FROM wrong WHERE cents > 0 AND cents <> true_cents),
+tries AS (SELECT f.doc, f.c, f.band AS fault, x.band, CASE WHEN x.band = f.band THEN CAST(f.cents AS DOUBLE) / 100 ELSE x.p END AS p FROM faults f JOIN cells x ON x.c = f.c),
+moves AS (SELECT a.doc, a.c, a.fault, a.band AS i, z.p AS x0, a.p AS x1 FROM tries a JOIN tries z ON a.c = z.c AND a.fault = z.fault AND z.band = a.band - 1 WHERE a.p IS NOT NULL AND z.p IS NOT NULL),
+matched AS (SELECT x.doc, x.c, x.fault, y.c AS p, count(*) FILTER (x.i NOT IN (x.fault, x.fault + 1) AND abs((x.x1 / x.x0) / (y.x1 / y.x0) - 1) > 1.2 * (0.005 / x.x0 + 0.005 / x.x1 + 0.005 / y.x0 + 0.005 / y.x1)) AS elsewhere, count(*) AS known
+  FROM moves x JOIN steps y ON x.doc = y.doc AND x.i = y.i AND x.c <> y.c GROUP BY ALL HAVING known >= 6 AND elsewhere = 0),
+ests AS (SELECT m.doc, m.c, m.fault, median(own.p / lo.p) AS up, median(hi.p / own.p) AS down FROM matched m LEFT JOIN cells own ON own.c = m.p AND own.band = m.fault LEFT JOIN cells lo ON lo.c = m.p AND lo.band = m.fault - 1 LEFT JOIN cells hi ON hi.c = m.p AND hi.band = m.fault + 1 GROUP BY ALL HAVING count(*) >= 2),
+ends AS (SELECT ests.*, lo.p * up AS below, hi.p / down AS above FROM ests LEFT JOIN cells lo ON lo.c = ests.c AND lo.band = fault - 1 LEFT JOIN cells hi ON hi.c = ests.c AND hi.band = fault + 1),
+anew AS (SELECT doc, c, fault AS band, round(CASE WHEN below IS NULL OR above IS NULL THEN coalesce(below, above) ELSE (below + above) / 2 END, 2) AS value FROM ends WHERE below IS NULL OR above IS NULL OR abs(below - above) <= 0.03),
+scored AS (SELECT doc, c, band, true_cents, cents, kind, coalesce(abs(CAST(cents AS DOUBLE) / 100 - value) >= 0.015, false) AS detected, coalesce(abs(value - CAST(true_cents AS DOUBLE) / 100) < 0.005, false) AS exact FROM faults LEFT JOIN anew USING (doc, c, band))"""
+
+
+def _money(t: Tables) -> DataFrame:
+    return _patterned(t).withColumn("prices", F.transform("prices", lambda p: p / F.lit(100.0)))
+
+
+@query(f"{FAULTS} SELECT doc, c, band, true_cents, cents, kind, detected, detected AND exact AS repaired FROM scored")
+def planted_faults(t: Tables) -> DataFrame:
+    """Typing faults in prices that recomputation has a value for, and whether it finds and repairs each."""
+    return faults.planted(_money(t), "doc", "c").select("doc", "c", "band", "true_cents", "cents", "kind", "detected", "repaired")
+
+
+@query(f"{FAULTS} SELECT kind, count(*) AS faults, count(*) FILTER (detected) AS detected, count(*) FILTER (detected AND exact) AS repaired, count(*) FILTER (detected) / count(*) AS share_detected, count(*) FILTER (detected AND exact) / count(*) AS share_repaired FROM scored GROUP BY kind")
+def fault_scores(t: Tables) -> DataFrame:
+    return faults.scores(faults.planted(_money(t), "doc", "c"))
+
+
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     name = F.split(F.col("p_name"), " ")
     kinds = F.array(F.lit("região: capital"), F.lit("região: interior 1"), F.lit("vidas: 1"), F.lit("vidas: 2 a 29"), F.lit("coparticipação: com"), F.lit("coparticipação: parcial"), F.lit("adesão: livre"))
@@ -335,7 +374,20 @@ def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     return rows.where("size % 2 = 0"), rows.where("size % 2 = 1")
 
 
-@query()
+#: One pair after the other, best first, with what each product has taken so far.
+GREEDY = """WITH RECURSIVE kinds AS (SELECT ['região: capital', 'região: interior 1', 'vidas: 1', 'vidas: 2 a 29', 'coparticipação: com', 'coparticipação: parcial', 'adesão: livre'] AS k),
+rows_ AS (SELECT p_partkey % 97 AS product, p_partkey AS c, p_size % 2 AS side, len(string_split(p_name, ' ')) AS w, k FROM part, kinds),
+sides AS (SELECT product, c, side, list_distinct([k[1 + (c * 3 + w) % 7], k[1 + (c * 4 + w + 1) % 7]]) AS tags, row_number() OVER (PARTITION BY product, side ORDER BY c) - 1 AS place FROM rows_),
+spelt AS (SELECT *, list_transform(tags, lambda x: split_part(x, ': ', 1)) AS dims, CASE WHEN list_contains(tags, 'coparticipação: com') THEN list_concat(tags, ['coparticipação: parcial', 'coparticipação: total']) ELSE tags END AS wide FROM sides),
+edges AS (SELECT a.product, a.c AS old, b.c AS new_, row_number() OVER (PARTITION BY a.product ORDER BY len(list_intersect(a.tags, b.tags)) DESC, abs(a.place - b.place), a.place, b.place) AS n FROM spelt a JOIN spelt b ON a.product = b.product AND a.side = 0 AND b.side = 1
+  WHERE len(list_filter(list_intersect(a.dims, b.dims), lambda d: NOT list_contains(list_transform(list_intersect(a.wide, b.wide), lambda x: split_part(x, ': ', 1)), d))) = 0),
+walk AS (SELECT product, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS olds, CAST([] AS BIGINT[]) AS news FROM (SELECT DISTINCT product FROM edges) UNION ALL
+  SELECT w.product, e.n, CASE WHEN list_contains(olds, e.old) OR list_contains(news, e.new_) THEN olds ELSE list_append(olds, e.old) END, CASE WHEN list_contains(olds, e.old) OR list_contains(news, e.new_) THEN news ELSE list_append(news, e.new_) END FROM walk w JOIN edges e ON e.product = w.product AND e.n = w.n + 1),
+ends AS (SELECT product, olds, news FROM walk QUALIFY row_number() OVER (PARTITION BY product ORDER BY n DESC) = 1), pairs AS (SELECT product, unnest(olds) AS old, unnest(news) AS new_ FROM ends)
+SELECT product, old, new_ AS "new" FROM pairs UNION ALL SELECT product, c, NULL FROM sides WHERE side = 0 AND c NOT IN (SELECT old FROM pairs) UNION ALL SELECT product, NULL, c FROM sides WHERE side = 1 AND c NOT IN (SELECT new_ FROM pairs)"""
+
+
+@query(GREEDY)
 def greedy_match(t: Tables) -> DataFrame:
     return matching.match_conditions(*_sides(t), ["product"], ["c"]).select("product", F.col("old.c").alias("old"), F.col("new.c").alias("new"))
 

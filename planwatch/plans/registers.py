@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from planwatch.operators import collecting, lookup, network, overview, rules
+from planwatch.functions.text import formatted_registration
+from planwatch.operators import collecting, headers, lookup, network, overview, quote, rules
 from planwatch.plans.registry import Tables, query
 
 TODAY = "2024-01-31"
@@ -77,6 +78,22 @@ def nearest_header(t: Tables) -> DataFrame:
     return lookup.nearest(points, anchors, ["page"], "x", "at", 124.6, [F.col("n_nationkey")]).select("event_id", "page", "x", "n_nationkey", "distance")
 
 
+@query("""WITH cols AS (SELECT l_orderkey AS tab, l_linenumber AS col, CAST(60 * l_linenumber + min(l_suppkey % 7) AS DOUBLE) AS x FROM lineitem GROUP BY l_orderkey, l_linenumber), digits AS (SELECT *, lpad(CAST(l_partkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS d FROM lineitem),
+words AS (SELECT row_number() OVER () AS id, l_orderkey AS tab, CAST(40 + l_partkey % 400 AS DOUBLE) AS xc, CAST(l_quantity * 2 AS DOUBLE) AS yc, CASE WHEN l_linenumber % 3 = 0 THEN 'Plano' || l_suppkey ELSE d[1:3] || '.' || d[4:6] || '/' || d[7:8] || '-' || d[9:9] END AS text, CASE WHEN l_linenumber % 3 <> 0 THEN d END AS registration FROM digits),
+steps AS (SELECT tab, coalesce(min(gap), 200) AS step FROM (SELECT tab, x - lag(x) OVER (PARTITION BY tab ORDER BY x) AS gap FROM cols) GROUP BY tab), pairs AS (SELECT w.*, col, abs(x - xc) AS away, step FROM words w JOIN cols USING (tab) JOIN steps USING (tab)),
+near AS (SELECT * FROM pairs WHERE registration IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY away, col) = 1), held AS (SELECT tab, col, registration FROM near WHERE away <= 0.6 * step QUALIFY row_number() OVER (PARTITION BY tab, col ORDER BY yc DESC, xc, text) = 1),
+said AS (SELECT tab, col, right(string_agg(text, ' ' ORDER BY yc, xc, text), 80) AS header FROM pairs WHERE registration IS NULL AND away <= 0.5 * step GROUP BY tab, col)
+SELECT tab, col, held.registration, coalesce(header, '') AS header FROM cols LEFT JOIN held USING (tab, col) LEFT JOIN said USING (tab, col)""")
+def header_registrations(t: Tables) -> DataFrame:
+    """A table an order, a column a line number; each line is a word of the header, so registrations compete for columns."""
+    digits = F.lpad((F.col("l_partkey") * 7919 % 1000000000).cast("string"), 9, "0")
+    columns = t.lineitem.groupBy(F.col("l_orderkey").alias("tab"), F.col("l_linenumber").alias("column")).agg(F.min(F.col("l_suppkey") % 7).alias("x")).withColumn("x", (60 * F.col("column") + F.col("x")).cast("double"))
+    text = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("Plano"), F.col("l_suppkey").cast("string"))).otherwise(formatted_registration(digits))
+    at = (40 + F.col("l_partkey") % 400).cast("double")
+    words = t.lineitem.select(F.col("l_orderkey").alias("tab"), text.alias("text"), at.alias("x0"), at.alias("xc"), (F.col("l_quantity") * 2).cast("double").alias("yc")).withColumn("below", 120 - F.col("yc"))
+    return headers.assigned(columns, words, ["tab"]).select("tab", F.col("column").alias("col"), "registration", "header")
+
+
 LINKS = "links AS (SELECT l_partkey // 10 AS plan, s_nationkey AS region, l_suppkey AS hospital, l_linestatus = 'O' AS urgent, l_orderkey, l_linenumber, l_shipdate FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'R')"
 
 
@@ -240,3 +257,20 @@ def source_broke(t: Tables) -> DataFrame:
     runs = t.events.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("found"))
     before = F.lag("found").over(W.partitionBy("user_id").orderBy("day"))
     return runs.withColumn("broke", (F.col("found") < 2) & (before >= 2))
+
+
+@query(f"""WITH {LINKS}, offers AS (SELECT DISTINCT l_partkey // 10 AS product, l_suppkey % 3 AS source, l_suppkey // 3 % 2 AS place FROM lineitem), peers AS (SELECT a.product, a.source, a.place, string_agg(b.source || ':' || b.place, ',' ORDER BY b.source) AS peers FROM offers a JOIN offers b ON a.product = b.product AND a.source <> b.source AND a.place = b.place GROUP BY ALL),
+net AS (SELECT plan AS product, string_agg(region || ':' || hospitals, ',' ORDER BY region) AS network FROM (SELECT plan, region, count(DISTINCT hospital) AS hospitals FROM links GROUP BY ALL) GROUP BY ALL),
+asked AS (SELECT DISTINCT l_partkey // 10 AS product, l_orderkey AS protocol, s_nationkey AS region, CAST(l_shipdate AS DATE) AS effective FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R'),
+ahead AS (SELECT product, string_agg(DISTINCT protocol, ',' ORDER BY protocol) AS changes_ahead FROM asked WHERE effective >= DATE '1999-01-01' GROUP BY ALL), regions AS (SELECT product, string_agg(region || ':' || n, ',' ORDER BY region) AS changes_by_region FROM (SELECT product, region, count(DISTINCT protocol) AS n FROM asked GROUP BY ALL) GROUP BY ALL)
+SELECT product, source, place, coalesce(peers, '') AS peers, coalesce(network, '') AS network, coalesce(changes_ahead, '') AS changes_ahead, coalesce(changes_by_region, '') AS changes_by_region FROM offers LEFT JOIN peers USING (product, source, place) LEFT JOIN net USING (product) LEFT JOIN ahead USING (product) LEFT JOIN regions USING (product)""")
+def quote_base(t: Tables) -> DataFrame:
+    """What a page without the engine makes quotes from; lists as texts."""
+    plan = F.expr("l_partkey div 10").alias("product")
+    place = F.expr("l_suppkey div 3") % 2
+    offers = t.lineitem.select(plan, (F.col("l_suppkey") % 3).alias("source"), place.alias("place")).distinct().withColumn("tags", F.array(F.concat(F.lit("grupo: "), F.col("place").cast("string"))))
+    asked = t.lineitem.where("l_returnflag = 'R'").join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(plan, F.col("l_orderkey").alias("protocol"), F.col("s_nationkey").alias("region"), F.col("l_shipdate").cast("date").alias("effective"))
+    found = quote.base(offers, network_summary(t).withColumnRenamed("plan", "product"), asked, F.lit("1999-01-01").cast("date"))
+    pairs = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    joined = lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string"))
+    return found.select("product", "source", "place", pairs("peers", lambda p: joined(p["source"], p["place"])), pairs("network", lambda n: joined(n["region"], n["hospitals"])), pairs("changes_ahead", lambda p: p.cast("string")), pairs("changes_by_region", lambda r: joined(r["region"], F.size(r["protocols"]))))

@@ -213,6 +213,15 @@ def export_snapshot(offers: DataFrame, peers: DataFrame, key: str, path: str) ->
     offers.join(listed, key, "left").write.mode("overwrite").json(path)
 
 
+def export_answers(whole: dict[str, DataFrame], each: dict[str, tuple[DataFrame, str]], path: str) -> None:
+    """Answers as JSON lines for a page without a server: ``whole`` ones in a folder each, those in ``each`` in a folder for each value of a column, which the
+    folder's name tells. An answer without rows is an empty folder. What is there from before is replaced."""
+    for name, df in whole.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+    for name, (df, key) in each.items():
+        df.withColumn("_key", F.col(key)).repartition("_key").write.mode("overwrite").partitionBy("_key").json(f"{path}/{name}")
+
+
 def mail_authenticated(headers: Column, domain: Column, server: str = "") -> Column:
     """Whether a mailbox's server confirmed that a message is its sender's domain's: DMARC passed for it, or a DKIM signature of it did. A header
     that another server than ``server`` wrote proves nothing; what a sender puts into the message is such a header.
