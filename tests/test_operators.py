@@ -3,6 +3,7 @@
 import datetime
 import itertools
 import random
+import time
 import zipfile
 from datetime import date
 
@@ -107,6 +108,20 @@ def test_reference_note(spark):
     assert sorted((r["plan"], r["rule"], r["note_date"]) for r in got) == [("q", "no_note", None)]  # the later note explains the prices
 
 
+def test_fold_looks_up_different_characters_only(spark):
+    """Long texts cost what reading them does, and every character folds as Unicode's decomposition says."""
+    odd = [*text._FROM, *text._SEVERAL]
+    rows = spark.createDataFrame([(c, "x" + c + "Y" + c) for c in odd] + [("", "PLAIN, text"), ("", "\u6f22 \U0001f600")], "c string, t string")
+    to = dict.fromkeys(text._FROM, "") | dict(zip(text._FROM, text._TO)) | text._SEVERAL
+    for c, t, folded in rows.select("c", "t", text.fold(F.col("t"))).collect():
+        assert folded == "".join(to.get(x, x) for x in t.lower())
+    long = spark.range(40).select(F.repeat(F.concat(F.lit("Preço da opção "), "id"), 20_000).alias("t")).cache()
+    long.count()
+    began = time.perf_counter()
+    assert long.agg(F.sum(F.length(text.fold(F.col("t"))))).first()[0] > 12_000_000
+    assert time.perf_counter() - began < 6
+
+
 @pytest.mark.parametrize("cover,limit", [("Doença preexistente", 730), ("Parto", 300), ("Cirurgia", 180), ("Urgência e parto", 300), ("emergencia", 1), ("CPT", 730), ("Consultas", 180)])
 def test_waiting_limit(spark, cover, limit):
     assert one(spark, rules.waiting_limit(F.lit(cover))) == limit
@@ -133,6 +148,27 @@ def test_greedy_matches_the_sorted_scan(spark):
         assert have == sorted((g, *e) for g in range(12) for e in brute_greedy([r[1:] for r in rows if r[0] == g], key))
 
 
+def test_conditions_match_as_the_sorted_scan_does_without_listing_pairs(spark, monkeypatch):
+    """Rows of few conditions, with long chains of equal distances; what is written grows with the rows, not with their pairs."""
+    rng = random.Random(11)
+    kinds = [["vidas: 1"], ["vidas: 1", "adesão: livre"], ["coparticipação: com"], ["coparticipação: parcial", "vidas: 2 a 29"], [], ["região: capital"]]
+    rows = [(g, side, n, kinds[n % 5 if g == 0 else rng.randrange(6)]) for g in range(4) for side in (0, 1) for n in range(rng.randrange(20, 45))]
+    rows += [(9, side, n, ["grupo: 1" if n % 2 == side else f"grupo: {2 + side}"]) for side in (0, 1) for n in range(70)]
+    df = spark.createDataFrame(rows, "g int, side int, n int, tags array<string>")
+    seen, write = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda rows_, name: seen.append(write(rows_, name)) or seen[-1])
+    got = matching.match_conditions(df.where("side = 0"), df.where("side = 1"), ["g"], ["n"]).collect()
+    assert sum(x.count() for x in seen) < 20 * len(rows) and len(seen) < 40
+    values = lambda t: {d: {x for x in t if x.startswith(d)} | ({"coparticipação: parcial", "coparticipação: total"} if d == "coparticipação" and "coparticipação: com" in t else set()) for d in {x.split(": ")[0] for x in t}}
+    fits = lambda a, b: all(values(a)[d] & values(b)[d] for d in values(a).keys() & values(b).keys())
+    for g in {r[0] for r in rows}:
+        old, new = ([(n, t) for g_, s, n, t in rows if (g_, s) == (g, side)] for side in (0, 1))
+        edges = [(i, j, len(set(a[1]) & set(b[1]))) for i, a in enumerate(old) for j, b in enumerate(new) if fits(a[1], b[1])]
+        want = [(old[i][0], new[j][0]) for i, j, _ in brute_greedy(edges, lambda e: (-e[2], abs(e[0] - e[1]), e[0], e[1]))]
+        assert sorted((r["old"]["n"], r["new"]["n"]) for r in got if r["g"] == g and r["old"] and r["new"]) == sorted(want)
+        assert sum(r["g"] == g for r in got) == len(old) + len(new) - len(want)
+
+
 def test_permuted_conditions_pair_with_themselves(spark):
     kinds = [["vidas: 1"], ["vidas: 2 a 29"], ["vidas: 30 ou mais", "adesão: livre"], ["coparticipação: com"]]
     old = spark.createDataFrame([("p", i, k) for i, k in enumerate(kinds[:3])], "product string, n int, tags array<string>")
