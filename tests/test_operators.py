@@ -108,6 +108,22 @@ def test_reference_note(spark):
     assert sorted((r["plan"], r["rule"], r["note_date"]) for r in got) == [("q", "no_note", None)]  # the later note explains the prices
 
 
+def test_columns_stay_where_they_meet_their_notes(spark):
+    """Columns and notes are shuffled once each, and what they give together is not."""
+    notes = spark.createDataFrame([], "plan string, note int, note_date date, band int, vcm double, low double, high double")
+    cols = spark.createDataFrame([], "plan string, material_date date, band int, price double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation,org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation")
+        plan = rules.reference_note(cols, notes, ["plan", "material_date"], "plan").where("rule <> 'no_note'")._jdf.queryExecution().sparkPlan().toString()
+        made = rules.reference_note(cols, notes, ["plan", "material_date"], "plan")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+    assert "Window" not in plan and made.count("Exchange hashpartitioning") <= 6, made.count("Exchange hashpartitioning")
+
+
 def test_fold_looks_up_different_characters_only(spark):
     """Long texts cost what reading them does, and every character folds as Unicode's decomposition says."""
     odd = [*text._FROM, *text._SEVERAL]
