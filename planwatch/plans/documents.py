@@ -205,7 +205,7 @@ def newer_note_events(t: Tables) -> DataFrame:
 
 @query("WITH c AS (SELECT l_orderkey AS protocol, l_partkey // 10 AS plan, count(*) FILTER (l_returnflag <> 'R') AS included FROM lineitem GROUP BY ALL) SELECT protocol, count(DISTINCT plan) AS plans, CASE WHEN max(included) > 0 THEN 'info' ELSE 'alert' END AS severity FROM c WHERE plan IN (SELECT p_partkey // 10 FROM part) AND protocol % 5 <> 0 GROUP BY protocol")
 def network_events(t: Tables) -> DataFrame:
-    kept = F.filter(F.collect_list(F.when(F.col("l_returnflag") != "R", F.col("l_suppkey"))), lambda x: x.isNotNull())
+    kept = F.array_compact(F.array(F.min(F.when(F.col("l_returnflag") != "R", F.col("l_suppkey")))))  # one hospital that takes a place tells as much as all
     changes = t.lineitem.groupBy(F.col("l_orderkey").alias("protocol"), F.expr("l_partkey div 10").alias("plan")).agg(kept.alias("included"))
     raised = t.orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("protocol"))
     return events.of_network_changes(changes, t.part.select(F.expr("p_partkey div 10").alias("plan")).distinct(), raised)
