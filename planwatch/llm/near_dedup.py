@@ -210,12 +210,24 @@ def prefixes(texts: DataFrame, width: int, similarity: float, chunk: int, bucket
     return each.cogroup(rarities.groupBy("chunk")).applyInArrow(first, "key bigint, node bigint, size bigint, pos bigint")
 
 
+def _fingerprint_pairs(texts: DataFrame, width: int, radius: int = 4) -> DataFrame:
+    """(a, b) of texts (node, text) that operator 1 links: each with the first of its fingerprint, and the firsts of fingerprints within ``radius``, found by blocks and told
+    apart by their distances to the pivots."""
+    fps = written(fingerprints(texts, "node", "text", width).withColumnRenamed("doc_id", "node"), "fingerprints")
+    firsts = written(fps.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints")
+    same = fps.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}"))
+    near = links(firsts.select("fp"), radius).join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(near.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")))
+
+
 def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row", width: int = 5, similarity: float = 0.8, chunk: int = CHUNK_BYTES, bucket: int = BUCKET) -> DataFrame:
     """(node, least) for each different set of word shingles: node is the row number of the first row with that set, least the first row of
     the component, as a struct whose ``row`` is its number. Rows come first by doc_id, those without one last, then by number.
 
     Sets with at least that Jaccard similarity are linked, without loss. Texts without words share the empty set, which links to none.
-    Candidates share a shingle of their ``prefixes``, are of like size, and have enough shingles left behind it: for the first shingle that two
+    The first candidates are those that operator 1 links, by SimHash fingerprints and pivots. Similar sets may differ in more bits than it reaches; for these
+    candidates share a shingle of their ``prefixes``, are of like size, and have enough shingles left behind it: for the first shingle that two
     sets share this bounds what they share, so texts that only share frequent shingles are no pair. They are verified by their exact similarity. Members of
     a shingle's bucket are verified against three of them first (the one that has it earliest, and two by hash), which is linear and joins a large group of near
     copies; then only pairs whose groups are still apart are, and whose distances to these three allow it.
@@ -252,7 +264,7 @@ def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row
     of = lambda side: lambda c: F.col(f"{side}{c}")
     to_pivots = members.select("node", "size", "pos", F.explode("pivots").alias("p")).where((F.col("p.node") != F.col("node")) & may(of(""), of("p.")))
     to_pivots = to_pivots.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-    to_pivots = written(to_pivots, "pairs-with-pivots")
+    to_pivots = written(to_pivots.unionByName(_fingerprint_pairs(once(nodes.select("node")), width)).distinct(), "pairs-with-pivots")
 
     def arrays(*pairs: DataFrame) -> DataFrame:
         wanted = [p.select(F.col(c).alias("node")) for p in pairs for c in "ab"]
@@ -260,8 +272,8 @@ def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row
 
     alike = lambda measured: measured.where(F.col("common") >= similarity * F.col("all")).select("a", "b")
     measured = written(_measured(to_pivots, arrays(to_pivots)), "pivot-similarities")
-    links = written(alike(measured), "links-to-pivots")
-    grouped = members.join(components(links), "node", "left").select("key", "node", "size", "pos", "pivots", F.coalesce("root", "node").alias("root"))
+    linked = written(alike(measured), "links-to-pivots")
+    grouped = members.join(components(linked), "node", "left").select("key", "node", "size", "pos", "pivots", F.coalesce("root", "node").alias("root"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     grouped = written(grouped.join(mixed, "key", "left_semi"), "mixed-buckets")
     # Jaccard distance is a metric: a pair whose distances to a pivot differ by more than a link may be long is none.
@@ -273,7 +285,7 @@ def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row
     for i in range(3):
         apart = apart & F.coalesce(F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) <= 1 - similarity + 1e-9, F.lit(True))
     rest = written(placed.alias("x").join(placed.alias("y"), apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs-apart")
-    roots = written(components(links.unionByName(alike(_measured(rest, arrays(rest))))), "roots")
+    roots = written(components(linked.unionByName(alike(_measured(rest, arrays(rest))))), "roots")
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return named.join(named.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
 

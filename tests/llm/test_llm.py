@@ -732,3 +732,15 @@ def test_near_copies_lose_no_link(spark, chunk, bucket):
     got = near_dedup.near_copies(df, "doc_id", "text", chunk=chunk, bucket=bucket).collect()
     named = {next(i for i, s in enumerate(sets) if s == sets[r["node"]]): r["least"]["row"] for r in got}
     assert named == {i: find(i) for i, s in enumerate(sets) if s not in sets[:i]} and len(set(named.values())) > 70
+
+
+def test_stage_takes_what_fingerprints_link(spark, monkeypatch):
+    """The near_dedup stage looks at operator 1's pairs: texts of one fingerprint, and of fingerprints within its radius by blocks and pivots."""
+    rng = np.random.default_rng(8)
+    w = [f"w{x}" for x in rng.integers(0, 5000, 2000)]
+    texts = [" ".join(w), " ".join([*w[:-1], "end"]), "other words here altogether, which are few"]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    pairs, own = [], near_dedup._fingerprint_pairs
+    monkeypatch.setattr(near_dedup, "_fingerprint_pairs", lambda *args: pairs.append(own(*args)) or pairs[-1])
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one_of_each_group(df).collect()) == [0, 2]
+    assert len(pairs) == 1 and pairs[0].count() == 1
