@@ -68,6 +68,17 @@ def test_vectors(spark):
     assert one(spark, bands.changed(a(1, 2, 3, None, 5), a(1, 2.004, 4, 7, None))) == [2] and one(spark, bands.middle(bands.variation(a(1, 2, 4), a(2, 3, 5)))) == 0.5 and one(spark, bands.middle(a())) is None and one(spark, bands.agreement(full, full)) == 10
 
 
+def test_recompute_makes_no_row_of_a_pair(spark):
+    scaled = lambda base: [round(base * f, 2) for f in FACTORS]
+    rows = [(d, c, scaled(100 + 10 * d + c)) for d in range(40) for c in range(5)] + [(None, 1, scaled(90)), (7, None, scaled(80)), (50, 1, None), (50, 2, [])]
+    rows += [(60, 1, scaled(100)), (60, 1, scaled(200)), (60, 2, scaled(300))]  # the two of one key count together
+    made = reconcile.recompute(spark.createDataFrame(rows, "doc int, c int, prices array<double>"), "doc", "c")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    got = {(r["doc"], r["c"], r["band"]): r["support"] for r in made.collect()}
+    assert got == {(d, c, b): 4 for d in range(40) for c in range(5) for b in range(10)} | {(60, c, b): 2 for c in (1, 2) for b in range(10)}
+
+
 def test_recompute_repairs_a_planted_error(spark):
     rows = [(1, c, [round(base * f, 2) for f in FACTORS]) for c, base in enumerate([210.0, 333.33, 150.1, 421.7])] + [(1, 9, [100.0 + 13 * i * i for i in range(10)]), (1, 10, [0.0] * 10), (1, 11, [None] * 10)]
     truth, rows[0][2][4] = rows[0][2][4], rows[0][2][4] + 30
