@@ -91,11 +91,16 @@ def tables_of_operators(operators: DataFrame, tables: DataFrame, name: str = "na
     return pairs.join(tables.withColumn("_operator", F.col(operator)), "_operator").select(F.col("_name").alias("asked"), *tables.columns)
 
 
+def fault_seed(keys: list[str]) -> Column:
+    """A number from the hash of a price's keys and band, by which ``mutated`` plants faults: only where ``every`` divides it."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, "band"]]).cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def mutated(prices: DataFrame, keys: list[str], every: int = 7, swaps: bool = False) -> DataFrame:
     """Fault injection: about one price (keys, band, cents) in ``every`` has one digit changed, which one and to what by a hash of its key, so that any
     engine plants the same faults; with ``swaps`` half of them have two neighbouring digits exchanged instead. Adds true_cents and kind: large (from 1 %),
     small (from 0.1 %), cents; null where nothing was changed."""
-    seed = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, "band"]]).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    seed = fault_seed(keys)
     digits = F.length(F.col("cents").cast("string"))
     swap = (F.pmod(F.floor(seed / (every * 100)), F.lit(2)) == 1) & (digits > 1) if swaps else F.lit(False)
     place = F.pmod(F.floor(seed / every), digits)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planwatch.functions.bands import to_long
-from planwatch.operators.collecting import mutated
+from planwatch.operators.collecting import fault_seed, mutated
 from planwatch.operators.reconcile import recompute
+from planwatch.session import written
 
 #: A price agrees with its recomputed value within this.
 AGREES = 0.015
@@ -21,9 +22,10 @@ def planted(columns: DataFrame, doc: str, column: str, prices: str = "prices", e
     value contradicts the fault; repaired: and it is the true price to the cent. Null and empty columns have no such prices.
     """
     named = columns.select(doc, column, prices)
-    read = to_long(named, [doc, column], prices).withColumn("cents", F.round(F.col("price") * 100).cast("bigint")).drop("price")
+    some = to_long(named, [doc, column], prices).where(F.pmod(fault_seed([doc, column]), F.lit(every)) == 0)  # no others get a fault
+    read = some.withColumn("cents", F.round(F.col("price") * 100).cast("bigint")).drop("price")
     known = recompute(named, doc, column, prices).select(doc, column, "band")
-    faults = mutated(read.join(known, [doc, column, "band"]), [doc, column], every, swaps=True).where("kind is not null")
+    faults = written(mutated(read.join(known, [doc, column, "band"]), [doc, column], every, swaps=True), "faults").where("kind is not null")
     at, wrong = F.col("band"), F.col("cents") / F.lit(100.0)
     trials = faults.join(named, [doc, column]).select(doc, column, at.alias("fault"), F.transform(prices, lambda p, i: F.when(i == at, wrong).otherwise(p.cast("double"))).alias(prices))
     made = recompute(trials, doc, column, prices, peers=named, trial=["fault"]).where("band = fault").select(doc, column, "band", "value")
