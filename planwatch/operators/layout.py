@@ -24,6 +24,12 @@ HEAD = 8  # bands that the head of a transposed table names at least
 HEADING_WORDS = ("tabela", "vidas", "copartic", "adesao", "pme", "mei", "empresarial", "vigencia", "regiao", "capital", "interior", "porte", "grupo", "compuls", "familiar", "titular", "dependente")
 
 
+def dealt(table: DataFrame, rows: int = 250_000) -> DataFrame:
+    """A written table by pages, so many rows a task or fewer: words shrink so much in a shuffle that tasks by its size would hold too many of them."""
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // rows))
+    return table.repartition(tasks, *PAGE)
+
+
 def lines(words: DataFrame) -> DataFrame:
     """``words`` with line (from 0, downwards) and place (from 0, rightwards). A word joins the last line if it is close to the mean of
     that line's words so far; one without a height joins the last line.
@@ -96,6 +102,7 @@ def labels(lined: DataFrame, longest: int = 4) -> DataFrame:
     own = [*PAGE, "line", "place", "x0", "y", "height"]
     spread = rows.select(*own, F.inline(options)).where("end is not null").where(F.col("label").rlike("[0-9]"))
     known = spread.select("label").distinct().withColumn("band", band_of_label(F.col("label"))).where("band is not null")  # each different text is read once
+    known = written(known, "known-labels")  # few, whatever many texts were read for them
     best = spread.join(known, "label").groupBy(*own).agg(F.min(F.struct("size", "band", "end")).alias("b"))
     found = best.withColumn("before", F.max(F.col("place") + F.col("b.size")).over(w.rowsBetween(W.unboundedPreceding, -1))).where("before is null or place >= before")
     priced = lined.groupBy(*PAGE, "line").agg(F.bool_or(money(without_currency(F.col("text"))).isNotNull()).alias("priced"))
@@ -137,7 +144,7 @@ def stacked(found: DataFrame) -> DataFrame:
 def grids(words: DataFrame) -> DataFrame:
     """(doc, page, table, column, band, price). A table's columns are those of its most common number of prices, of equally common ones the
     topmost, at the median of their places; each price goes to the nearest column, the leftmost of several."""
-    tables = stacked(segments(written(lines(words), "lines")))
+    tables = stacked(segments(dealt(written(lines(words), "lines"))))
     key = [*PAGE, "table"]
     width = tables.groupBy(*key, F.size("xs").alias("width")).agg(F.count("*").alias("n"), F.min("y").alias("top")).groupBy(*key).agg(F.min_by("width", F.struct(-F.col("n"), F.col("top"))).alias("width"))
     spread = tables.join(width, key)
@@ -153,7 +160,7 @@ def transposed_grids(words: DataFrame, far: int = 80) -> DataFrame:
     Rows are the lines below a head, up to the next one, with five prices or more; a line with fewer over ``far`` points below the last row ends
     the table. A price belongs to the band whose centre is nearest, within 0.6 of the least step between centres, the leftmost of several.
     product is the last registration in the row, heading what stands before its first price."""
-    lined = written(lines(words), "lines")
+    lined = dealt(written(lines(words), "lines"))
     heads = written(labels(lined).where("head"), "heads")
     centre = heads.withColumn("centre", (F.col("x0") + F.col("x1")) / 2)
     gaps = centre.withColumn("gap", F.col("centre") - F.lag("centre").over(W.partitionBy(*PAGE, "line").orderBy("centre")))
@@ -170,9 +177,10 @@ def transposed_grids(words: DataFrame, far: int = 80) -> DataFrame:
     broken = marked.withColumn("_over", (~row & F.col("is_head").isNull() & (F.col("y") - last > far)).cast("int"))
     broken = broken.withColumn("_over", F.max("_over").over(below.rowsBetween(W.unboundedPreceding, 0)))
     rows = broken.where(row & (F.coalesce("_over", F.lit(0)) == 0)).select(*PAGE, "line", "head", "first")
-    bands = centre.select(*PAGE, F.col("line").alias("head"), "band", "centre")
-    near = rows.join(m.select(*PAGE, "line", "x0", "xc", "price"), [*PAGE, "line"]).join(bands, [*PAGE, "head"]).join(steps, [*PAGE, "head"])
-    best = near.groupBy(*PAGE, "line", "head", "first", "x0", "xc", "price", "step").agg(F.min(F.struct(F.abs(F.col("xc") - F.col("centre")).alias("d"), "band")).alias("b")).where(F.col("b.d") <= 0.6 * F.col("step"))
+    bands = centre.groupBy(*PAGE, F.col("line").alias("head")).agg(F.collect_list(F.struct("centre", "band")).alias("bands"))  # a line's labels
+    near = rows.join(m.select(*PAGE, "line", "x0", "xc", "price"), [*PAGE, "line"]).join(bands.join(steps, [*PAGE, "head"]), [*PAGE, "head"])
+    nearest = F.array_min(F.transform("bands", lambda b: F.struct(F.abs(F.col("xc") - b["centre"]).alias("d"), b["band"].alias("band"))))
+    best = near.select(*PAGE, "line", "head", "x0", "price", "step", nearest.alias("b")).where(F.col("b.d") <= 0.6 * F.col("step"))
     cells = best.groupBy(*PAGE, "line", "head", F.col("b.band").alias("band")).agg(F.min_by("price", "x0").cast("double").alias("price"))
     number = F.when(F.col("text").rlike(r"\d{3}\.?\d{3}/\d{2}-?\d|^\d{9}$"), registration(F.col("text")))
     texts = lined.join(rows, [*PAGE, "line"]).groupBy(*PAGE, "line").agg(

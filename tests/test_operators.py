@@ -606,3 +606,8 @@ def test_lines_of_pages_in_one_task(spark):
     got = {r["text"]: (r["line"], r["place"]) for r in layout.lines(df.coalesce(1)).collect()}
     assert got == {"n": (0, 0), "o": (0, 1), "m": (0, 2), "p": (1, 0), "q": (0, 0), "t": (0, 1), "s": (0, 0), "r": (0, 1)}
     assert layout.lines(df.limit(0)).count() == 0
+
+
+def test_pages_are_dealt_by_rows(spark):
+    words = spark.range(1000).select((F.col("id") % 50).alias("doc"), F.lit(1).alias("page"))
+    assert layout.dealt(words, 100).rdd.getNumPartitions() == 10 and layout.dealt(words, 100).count() == 1000
