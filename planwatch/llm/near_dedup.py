@@ -20,7 +20,7 @@ from planwatch.llm.graph import components
 BITS = 64
 PIVOTS = 16  # reference fingerprints, eight distances to a long
 CHUNK = 1 << 15  # shingles whose bits are counted at once
-CHUNK_BYTES = 12 << 20  # of texts that a task holds at a time
+CHUNK_BYTES = 6 << 20  # of texts that a task holds at a time
 BUCKET = 1_500_000  # listed shingles that a task counts at a time
 
 
