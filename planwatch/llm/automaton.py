@@ -20,32 +20,40 @@ class Automaton:
 
     def __init__(self, tokens: np.ndarray, alone: np.ndarray, pairs: tuple, triples: tuple | None, mass: float, least: int):
         self.alone = alone
-        singles = 1 + np.arange(len(tokens))
         #: Where the empty context's arcs lead: tokens that don't occur are no context.
-        self.start = np.where(tokens > 0, singles, 0)
+        self.start = np.where(tokens > 0, np.arange(1, 1 + len(tokens), dtype=np.int32), np.int32(0))
         first, second, n = pairs
         is_state = (n >= least) if triples is not None else np.zeros(len(n), bool)
-        number = np.where(is_state, len(tokens) + np.cumsum(is_state), 0)  # of each pair that is a state
-        self.failure = np.concatenate([np.zeros(1 + len(tokens), np.int64), 1 + second[is_state]])
+        state = np.where(is_state, np.cumsum(is_state, dtype=np.int32) + np.int32(len(tokens)), second + np.int32(1))  # the longest that ends each pair
+        self.failure = np.concatenate([np.zeros(1 + len(tokens), np.int32), second[is_state] + np.int32(1)])
         self.failure_weight = np.concatenate([[0.0], np.log10(mass / (np.concatenate([tokens, n[is_state]]) + mass))])
-        there = np.flatnonzero(n > 0)
+        there = n > 0
+        kept = triples[2] > 0 if triples is not None else there[:0]
+        n_pairs, size = int(there.sum()), int(there.sum()) + int(kept.sum())
+        #: (state, token) of each arc, ascending, and behind them one that no search passes; those behind pairs come last, as these are the last states.
+        self.arcs = np.full(size + 1, 2**64 - 1, np.uint64)
+        self.to, self.weights = np.empty(size, np.int32), np.empty(size)
+        less = mass * 10.0**alone
         weight = np.zeros(len(n))
-        weight[there] = np.log10((n[there] + mass * 10.0 ** alone[second[there]]) / (tokens[first[there]] + mass))
-        parts = [self._sorted(1 + first[there], second[there], np.where(is_state, number, 1 + second)[there], weight[there])]
+        weight[there] = np.log10((n[there] + less[second[there]]) / (tokens[first[there]] + mass))
+        self._put(0, first[there] + np.int32(1), second[there], state[there], weight[there])
         if triples is not None:
-            before, after, m = (x[triples[2] > 0] for x in triples)
-            longer = np.log10((m + mass * 10.0 ** weight[after]) / (n[before] + mass))
-            parts.append(self._sorted(number[before], second[after], np.where(is_state[after], number[after], 1 + second[after]), longer))
-        arcs, to, weights = (np.concatenate(x) for x in zip(*parts))
-        #: (state, token) of each arc, ascending, and behind them one that no search passes.
-        self.arcs = np.append(arcs, np.uint64(2**64 - 1))
-        self.to, self.weights = to, weights
+            np.power(10.0, weight, out=weight)
+            weight *= mass
+            before, after, m = (x[kept] for x in triples)
+            longer = m + weight[after]
+            del m, weight
+            longer /= n[before] + mass
+            np.log10(longer, out=longer)
+            self._put(n_pairs, state[before], second[after], state[after], longer)
 
-    @staticmethod
-    def _sorted(state: np.ndarray, token: np.ndarray, to: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key = state.astype(np.uint64) << _STATE | token.astype(np.uint64)
-        by = np.argsort(key)
-        return key[by], to[by], weight[by]
+    def _put(self, begin: int, state: np.ndarray, token: np.ndarray, to: np.ndarray, weight: np.ndarray) -> None:
+        """Arcs behind those up to ``begin``."""
+        key = state.astype(np.uint64)
+        key <<= _STATE
+        key |= token.astype(np.uint64)
+        by, end = np.argsort(key), begin + len(key)
+        self.arcs[begin:end], self.to[begin:end], self.weights[begin:end] = key[by], to[by], weight[by]
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states and the weights of the arcs and failures taken, for a token in each of some states."""
@@ -79,7 +87,7 @@ class Automaton:
         by = np.argsort(begin - end, kind="stable")  # the longest first, so that those that still read are in front
         own, begin, end = own[by], begin[by], end[by]
         reading = np.searchsorted(begin - end, -np.arange(int((end - begin).max(initial=0))))
-        state, out = np.zeros(len(begin), np.int64), np.zeros(len(tokens))
+        state, out = np.zeros(len(begin), np.int32), np.zeros(len(tokens))
         for i, n in enumerate(reading):
             at = begin[:n] + i
             state[:n], weight = self.step(state[:n], tokens[at])

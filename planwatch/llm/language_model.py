@@ -126,26 +126,38 @@ def listed_triples(texts: DataFrame, known: DataFrame, n_buckets: int) -> DataFr
         chunk = Chunk(group["text"])
         pairs, there = chunk.keys(2)
         _, of = _numbered(pairs, there)
-        triples, there = _of_states(chunk, np.where(there, _answered(answers, 2)[of], 0))
+        del pairs
+        triples, there = _of_states(chunk, there & (_answered(answers, 2) >= STATE)[of])
         return _lists(group, [(3, triples[there], _training(group, chunk)[there])], n_buckets)
 
     return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, LISTED)
 
 
-def _of_states(chunk: Chunk, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of three tokens, and where there is one whose first two are a state; ``pairs`` has the number of the pair that ends at each token."""
+def _of_states(chunk: Chunk, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of three tokens, and where there is one whose first two are a state; ``states`` tells of each token whether a pair that is one ends there."""
     keys, there = chunk.keys(3)
-    return keys, there & (np.roll(pairs, 1) >= STATE)
+    return keys, there & np.roll(states, 1)
+
+
+def _ascending(keys: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places where n-grams end, ascending by key, and which of them are the first with their key. A chunk's places fit 32 bits."""
+    places = np.flatnonzero(there).astype(np.int32)
+    found = keys[places]
+    by = np.argsort(found)
+    places, found = places[by], found[by]
+    del by
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return places, new
 
 
 def _numbered(keys: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different n-grams of a chunk, ascending by key: a place where each ends; and for each place the number of the n-gram that ends there, 0 where none does."""
-    places = np.flatnonzero(there)
-    places = places[np.argsort(keys[places])]
-    ascending = keys[places]
-    new = np.concatenate([[True], ascending[1:] != ascending[:-1]]) if len(places) else np.zeros(0, bool)
-    of = np.zeros(len(keys), np.int64)
-    of[places] = np.cumsum(new) - 1
+    places, new = _ascending(keys, there)
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    of = np.zeros(len(keys), np.int32)
+    of[places] = number
     return places[new], of
 
 
@@ -203,10 +215,15 @@ def compiled(chunk: Chunk, answers: pa.Table, n_tokens: int, n_types: int, order
     alone = np.log10((single + ADDED) / (n_tokens + ADDED * (n_types + 1)))
     keys, there = chunk.keys(2)
     at, of = _numbered(keys, there)
+    del keys  # each array of a chunk's length is dropped as soon as it has served: they are what a task's memory goes to
     pair, triples = _answered(answers, 2), None
     if order > 2:
-        last, _ = _numbered(*_of_states(chunk, np.where(there, pair[of], 0)))
+        places, new = _ascending(*_of_states(chunk, there & (pair >= STATE)[of]))
+        last = places[new]
+        del places, new
         triples = of[last - 1], of[last], _answered(answers, 3)
+        del last
+    del there, of
     if (len(single), len(pair)) != (tokens.max() + 1, len(at)) or triples and len(triples[0]) != len(triples[2]):
         raise RuntimeError("a chunk's texts aren't those it listed")
     return Automaton(single, alone, (tokens[at - 1], tokens[at], pair), triples, MASS, STATE), single, tokens
@@ -219,10 +236,16 @@ def _scored(group: pa.Table, answers: pa.Table, order: int) -> pa.Table:
     chunk = Chunk(group["text"])
     n_tokens, n_types = answers["n_tokens"][0].as_py(), answers["n_types"][0].as_py()
     automaton, single, tokens = compiled(chunk, answers, n_tokens, n_types, order)
-    base, known = automaton.alone[tokens], (single > 0)[tokens].astype(np.int64)
-    base[chunk.starts], known[chunk.starts] = 0.0, 0  # a START is given
-    score = automaton.walk(tokens, chunk.starts, chunk.ends)
-    sums = [pa.array(np.add.reduceat(x, chunk.starts)) for x in (known, base, score)]
+    del chunk.tokens  # their numbers stand for them from here on
+
+    def summed(x: np.ndarray, kind: type) -> pa.Array:
+        return pa.array(np.add.reduceat(x, chunk.starts, dtype=kind))
+
+    base, known = automaton.alone[tokens], (single > 0)[tokens]
+    base[chunk.starts], known[chunk.starts] = 0.0, False  # a START is given
+    sums = [summed(known, np.int64), summed(base, np.float64)]
+    del base, known
+    sums.append(summed(automaton.walk(tokens, chunk.starts, chunk.ends), np.float64))
     columns = [group["doc_id"], group["held_out"], pa.array(chunk.ends - chunk.starts - 1), sums[0], pa.array(np.full(group.num_rows, n_tokens, np.int64)), *sums[1:]]
     return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -556,6 +556,33 @@ def test_automaton_by_hand(monkeypatch):
         assert auto.walk(text, np.array([0, 45]), np.array([45, 46])).tolist() == whole.tolist()
 
 
+def test_lm_scoring_holds_few_arrays_of_a_chunks_length():
+    """What a task holds over its texts: the chunk's size allows for about 100 bytes a token (163 were held once)."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    texts = [" ".join(vocabulary[(rng.random(2000) ** 4 * 3000).astype(int)]) for _ in range(100)]
+    group = pa.table({"doc_id": pa.array(range(100), pa.int64()), "text": pa.chunked_array([texts]), "held_out": pa.array([False] * 100)})
+    chunk = language_model.Chunk(group["text"])
+    pairs, there = chunk.keys(2)
+    triples, behind = chunk.keys(3)
+    keep, n = np.unique(pairs[there], return_counts=True)
+    behind &= np.roll(there & (n >= language_model.STATE)[np.minimum(np.searchsorted(keep, pairs), len(keep) - 1)], 1)
+    totals = [language_model._packed(np.unique(x, return_counts=True)[1].astype(np.int64)) for x in (chunk.tokens, pairs[there], triples[behind])]
+    answers = pa.table({"bucket": [0, 0, 0], "level": [1, 2, 3], "totals": totals, "n_tokens": [200_100] * 3, "n_types": [3001] * 3})
+    size = len(chunk.tokens)
+    del chunk, pairs, there, triples, behind, keep, n
+    tracemalloc.start()
+    got = language_model._scored(group, answers, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 100 and sum(got["n_tokens"].to_pylist()) == size - 100
+    assert peak / size < 125
+
+
 def test_lm_of_awkward_rows(awkward, empty):
     got = language_model.scores(awkward).collect()
     assert len(got) == len(AWKWARD) and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2, 3))
