@@ -16,6 +16,7 @@ from planwatch.functions.text import band_of_label, fold, money, registration, w
 from planwatch.session import written
 
 PAGE = ["doc", "page"]
+TASK = 250_000  # words that a task gets
 TOLERANCE = 2.5  # points between a word and the running mean of its line
 ALIGNED = 25  # points between the labels of one table
 STRETCH = 3.5  # times the usual step that a table may skip for each band
@@ -24,10 +25,10 @@ HEAD = 8  # bands that the head of a transposed table names at least
 HEADING_WORDS = ("tabela", "vidas", "copartic", "adesao", "pme", "mei", "empresarial", "vigencia", "regiao", "capital", "interior", "porte", "grupo", "compuls", "familiar", "titular", "dependente")
 
 
-def dealt(table: DataFrame, rows: int = 250_000) -> DataFrame:
-    """A written table by pages, so many rows a task or fewer: words shrink so much in a shuffle that tasks by its size would hold too many of them."""
-    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // rows))
-    return table.repartition(tasks, *PAGE)
+def dealt(table: DataFrame, *by: str, words: int = 1) -> DataFrame:
+    """A written table by pages, or by other columns, about TASK words a task, ``words`` to a row: they shrink so much in a shuffle that tasks by its size would hold too many of them."""
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() * words // TASK))
+    return table.repartition(tasks, *(by or PAGE))
 
 
 def lines(words: DataFrame) -> DataFrame:
@@ -63,12 +64,14 @@ def whole_amounts(words: DataFrame, gap: float = 2.5, slope: float = 3.0) -> Dat
 
     A piece belongs to the one before it on the page, by height in steps of ``slope`` and then from left to right, if their heights differ by less than ``slope``, the
     way between them is 0 to ``gap``, and a comma starts the one or ends the other. Runs of such pieces are islands; of a run the texts are joined and the
-    boxes are one around all. A run is one line's, so no group grows with the data."""
+    boxes are one around all. A run is one line's, so no group grows with the data. Words that come ``dealt`` by document or page stay in
+    their tasks, where they are sorted once."""
     y = (F.col("top") + F.col("base")) / 2
-    w = W.partitionBy(*PAGE).orderBy(F.bround(y / slope), "x0", "text")
+    w = W.partitionBy(*PAGE).orderBy("_step", "x0", "text")
+    stepped = words.withColumn("_step", F.bround(y / slope))
     held = F.coalesce((F.abs(y - F.lag(y).over(w)) < slope) & (F.col("x0") - F.lag("x1").over(w)).between(0, gap) & (F.col("x0") - F.lag("x1").over(w) < gap) & (F.startswith("text", F.lit(",")) | F.endswith(F.lag("text").over(w), F.lit(","))), F.lit(False))
-    placed = words.select(*PAGE, "text", "x0", "x1", "top", "base", (~held).cast("int").alias("_new"), F.row_number().over(w).alias("_n"))
-    runs = placed.withColumn("_run", F.sum("_new").over(W.partitionBy(*PAGE).orderBy("_n")))
+    placed = stepped.select(*PAGE, "text", "x0", "x1", "top", "base", "_step", (~held).cast("int").alias("_new"), F.row_number().over(w).alias("_n"))
+    runs = placed.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     joined = runs.groupBy(*PAGE, "_run").agg(F.array_sort(F.collect_list(F.struct("_n", "text", "x1"))).alias("_p"), F.min_by("x0", "_n").alias("x0"), F.min("top").alias("top"), F.max("base").alias("base"))
     return joined.select(*PAGE, F.array_join("_p.text", "").alias("text"), "x0", F.element_at("_p.x1", -1).alias("x1"), "top", "base")
 

@@ -599,6 +599,16 @@ def test_pieces_of_amounts_join_in_chains(spark):
     assert layout.whole_amounts(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_pieces_are_dealt_by_their_number(spark, monkeypatch):
+    from __spark_entry__ import queries
+
+    monkeypatch.setattr(layout, "TASK", 1000, raising=False)
+    got = queries()["joined_pieces"](spark, "/root/testdata/sf0.001")
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) > 5000 and max(sizes) < 1000
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("Exchange") == 1
+
+
 def test_lines_of_pages_in_one_task(spark):
     """Words between two lines go with the mean so far; pages don't touch, whatever their order, nor do null ones; a word without a height ends on the last line."""
     words = [(d, p, t, x, x + 5, y, y) for d, p, t, x, y in (("a", 1, "m", 9.0, 10.0), ("a", 1, "n", 1.0, 12.0), ("a", 1, "o", 5.0, 13.4), ("a", 1, "p", 0.0, 14.5), ("a", 2, "q", 0.0, 14.0), (None, 1, "r", 3.0, 5.0), (None, 1, "s", 2.0, 5.5), ("a", 2, "t", 7.0, None))]
