@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +72,9 @@ def middle(values: Column) -> Column:
 def agreement(a: Column, b: Column, least: float = 0.005) -> Column:
     """How many bands both have with the same price."""
     return F.size(F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.coalesce(F.abs(F.get(a, i) - F.get(b, i)) < least, F.lit(False))))
+
+
+def may_agree(a: Column, b: Column, n: int, least: float = 0.005) -> Column:
+    """Whether one of the bands agrees of which one must if ``n`` do; null or false if not. It is compiled and far quicker than ``agreement``."""
+    one = [F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) < least for i in range(BANDS - n + 1)]
+    return reduce(or_, one)

@@ -18,9 +18,9 @@ def greedy(edges: DataFrame, group: list[str], left: str, right: str, order: lis
     """The matched rows of ``edges`` (group, left, right, what ``order`` needs). Groups match side by side.
 
     Rounds stop when no edge is left, after the smaller side's number of them at most. Each round is written to the shared
-    folder, so the plan doesn't grow with the rounds.
+    folder, so the plan doesn't grow with the rounds; so are the edges, which each round reads twice.
     """
-    taken, rest = None, edges
+    taken, rest = None, written(edges, "edges")
     while True:
         best = lambda side: F.row_number().over(W.partitionBy(*group, side).orderBy(*order))
         ranked = rest.withColumns({"_l": best(left), "_r": best(right)})
@@ -36,6 +36,21 @@ def _numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1)
 
 
+def placed(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df``, written, with place: the number of each row in its group, from 0, by ``order``, for groups too large for one task.
+
+    All rows are sorted by ranges side by side. The part of a group that a range has is numbered on from the parts before it; nulls of a group's columns are alike."""
+    ids = written(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_id", F.monotonically_increasing_id()), "placed")
+    ids = ids.withColumn("_part", F.shiftright("_id", 33))  # the number of the range, as monotonically_increasing_id states it
+    w = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = ids.groupBy(*group, "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    parts = parts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(group)], F.col("_part").alias("_of"), (F.col("_before") - F.col("_first")).alias("_shift"))
+    on = F.col("_part") == F.col("_of")
+    for i, c in enumerate(group):
+        on = on & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    return ids.join(F.broadcast(parts), on).select(*df.columns, (F.col("_id") + F.col("_shift")).cast("int").alias("place"))
+
+
 _WIDE = 1 << 40  # more than any two places are apart
 
 
@@ -115,8 +130,10 @@ def match_readings(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
     right = b.select(*group, F.col("place").alias("j"), F.col("page").alias("pb"), F.col("prices").alias("xb"))
     gap = F.abs(F.col("pa") - F.col("pb"))
     beside = left.withColumn("pb", F.explode(F.array(F.col("pa") - 1, F.col("pa"), F.col("pa") + 1)))  # so that only neighbouring pages meet
-    edges = beside.join(right, [*group, "pb"]).withColumn("equal", bands.agreement(F.col("xa"), F.col("xb"))).withColumn("gap", gap)
-    edges = edges.where((F.col("equal") >= 8) | ((F.col("gap") == 0) & (F.col("equal") >= 3))).select(*group, "i", "j", "equal", "gap")
+    equal, same = bands.agreement(F.col("xa"), F.col("xb")), gap == 0
+    may = bands.may_agree(F.col("xa"), F.col("xb"), 8) | (same & bands.may_agree(F.col("xa"), F.col("xb"), 3))
+    enough = F.when(may, equal >= F.when(same, 3).otherwise(8)).otherwise(False)  # few pairs may agree: only these are counted, once each
+    edges = beside.join(right, [*group, "pb"]).where(enough).select(*group, "i", "j", equal.alias("equal"), gap.alias("gap"))
     return greedy(edges, group, "i", "j", [F.desc("equal"), F.col("gap"), F.desc("i"), F.desc("j")])
 
 

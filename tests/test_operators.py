@@ -210,6 +210,37 @@ def test_readings_pair_by_equal_prices(spark):
     assert sorted((r["i"], r["j"], r["equal"]) for r in matching.match_readings(a, b, ["doc"]).collect()) == [(0, 1, 3), (1, 0, 10)]
 
 
+def test_readings_pair_like_a_walk_and_meet_once(spark, monkeypatch):
+    """Against all pairs; the edges are made once, not anew in each round, and no more of them than match the rules."""
+    rng, rows = random.Random(11), []
+    for place in range(60):
+        prices = [rng.choice([None, 10, 20, 30]) for _ in range(10)]
+        rows += [(d, side, place, (place + 2 * side) // 6, [p if rng.random() > share else rng.choice([None, 10, 40]) for p in prices]) for d in ("x", "y") for side, share in ((0, 0.0), (1, 0.15))]
+    df = spark.createDataFrame(rows, "doc string, side int, place int, page int, prices array<bigint>")
+    seen, write = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda rows_, name: seen.append((name, write(rows_, name))) or seen[-1][1])
+    got = matching.match_readings(df.where("side = 0"), df.where("side = 1"), ["doc"]).collect()
+    wanted = 0
+    for d in ("x", "y"):
+        a, b = ([(place, page, p) for d_, s, place, page, p in rows if (d_, s) == (d, side)] for side in (0, 1))
+        edges = [(i, j, sum(u is not None and u == v for u, v in zip(p, q)), abs(m - n)) for i, m, p in a for j, n, q in b]
+        edges = [e for e in edges if e[3] <= 1 and e[2] >= (8 if e[3] else 3)]
+        wanted += len(edges)
+        assert {e[3] for e in edges} == {0, 1}
+        want = [e[:3] for e in brute_greedy(edges, lambda e: (-e[2], e[3], -e[0], -e[1]))]
+        assert sorted((r["i"], r["j"], r["equal"]) for r in got if r["doc"] == d) == sorted(want)
+    assert seen[0][0] == "edges" and seen[0][1].count() == wanted
+
+
+def test_places_of_large_groups(spark):
+    rows = [(g, n, f"{n % 7}") for g, size in (("a", 500), ("b", 1), (None, 40)) for n in range(size)]
+    df = spark.createDataFrame(rows, "g string, n int, s string").repartition(6)
+    got = matching.placed(df, ["g"], ["s", "n"])
+    for g in ("a", "b", None):
+        assert sorted((r["place"], r["s"], r["n"]) for r in got.collect() if r["g"] == g) == [(i, s, n) for i, (s, n) in enumerate(sorted((s, n) for h, n, s in rows if h == g))]
+    assert got.schema["place"].dataType.simpleString() == "int" and matching.placed(df.limit(0), ["g"], ["n"]).count() == 0
+
+
 def test_chains_do_not_depend_on_arrival(spark):
     rows = [("k", date(2024, m, 1), [float(p)]) for m, p in ((1, 10), (2, 10), (3, 12), (4, 15))]
     want = None
