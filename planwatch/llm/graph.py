@@ -13,20 +13,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points the larger neighbours of a node to its smallest one (large star), then the smaller ones too
     (small star). The edges shrink to stars around the roots in about log(n) rounds; each round is written to the
-    shared folder. No neighbourhood is ever gathered: minima are aggregates and the rest are joins.
+    shared folder. No neighbourhood is ever gathered: minima are aggregates and the rest are joins. Edges are dealt by node, once
+    for each star: minimum and join read the same shuffle and nothing is broadcast, so a round is three stages, however small the
+    edges, and the driver has few tasks to keep account of.
     """
     a, b = F.col("a"), F.col("b")
     edges = written(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u").distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(near, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        # Of a node's edges the one to its least neighbour stays and the others move there. An edge may come twice; the next round's distinct() drops it.
+        small = large.join(near.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = written(small, "edges")
         # The edge set is stable once every node hangs directly below its root.
-        now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now

@@ -263,7 +263,7 @@ def near_copies(rows: DataFrame, id_col: str, text_col: str, row_col: str = "row
 
     of = lambda side: lambda c: F.col(f"{side}{c}")
     to_pivots = members.select("node", "size", "pos", F.explode("pivots").alias("p")).where((F.col("p.node") != F.col("node")) & may(of(""), of("p.")))
-    to_pivots = to_pivots.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    to_pivots = to_pivots.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
     to_pivots = written(to_pivots.unionByName(_fingerprint_pairs(once(nodes.select("node")), width)).distinct(), "pairs-with-pivots")
 
     def arrays(*pairs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -102,6 +103,36 @@ def test_links_are_exact_with_hot_buckets(spark, hot):
     assert [got.get(v, v) for v in values] == want
 
 
+def test_components_take_few_tasks_a_round(spark):
+    """The driver keeps account of each task, and where Spark merges no small partitions each shuffle costs as many as there are."""
+    from planwatch.llm.graph import components
+
+    rnd = random.Random(8)
+    links = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(150, 260)] + [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(70)] + [(7, 7)]
+    df, sc = spark.createDataFrame(links, "a bigint, b bigint").coalesce(1), spark.sparkContext
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("components", "")
+        got = sorted(map(tuple, components(df).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        sc._jsc.clearJobGroup()
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    del root[7]
+    assert got == sorted(root.items())
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("components")]
+    stages = [sc.statusTracker().getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
+    tasks = sum(s.numCompletedTasks for s in stages if s)
+    assert tasks < 600
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     got = near_dedup.near_duplicates(awkward).collect()
     assert len(got) == len(AWKWARD)
