@@ -384,9 +384,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 ids_sha.append(hashlib.sha256(raw).hexdigest())
                 text_sha.append(hashlib.sha256(encoder.vocabulary.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(raw)
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+            if with_ids:  # from their bytes: as Python numbers they take ten times as much
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(all_ids), "<i4"))))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

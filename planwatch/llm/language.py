@@ -132,11 +132,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not rows:
         return None
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    langs, x = [r[0] for r in rows], np.empty((len(rows), DIMS), np.float32)
-    for at in range(len(rows), 0, -512):  # from the end, so that the driver drops each row's counts once they are scaled
-        x[max(at - 512, 0) : at] = scaled(np.stack([np.frombuffer(r[1], "<u4") for r in rows[max(at - 512, 0) :]]))
-        del rows[max(at - 512, 0) :]
-    return learn(langs, x)
+    langs, counts = [r[0] for r in rows], np.empty((len(rows), DIMS), np.float32)
+    for i, r in enumerate(rows):
+        counts[i] = np.frombuffer(r[1], "<u4")
+    del r, rows  # the driver holds them once
+    counts = scaled(counts)
+    return learn(langs, counts)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: LanguageModel | None = None, keep: list[str] | None = None) -> DataFrame:
