@@ -109,12 +109,13 @@ def links(distinct: DataFrame, radius: int = 4, n_blocks: int | None = None, hot
     tables = [F.struct(F.lit(t).alias("t"), F.lit(c[-1]).alias("last"), F.col("fp").bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))).alias("key")) for t, c in enumerate(combinations(range(m), k))]
     rows = distinct.select("fp", *_pivot_table()).withColumn("e", F.explode(F.array(*tables))).select("fp", "pivots0", "pivots1", "e.*")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")  # no task holds a bucket
-    rows = rows.join(sizes, ["t", "key"])
+    # Spark sizes what explode made as if it were the fingerprints, and would broadcast all of it; a merge is dealt by key whatever the sizes.
+    rows = rows.join(sizes.hint("merge"), ["t", "key"])
     cold, crowd = rows.where(F.col("n") <= hot), rows.where(F.col("n") > hot).select("fp").distinct()
     differing = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     agree = sum(((differing.bitwiseAND(F.lit(_signed(mask))) == 0) & (F.lit(i) <= F.col("x.last"))).cast("int") for i, mask in enumerate(masks))
     same = (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key"))
-    paired = cold.alias("x").join(cold.alias("y"), same & (F.col("x.fp") < F.col("y.fp")) & _near(radius) & (agree == k)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    paired = cold.alias("x").join(cold.alias("y").hint("merge"), same & (F.col("x.fp") < F.col("y.fp")) & _near(radius) & (agree == k)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     around = crowd.withColumn("point", F.col("fp")).withColumn("i", F.lit(-1))
     for _ in range(radius // 2):  # flips one more bit, or none (64)
         around = around.withColumn("i", F.explode(F.expr("if(i < 64, sequence(i + 1, 64), array(64))"))).withColumn("point", F.expr("if(i < 64, point ^ shiftleft(1L, i), point)"))

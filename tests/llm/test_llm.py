@@ -103,6 +103,13 @@ def test_links_are_exact_with_hot_buckets(spark, hot):
     assert [got.get(v, v) for v in values] == want
 
 
+def test_links_broadcast_nothing_that_explode_made(spark):
+    """A few fingerprints make many rows of blocks, which Spark sizes as if they were still few."""
+    fps = near_dedup.written(spark.range(2000).select(F.xxhash64("id").alias("fp")), "fps")
+    plan = near_dedup.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_take_few_tasks_a_round(spark):
     """The driver keeps account of each task, and where Spark merges no small partitions each shuffle costs as many as there are."""
     from planwatch.llm.graph import components
