@@ -40,8 +40,8 @@ class Numbered:
 
 
 def sized(df: DataFrame, few: int = 500_000) -> DataFrame:
-    """A written table of narrow rows to join with: broadcast if it has few rows (some 20 MB at most), else to be shuffled."""
-    return F.broadcast(df) if df.count() <= few else df
+    """A written table of narrow rows to join with: broadcast if it has few rows (some 20 MB at most), else to be shuffled, even if its files are small."""
+    return F.broadcast(df) if df.count() <= few else df.hint("merge")
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

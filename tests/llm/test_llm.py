@@ -110,6 +110,12 @@ def test_links_broadcast_nothing_that_explode_made(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_many_rows_are_not_broadcast_for_small_files(spark):
+    some = near_dedup.written(spark.range(3000), "some")
+    plan = lambda few: near_dedup.written(spark.range(5000), "rows").join(near_dedup.sized(some, few), "id", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(2999) and "Broadcast" in plan(3000)
+
+
 def test_components_take_few_tasks_a_round(spark):
     """The driver keeps account of each task, and where Spark merges no small partitions each shuffle costs as many as there are."""
     from planwatch.llm.graph import components
