@@ -119,6 +119,15 @@ def test_reference_note(spark):
     assert sorted((r["plan"], r["rule"], r["note_date"]) for r in got) == [("q", "no_note", None)]  # the later note explains the prices
 
 
+@pytest.mark.parametrize("name", ["recompute_review", "planted_faults"])
+def test_cells_and_titles_are_not_broadcast(spark, name):
+    """Spark sizes them by the small columns they are made from, so at 60 times sf0.1 it would broadcast millions of them."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_columns_stay_where_they_meet_their_notes(spark):
     """Columns and notes are shuffled once each, and what they give together is not."""
     notes = spark.createDataFrame([], "plan string, note int, note_date date, band int, vcm double, low double, high double")
