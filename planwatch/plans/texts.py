@@ -192,7 +192,8 @@ def headings(t: Tables) -> DataFrame:
     written = F.when(n % 2 == 0, F.array(F.lit("Com"), F.lit("coparticipação"))).otherwise(F.array(F.lit("latipaC"), F.lit("oãiger")))
     words = t.part.select("p_partkey", F.posexplode(written).alias("y", "text"))
     titled = t.part.select("p_partkey", layout.heading_title(F.filter(lines_, lambda x: x != "vidas")).alias("title"))
-    return titled.join(layout.side_tags(words, ["p_partkey"]), "p_partkey").select("p_partkey", "title", F.array_join("tags", ",").alias("side"))
+    # Titles are much larger than the numbers they are made from, by which Spark sizes them; a merge broadcasts neither side.
+    return titled.join(layout.side_tags(words, ["p_partkey"]).hint("merge"), "p_partkey").select("p_partkey", "title", F.array_join("tags", ",").alias("side"))
 
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY ALL")

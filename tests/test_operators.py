@@ -119,7 +119,7 @@ def test_reference_note(spark):
     assert sorted((r["plan"], r["rule"], r["note_date"]) for r in got) == [("q", "no_note", None)]  # the later note explains the prices
 
 
-@pytest.mark.parametrize("name", ["recompute_review", "planted_faults"])
+@pytest.mark.parametrize("name", ["recompute_review", "planted_faults", "headings"])
 def test_cells_and_titles_are_not_broadcast(spark, name):
     """Spark sizes them by the small columns they are made from, so at 60 times sf0.1 it would broadcast millions of them."""
     import __spark_entry__
