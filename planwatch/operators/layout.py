@@ -25,10 +25,10 @@ HEAD = 8  # bands that the head of a transposed table names at least
 HEADING_WORDS = ("tabela", "vidas", "copartic", "adesao", "pme", "mei", "empresarial", "vigencia", "regiao", "capital", "interior", "porte", "grupo", "compuls", "familiar", "titular", "dependente")
 
 
-def dealt(table: DataFrame, *by: str, words: int = 1) -> DataFrame:
-    """A written table by pages, or by other columns, about TASK words a task, ``words`` to a row: they shrink so much in a shuffle that tasks by its size would hold too many of them."""
-    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() * words // TASK))
-    return table.repartition(tasks, *(by or PAGE))
+def dealt(table: DataFrame, task: int | None = None, by: list[str] = PAGE, words: int = 1) -> DataFrame:
+    """A written table by pages, or by other columns, about ``task`` (TASK) words a task, ``words`` to a row: they shrink so much in a shuffle that tasks by its size would hold too many of them."""
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() * words // (task or TASK)))
+    return table.repartition(tasks, *by)
 
 
 def lines(words: DataFrame) -> DataFrame:

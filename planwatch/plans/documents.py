@@ -49,7 +49,7 @@ SELECT doc, CAST(min(line) AS INT) AS line, string_agg(piece, '' ORDER BY n) AS
 def joined_pieces(t: Tables) -> DataFrame:
     """Amounts that a scan parts at the comma into two to five words, and some whose parts are no pieces of one, a line for each number of an order's rows."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    rows = layout.dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), "l_orderkey", words=3)
+    rows = layout.dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), by=["l_orderkey"], words=3)
     one = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_extendedprice").alias("l_extendedprice"))
     a = one.select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey", F.floor(cents / 100).cast("string").alias("whole"), F.lpad((cents % 100).cast("string"), 2, "0").alias("part"))
     k, comma = F.col("l_partkey") % 4, F.lit(",")
